@@ -57,6 +57,9 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Make this package importable on Python workers, once per context."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        # long texts: fewer rows a batch than the default, so that a batch stays at a few MB
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     if getattr(sc, "_darkroom_shipped", False):
         return
     target = os.path.join(tempfile.mkdtemp(prefix="darkroom-"), "darkroom_pkg.zip")
