@@ -193,8 +193,9 @@ def super_minhash(values: np.ndarray, pointer: np.ndarray, size: int, seed: int
         if not len(live):
             break
         rnd = mix(live + U64((seed * 0x9E3779B97F4A7C15 + j * 0xD1342543DE82EF95) & (2**64 - 1)))
-        r = (rnd >> U64(12)).astype(np.float64) * 2.0**-52
-        k = (j + (mix(rnd) % U64(size - j))).astype(np.int64)
+        # the upper bits choose the component, the lower ones the value
+        r = (rnd & U64((1 << 48) - 1)).astype(np.float64) * 2.0**-48
+        k = j + ((rnd >> U64(48)) * U64(size - j) >> U64(16)).astype(np.int64)
         if order is None:
             slot = k
         else:

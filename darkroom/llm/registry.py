@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from darkroom.llm import mixing
+from darkroom.llm import mixing, near_dedup
 
 
 def queries() -> dict:
     """All queries of the ten operators and the pipeline."""
-    return {"op2_mixing_sources": mixing.op2_mixing_sources}
+    return {"op2_mixing_sources": mixing.op2_mixing_sources, "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
