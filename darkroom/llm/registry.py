@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from darkroom.llm import mixing, near_dedup
+from darkroom.llm import mixing, near_dedup, quality
 
 
 def queries() -> dict:
     """All queries of the ten operators and the pipeline."""
-    return {"op2_mixing_sources": mixing.op2_mixing_sources, "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup}
+    return {
+        "op2_mixing_sources": mixing.op2_mixing_sources,
+        "op7_quality_rules": quality.op7_quality_rules,
+        "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that SQL can express."""
-    return {"op2_mixing_sources": mixing.OP2_SQL}
+    return {"op2_mixing_sources": mixing.OP2_SQL, "op7_quality_rules": quality.OP7_SQL}
