@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from darkroom.llm import mixing, near_dedup, quality
+from darkroom.llm import mixing, near_dedup, packing, quality, simple8b
 
 
 def queries() -> dict:
     """All queries of the ten operators and the pipeline."""
     return {
+        "op1_token_ids": simple8b.op1_token_ids,
         "op2_mixing_sources": mixing.op2_mixing_sources,
         "op7_quality_rules": quality.op7_quality_rules,
         "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
+        "op10_packing": packing.op10_packing,
     }
 
 
