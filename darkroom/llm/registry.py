@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from darkroom.llm import mixing, near_dedup, packing, quality, simple8b
+from darkroom.llm import html_text, mixing, near_dedup, packing, quality, simple8b
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op2_mixing_sources": mixing.op2_mixing_sources,
         "op7_quality_rules": quality.op7_quality_rules,
         "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
+        "op9_html_extraction": html_text.op9_html_extraction,
         "op10_packing": packing.op10_packing,
     }
 
