@@ -1,25 +1,31 @@
 """From band keys to near-duplicate components, exact within the candidates, without all pairs of a group.
 
 Members of a bucket (classes that share a band key) are candidates of each other. Small buckets are paired
-directly, which makes at most a constant number of pairs per row. In a large bucket some random members are
-centres first: each is compared with every member, and verified links give components. Only pairs across two
-components can still matter, so later rounds compare members outside a bucket's largest component with the rest, until no such
-pair is left unverified. The number of pairs is (members outside the largest component) x (members), not members squared,
-and no candidate pair between different components is skipped.
+directly, which makes at most a constant number of pairs per row. In a large bucket a few random members are
+centres: each is compared with every member, and verified links give components. Only candidates in different
+components can still matter, and of those at least one stands outside its bucket's largest component: such members are
+compared with the whole bucket, block by block, inside tasks that return a spanning forest of the links they find. So no
+candidate pair between different components is skipped, no pairs are emitted for a large bucket, and no task holds more than two blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from darkroom.llm import _text
 from darkroom.operators.components import connected_components
 from darkroom.runtime import materialise, shuffle_partitions
 
 SMALL = 12
 CENTRES = 4
+#: Members of a block, and shingles that are compared at once.
+BLOCK = 256
+COLUMNS = 8192
 
 
 def shared_buckets(bands: DataFrame) -> DataFrame:
@@ -36,11 +42,12 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def near_links(buckets: DataFrame, content: DataFrame, verify: Callable) -> DataFrame:
+def near_links(buckets: DataFrame, content: DataFrame, sets: Callable, percent: int) -> DataFrame:
     """Verified links that connect the same classes as all verified pairs of the buckets would.
 
-    ``buckets``: (band, cid), already written. ``content``: (cid, text), one row for every class in a bucket. ``verify``: a mapInArrow function from
-    (a, b, text_a, text_b) to those (a, b) that are linked. Returns (a, b).
+    ``buckets``: (band, cid), already written. ``content``: (cid, text), one row for every class in a bucket. ``sets``: from the bytes and offsets of
+    rows to their shingle sets (ascending hashes and a row pointer). Linked are classes with 100 * |intersection| >= percent * |union|.
+    Returns (a, b).
     """
     content = materialise(content.select("cid", "text"), "near-content")
 
@@ -48,7 +55,7 @@ def near_links(buckets: DataFrame, content: DataFrame, verify: Callable) -> Data
         left = content.select(F.col("cid").alias("a"), F.col("text").alias("text_a"))
         right = content.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-        return materialise(both.mapInArrow(verify, "a bigint, b bigint"), "near-links")
+        return materialise(both.mapInArrow(_verifier(sets, percent), "a bigint, b bigint"), "near-links")
 
     sizes = buckets.groupBy("band").agg(
         F.count(F.lit(1)).alias("n"), *[F.min_by("cid", F.xxhash64("cid", F.lit(k))).alias(f"c{k}") for k in range(CENTRES)]
@@ -64,25 +71,92 @@ def near_links(buckets: DataFrame, content: DataFrame, verify: Callable) -> Data
 
     if not sizes.where(f"n > {SMALL}").limit(1).count():
         return links
-    big = materialise(buckets.join(sizes.where(f"n > {SMALL}").select("band"), "band"), "near-large")
-    done = large.select("band", F.col("centre").alias("cid"))
-    budget = 16
-    while True:
-        labels = connected_components(links)
-        members = big.join(labels, big["cid"] == labels["node"], "left").select("band", "cid", F.coalesce("root", "cid").alias("label"))
-        members = materialise(members, "near-members")
-        per_label = members.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-        per_band = per_label.groupBy("band").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("n", "label")).alias("top")).where("labels > 1")
-        open_rows = members.join(per_band.select("band", "top"), "band").where("label <> top").join(done, ["band", "cid"], "left_anti")
-        open_rows = materialise(open_rows.select("band", "cid", "label"), "near-open")
-        counts = open_rows.groupBy("band").agg(F.count(F.lit(1)).alias("open"))
-        if not open_rows.limit(1).count():
-            return links
-        chosen = open_rows.join(counts, "band").where(
-            F.pmod(F.xxhash64("cid", "band", F.lit(budget)), F.lit(1 << 20)) * F.col("open") < F.lit(budget) * F.lit(1 << 20)
-        )
-        chosen = materialise(chosen.select("band", F.col("cid").alias("centre"), F.col("label").alias("centre_label")), "near-centres")
-        more = chosen.join(members, "band").where("label <> centre_label").select(*_ordered("centre", "cid")).distinct()
-        links = links.unionAll(verified(more))
-        done = done.unionAll(chosen.select("band", F.col("centre").alias("cid")))
-        budget *= 4
+    labels = connected_components(links)
+    big = buckets.join(sizes.where(f"n > {SMALL}").select("band", "n"), "band")
+    members = big.join(labels, big["cid"] == labels["node"], "left").select("band", "n", "cid", F.coalesce("root", "cid").alias("label"))
+    members = materialise(members, "near-members")
+    per_label = members.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k"))
+    per_band = per_label.groupBy("band").agg(F.max_by("label", F.struct("k", "label")).alias("top"), F.sum("k").alias("n"), F.max("k").alias("k"))
+    per_band = per_band.where("k < n").select("band", "top", F.ceil((F.col("n") - F.col("k")) / BLOCK).alias("lefts"), F.ceil(F.col("n") / BLOCK).alias("rights"))
+    open_rows = members.join(per_band, "band").join(content, "cid")
+    own = lambda c: F.pmod(F.xxhash64("cid", "band"), F.col(c))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
+    left = open_rows.where("label <> top").select("band", own("lefts").alias("i"), every("rights").alias("j"), F.lit(True).alias("is_left"), "cid", "label", "text")
+    right = open_rows.select("band", every("lefts").alias("i"), own("rights").alias("j"), F.lit(False).alias("is_left"), "cid", "label", "text")
+    found = left.unionAll(right).groupBy("band", "i", "j").applyInArrow(_block_links(sets, percent), "a bigint, b bigint")
+    return links.unionAll(materialise(found, "near-block-links"))
+
+
+def _verifier(sets: Callable, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, buf, offsets in _text.slices([batch], "text_a"):
+                a, pa_ = sets(buf, offsets)
+                b, pb = sets(*_text.text_buffers(_text.text_array(part.column(part.schema.get_field_index("text_b")))))
+                keep = np.zeros(part.num_rows, dtype=bool)
+                for i in range(part.num_rows):
+                    x, y = a[pa_[i] : pa_[i + 1]], b[pb[i] : pb[i + 1]]
+                    if len(x) and len(y):
+                        both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                        keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
+                yield part.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def _block_links(sets: Callable, percent: int):
+    """Compare all left with all right members of a pair of blocks; of the links found, a spanning forest is returned."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        values, pointers = [], [0]
+        for batch in table.to_batches():
+            for _, buf, offsets in _text.slices([batch]):
+                v, p = sets(buf, offsets)
+                values.append(v)
+                pointers += (p[1:] + pointers[-1]).tolist()
+        flat, pointer = np.concatenate(values), np.array(pointers)
+        row, size = _text.row_of(pointer), np.diff(pointer)
+        is_left = table.column("is_left").to_numpy(zero_copy_only=False).astype(bool)
+        cid, label = table.column("cid").to_numpy(), table.column("label").to_numpy()
+        lefts, rights = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+        shared, column = np.unique(flat, return_inverse=True)
+        # only shingles on both sides count
+        on_left, on_right = np.zeros(len(shared), bool), np.zeros(len(shared), bool)
+        on_left[column[is_left[row]]] = True
+        on_right[column[~is_left[row]]] = True
+        both = on_left & on_right
+        number = np.cumsum(both) - 1
+        use = both[column]
+        row, column = row[use], number[column[use]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        place = np.zeros(len(is_left), np.int64)
+        place[lefts], place[rights] = np.arange(len(lefts)), np.arange(len(rights))
+        common = np.zeros((len(lefts), len(rights)), np.float32)
+        for at in range(0, int(both.sum()), COLUMNS):
+            x, y = np.searchsorted(column, [at, at + COLUMNS])
+            r, c = row[x:y], column[x:y] - at
+            a, b = np.zeros((len(lefts), COLUMNS), np.float32), np.zeros((len(rights), COLUMNS), np.float32)
+            l = is_left[r]  # noqa: E741
+            a[place[r[l]], c[l]] = 1
+            b[place[r[~l]], c[~l]] = 1
+            common += a @ b.T
+        linked = 100 * common >= percent * (size[lefts][:, None] + size[rights][None, :] - common)
+        linked &= (label[lefts][:, None] != label[rights][None, :]) & (common > 0)
+        parent: dict = {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        out = []
+        for i, j in np.argwhere(linked).tolist():
+            x, y = root(int(label[lefts[i]])), root(int(label[rights[j]]))
+            if x != y:
+                parent[x] = y
+                out.append((int(cid[lefts[i]]), int(cid[rights[j]])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return run

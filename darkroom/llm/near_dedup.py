@@ -10,6 +10,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -57,24 +58,6 @@ def _sketch(width: int, size: int, rows: int):
     return run
 
 
-def _verifier(width: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, buf, offsets in _text.slices([batch], "text_a"):
-                a, pa_ = shingle_sets(buf, offsets, width)
-                other, off = _text.text_buffers(_text.text_array(part.column(part.schema.get_field_index("text_b"))))
-                b, pb = shingle_sets(other, off, width)
-                keep = np.zeros(part.num_rows, dtype=bool)
-                for i in range(part.num_rows):
-                    x, y = a[pa_[i] : pa_[i + 1]], b[pb[i] : pb[i + 1]]
-                    if len(x) and len(y):
-                        both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                        keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
-                yield part.select(["a", "b"]).filter(pa.array(keep))
-
-    return run
-
-
 def near_components(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = SIMILARITY_PERCENT, size: int = SIZE, rows: int = ROWS
 ) -> DataFrame:
@@ -103,7 +86,7 @@ def near_components(
     wanted = buckets.select("cid").distinct().join(classes.select("cid", "first"), "cid").select("cid", "first.doc_id", F.col("first.tie").alias("tie"))
     same = (texts["tie"] == wanted["tie"]) & texts["doc_id"].eqNullSafe(wanted["doc_id"])
     content = texts.join(wanted, same).groupBy("cid").agg(F.any_value("text").alias("text"))
-    links = _near.near_links(buckets, content, _verifier(width, percent))
+    links = _near.near_links(buckets, content, partial(shingle_sets, width=width), percent)
     labels = connected_components(links)
     rooted = classes.join(labels, classes["cid"] == labels["node"]).select("cid", "root", "rep")
     low = rooted.groupBy("root").agg(F.min("rep").alias("low"))
