@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from darkroom.llm import html_text, mixing, near_dedup, packing, quality, simple8b
+from darkroom.llm import ann, html_text, mixing, near_dedup, packing, quality, simple8b, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
     return {
         "op1_token_ids": simple8b.op1_token_ids,
         "op2_mixing_sources": mixing.op2_mixing_sources,
+        "op5_nearest_neighbours": ann.op5_nearest_neighbours,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_quality_rules": quality.op7_quality_rules,
         "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
         "op9_html_extraction": html_text.op9_html_extraction,
