@@ -73,3 +73,11 @@ def ship(spark: SparkSession) -> None:
 def shuffle_partitions(spark: SparkSession) -> int:
     """The session's shuffle partition count, which the cluster sizes for its input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def release(spark: SparkSession) -> None:
+    """Let the cluster drop shuffle files of finished steps now, rather than when the driver next happens to collect garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
