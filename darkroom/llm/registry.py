@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from darkroom.llm import ann, html_text, line_dedup, mixing, near_dedup, packing, quality, simple8b, toxicity
+from darkroom.llm import ann, html_text, line_dedup, mixing, near_dedup, packing, quality, simple8b, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
     return {
         "op1_token_ids": simple8b.op1_token_ids,
         "op2_mixing_sources": mixing.op2_mixing_sources,
+        "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_nearest_neighbours": ann.op5_nearest_neighbours,
         "op6_toxicity": toxicity.op6_toxicity,
