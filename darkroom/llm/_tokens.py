@@ -1,13 +1,11 @@
-"""Token ids of whole texts, with a bounded cache of chunks.
+"""Token ids of whole texts, with a bounded cache of pre-tokens.
 
-BPE never merges across its pre-tokens, so a text can be cut where every pre-token ends, and the ids of its chunks be
-remembered: most chunks of a corpus repeat. Cutting is exact for the two supported pre-tokenizers:
+BPE never merges across pre-tokens, so ids of a pre-token can be remembered: most of them repeat. Texts within Latin-1 are cut
+here by the tokenizer's own pattern; any other text, and one that may hold a special token, is encoded whole by the tokenizers library, as is
+every pre-token that the cache lacks. Two pre-tokenizers are known:
 
-* white space dropped ("words"): at any space or line feed;
-* byte-level with a leading space ("bytes"): before a space and around a line feed that stand alone. A text with other or
-  adjacent white space is encoded whole.
-
-What the cache doesn't know is encoded by the tokenizers library itself, in batches.
+* white space dropped and letters lowered ("words");
+* byte-level with a leading space ("bytes").
 """
 
 from __future__ import annotations
@@ -17,36 +15,18 @@ import re
 
 import numpy as np
 
-#: Chunks of one generation of the cache; two generations are held.
-CACHE = 400_000
+#: Pre-tokens of one generation of the cache; two generations are held.
+CACHE = 500_000
 LONGEST = 48
-_ODD = re.compile(r"[\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \n][ \n]")
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
+_CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+#: Fixed patterns of the two pre-tokenizers, within Latin-1.
+WORDS = re.compile(f"{_CONTRACTIONS}|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+BYTES = re.compile(f"{_CONTRACTIONS}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_PLAIN_WORDS, _PLAIN_BYTES = re.compile(f"[{_L}]+"), re.compile(f" [{_L}]+")
 _encoders: dict = {}
 
 
-class _Chunks:
-    """Ids (little-endian unsigned 32-bit) by chunk, for chunks with one prefix."""
-
-    def __init__(self, ask, prefix: str):
-        self.ask, self.prefix = ask, prefix
-        self.young: dict[str, bytes] = {"": ask([prefix])[0]}
-        self.old: dict[str, bytes] = {}
-
-    def learn(self, wanted: set[str]) -> dict[str, bytes]:
-        """Ids of chunks that the young generation lacks."""
-        old = self.old.get
-        found = {c: i for c in wanted if (i := old(c)) is not None}
-        rest = [c for c in wanted if c not in found] if found else list(wanted)
-        found.update(zip(rest, self.ask([self.prefix + c for c in rest] if self.prefix else rest)))
-        self.keep({k: v for k, v in found.items() if len(k) <= LONGEST})
-        return found
-
-    def keep(self, ids: dict[str, bytes]) -> None:
-        if len(self.young) + len(ids) > CACHE:
-            self.old, self.young = self.young, {"": self.young[""]}
-        self.young.update(ids)
-
-
 class Encoder:
     """Ids of texts under one tokenizer file."""
 
@@ -56,62 +36,67 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.drops_space = self._ask([" "])[0] == b""
-        self.bare = _Chunks(self._ask, "")
-        self.spaced = self.bare if self.drops_space else _Chunks(self._ask, " ")
-        self.feed = b"" if self.drops_space else self._ask(["\n"])[0]
+        self.cut = (WORDS if self.drops_space else BYTES).findall
+        self.plain = (_PLAIN_WORDS if self.drops_space else _PLAIN_BYTES).fullmatch
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
+    def _ask_plain(self, words: list[str]) -> list[bytes]:
+        """Ids of words that keep apart when they are laid end to end."""
+        if len(words) < 2:
+            return self._ask(words)
+        found = self.tokenizer.encode((" " if self.drops_space else "").join(words), add_special_tokens=False)
+        ids, owner = np.array(found.ids, dtype="<u4"), np.array(found.word_ids)
+        ends = np.searchsorted(owner, np.arange(1, len(words) + 1))
+        data, at, out = ids.tobytes(), 0, []
+        for e in (4 * ends).tolist():
+            out.append(data[at:e])
+            at = e
+        return out
+
+    def _learn(self, wanted: set[str]) -> dict[str, bytes]:
+        """Ids of pre-tokens that the young generation lacks."""
+        old, plain = self.old.get, self.plain
+        found = {c: i for c in wanted if (i := old(c)) is not None} if self.old else {}
+        rest = [c for c in wanted if c not in found]
+        words = [c for c in rest if plain(c)]
+        others = [c for c in rest if not plain(c)]
+        for at in range(0, len(words), 4096):
+            found.update(zip(words[at : at + 4096], self._ask_plain(words[at : at + 4096])))
+        found.update(zip(others, self._ask(others)))
+        if len(self.young) + len(found) > CACHE:
+            self.old, self.young = self.young, {}
+        self.young.update((k, v) for k, v in found.items() if len(k) <= LONGEST)
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, as little-endian unsigned 32-bit integers."""
-        return self._words(texts) if self.drops_space else self._bytes(texts)
-
-    def _words(self, texts: list[str]) -> list[bytes]:
-        get = self.bare.young.get
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        ids = [list(map(get, parts)) for parts in cut]
-        missing = {p for parts, own in zip(cut, ids) if None in own for p, i in zip(parts, own) if i is None}
-        if missing:
-            found = self.bare.learn(missing)
-            for parts, own in zip(cut, ids):
-                if None in own:
-                    own[:] = [found[p] if i is None else i for p, i in zip(parts, own)]
-        return [b"".join(own) for own in ids]
-
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        bare, spaced = self.bare.young.get, self.spaced.young.get
         out: list = [None] * len(texts)
-        open_lines, firsts, others = [], set(), set()
+        get, cut, held, missing = self.young.get, self.cut, [], set()
         for n, text in enumerate(texts):
-            if _ODD.search(text):
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                out[n] = self._ask([text])[0]
+                continue
+            if "<|" in text:
                 out[n] = self._ask([text])[0]
                 continue
-            lines = []
-            for line in text.split("\n"):
-                parts = line.split(" ")
-                own = list(map(spaced, parts))
-                own[0] = bare(parts[0])
-                if None in own:
-                    if own[0] is None:
-                        firsts.add(parts[0])
-                    others.update(p for p, i in zip(parts[1:], own[1:]) if i is None)
-                    lines.append((parts, own))
-                else:
-                    lines.append(b"".join(own))
-            open_lines.append((n, lines))
-        f = self.bare.learn(firsts) if firsts else {}
-        o = self.spaced.learn(others) if others else {}
-        for n, lines in open_lines:
-            done = []
-            for line in lines:
-                if isinstance(line, tuple):
-                    parts, own = line
-                    head = f[parts[0]] if own[0] is None else own[0]
-                    line = head + b"".join([o[p] if i is None else i for p, i in zip(parts[1:], own[1:])])
-                done.append(line)
-            out[n] = self.feed.join(done)
+            parts = cut(text.lower() if self.drops_space else text)
+            own = list(map(get, parts))
+            try:
+                out[n] = b"".join(own)
+            except TypeError:  # some are unknown
+                missing.update([p for p, i in zip(parts, own) if i is None])
+                held.append((n, parts, own))
+        if missing:
+            found = self._learn(missing)
+            for n, parts, own in held:
+                out[n] = b"".join([found[p] if i is None else i for p, i in zip(parts, own)])
         return out
 
 
