@@ -107,6 +107,45 @@ def mix(
     )
 
 
+def _first_words(text: Column, n: Column) -> Column:
+    """The part of a text up to the end of its n-th word."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), n.cast("int")), "")
+
+
+def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", n_chars: str | None = "n_chars", **parameters) -> DataFrame:
+    """The rows of the mix, with the columns of ``docs``: each document as often as its source's epochs take it.
+
+    The document at the end of a budget comes once with its first words only, and ``n_chars`` (if there is such a column) is counted again there.
+    Documents without words stay once. Of rows that agree in doc_id, source and text, each is taken on its own.
+    """
+    taken = mix(docs, text, doc_id, source, **parameters)
+    # equal rows are taken alike but for the one at the budget's end: number them
+    order = Window.partitionBy("doc_id", "source", "tie").orderBy("taken")
+    taken = materialise(taken.select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("tie").alias("_t"), "size", "taken", F.row_number().over(order).alias("_n")), "mix-taken")
+    repeated = taken.where("_n > 1").limit(1).count() > 0
+    rows = docs.withColumn("_hash", F.xxhash64(F.col(text)))
+    same = (F.col("_hash") == F.col("_t")) & F.col(doc_id).eqNullSafe(F.col("_i")) & F.col(source).eqNullSafe(F.col("_s"))
+    if repeated:
+        number = F.row_number().over(Window.partitionBy(doc_id, source, "_hash").orderBy(F.lit(0)))
+        rows = rows.withColumn("_k", number)
+        same = same & (F.col("_k") == F.col("_n"))
+    joined = rows.join(taken.where("taken > 0 OR size = 0"), same)
+    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(1))
+    part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0))
+    copies = joined.withColumn("_words", F.explode(F.concat(F.array_repeat(F.lit(-1).cast("bigint"), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))))
+    cut = F.col("_words") >= 0
+    short = F.when(cut, _first_words(F.col(text), F.col("_words"))).otherwise(F.col(text))
+    out = []
+    for c in docs.columns:
+        if c == text:
+            out.append(short.alias(c))
+        elif c == n_chars:
+            out.append(F.when(cut, F.char_length(short).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
+        else:
+            out.append(F.col(f"`{c}`"))
+    return copies.select(*out)
+
+
 def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all ``documents`` by weights 3, 1, 2 at 150% of all words: doc_id, size, source_size, target, taken."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from darkroom.llm import ann, html_text, line_dedup, mixing, near_dedup, packing, quality, simple8b, suffix_dedup, toxicity
 
 
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
         "op9_html_extraction": html_text.op9_html_extraction,
         "op10_packing": packing.op10_packing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
