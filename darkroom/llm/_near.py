@@ -35,7 +35,8 @@ def shared_buckets(bands: DataFrame) -> DataFrame:
     """
     dealt = bands.where("band IS NOT NULL AND cid IS NOT NULL").repartition(shuffle_partitions(bands.sparkSession), "band")
     ends = dealt.groupBy("band").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("band")
-    return dealt.join(ends, "band").select("band", "cid").distinct()
+    # shared bands are the smaller side of every partition: hashing them spares sorting all rows
+    return dealt.join(ends.hint("shuffle_hash"), "band").select("band", "cid").distinct()
 
 
 def _ordered(a: str, b: str) -> list:

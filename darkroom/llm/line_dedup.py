@@ -105,17 +105,16 @@ def _sketch(min_chars: int, width: int, size: int, rows: int):
     return run
 
 
-def _lines_of(min_chars: int):
-    """(cid, text) of candidate lines, each once a slice."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, buf, offsets in _text.slices(batches):
-            start, end, _, _, cid = _candidate_lines(buf, offsets, min_chars)
-            cid, first = np.unique(cid, return_index=True)
-            texts = [buf[s:e].tobytes() for s, e in zip(start[first].tolist(), end[first].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(texts, pa.binary()).cast(pa.string())], ["cid", "text"])
-
-    return run
+def _listed_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cid, text) of listed lines, without white space around them."""
+    for batch in batches:
+        cids, texts = [], []
+        for text, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            lines = text.split("\n")
+            for x in listed:
+                cids.append(x["cid"])
+                texts.append(lines[x["position"]].strip(" \t\n\r\v\f"))
+        yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(texts, pa.string())], ["cid", "text"])
 
 
 def duplicate_lines(
@@ -134,9 +133,12 @@ def duplicate_lines(
         texts.mapInArrow(_sketch(min_chars, width, SIZE, ROWS), "doc_id bigint, tie bigint, position int, cid bigint, bands array<bigint>"), "line-sketches"
     )
     buckets = materialise(_near.shared_buckets(lines.select(F.explode("bands").alias("band"), "cid")), "line-shared")
-    wanted = buckets.select("cid").distinct()
-    content = texts.select("text").mapInArrow(_lines_of(min_chars), "cid bigint, text string").join(wanted, "cid", "left_semi")
-    links = _near.near_links(buckets, content.groupBy("cid").agg(F.any_value("text").alias("text")), partial(whole_sets, width=width), percent)
+    # of a class, its first line stands for all
+    one = lines.join(buckets.select("cid").distinct(), "cid").groupBy("cid").agg(F.min(F.struct("tie", "doc_id", "position")).alias("one"))
+    listed = one.groupBy(F.col("one.tie").alias("_t"), F.col("one.doc_id").alias("_i")).agg(F.collect_list(F.struct("cid", "one.position")).alias("listed"))
+    here = texts.join(listed, (F.col("tie") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_i"))).select("text", "listed")
+    content = here.mapInArrow(_listed_lines, "cid bigint, text string").dropDuplicates(["cid"])
+    links = _near.near_links(buckets, content, partial(whole_sets, width=width), percent)
     labels = connected_components(links)
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tie", "position")
     classes = lines.groupBy("cid").agg(F.min(place).alias("low"), F.max(place).alias("high"))
