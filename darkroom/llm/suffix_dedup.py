@@ -160,8 +160,12 @@ def _repeats(length: int):
         at, h = (table.column(n).combine_chunks().flatten().to_numpy() for n in ("at", "h"))
         rid = np.repeat(table.column("rid").to_numpy(), count)
         f = np.repeat(table.column("f").to_numpy(), count)
-        order = np.lexsort((h, f))
+        order = np.lexsort((at, rid, h, f))
         a, b = f[order], h[order]
+        # equal rows list the same places again
+        new = np.ones(len(a), dtype=bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (rid[order][1:] != rid[order][:-1]) | (at[order][1:] != at[order][:-1])
+        order, a, b = order[new], a[new], b[new]
         same = np.zeros(len(a) + 1, dtype=bool)
         same[1:-1] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
         hit = order[same[:-1] | same[1:]]
@@ -236,9 +240,8 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, batches: int = BATCHE
         F.struct("f", "one.begin", "one.strings", F.least(F.lit(128), F.ceil(F.col("d") / TOGETHER)).cast("bigint").alias("parts"), F.lit(groups).cast("bigint").alias("groups")).alias("x"),
     ).groupBy("rid").agg(F.collect_list("x").alias("list"))  # bounded by a text's length
     listed = materialise(listed, "suffix-listed")
-    # equal rows share a rid; one of them is enough here
     texts = docs.join(listed, "rid").select("rid", "text", "list")
-    strings = materialise(texts.mapInArrow(_strings(length), "g bigint, rid bigint, f bigint, at array<bigint>, h array<bigint>").distinct(), "suffix-strings")
+    strings = materialise(texts.mapInArrow(_strings(length), "g bigint, rid bigint, f bigint, at array<bigint>, h array<bigint>"), "suffix-strings")
     release(spark)
     single = strings.groupBy("g").applyInArrow(_repeats(length), "rid bigint, start bigint, end bigint")
     found = materialise(whole.unionAll(single), "suffix-ranges")
