@@ -121,7 +121,7 @@ def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: s
     taken = mix(docs, text, doc_id, source, **parameters)
     # equal rows are taken alike but for the one at the budget's end: number them
     order = Window.partitionBy("doc_id", "source", "tie").orderBy("taken")
-    taken = materialise(taken.select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("tie").alias("_t"), "size", "taken", F.row_number().over(order).alias("_n")), "mix-taken")
+    taken = materialise(taken.select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("tie").alias("_t"), F.col("size").alias("_size"), F.col("taken").alias("_taken"), F.row_number().over(order).alias("_n")), "mix-taken")
     repeated = taken.where("_n > 1").limit(1).count() > 0
     rows = docs.withColumn("_hash", F.xxhash64(F.col(text)))
     same = (F.col("_hash") == F.col("_t")) & F.col(doc_id).eqNullSafe(F.col("_i")) & F.col(source).eqNullSafe(F.col("_s"))
@@ -129,9 +129,9 @@ def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: s
         number = F.row_number().over(Window.partitionBy(doc_id, source, "_hash").orderBy(F.lit(0)))
         rows = rows.withColumn("_k", number)
         same = same & (F.col("_k") == F.col("_n"))
-    joined = rows.join(taken.where("taken > 0 OR size = 0"), same)
-    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(1))
-    part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0))
+    joined = rows.join(taken.where("_taken > 0 OR _size = 0"), same)
+    whole = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size"))).otherwise(F.lit(1))
+    part = F.when(F.col("_size") > 0, F.col("_taken") % F.col("_size")).otherwise(F.lit(0))
     copies = joined.withColumn("_words", F.explode(F.concat(F.array_repeat(F.lit(-1).cast("bigint"), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))))
     cut = F.col("_words") >= 0
     short = F.when(cut, _first_words(F.col(text), F.col("_words"))).otherwise(F.col(text))
