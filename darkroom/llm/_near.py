@@ -29,14 +29,14 @@ COLUMNS = 8192
 
 
 def shared_buckets(bands: DataFrame) -> DataFrame:
-    """(band, cid) rows of buckets with two or more different classes.
+    """(band, cid) rows of buckets with two or more different classes; columns that depend on cid stay.
 
     One shuffle on the band serves both the count and the join; both stream, so a hot band takes no memory.
     """
     dealt = bands.where("band IS NOT NULL AND cid IS NOT NULL").repartition(shuffle_partitions(bands.sparkSession), "band")
     ends = dealt.groupBy("band").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("band")
     # shared bands are the smaller side of every partition: hashing them spares sorting all rows
-    return dealt.join(ends.hint("shuffle_hash"), "band").select("band", "cid").distinct()
+    return dealt.join(ends.hint("shuffle_hash"), "band").select(*bands.columns).distinct()
 
 
 def _ordered(a: str, b: str) -> list:
@@ -46,11 +46,18 @@ def _ordered(a: str, b: str) -> list:
 def near_links(buckets: DataFrame, content: DataFrame, sets: Callable, percent: int) -> DataFrame:
     """Verified links that connect the same classes as all verified pairs of the buckets would.
 
-    ``buckets``: (band, cid), already written. ``content``: (cid, text), one row for every class in a bucket. ``sets``: from the bytes and offsets of
+    ``buckets``: (band, cid), already written; with a column ``shingles``, the size of the class's set, pairs whose sizes rule a link out aren't
+    compared. ``content``: (cid, text), one row for every class in a bucket. ``sets``: from the bytes and offsets of
     rows to their shingle sets (ascending hashes and a row pointer). Linked are classes with 100 * |intersection| >= percent * |union|.
     Returns (a, b).
     """
     content = materialise(content.select("cid", "text"), "near-content")
+    sized = "shingles" in buckets.columns
+    member = F.struct("cid", "shingles") if sized else F.col("cid")
+
+    def may_link(x: str, y: str):
+        # the smaller set would have to be at least that share of the larger one
+        return F.least(x, y).cast("bigint") * 100 >= F.greatest(x, y).cast("bigint") * percent if sized else F.lit(True)
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = content.select(F.col("cid").alias("a"), F.col("text").alias("text_a"))
@@ -59,15 +66,17 @@ def near_links(buckets: DataFrame, content: DataFrame, sets: Callable, percent:
         return materialise(both.mapInArrow(_verifier(sets, percent), "a bigint, b bigint"), "near-links")
 
     sizes = buckets.groupBy("band").agg(
-        F.count(F.lit(1)).alias("n"), *[F.min_by("cid", F.xxhash64("cid", F.lit(k))).alias(f"c{k}") for k in range(CENTRES)]
+        F.count(F.lit(1)).alias("n"), *[F.min_by(member, F.xxhash64("cid", F.lit(k))).alias(f"c{k}") for k in range(CENTRES)]
     )
     sizes = materialise(sizes, "near-sizes")
     small = buckets.join(sizes.where(f"n <= {SMALL}").select("band"), "band")
-    pairs = small.alias("p").join(small.alias("q"), (F.col("p.band") == F.col("q.band")) & (F.col("p.cid") < F.col("q.cid"))).select(
+    pairs = small.alias("p").join(small.alias("q"), (F.col("p.band") == F.col("q.band")) & (F.col("p.cid") < F.col("q.cid")) & may_link("p.shingles", "q.shingles")).select(
         F.col("p.cid").alias("a"), F.col("q.cid").alias("b")
     )
     large = sizes.where(f"n > {SMALL}").select("band", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(CENTRES)]))).alias("centre"))
-    stars = large.join(buckets, "band").where("centre <> cid").select(*_ordered("centre", "cid"))
+    if sized:
+        large = large.select("band", F.col("centre.shingles").alias("most"), F.col("centre.cid").alias("centre"))
+    stars = large.join(buckets, "band").where("centre <> cid").where(may_link("most", "shingles")).select(*_ordered("centre", "cid"))
     links = verified(pairs.unionAll(stars).distinct())
 
     if not sizes.where(f"n > {SMALL}").limit(1).count():

@@ -23,6 +23,8 @@ from darkroom.operators.components import connected_components
 from darkroom.runtime import materialise, ship
 
 WIDTH = 10
+#: Width in ``op4_line_dedup`` and the pipeline: one changed character leaves 80% from about 50 characters up; with 10 it takes about 100.
+LINE_WIDTH = 5
 SIMILARITY_PERCENT = 80
 SIZE, ROWS = 30, 3
 #: Lines with fewer characters are layout or chance and stay.
@@ -66,6 +68,16 @@ def whole_sets(buf: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tupl
     return _text.distinct_sorted(*line_sets(buf, offsets[:-1], offsets[1:], width))
 
 
+def set_sizes(values: np.ndarray, pointer: np.ndarray) -> np.ndarray:
+    """Distinct values of each row."""
+    rows = len(pointer) - 1
+    bits = np.uint64(64 - max(1, rows.bit_length()))
+    key = np.sort((_text.row_of(pointer).astype(np.uint64) << bits) | (values & ((np.uint64(1) << bits) - np.uint64(1))))
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = key[1:] != key[:-1]
+    return np.bincount((key[new] >> bits).astype(np.int64), minlength=rows)
+
+
 def _candidate_lines(buf: np.ndarray, offsets: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end, row, position and hash of lines with enough characters and a word; white space around a line doesn't count."""
     start, end, pointer = _text.line_spans(buf, offsets)
@@ -90,16 +102,18 @@ def _sketch(min_chars: int, width: int, size: int, rows: int):
             _, first = np.unique(cid, return_index=True)
             keys = np.zeros((len(cid), 0), np.uint64)
             per_row = np.zeros(len(cid) + 1, np.int64)
+            shingles = np.zeros(len(cid), np.int32)
             if len(cid):
                 order = np.sort(first)
                 values, pointer = line_sets(buf, start[order], end[order], width)
                 keys = _text.band_keys(_text.super_minhash(values, pointer, size), rows)
+                shingles[order] = set_sizes(values, pointer)
                 has = np.zeros(len(cid), np.int64)
                 has[order] = keys.shape[1]
                 np.cumsum(has, out=per_row[1:])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(doc), batch.column(1).take(doc), pa.array(position.astype(np.int32)), pa.array(cid), _text.list_array(keys.ravel(), per_row)],
-                ["doc_id", "tie", "position", "cid", "bands"],
+                [batch.column(0).take(doc), batch.column(1).take(doc), pa.array(position.astype(np.int32)), pa.array(cid), _text.list_array(keys.ravel(), per_row), pa.array(shingles)],
+                ["doc_id", "tie", "position", "cid", "bands", "shingles"],
             )
 
     return run
@@ -130,9 +144,9 @@ def duplicate_lines(
     ship(spark)
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("tie"), F.col(text).alias("text"))
     lines = materialise(
-        texts.mapInArrow(_sketch(min_chars, width, SIZE, ROWS), "doc_id bigint, tie bigint, position int, cid bigint, bands array<bigint>"), "line-sketches"
+        texts.mapInArrow(_sketch(min_chars, width, SIZE, ROWS), "doc_id bigint, tie bigint, position int, cid bigint, bands array<bigint>, shingles int"), "line-sketches"
     )
-    buckets = materialise(_near.shared_buckets(lines.select(F.explode("bands").alias("band"), "cid")), "line-shared")
+    buckets = materialise(_near.shared_buckets(lines.select(F.explode("bands").alias("band"), "cid", "shingles")), "line-shared")
     # of a class, its first line stands for all
     one = lines.join(buckets.select("cid").distinct(), "cid").groupBy("cid").agg(F.min(F.struct("tie", "doc_id", "position")).alias("one"))
     listed = one.groupBy(F.col("one.tie").alias("_t"), F.col("one.doc_id").alias("_i")).agg(F.collect_list(F.struct("cid", "one.position")).alias("listed"))
@@ -202,5 +216,5 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` without duplicate lines: doc_id, n_lines_kept, n_removed, kept_sha256 (of the text that is left)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    left = dedup_lines(docs, removed="n_removed")
+    left = dedup_lines(docs, removed="n_removed", width=LINE_WIDTH)
     return left.mapInArrow(_digest, "doc_id bigint, n_lines_kept bigint, n_removed bigint, kept_sha256 string")

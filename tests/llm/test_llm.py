@@ -197,6 +197,22 @@ def test_line_dedup(docs, none, rows):
     assert out.count() == len(rows) and line_dedup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_one_edit(spark, tmp_path):
+    rnd = random.Random(7)
+    pairs = []
+    for n in range(50, 91, 5):
+        a = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n - 2)).join("xy")
+        at = rnd.randrange(15, n - 15)
+        pairs.append((a, a[:at] + "#" + a[at + 1 :]))
+    apart = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(68)).join("xy") for _ in range(5)]
+    rows = [(1, "\n".join([a for a, _ in pairs] + apart)), (2, "\n".join(b for _, b in pairs))]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.op4_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: 0, 2: len(pairs)}
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup_stage(spark, df, str(tmp_path)).collect()} == {1: rows[0][1], 2: ""}
+
+
 def _near_brute(rows, width, percent):
     sets = {}
     for k, (_, t, *_) in enumerate(rows):
