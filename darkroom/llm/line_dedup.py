@@ -27,7 +27,7 @@ WIDTH = 10
 LINE_WIDTH = 5
 SIMILARITY_PERCENT = 80
 SIZE, ROWS = 30, 3
-#: Lines with fewer characters are layout or chance and stay.
+#: Lines with fewer characters are similar to equal lines only: where few characters differ, they mostly say something else.
 MIN_CHARS = 20
 
 
@@ -78,8 +78,8 @@ def set_sizes(values: np.ndarray, pointer: np.ndarray) -> np.ndarray:
     return np.bincount((key[new] >> bits).astype(np.int64), minlength=rows)
 
 
-def _candidate_lines(buf: np.ndarray, offsets: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end, row, position and hash of lines with enough characters and a word; white space around a line doesn't count."""
+def _candidate_lines(buf: np.ndarray, offsets: np.ndarray, min_chars: int) -> tuple[np.ndarray, ...]:
+    """Start, end, row, position and hash of lines with a word, and which have ``min_chars`` characters; white space around a line doesn't count."""
     start, end, pointer = _text.line_spans(buf, offsets)
     row = _text.row_of(pointer)
     position = np.arange(len(start)) - pointer[row]
@@ -89,22 +89,20 @@ def _candidate_lines(buf: np.ndarray, offsets: np.ndarray, min_chars: int) -> tu
     start, end, row, position = solid[a[some]], solid[b[some] - 1] + 1, row[some], position[some]
     lead = np.zeros(len(buf) + 1, np.int64)
     np.cumsum((buf & 0xC0) != 0x80, out=lead[1:])
-    keep = lead[end] - lead[start] >= min_chars
-    start, end, row, position = start[keep], end[keep], row[keep], position[keep]
-    return start, end, row, position, _text.Rolling(buf).of(start, end).view(np.int64)
+    return start, end, row, position, _text.Rolling(buf).of(start, end).view(np.int64), lead[end] - lead[start] >= min_chars
 
 
 def _sketch(min_chars: int, width: int, size: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, buf, offsets in _text.slices(batches):
-            start, end, row, position, cid = _candidate_lines(buf, offsets, min_chars)
+            start, end, row, position, cid, long = _candidate_lines(buf, offsets, min_chars)
             doc = pa.array(row)
             _, first = np.unique(cid, return_index=True)
             keys = np.zeros((len(cid), 0), np.uint64)
             per_row = np.zeros(len(cid) + 1, np.int64)
             shingles = np.zeros(len(cid), np.int32)
             if len(cid):
-                order = np.sort(first)
+                order = np.sort(first[long[first]])
                 values, pointer = line_sets(buf, start[order], end[order], width)
                 keys = _text.band_keys(_text.super_minhash(values, pointer, size), rows)
                 shingles[order] = set_sizes(values, pointer)
@@ -136,8 +134,8 @@ def duplicate_lines(
 ) -> DataFrame:
     """Lines to remove: doc_id, tie (xxhash64 of the text), position (from 0).
 
-    Compared are \\n-split lines without white space around them, with at least ``min_chars`` characters; other lines stay. Two lines are
-    linked if 100 * |intersection| >= ``percent`` * |union| of their sets of ``width``-character shingles. Of a component, the line with
+    Compared are \\n-split lines without white space around them; blank lines stay. Equal lines are linked at any length. Lines of at least
+    ``min_chars`` characters are also linked if 100 * |intersection| >= ``percent`` * |union| of their sets of ``width``-character shingles. Of a component, the line with
     the smallest (doc_id, tie, position) stays, null doc_id last. Rows that repeat doc_id and text count once.
     """
     spark = docs.sparkSession

@@ -213,6 +213,12 @@ def test_line_dedup_one_edit(spark, tmp_path):
     assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup_stage(spark, df, str(tmp_path)).collect()} == {1: rows[0][1], 2: ""}
 
 
+def test_line_dedup_short(spark):
+    rows = [(1, "Read more\n\nHello\n é \na line that is long enough to be compared"), (2, "Hello\nRead more\n\nRead mole\né"), (3, " Read more \n}")]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert out == {1: rows[0][1], 2: "\nRead mole", 3: "}"}
+
+
 def _near_brute(rows, width, percent):
     sets = {}
     for k, (_, t, *_) in enumerate(rows):
