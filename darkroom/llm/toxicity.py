@@ -11,6 +11,7 @@
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,6 +30,9 @@ PREFIXES = (4, 5, 6, 7, 8, 9)
 #: A word beginning is also an entry by how many different words of a text have it.
 LEVELS = (1, 2, 3, 5)
 LONGEST = 40
+#: A short window keeps the readings of a word apart from those of what follows.
+WINDOW = 12
+REPEATED = re.compile(r"(.)\1{3,}", re.S)
 CLASSES = 28  # a to z, other letters, outside words
 OTHER, EDGE = 26, 27
 #: Fixed table of letters that a character may stand for.
@@ -94,7 +98,8 @@ class Words:
             c = self.buf[np.clip(side, 0, n - 1)] if n else np.zeros(0, np.uint8)
             beyond = self.buf[np.clip(side + step, 0, n - 1)] if n else c
             near |= inside & LEET_BYTE[c] & (c != beyond) & ~((c == 33) | (c == 63)) if step == 1 else inside & LEET_BYTE[c] & (c != beyond)
-        self.odd = has & (~plain | tripled | near) & (end - start <= LONGEST) & (end - start >= 4)
+        odd = has & (~plain | tripled | near) & (end - start >= 4)
+        self.odd, self.odd_long = odd & (end - start <= LONGEST), odd & (end - start > LONGEST)
         self.rolling = _text.Rolling(self.buf)
 
     def kinds(self, keep: np.ndarray) -> list[np.ndarray]:
@@ -129,10 +134,22 @@ class Words:
                 made.append(p[pair][count >= level])
         return np.concatenate(rows), np.concatenate(found), np.concatenate(made), low
 
-    def disguised(self) -> Iterator[tuple[int, str]]:
-        """(row, token) of odd tokens and of runs of three or more single characters."""
+    def disguised(self) -> Iterator[tuple[int, tuple[str, ...], bool]]:
+        """(row, tokens, cut) of odd tokens and of runs of three or more single characters.
+
+        Runs, and tokens of over ``LONGEST`` bytes, are cut into overlapping windows: a short and a long one from every letter of a run, and
+        from every place in a token where a word can begin. The windows of one place come together.
+        """
         for i in np.flatnonzero(self.odd).tolist():
-            yield int(self.row[i]), self.buf[self.start[i] : self.end[i]].tobytes().decode("utf-8", "replace")
+            yield int(self.row[i]), (self.buf[self.start[i] : self.end[i]].tobytes().decode("utf-8", "replace"),), False
+        for i in np.flatnonzero(self.odd_long).tolist():
+            token = REPEATED.sub(r"\1\1\1", self.buf[self.start[i] : self.end[i]].tobytes().decode("utf-8", "replace"))
+            if len(token) <= LONGEST:
+                yield int(self.row[i]), (token,), False
+                continue
+            for k in range(len(token) - 3):
+                if not k or not token[k - 1].isalpha():
+                    yield int(self.row[i]), (token[k : k + WINDOW], token[k : k + LONGEST]), True
         single = (self.end - self.start == 1) & (self.has | LEET_BYTE[self.buf[np.minimum(self.start, len(self.buf) - 1)]] if len(self.buf) else self.has)
         if not single.any():
             return
@@ -144,16 +161,16 @@ class Words:
                     z += 1
                 if z - x >= 3:
                     text = self.buf[self.start[x:z]].tobytes().decode("ascii", "replace")
-                    for k in range(0, min(3, len(text) - 2)):
-                        yield int(self.row[x]), text[k : k + LONGEST]
+                    for k in range(len(text) - 2):
+                        yield int(self.row[x]), (text[k : k + WINDOW], text[k : k + LONGEST]), True
                 x = z
 
 
-def core_hashes(word: str) -> list[int]:
-    """Hashes of a restored word and its beginnings, as ``Words.kinds`` has them."""
+def core_hashes(word: str, cut: bool = False) -> list[int]:
+    """Hashes of a restored word and its beginnings, as ``Words.kinds`` has them; of a ``cut`` window, which may go on after a word, all beginnings."""
     data = np.frombuffer(word.encode(), np.uint8)
     rolling, n = _text.Rolling(data), len(data)
-    ends = np.array([n, *[k for k in PREFIXES if k < n]])
+    ends = np.array([n, *[k for k in (range(PREFIXES[0], n) if cut else PREFIXES) if k < n]])
     return rolling.of(np.zeros(len(ends), np.int64), ends).tolist()
 
 
@@ -167,7 +184,7 @@ class Decoder:
         two /= two.sum(axis=1, keepdims=True)
         self.cost = -np.log(0.8 * three + 0.2 * two[None])
         self.lexicon = lexicon
-        self.memo: dict[str, tuple[str, float]] = {}
+        self.memo: dict[tuple[str, bool], tuple[str, float]] = {}
 
     @staticmethod
     def _class(ch: str) -> int:
@@ -206,20 +223,20 @@ class Decoder:
         ends = [(c + float(self.cost[p, q, EDGE]), w) for (p, q), held in states.items() for c, w in held if len(w) > 1]
         return sorted(ends)
 
-    def restore(self, token: str) -> tuple[str, float]:
+    def restore(self, token: str, cut: bool = False) -> tuple[str, float]:
         """The likeliest word behind a token, with the lexicon's prior, and the toxic share of its entry (0 if none)."""
-        if token in self.memo:
-            return self.memo[token]
+        if (token, cut) in self.memo:
+            return self.memo[token, cut]
         best: tuple[float, str, float] | None = None
         for cost, word in self.readings(token):
-            share = max((self.lexicon.get(h, 0.0) for h in core_hashes(word)), default=0.0) if len(word) >= 4 else 0.0
+            share = max((self.lexicon.get(h, 0.0) for h in core_hashes(word, cut)), default=0.0) if len(word) >= 4 else 0.0
             cost -= WORD_PRIOR if share else 0.0
             if best is None or cost < best[0]:
                 best = (cost, word, share)
         found = (best[1], best[2]) if best else (token, 0.0)
         if len(self.memo) > 200_000:
             self.memo.clear()
-        self.memo[token] = found
+        self.memo[token, cut] = found
         return found
 
 
@@ -329,8 +346,8 @@ class Scorer:
             true = self.keys[at] == found
             np.maximum.at(best, row[true], self.share[at[true]])
             np.add.at(more, row[true], 1.0)
-            for i, token in words.disguised():
-                share = self.decoder.restore(token)[1]
+            for i, tokens, cut in words.disguised():
+                share = max(self.decoder.restore(t, cut)[1] for t in dict.fromkeys(tokens))
                 if share:
                     best[i] = max(best[i], share)
                     more[i] += 1

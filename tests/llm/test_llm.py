@@ -333,6 +333,22 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score_toxicity(docs, lab.limit(0)).count() == docs.count() and toxicity.score_toxicity(none, lab).count() == 0
 
 
+def test_toxicity_windows():
+    counts = np.bincount(np.zeros(1, np.int64), minlength=toxicity.CLASSES**3)
+    words = ["idiot", "abominations"]
+    lexicon = {toxicity.core_hashes(w)[0]: 0.9 for w in words}
+    scorer = toxicity.Scorer(counts, lexicon, set(lexicon), 0.1)
+
+    def score(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return scorer.score(data, np.array([0, len(data)]))[0]
+
+    for bad in ("y o u i d i o t", " ".join("nowwewillseewhatyouarelikeandthatisanidiotforsure"), " ".join("whatabominationsare"), "idi" + "o" * 60 + "t", "this_is_what_we_all_call_" + "x_" * 20 + "1d10t_here"):
+        assert score(bad) >= toxicity.CUT, bad
+    for good in ("y o u a r e k i n d", "this_is_what_we_all_call_" + "x_" * 20 + "nice_here", "o" * 80):
+        assert score(good) < toxicity.CUT, good
+
+
 def test_quality(spark, docs, none, rows):
     got = quality.judge(docs).collect()
     want = Counter()
