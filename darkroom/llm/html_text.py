@@ -2,7 +2,7 @@
 
 A page is cut into blocks at block-level tags. Menus, headers, footers, sidebars, notices, adverts, forms, comments,
 scripts and styles are told by tag, role, class or id and take no part. The first pass decides long blocks by link
-density, by stop-word density and by whether they stand in an article; blocks full of links are boilerplate at any length. Short blocks are
+density, by stop-word density outside articles, and keeps those in an article; blocks full of links are boilerplate at any length. Short blocks are
 ambiguous: the second pass gives each the label of the nearest decided block in its scope (inside or outside the article), and a tie
 goes to text inside an article and to boilerplate outside one.
 """
@@ -150,8 +150,8 @@ def main_text(html: str) -> str:
             labels.append(False)
         elif len(text) < SHORT:
             labels.append(None)
-        elif has_article:
-            labels.append(inside)
+        elif inside:
+            labels.append(True)
         else:
             words = WORD.findall(text.lower())
             labels.append(sum(w in STOPWORDS for w in words) >= MIN_STOPWORDS * max(1, len(words)))
@@ -170,13 +170,11 @@ def main_text(html: str) -> str:
 
 
 def _inherit(i: int, text: str, inside: bool, has_article: bool, found: list, labels: list, decided: list[int], before: int) -> bool:
-    if has_article and not inside:
-        return False
     # blocks told by their tags have no say
     left = next((j for j in reversed(decided[:before]) if found[j][2] == inside and not found[j][3]), None)
     right = next((j for j in decided[before:] if found[j][2] == inside and not found[j][3]), None)
     if left is None and right is None:
-        return inside or any(w in STOPWORDS for w in WORD.findall(text.lower()))
+        return inside or not has_article and any(w in STOPWORDS for w in WORD.findall(text.lower()))
     if left is None or right is None:
         return labels[right if left is None else left]
     if labels[left] == labels[right] or i - left != right - i:

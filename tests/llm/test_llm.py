@@ -387,6 +387,12 @@ def test_html():
         html_text.main_text(odd)
 
 
+def test_html_outside_article():
+    main = "The story of the town is told here and it is the main text of the page, with all of the words that belong to it."
+    page = f"<body><div><p>{main}</p><p>Then.</p><p>Later.</p></div><div>{'qwe asd zxc rty ' * 8}</div><article><h2>Teaser</h2></article></body>"
+    assert main in html_text.main_text(page) and "Then." in html_text.main_text(page) and "qwe" not in html_text.main_text(page)
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (None, "u", "<article><p>Hé</p></article>", "x")], "page_id bigint, url string, html string, text string")
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.extract(df).collect()}
