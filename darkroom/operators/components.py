@@ -5,12 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.runtime import materialise
+from darkroom.runtime import discard, materialise
 
+#: Nodes of so many links or more are hubs; at most so many of them are broadcast.
+HUB, HUBS = 4096, 4096
 
-def _state(pairs: DataFrame) -> tuple:
-    row = pairs.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return row["n"], row["x"]
+
+def _degrees(pairs: DataFrame) -> DataFrame:
+    """Links of every node to smaller (``ups``) and to larger nodes (``downs``); sums are taken before the shuffle."""
+    ends = pairs.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(pairs.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return materialise(ends.groupBy("x").agg(F.sum("up").alias("ups"), F.sum("down").alias("downs")), "cc-degrees")
+
+
+def _join(rows: DataFrame, low: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """``rows`` with the minimum of their ``u``; rows of hubs stay where they are."""
+    if hubs is None:
+        return rows.join(low, "u")
+    few = low.join(F.broadcast(hubs), "u", "left_semi")  # at most HUBS rows
+    return rows.join(F.broadcast(few), "u").unionByName(rows.join(F.broadcast(hubs), "u", "left_anti").join(low, "u"))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -18,8 +30,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014): each round sends every node
     to the smallest label among its neighbours; the number of rounds grows with the logarithm of the
-    component size. Minima are pre-aggregated before each shuffle, so a hub costs a
-    row per task. Every round is written to the shared folder.
+    component size (``max_rounds`` stands for far more nodes than there can be). Rounds end when all components are stars. Minima are
+    pre-aggregated before each shuffle and hubs are joined by broadcast, so a hub costs a row per task. Every round is written to the shared folder.
 
     Self loops label their node. Edges with a null end are ignored; repeated edges count once.
     An empty table gives an empty table. Returns ``node``, ``root`` (both bigint), one row per node.
@@ -29,27 +41,30 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     pairs = materialise(
         raw.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "cc-edges"
     )
-    before = _state(pairs)
     for _ in range(max_rounds):
-        if not before[0]:
-            break
+        degrees = _degrees(pairs)
+        state = degrees.agg(F.max("ups").alias("ups"), F.max(F.least("ups", "downs")).alias("between"), F.max(F.col("ups") + F.col("downs")).alias("most")).first()
+        if (state["ups"] or 0) <= 1 and not state["between"]:
+            break  # every node has one smaller neighbour, which has none
+        hubs = None
+        if state["most"] >= HUB:
+            links = F.col("ups") + F.col("downs")
+            hubs = materialise(degrees.where(links >= HUB).orderBy(F.desc(links), "x").limit(HUBS).select(F.col("x").alias("u")), "cc-hubs")
         both = pairs.select("u", "v").unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low2, "u")
+        large = _join(both.where("v > u"), low, hubs).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        joined = _join(large, large.groupBy("u").agg(F.min("v").alias("m")), hubs)
         small = (
             joined.select("u", F.col("m").alias("v"))
             .unionAll(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
             .distinct()
         )
-        pairs = materialise(small, "cc-round")
-        after = _state(pairs)
-        if after == before:
-            break
-        before = after
+        new = materialise(small, "cc-round")
+        discard(pairs, degrees, *([hubs] if hubs is not None else []))
+        pairs = new
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    discard(degrees)
     stars = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("root"))
     alone = nodes_alone.select("node", F.col("node").alias("root"))

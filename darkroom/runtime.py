@@ -16,10 +16,13 @@ _ROOT = Path(__file__).resolve().parent
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor can see.
 
-    It is ``spark.checkpoint.dir``. Only a session without that setting (a local test) gets a temporary folder.
+    It is ``spark.checkpoint.dir``. Only a local session without that setting (a test) gets a temporary folder; on a cluster a
+    missing setting is an error, as other machines would not see such a folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(spark.sparkContext, "_darkroom_scratch", None)
         if not found:
             found = "file://" + tempfile.mkdtemp(prefix="darkroom-")
@@ -50,8 +53,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote, once nothing reads them any more."""
+    for df in written:
+        drop_path(df.sparkSession, df.scratch)
 
 
 def ship(spark: SparkSession) -> None:
