@@ -45,15 +45,24 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: Lets Spark delete a query's shuffle files when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts lineage like a checkpoint, survives lost executors, keeps column pruning and
-    filter push-down for later readers, and gives later plans a true size.
+    filter push-down for later readers, and gives later plans a true size. The write's shuffle files go when it ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out
@@ -84,11 +93,3 @@ def ship(spark: SparkSession) -> None:
 def shuffle_partitions(spark: SparkSession) -> int:
     """The session's shuffle partition count, which the cluster sizes for its input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def release(spark: SparkSession) -> None:
-    """Let the cluster drop shuffle files of finished steps now, rather than when the driver next happens to collect garbage."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
