@@ -1,8 +1,9 @@
 """Main text of HTML pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags. Menus, headers, footers, sidebars, notices, adverts, forms, comments,
-scripts and styles are told by tag, role, class or id and take no part. The first pass decides long blocks by link
-density, by stop-word density outside articles, and keeps those in an article; blocks full of links are boilerplate at any length. Short blocks are
+scripts and styles are told by tag, role, class or id and take no part; a class that only mentions such a thing ("has-sidebar", or an
+element that holds the article, the page's heading or most of its text) doesn't count. The first pass decides long blocks: by link density, and by stop-word
+density; blocks full of links are boilerplate at any length. Short blocks, and long ones in an article with few stop words, are
 ambiguous: the second pass gives each the label of the nearest decided block in its scope (inside or outside the article), and a tie
 goes to text inside an article and to boilerplate outside one.
 """
@@ -37,7 +38,12 @@ BLOCKS = frozenset(
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements whose text isn't article text, wherever they stand.
-APART = frozenset("aside button dialog fieldset footer form head label menu nav option select textarea title".split())
+APART = frozenset("aside audio button canvas dialog fieldset footer form head label menu nav object option select title video".split())
+#: Elements that are skipped up to their own end tag, and those that run to the page's end without one.
+SKIPPED = frozenset("script style textarea template iframe noscript svg math".split())
+ENDLESS = frozenset("script style textarea template".split())
+#: Elements that end where another of their kind, or (p) any block, begins.
+SELF_ENDING = frozenset(["p", "li", "dt", "dd", "option", *HEADINGS])
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Words that mark a class or id as boilerplate.
 MARKS = frozenset(
@@ -46,56 +52,93 @@ MARKS = frozenset(
     "promoted promotion recommended related replies respond responses search share sharing sidebar signup social sponsor sponsored subscribe subscription "
     "toolbar widget".split()
 )
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?:script|style|noscript|template|iframe|svg|object|canvas|audio|video|math|textarea|select)\b(?:[^>]*/>|.*?(?:</(?:script|style|noscript|template|iframe|svg|object|canvas|audio|video|math|textarea|select)\s*>|\Z))"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
-    r"|<[!?][^>]*>",
-    re.S | re.I,
-)
+#: Words that say of a class that it is about something else than the element itself.
+MODIFIERS = frozenset("no not non has have with without is hide hidden show disable disabled enable enabled".split())
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^'\"<>]|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>|<[!?][^<>]*>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 WORD = re.compile(r"[^\W\d_]+")
+_ENDS = {t: re.compile(f"</{t}\\s*>", re.I) for t in SKIPPED}
 
 
-def _marked(attributes: str) -> bool:
+def marks(attributes: str) -> int:
+    """Whether a role, class or id says boilerplate: 2 if one of its names consists of marks, 1 if a name holds one, else 0."""
+    found = 0
     for name, value in ATTRIBUTE.findall(attributes):
         value = value.strip("\"'")
         if name.lower() == "role":
-            if value.lower() in ROLES:
-                return True
-        elif any(p.lower() in MARKS for p in PART.findall(value)):
-            return True
-    return False
+            found = max(found, 2 * (value.lower() in ROLES))
+            continue
+        for token in value.split():
+            parts = {p.lower() for p in PART.findall(token)}
+            if parts & MARKS and not parts & MODIFIERS:
+                found = max(found, 2 if parts <= MARKS else 1)
+    return found
+
+
+class Elements:
+    """The block elements of a page in order of their start tags, and what they hold."""
+
+    def __init__(self):
+        self.parent, self.tag, self.mark, self.size, self.holds = [-1], [""], [0], [0], [False]
+
+    def add(self, parent: int, tag: str, mark: int) -> int:
+        """A new element; returns its number."""
+        self.parent.append(parent)
+        self.tag.append(tag)
+        self.mark.append(mark)
+        self.size.append(0)
+        self.holds.append(tag in ("article", "main", "h1"))
+        return len(self.tag) - 1
+
+    def settle(self) -> tuple[list[bool], list[bool], list[bool]]:
+        """For every element: in an article; in boilerplate; in an article's own header, where only headings belong to the article."""
+        n = len(self.tag)
+        for i in range(n - 1, 0, -1):
+            self.size[self.parent[i]] += self.size[i]
+            self.holds[self.parent[i]] |= self.holds[i]
+        inside, apart, header = [False] * n, [False] * n, [False] * n
+        for i in range(1, n):
+            up, tag = self.parent[i], self.tag[i]
+            inside[i] = inside[up] or tag in ("article", "main")
+            wide = self.holds[i] or 2 * self.size[i] > self.size[0]
+            bad = tag in APART and not (tag == "form" and wide)
+            if tag not in ("html", "body", "article", "main"):
+                bad |= self.mark[i] == 2 or self.mark[i] == 1 and not wide
+            own_header = inside[up] and (tag == "header" or self.mark[i] == 2) and self.holds[i] and tag not in APART
+            header[i] = header[up] or own_header
+            apart[i] = apart[up] or (bad or tag == "header") and not own_header
+        return inside, apart, header
 
 
 def blocks(html: str) -> list[tuple[str, int, bool, bool]]:
     """Blocks of a page in order: (text, characters in links, inside an article, apart).
 
-    Texts have their character references decoded and white space made one space; blocks without text are left out.
+    Texts have their character references decoded and white space made one space; blocks without text are left out. Time is linear in the page.
     """
-    out: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, is or is in boilerplate, is article or main
+    found: list[tuple[str, int, int, bool]] = []
+    elements = Elements()
+    stack: list[tuple[str, int]] = [("", 0)]
+    opened: dict[str, int] = {}
     pieces: list[str] = []
-    linked, links, article, apart, heading = 0, 0, 0, False, False
+    endless: set[str] = set()
+    linked, links, heading = 0, 0, False
 
     def flush() -> None:
         nonlocal linked
         if pieces:
             text = " ".join(unescape("".join(pieces)).split())
             if text:
-                out.append((text, min(linked, len(text)), article > 0, apart and not (heading and article)))
+                elements.size[stack[-1][1]] += len(text)
+                found.append((text, min(linked, len(text)), stack[-1][1], heading))
             pieces.clear()
         linked = 0
 
-    def settle() -> None:
-        nonlocal article, apart
-        article = sum(a for _, _, a in stack)
-        apart = bool(stack) and stack[-1][1]
+    def pop() -> None:
+        opened[stack.pop()[0]] -= 1
 
     at = 0
-    for m in TOKEN.finditer(html):
+    while m := TOKEN.search(html, at):
         if m.start() > at:
             text = html[at : m.start()]
             pieces.append(text)
@@ -106,36 +149,42 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool]]:
         if not tag:
             continue
         tag, closing, attributes = tag.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
+        if tag in SKIPPED:
+            if not closing and tag not in endless and not (tag in ("svg", "math") and attributes.endswith("/")):
+                end = _ENDS[tag].search(html, at)
+                if end:
+                    at = end.end()
+                elif tag in ENDLESS:
+                    at = len(html)
+                else:
+                    endless.add(tag)
+            continue
         if tag == "a":
             links = 0 if closing else 1
         if tag == "br":
             pieces.append(" ")
-        if tag not in BLOCKS and tag not in APART:
-            if tag in VOID or closing and all(t != tag for t, _, _ in stack) or not closing and not (attributes and _marked(attributes)):
-                continue
+        mark = marks(attributes) if attributes and not closing else 0
+        if tag not in BLOCKS and tag not in APART and (tag in VOID or (not opened.get(tag) if closing else not mark)):
+            continue
         flush()
-        links = 0 if tag != "a" else links
+        if tag != "a":
+            links = 0
         if tag in HEADINGS:
             heading = not closing
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    settle()
-                    break
+            if opened.get(tag):
+                while stack[-1][0] != tag:
+                    pop()
+                pop()
         elif tag not in VOID and not attributes.endswith("/"):
-            if tag == "p" or tag == "li" or tag in HEADINGS:  # these end without a closing tag
-                while stack and stack[-1][0] == tag:
-                    stack.pop()
-                settle()
-            whole = tag in ("article", "main")
-            # what a heading in the article's own header says belongs to the article
-            bad = tag in APART or tag == "header" or tag not in ("html", "body", "article", "main") and bool(attributes) and _marked(attributes)
-            stack.append((tag, apart or bad, whole))
-            settle()
+            while stack[-1][0] in SELF_ENDING and (stack[-1][0] == tag or stack[-1][0] == "p" and tag in BLOCKS or stack[-1][0] in HEADINGS and tag in HEADINGS):
+                pop()
+            stack.append((tag, elements.add(stack[-1][1], tag, mark)))
+            opened[tag] = opened.get(tag, 0) + 1
     pieces.append(html[at:])
     flush()
-    return out
+    inside, apart, header = elements.settle()
+    return [(text, linked, inside[e], apart[e] or header[e] and not heading) for text, linked, e, heading in found]
 
 
 def main_text(html: str) -> str:
@@ -146,33 +195,35 @@ def main_text(html: str) -> str:
     for text, linked, inside, apart in found:
         if apart:
             labels.append(False)
-        elif linked > MAX_LINKS * len(text) or text.startswith("©"):
+        elif linked > MAX_LINKS * len(text):
             labels.append(False)
         elif len(text) < SHORT:
-            labels.append(None)
-        elif inside:
-            labels.append(True)
+            labels.append(False if text.startswith("©") else None)
         else:
             words = WORD.findall(text.lower())
-            labels.append(sum(w in STOPWORDS for w in words) >= MIN_STOPWORDS * max(1, len(words)))
-    decided = [i for i, x in enumerate(labels) if x is not None]
+            dense = sum(w in STOPWORDS for w in words) >= MIN_STOPWORDS * max(1, len(words))
+            labels.append(True if dense else None if inside else False)
+    # nearest decided blocks of the same scope; blocks told by their tags have no say
+    left, right = _nearest(found, labels, range(len(found))), _nearest(found, labels, range(len(found) - 1, -1, -1))
     kept = []
-    before = 0
     for i, (text, _, inside, _) in enumerate(found):
-        label = labels[i]
-        if label is None:
-            while before < len(decided) and decided[before] < i:
-                before += 1
-            label = _inherit(i, text, inside, has_article, found, labels, decided, before)
-        if label:
+        if labels[i] if labels[i] is not None else _inherit(i, text, inside, has_article, labels, left[i], right[i]):
             kept.append(text)
     return "\n\n".join(kept)
 
 
-def _inherit(i: int, text: str, inside: bool, has_article: bool, found: list, labels: list, decided: list[int], before: int) -> bool:
-    # blocks told by their tags have no say
-    left = next((j for j in reversed(decided[:before]) if found[j][2] == inside and not found[j][3]), None)
-    right = next((j for j in decided[before:] if found[j][2] == inside and not found[j][3]), None)
+def _nearest(found: list, labels: list, order: range) -> list[int | None]:
+    last: dict[bool, int] = {}
+    out: list[int | None] = [None] * len(found)
+    for i in order:
+        _, _, inside, apart = found[i]
+        out[i] = last.get(inside)
+        if labels[i] is not None and not apart:
+            last[inside] = i
+    return out
+
+
+def _inherit(i: int, text: str, inside: bool, has_article: bool, labels: list, left: int | None, right: int | None) -> bool:
     if left is None and right is None:
         return inside or not has_article and any(w in STOPWORDS for w in WORD.findall(text.lower()))
     if left is None or right is None:
