@@ -65,6 +65,12 @@ class Rolling:
         h = (self.sums[end] - self.sums[start]) * self.down[start]
         return mix(h + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
 
+    def joined(self, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """Fingerprints of [a, b) followed by [c, d), as if nothing stood between."""
+        up, _ = powers(len(self.sums))
+        h = (self.sums[b] - self.sums[a]) * self.down[a] + (self.sums[d] - self.sums[c]) * self.down[c] * up[b - a]
+        return mix(h + (b - a + d - c).astype(U64) * U64(0xD6E8FEB86659FD93))
+
 
 def text_array(column) -> pa.Array:
     """One string array without nulls (null reads as empty)."""
@@ -230,6 +236,16 @@ def band_keys(sig: np.ndarray, rows_per_band: int) -> np.ndarray:
     return keys
 
 
+def nibbles(sig: np.ndarray) -> np.ndarray:
+    """Four bits of a hash of every component, 16 components a word, as (rows, words): what two rows agree in tells about their similarity."""
+    bits = mix(np.ascontiguousarray(sig).view(U64)) & U64(15)
+    words = -(-sig.shape[1] // 16)
+    out = np.zeros((len(sig), words), dtype=U64)
+    for j in range(sig.shape[1]):
+        out[:, j // 16] |= bits[:, j] << U64(4 * (j % 16))
+    return out
+
+
 def list_array(values: np.ndarray, pointer: np.ndarray) -> pa.Array:
     """A list<int64> column from flat 64-bit values and a row pointer."""
     return pa.ListArray.from_arrays(pa.array(pointer.astype(np.int32)), pa.array(values.view(np.int64)))

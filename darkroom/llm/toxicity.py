@@ -3,8 +3,9 @@
 1. A character trigram model is counted over all documents.
 2. A lexicon is learned from labelled rows: words and word beginnings whose share of toxic documents can't be chance
    (binomial test over all candidates of equal support, near copies counted once).
-3. Disguised tokens (digits and symbols for letters, letters spaced out or repeated) become lattices of what they may stand for;
-   Viterbi search finds the readings that are likeliest under channel costs and character model, with a prior for lexicon words.
+3. Disguised tokens (digits, symbols and look-alikes for letters, letters spaced out or repeated, words torn in two) become lattices of what
+   they may stand for. Viterbi search finds the likeliest reading under channel costs and character model, and, along a trie of the lexicon, the likeliest reading
+   that spells an entry; the entry is taken if it is likelier by its prior. Both searches are exact, no readings are cut.
 4. A document's score combines the toxic shares of the lexicon entries that its plain and restored words hit.
 """
 
@@ -25,13 +26,14 @@ from darkroom.runtime import ship
 
 #: Labelled rows that the lexicon is learned from at most, chosen by hash of doc_id.
 TRAINING_ROWS = 6_000
+#: Bytes of their texts at most; rows beyond it aren't learned from.
+TRAINING_BYTES = 128 << 20
 CUT = 0.7
 PREFIXES = (4, 5, 6, 7, 8, 9)
 #: A word beginning is also an entry by how many different words of a text have it.
 LEVELS = (1, 2, 3, 5)
-LONGEST = 40
-#: A short window keeps the readings of a word apart from those of what follows.
-WINDOW = 12
+#: Letters of a window on a run or a long token; longer than any entry with its disguise, unless repetition is longer, which is cut to three first.
+LONGEST = 64
 REPEATED = re.compile(r"(.)\1{3,}", re.S)
 CLASSES = 28  # a to z, other letters, outside words
 OTHER, EDGE = 26, 27
@@ -41,7 +43,10 @@ LEET = {
     "(": "c", "<": "c", "{": "c", "€": "e", "£": "l", "¥": "y", "%": "x", "#": "h", "&": "a", "?": "i",
 }
 DROPPED = ".-_*~'^`,:;/\\=\"[]){}>"
-LEET_COST, DROP_COST, REPEAT_COST, GAP_COST, WORD_PRIOR = 1.0, 0.7, 1.0, 3.0, 8.0
+#: Fixed table of letters of other scripts that look like Latin ones.
+LOOKALIKE = dict(zip("аеорсухіѕјһԁԛԝԍοαεικνρτυχցսհ", "aeopcyxisjhdqwgoaeiknptuxguh"))
+LOOKALIKE |= {chr(0xFF41 + i): chr(97 + i) for i in range(26)}
+LEET_COST, DROP_COST, REPEAT_COST, GAP_COST, SPACE_COST, WORD_PRIOR = 1.0, 0.7, 1.0, 3.0, 6.0, 8.0
 
 
 def _upper_latin(buf: np.ndarray) -> np.ndarray:
@@ -58,6 +63,9 @@ LETTER[list(range(65, 91)) + list(range(97, 123)) + list(range(128, 256))] = Tru
 CLASS = np.full(256, EDGE, dtype=np.int64)
 CLASS[97:123] = np.arange(26)
 CLASS[128:] = OTHER
+#: First bytes of Greek, Cyrillic, Armenian and full-width letters, which are disguise only beside a-z.
+FOREIGN = np.zeros(256, dtype=bool)
+FOREIGN[[0xCD, 0xCE, 0xCF, *range(0xD0, 0xD7), 0xEF]] = True
 LEET_BYTE = np.zeros(256, dtype=bool)
 LEET_BYTE[[ord(c) for c in LEET if ord(c) < 128]] = True
 
@@ -98,8 +106,11 @@ class Words:
             c = self.buf[np.clip(side, 0, n - 1)] if n else np.zeros(0, np.uint8)
             beyond = self.buf[np.clip(side + step, 0, n - 1)] if n else c
             near |= inside & LEET_BYTE[c] & (c != beyond) & ~((c == 33) | (c == 63)) if step == 1 else inside & LEET_BYTE[c] & (c != beyond)
-        odd = has & (~plain | tripled | near) & (end - start >= 4)
-        self.odd, self.odd_long = odd & (end - start <= LONGEST), odd & (end - start > LONGEST)
+        foreign, ascii_ = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+        np.cumsum(FOREIGN[self.buf], out=foreign[1:])
+        np.cumsum(CLASS[self.buf] < 26, out=ascii_[1:])
+        mixed = (foreign[end] > foreign[start]) & (ascii_[end] > ascii_[start])
+        self.odd = has & (~plain | tripled | near | mixed) & (end - start >= 4)
         self.rolling = _text.Rolling(self.buf)
 
     def kinds(self, keep: np.ndarray) -> list[np.ndarray]:
@@ -134,25 +145,20 @@ class Words:
                 made.append(p[pair][count >= level])
         return np.concatenate(rows), np.concatenate(found), np.concatenate(made), low
 
-    def disguised(self) -> Iterator[tuple[int, tuple[str, ...], bool]]:
-        """(row, tokens, cut) of odd tokens and of runs of three or more single characters.
+    def disguised(self) -> Iterator[tuple[int, str, bool]]:
+        """(row, text, cut) of odd tokens and of runs of three or more single characters.
 
-        Runs, and tokens of over ``LONGEST`` bytes, are cut into overlapping windows: a short and a long one from every letter of a run, and
-        from every place in a token where a word can begin. The windows of one place come together.
+        An odd token comes from its start and from every place in it where a word can begin, a run from every letter; what is longer than ``LONGEST`` is cut
+        there, and so are overlapping windows.
         """
         for i in np.flatnonzero(self.odd).tolist():
-            yield int(self.row[i]), (self.buf[self.start[i] : self.end[i]].tobytes().decode("utf-8", "replace"),), False
-        for i in np.flatnonzero(self.odd_long).tolist():
             token = REPEATED.sub(r"\1\1\1", self.buf[self.start[i] : self.end[i]].tobytes().decode("utf-8", "replace"))
-            if len(token) <= LONGEST:
-                yield int(self.row[i]), (token,), False
-                continue
-            for k in range(len(token) - 3):
-                if not k or not token[k - 1].isalpha():
-                    yield int(self.row[i]), (token[k : k + WINDOW], token[k : k + LONGEST]), True
-        single = (self.end - self.start == 1) & (self.has | LEET_BYTE[self.buf[np.minimum(self.start, len(self.buf) - 1)]] if len(self.buf) else self.has)
-        if not single.any():
+            for k in range(len(token) - 3 if len(token) > 4 else 1):
+                if not k or token[k].isalnum() and not token[k - 1].isalnum():
+                    yield int(self.row[i]), token[k : k + LONGEST], len(token) - k > LONGEST
+        if not len(self.start):
             return
+        single = (self.end - self.start == 1) & (self.has | LEET_BYTE[self.buf[self.start]])
         edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
         for x, y in zip(edge[::2].tolist(), edge[1::2].tolist()):
             while y - x >= 3:
@@ -162,38 +168,53 @@ class Words:
                 if z - x >= 3:
                     text = self.buf[self.start[x:z]].tobytes().decode("ascii", "replace")
                     for k in range(len(text) - 2):
-                        yield int(self.row[x]), (text[k : k + WINDOW], text[k : k + LONGEST]), True
+                        yield int(self.row[x]), text[k : k + LONGEST], True
                 x = z
 
+    def torn(self, keys: np.ndarray) -> Iterator[tuple[int, str]]:
+        """(row, text) of neighbouring plain words of which neither is an entry, but both together."""
+        if not len(keys) or len(self.start) < 2:
+            return
+        a, b = self.first, self.last
+        whole = self.has & (a == self.start) & (b == self.end)
+        i = np.flatnonzero(whole[:-1] & whole[1:] & (self.row[1:] == self.row[:-1]) & (a[1:] == b[:-1] + 1) & (b[1:] - a[:-1] >= 5) & (b[1:] - a[:-1] <= LONGEST))
+        if not len(i):
+            return
+        joined = self.rolling.joined(a[i], b[i], a[i + 1], b[i + 1])
+        at = np.minimum(np.searchsorted(keys, joined), len(keys) - 1)
+        for k in i[keys[at] == joined].tolist():
+            yield int(self.row[k]), self.buf[a[k] : b[k + 1]].tobytes().decode("utf-8", "replace")
+
 
-def core_hashes(word: str, cut: bool = False) -> list[int]:
-    """Hashes of a restored word and its beginnings, as ``Words.kinds`` has them; of a ``cut`` window, which may go on after a word, all beginnings."""
+def entry_hash(word: str) -> int:
+    """The hash of an entry, as ``Words.kinds`` has it."""
     data = np.frombuffer(word.encode(), np.uint8)
-    rolling, n = _text.Rolling(data), len(data)
-    ends = np.array([n, *[k for k in (range(PREFIXES[0], n) if cut else PREFIXES) if k < n]])
-    return rolling.of(np.zeros(len(ends), np.int64), ends).tolist()
+    return int(_text.Rolling(data).of(np.array([0]), np.array([len(data)]))[0])
 
 
 class Decoder:
-    """Viterbi search over the character lattice of a token."""
+    """Viterbi search over the character lattice of a token, freely and along the lexicon."""
 
-    def __init__(self, counts: np.ndarray, lexicon: dict[int, float]):
+    def __init__(self, counts: np.ndarray, entries: dict[str, float]):
         c = counts.reshape(CLASSES, CLASSES, CLASSES).astype(np.float64) + 0.05
         three = c / c.sum(axis=2, keepdims=True)
         two = c.sum(axis=0)
         two /= two.sum(axis=1, keepdims=True)
-        self.cost = -np.log(0.8 * three + 0.2 * two[None])
-        self.lexicon = lexicon
+        self.cost = (-np.log(0.8 * three + 0.2 * two[None])).tolist()
+        self.entries = entries
+        self.prefixes = {e[:k] for e in entries for k in range(len(e) + 1)}
         self.memo: dict[tuple[str, bool], tuple[str, float]] = {}
 
     @staticmethod
     def _class(ch: str) -> int:
-        return ord(ch) - 97 if "a" <= ch <= "z" else OTHER
+        return ord(ch) - 97 if "a" <= ch <= "z" else EDGE if ch == " " else OTHER
 
     def options(self, ch: str, first: bool, last: bool) -> list[tuple[str, float]]:
         """What a character may stand for: (letter or nothing, cost)."""
+        if ch == " ":
+            return [("", SPACE_COST), (" ", 0.0)]
         if ch.isalpha():
-            return [(ch, 0.0)]
+            return [(ch, 0.0)] + ([(LOOKALIKE[ch], LEET_COST)] if ch in LOOKALIKE else [])
         out = [(x, LEET_COST) for x in LEET.get(ch, "")]
         if first or last:
             out.append(("", DROP_COST))
@@ -203,41 +224,70 @@ class Decoder:
             out += [(x, GAP_COST) for x in "aeiou"]
         return out
 
-    def readings(self, token: str, keep: int = 3) -> list[tuple[float, str]]:
-        """Readings of a token, likeliest first: (cost, word)."""
-        states: dict[tuple[int, int], list[tuple[float, str]]] = {(EDGE, EDGE): [(0.0, "")]}
-        for i, ch in enumerate(token):
-            new: dict[tuple[int, int], list[tuple[float, str]]] = {}
-            choices = self.options(ch, i == 0, i == len(token) - 1)
-            for (p, q), held in states.items():
+    def lattice(self, token: str) -> list[list[tuple[str, float]]]:
+        """Options of every character."""
+        return [self.options(ch, i == 0, i == len(token) - 1) for i, ch in enumerate(token)]
+
+    def read(self, token: str) -> tuple[str, list[float]]:
+        """The likeliest reading of a token, and the cost of the likeliest reading of each of its beginnings (by their length)."""
+        states: dict[tuple, tuple[float, str]] = {(EDGE, EDGE, ""): (0.0, "")}
+        best = [0.0]
+        for choices in self.lattice(token):
+            new: dict[tuple, tuple[float, str]] = {}
+            for (p, q, last), (c, w) in states.items():
+                for letter, cost in choices:
+                    k = self._class(letter) if letter else q
+                    moves = [((q, k, letter), c + cost + self.cost[p][q][k], w + letter)] if letter else [((p, q, last), c + cost, w)]
+                    if letter and letter == last:  # a repeated letter may stand for one
+                        moves.append(((p, q, last), c + cost + REPEAT_COST, w))
+                    for state, total, word in moves:
+                        if state not in new or (total, word) < new[state]:
+                            new[state] = (total, word)
+            states = new
+            best.append(min(c for c, _ in states.values()))
+        ends = [(c + self.cost[p][q][EDGE], w) for (p, q, _), (c, w) in states.items()]
+        return min(ends)[1], best
+
+    def spelled(self, token: str) -> Iterator[tuple[int, str, float]]:
+        """(length of the beginning, entry, cost) of entries that beginnings of a token can stand for, at least cost."""
+        held: dict[str, float] = {"": 0.0}
+        for i, choices in enumerate(self.lattice(token), 1):
+            new: dict[str, float] = {}
+            for word, c in held.items():
+                q = self._class(word[-1]) if word else EDGE
+                p = self._class(word[-2]) if len(word) > 1 else EDGE
                 for letter, cost in choices:
-                    if not letter:
-                        new.setdefault((p, q), []).extend((c + cost, w) for c, w in held)
-                        continue
-                    k = self._class(letter)
-                    step = cost + float(self.cost[p, q, k])
-                    new.setdefault((q, k), []).extend((c + step, w + letter) for c, w in held)
-                    if k == q:  # a repeated letter may stand for one
-                        new.setdefault((p, q), []).extend((c + cost + REPEAT_COST, w) for c, w in held if w[-1:] == letter)
-            states = {s: sorted(set(v))[:keep] for s, v in new.items()}
-        ends = [(c + float(self.cost[p, q, EDGE]), w) for (p, q), held in states.items() for c, w in held if len(w) > 1]
-        return sorted(ends)
+                    moves = [(word + letter, c + cost + self.cost[p][q][self._class(letter)])] if letter else [(word, c + cost)]
+                    if letter and word[-1:] == letter:
+                        moves.append((word, c + cost + REPEAT_COST))
+                    for longer, total in moves:
+                        if longer in self.prefixes and total < new.get(longer, math.inf):
+                            new[longer] = total
+            held = new
+            if not held:
+                return
+            yield from ((i, word, c) for word, c in held.items() if word in self.entries)
 
     def restore(self, token: str, cut: bool = False) -> tuple[str, float]:
-        """The likeliest word behind a token, with the lexicon's prior, and the toxic share of its entry (0 if none)."""
+        """The likeliest word behind a token, with the lexicon's prior, and the toxic share of its entry (0 if none).
+
+        An entry must be the whole word or, with 4 to 9 letters, its beginning; of a ``cut`` window, which may go on after a word, any beginning.
+        """
         if (token, cut) in self.memo:
             return self.memo[token, cut]
-        best: tuple[float, str, float] | None = None
-        for cost, word in self.readings(token):
-            share = max((self.lexicon.get(h, 0.0) for h in core_hashes(word, cut)), default=0.0) if len(word) >= 4 else 0.0
-            cost -= WORD_PRIOR if share else 0.0
-            if best is None or cost < best[0]:
-                best = (cost, word, share)
-        found = (best[1], best[2]) if best else (token, 0.0)
+        word, best = self.read(token)
+        share, gain = 0.0, 0.0
+        for i, entry, cost in self.spelled(token):
+            if len(entry) < 4 or not (cut or i == len(token) or len(entry) in PREFIXES):
+                continue
+            if best[i] + WORD_PRIOR - cost > 0 and (self.entries[entry], i) > (share, gain):
+                share, gain = self.entries[entry], i
+                if i == len(token):
+                    word = entry
         if len(self.memo) > 200_000:
             self.memo.clear()
-        self.memo[token, cut] = found
-        return found
+        self.memo[token, cut] = word, share
+        return word, share
 
 
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,12 +318,12 @@ def character_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     return out
 
 
-def learn_lexicon(texts: list[str | None], toxic: list[int]) -> tuple[dict[int, float], set[int], float]:
-    """From labelled texts: toxic share by entry, hashes that entries are made from, and the toxic share of texts without any entry."""
+def learn_lexicon(texts: list[str | None], toxic: list[int]) -> tuple[dict[int, float], set[int], float, dict[str, float]]:
+    """From labelled texts: toxic share by entry, hashes that entries are made from, the toxic share of texts without any entry, and entries in letters."""
     pairs: dict[bytes, tuple[str, int]] = {(t or "").encode(): (t or "", y) for t, y in zip(texts, toxic)}
     texts, toxic = [t for t, _ in pairs.values()], [y for _, y in pairs.values()]
     if not texts:
-        return {}, set(), 0.0
+        return {}, set(), 0.0, {}
     y = np.array(toxic, dtype=bool)
 
     made_from: set[int] = set()
@@ -304,7 +354,7 @@ def learn_lexicon(texts: list[str | None], toxic: list[int]) -> tuple[dict[int,
     n = a + b
     base = len(yes) / max(1, len(yes) + len(no))
     if not 0 < base < 1 or not len(names):
-        return {}, set(), float(base)
+        return {}, set(), float(base), {}
     made_from.clear()
     at_least = np.cumsum(np.bincount(n.astype(int))[::-1])[::-1]
     chance = np.array([math.lgamma(p + 1) - math.lgamma(q + 1) - math.lgamma(p - q + 1) for p, q in zip(n, a)])
@@ -318,14 +368,32 @@ def learn_lexicon(texts: list[str | None], toxic: list[int]) -> tuple[dict[int,
     for label, which in ((1, np.flatnonzero(y)), (0, np.flatnonzero(~y))):
         hit, group, all_groups = gathered(which, keys if len(keys) else np.zeros(1, np.uint64))
         clean[label] = len(all_groups) - len(np.unique(group))
-    return lexicon, made_from, float((clean[1] + base) / (clean.sum() + 1))
+    return lexicon, made_from, float((clean[1] + base) / (clean.sum() + 1)), _letters([texts[i] for i in np.flatnonzero(y)], lexicon)
+
+
+def _letters(texts: list[str], lexicon: dict[int, float]) -> dict[str, float]:
+    """Entries that a single word makes, in letters, from the texts that they were learned from."""
+    out: dict[str, float] = {}
+    column = _text.text_array(pa.array(texts, pa.large_string()))
+    for _, buf, offsets in _text.slices([pa.RecordBatch.from_arrays([column], ["text"])]):
+        words = Words(buf, offsets)
+        keep = words.long_enough()
+        for n, h in zip((0, *PREFIXES), words.kinds(keep)):
+            values, at = np.unique(h, return_index=True)
+            for value, i in zip(values.tolist(), keep[at].tolist()):
+                if value in lexicon:
+                    a, b = words.first[i], words.last[i]
+                    data = words.buf[a : min(a + n, b) if n else b].tobytes()
+                    out[data.decode("utf-8", "ignore")] = lexicon[value]
+    return out
 
 
 class Scorer:
     """Scores slices of texts under a lexicon and a character model."""
 
-    def __init__(self, counts: np.ndarray, lexicon: dict[int, float], made_from: set[int], rest: float):
-        self.decoder, self.rest = Decoder(counts, lexicon), min(rest, 0.5)
+    def __init__(self, counts: np.ndarray, lexicon: dict[int, float], made_from: set[int], rest: float, entries: dict[str, float]):
+        self.decoder, self.rest = Decoder(counts, entries), min(rest, 0.5)
+        self.single = np.array(sorted(entry_hash(e) for e in entries), dtype=np.uint64)
         self.keys = np.array(sorted(lexicon), dtype=np.uint64)
         self.share = np.array([lexicon[k] for k in self.keys.tolist()])
         self.seen = np.zeros(1 << 20, dtype=bool)
@@ -346,8 +414,8 @@ class Scorer:
             true = self.keys[at] == found
             np.maximum.at(best, row[true], self.share[at[true]])
             np.add.at(more, row[true], 1.0)
-            for i, tokens, cut in words.disguised():
-                share = max(self.decoder.restore(t, cut)[1] for t in dict.fromkeys(tokens))
+            for i, text, cut in [*words.disguised(), *((i, text, False) for i, text in words.torn(self.single))]:
+                share = self.decoder.restore(text, cut)[1]
                 if share:
                     best[i] = max(best[i], share)
                     more[i] += 1
@@ -366,11 +434,11 @@ class Scorer:
 _scorers: dict = {}
 
 
-def _score(key: str, counts: np.ndarray, lexicon: dict[int, float], made_from: set[int], rest: float, with_text: bool):
+def _score(key: str, model: tuple, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _scorers:
             _scorers.clear()
-            _scorers[key] = Scorer(counts, lexicon, made_from, rest)
+            _scorers[key] = Scorer(*model)
         scorer = _scorers[key]
         for batch, buf, offsets in _text.slices(batches):
             own = [batch.column(0), pa.array(scorer.score(buf, offsets))]
@@ -389,7 +457,7 @@ def held_out(doc_id: F.Column) -> F.Column:
 def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", with_text: bool = False) -> DataFrame:
     """Toxicity of every row: doc_id, score (and, if asked for, restored: the text with disguised words restored).
 
-    Learned from at most ``TRAINING_ROWS`` labelled rows that aren't held out (of repeated labels the largest counts; null labels none); the
+    Learned from at most ``TRAINING_ROWS`` labelled rows (and ``TRAINING_BYTES``) that aren't held out (of repeated labels the largest counts; null labels none); the
     character model is counted over all rows. Scores depend on texts alone. Null and empty texts get the score of texts without any lexicon
     entry. Rows with null or repeated doc_id are scored like others; an empty table gives an empty table; without usable labels all scores are equal.
     """
@@ -398,14 +466,22 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     known = labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("bigint").alias("doc_id")).agg(F.max(F.col(toxic)).cast("int").alias("y"))
     known = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_ROWS)
-    sample = rows.join(F.broadcast(known), "doc_id").select("doc_id", "text", "y").toArrow()  # bounded by TRAINING_ROWS and repeated ids
+    known = F.broadcast(known)  # at most TRAINING_ROWS rows
+    sizes = rows.join(known, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").collect()
+    took, n, size = [], 0, 0
+    for r in sizes:
+        n, size = n + r["n"], size + (r["bytes"] or 0)
+        if n <= TRAINING_ROWS and size <= TRAINING_BYTES:
+            took.append(r["doc_id"])
+    sample = rows.join(known, "doc_id").where(F.col("doc_id").isin(took)) if len(took) < len(sizes) else rows.join(known, "doc_id")
+    sample = sample.select("doc_id", "text", "y").toArrow()  # bounded by TRAINING_ROWS and TRAINING_BYTES
     order = np.argsort(sample.column("doc_id").to_numpy(), kind="stable")
     sample = sample.take(pa.array(order))
-    lexicon, made_from, rest = learn_lexicon(sample.column("text").to_pylist(), sample.column("y").to_pylist())
+    lexicon, made_from, rest, entries = learn_lexicon(sample.column("text").to_pylist(), sample.column("y").to_pylist())
     counts = character_counts(rows)
     key = f"{zlib.crc32(counts.tobytes())}-{len(lexicon)}-{sum(lexicon)}-{rest}"
     schema = "doc_id bigint, score double" + (", restored string" if with_text else "")
-    return rows.mapInArrow(_score(key, counts, lexicon, made_from, rest, with_text), schema)
+    return rows.mapInArrow(_score(key, (counts, lexicon, made_from, rest, entries), with_text), schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,12 +4,14 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -184,7 +186,7 @@ def test_line_dedup(docs, none, rows):
     order = sorted({(i is None, i or 0, t) for i, t, *_ in rows if t}, key=lambda x: x[:2])
     lines = [x.strip(" \t\n\r\x0b\x0c") for _, _, t in order for x in t.split("\n")]
     lines = {x for x in lines if len(x) >= line_dedup.MIN_CHARS}
-    comp = _components({x: {x[i : i + 10] for i in range(len(x) - 9)} for x in lines}, 80)
+    comp = _components({x: {x[i : i + 5] for i in range(len(x) - 4)} for x in lines}, 80)
     # one line of every component is left, and nothing else went
     kept = Counter()
     texts = {(r["doc_id"], r["text"], r["gone"]) for r in out.collect()}
@@ -333,20 +335,64 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score_toxicity(docs, lab.limit(0)).count() == docs.count() and toxicity.score_toxicity(none, lab).count() == 0
 
 
+def _scorer(words, share=0.9):
+    rnd = random.Random(1)
+    text = " ".join(rnd.choice(WORDS) for _ in range(4000)).encode()
+    counts = np.zeros(toxicity.CLASSES**3, np.int64)
+    for batch in toxicity._trigrams([pa.RecordBatch.from_pydict({"text": [text.decode()]})]):
+        counts[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    lexicon = {toxicity.entry_hash(w): share for w in words}
+    return toxicity.Scorer(counts, lexicon, set(lexicon), 0.1, {w: share for w in words})
+
+
 def test_toxicity_windows():
-    counts = np.bincount(np.zeros(1, np.int64), minlength=toxicity.CLASSES**3)
-    words = ["idiot", "abominations"]
-    lexicon = {toxicity.core_hashes(w)[0]: 0.9 for w in words}
-    scorer = toxicity.Scorer(counts, lexicon, set(lexicon), 0.1)
+    scorer = _scorer(["idiot", "abominations", "scum"])
 
     def score(text):
         data = np.frombuffer(text.encode(), np.uint8)
         return scorer.score(data, np.array([0, len(data)]))[0]
 
-    for bad in ("y o u i d i o t", " ".join("nowwewillseewhatyouarelikeandthatisanidiotforsure"), " ".join("whatabominationsare"), "idi" + "o" * 60 + "t", "this_is_what_we_all_call_" + "x_" * 20 + "1d10t_here"):
-        assert score(bad) >= toxicity.CUT, bad
-    for good in ("y o u a r e k i n d", "this_is_what_we_all_call_" + "x_" * 20 + "nice_here", "o" * 80):
-        assert score(good) < toxicity.CUT, good
+    bad = ["y o u i d i o t", " ".join("nowwewillseewhatyouarelikeandthatisanidiotforsure"), " ".join("whatabominationsare"), "idi" + "o" * 60 + "t"]
+    bad += ["this_is_what_we_all_call_" + "x_" * 20 + "1d10t_here", "I a m s c u m", "x y z w s c u m", "q r t y u s c u m ok", "he is s c u m bag", "you_1d10t", "such sc um here", "ѕсum", "an idiоt", "sсսm"]
+    for text in bad:
+        assert score(text) >= toxicity.CUT, text
+    for text in ("y o u a r e k i n d", "this_is_what_we_all_call_" + "x_" * 20 + "nice_here", "o" * 80, "река stone", "house and garden"):
+        assert score(text) < toxicity.CUT, text
+
+
+def test_lattice_against_all_readings():
+    """Both searches against every path through the lattice."""
+    decoder = _scorer(["stone", "light", "ston", "gar"]).decoder
+    rnd = random.Random(5)
+    for _ in range(300):
+        token = "".join(rnd.choice("st0n3gar1l!*.7") for _ in range(rnd.randint(4, 7)))
+        paths = [("", 0.0, (toxicity.EDGE, toxicity.EDGE))]
+        least = [0.0]
+        for choices in decoder.lattice(token):
+            new = []
+            for w, c, (p, q) in paths:
+                for letter, cost in choices:
+                    if not letter:
+                        new.append((w, c + cost, (p, q)))
+                        continue
+                    k = decoder._class(letter)
+                    new.append((w + letter, c + cost + decoder.cost[p][q][k], (q, k)))
+                    if w[-1:] == letter:
+                        new.append((w, c + cost + toxicity.REPEAT_COST, (p, q)))
+            paths = new
+            least.append(min(c for _, c, _ in paths))
+        word, best = decoder.read(token)
+        assert np.allclose(best, least)
+        end = {}
+        for w, c, (p, q) in paths:
+            end[w] = min(end.get(w, 1e9), c + decoder.cost[p][q][toxicity.EDGE])
+        assert end[word] <= min(end.values()) + 1e-9
+        whole = {w: c for w, c in ((w, c) for i, w, c in decoder.spelled(token) if i == len(token))}
+        want = {}
+        for w, c, _ in paths:
+            if w in decoder.entries:
+                want[w] = min(want.get(w, 1e9), c)
+        assert whole.keys() == want.keys() and all(abs(whole[w] - want[w]) < 1e-9 for w in want)
 
 
 def test_quality(spark, docs, none, rows):
@@ -393,6 +439,34 @@ def test_html_outside_article():
     assert main in html_text.main_text(page) and "Then." in html_text.main_text(page) and "qwe" not in html_text.main_text(page)
 
 
+LONG = "The story of the town is told here and it is the main text of the page, with all of the words that belong to it."
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f'<div class="wrap has-sidebar"><article><p>{LONG}</p></article></div>', [LONG]),
+        (f'<div class="post no-comments"><p>{LONG}</p></div>', [LONG]),
+        (f'<div class="layout-sidebar"><article><p>{LONG}</p></article><div class="sidebar"><p>{LONG}</p></div></div>', [LONG]),
+        (f"<article><p>© {LONG}</p><p>{LONG}</p><p>© us</p></article>", ["© " + LONG, LONG]),
+        (f"<article><svg><style>x</style><text>Axis label</text></svg><template><script>x</script><p>Hidden</p></template><p>{LONG}</p></article>", [LONG]),
+        (f"<article><header><h1>Title</h1><p>By us</p></header><p>{LONG}</p><aside><h3>See also</h3></aside></article>", ["Title", LONG]),
+        (f"<form><article><p>{LONG}</p></article><select><option>one<option>two</select></form>", [LONG]),
+        (f'<article><p>{LONG}</p><div class="related"><article><p>{LONG}</p></article></div><p>qwe asd zxc rty {"fgh vbn " * 10}</p></article>', [LONG, f'qwe asd zxc rty {"fgh vbn " * 10}'.strip()]),
+        (f'<article><p class="ad">Buy this<div>{LONG}</div></article>', [LONG]),
+    ],
+)
+def test_html_structure(page, want):
+    assert html_text.main_text(f"<html><body>{page}</body></html>").split("\n\n") == want
+
+
+def test_html_is_linear():
+    for page in ("<div>" * 40000 + "x", "<a " * 40000, "</p>" * 40000 + "<i>" * 20000, "<svg>" * 20000 + "x", "<div>" * 20000 + "</b>" * 20000):
+        at = time.time()
+        html_text.main_text(page)
+        assert time.time() - at < 2
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (None, "u", "<article><p>Hé</p></article>", "x")], "page_id bigint, url string, html string, text string")
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.extract(df).collect()}
