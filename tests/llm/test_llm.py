@@ -292,19 +292,26 @@ def test_nearest_neighbours(spark):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def test_nearest_neighbours_extreme(spark):
+    rng = np.random.default_rng(1)
+    for size in (1e-170, 1e200, 1e-310):
+        rows = [(i, [float(x) for x in r * size], 0) for i, r in enumerate(rng.normal(size=(60, 8)))] + [(100, [1.0, 2.0], 0), (101, [3.0, 1.0], 0)]
+        got = ann.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()
+        assert Counter(r["query_id"] for r in got) == {0: 20, 20: 20, 40: 20, 100: 1}
+
+
 def test_multi_index_is_exact():
     rng = np.random.default_rng(2)
-    codes = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    codes = rng.integers(0, 2**63, (3000, 4), dtype=np.uint64)
     near = codes[:50].copy()
     for k in range(50):
-        for b in rng.choice(64, rng.integers(0, 12), replace=False):
-            near[k] ^= np.uint64(1) << np.uint64(b)
+        for b in rng.choice(256, rng.integers(0, 60), replace=False):
+            near[k, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
     index = ann.MultiIndex(codes)
-    for radius in (0, 3, 7, 10):
-        masks = index.masks(radius)
+    for radius in (0, 3, 20, 40, 100, 115):
         for c in near:
-            rows, _ = index.within(c, radius, masks)
-            assert rows.tolist() == np.flatnonzero(np.bitwise_count(codes ^ c) <= radius).tolist()
+            rows, _ = index.within(c, radius)
+            assert rows.tolist() == np.flatnonzero(np.bitwise_count(codes ^ c).sum(axis=1) <= radius).tolist()
 
 
 def test_toxicity(spark, docs, none):
