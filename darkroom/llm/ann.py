@@ -98,7 +98,7 @@ class MultiIndex:
             if near < 0 or not len(self.codes):
                 continue
             order, held, offsets, place = self.tables[i]
-            if sum(comb(self.width, k) for k in range(near + 1)) > len(held):
+            if 16 * sum(comb(self.width, k) for k in range(near + 1)) > len(held):  # a probe costs about that many comparisons
                 hit |= (np.bitwise_count(held ^ value) <= near)[place]
                 continue
             if near not in self.cache:
