@@ -1,15 +1,18 @@
 """Token ids of whole texts, with a bounded cache of pre-tokens.
 
 BPE never merges across pre-tokens, so ids of a pre-token can be remembered: most of them repeat. Texts within Latin-1 are cut
-here by the tokenizer's own pattern; any other text, and one that may hold a special token, is encoded whole by the tokenizers library, as is
-every pre-token that the cache lacks. Two pre-tokenizers are known:
+here by the tokenizer's own pattern; any other text, and one that holds an added token, is encoded whole by the tokenizers library, as is
+every pre-token that the cache lacks. Two forms of normalizer and pre-tokenizer are known, and told by the tokenizer's file:
 
 * white space dropped and letters lowered ("words");
 * byte-level with a leading space ("bytes").
+
+Under a file of any other form all texts are encoded whole by the library.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -23,6 +26,19 @@ _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 #: Fixed patterns of the two pre-tokenizers, within Latin-1.
 WORDS = re.compile(f"{_CONTRACTIONS}|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 BYTES = re.compile(f"{_CONTRACTIONS}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+#: Fixed forms of the two, as tokenizer files write them.
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+WORDS_FORM = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            _BYTE_LEVEL | {"use_regex": False},
+        ],
+    },
+)
+BYTES_FORM = (None, _BYTE_LEVEL | {"use_regex": True})
 _PLAIN_WORDS, _PLAIN_BYTES = re.compile(f"[{_L}]+"), re.compile(f" [{_L}]+")
 _encoders: dict = {}
 
@@ -35,7 +51,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.drops_space = self._ask([" "])[0] == b""
+        with open(path, encoding="utf-8") as f:
+            written = json.load(f)
+        form = written.get("normalizer"), written.get("pre_tokenizer")
+        added = [t for t in written.get("added_tokens") or ()]
+        # added tokens that match normalized text, or take white space with them, need the library
+        self.known = form in (WORDS_FORM, BYTES_FORM) and written["model"].get("type") == "BPE" and not any(t["normalized"] or t["lstrip"] or t["rstrip"] for t in added)
+        self.added = [t["content"] for t in added]
+        self.drops_space = form == WORDS_FORM
         self.cut = (WORDS if self.drops_space else BYTES).findall
         self.plain = (_PLAIN_WORDS if self.drops_space else _PLAIN_BYTES).fullmatch
         self.young: dict[str, bytes] = {}
@@ -75,6 +98,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, as little-endian unsigned 32-bit integers."""
+        if not self.known:
+            return self._ask(texts)
         out: list = [None] * len(texts)
         get, cut, held, missing = self.young.get, self.cut, [], set()
         for n, text in enumerate(texts):
@@ -83,7 +108,7 @@ class Encoder:
             except UnicodeEncodeError:
                 out[n] = self._ask([text])[0]
                 continue
-            if "<|" in text:
+            if any(a in text for a in self.added):
                 out[n] = self._ask([text])[0]
                 continue
             parts = cut(text.lower() if self.drops_space else text)

@@ -10,29 +10,31 @@ Selector 0 is an escape: the next word is one raw 64-bit id. Each word takes as
 ``BLOCK``; every block starts at a word of its own, so blocks are coded and decoded side by side in vector operations; the last word of a
 block may hold unused zeros.
 
-File. ``MAGIC``; the words, little-endian; then the footer: word offset of each block (unsigned 64-bit), ids of each document
-(signed 64-bit), doc_id of each document (signed 64-bit), one byte a document that is 1 if its doc_id is null; then five signed 64-bit
-integers (documents, ids, words, blocks, ids a block) and ``MAGIC`` again. A directory holds one file for each range of doc_id, in order.
+File. One section after another, each closed by a line feed. A section holds whole documents: ``MAGIC``; the words, little-endian; word offset of
+each block (unsigned 64-bit), ids of each document (signed 64-bit), doc_id of each document (signed 64-bit), one byte a document that is 1 if
+its doc_id is null; then six signed 64-bit integers (documents, ids, words, blocks, ids a block, bytes of the section), the number of ids in all
+sections before it (64-bit, big-endian) and ``MAGIC`` again. Sections and files, by their names, ascend by doc_id. Files are written
+and read by Spark, so they lie wherever its file systems reach, and tasks commit them whole or not at all.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from darkroom.llm import _text, _tokens
-from darkroom.runtime import scratch_path, ship, shuffle_partitions
+from darkroom.runtime import discard, materialise, scratch_path, ship, shuffle_partitions
 
 MAGIC = b"S8BIDS01"
 BLOCK = 1024
+#: Ids of a section at about, and sections of a file at most.
+SECTION, SECTIONS = 1 << 20, 16
 #: Fixed values of the code: ids and bits by selector; selector 0 is the escape.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0], dtype=np.int64)
 BITS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0], dtype=np.int64)
@@ -139,128 +141,110 @@ def decode_blocks(words: np.ndarray, offsets: np.ndarray, n: int, block: int = B
     return out.reshape(blocks, width)[:, :block].ravel()[:n]
 
 
-class Writer:
-    """Writes one file; documents are added in order, coded words leave memory as blocks fill."""
-
-    def __init__(self, uri: str):
-        self.fs, self.path = pafs.FileSystem.from_uri(uri)
-        self.tmp = f"{self.path}.{uuid.uuid4().hex}.tmp"
-        self.stream = self.fs.open_output_stream(self.tmp)
-        self.stream.write(MAGIC)
-        self.rest = np.zeros(0, U64)
-        self.offsets: list[np.ndarray] = []
-        self.lengths: list[int] = []
-        self.docs: list[int | None] = []
-        self.words = self.ids = 0
-
-    def add(self, docs: list[int | None], ids: list[np.ndarray]) -> None:
-        """Append whole documents."""
-        self.docs += docs
-        self.lengths += [len(x) for x in ids]
-        new = np.concatenate([self.rest, *ids]).astype(U64)
-        whole = len(new) // BLOCK * BLOCK
-        self._code(new[:whole])
-        self.rest = new[whole:]
-
-    def _code(self, values: np.ndarray) -> None:
-        words, offsets = encode_blocks(values)
-        self.offsets.append(offsets + self.words)
-        self.stream.write(words.astype("<u8").tobytes())
-        self.words += len(words)
-        self.ids += len(values)
-
-    def close(self) -> None:
-        """Write the footer and give the file its name; a second attempt replaces it with equal content."""
-        self._code(self.rest)
-        offsets = np.concatenate(self.offsets)
-        for x in (
-            offsets.astype("<u8"), np.array(self.lengths, "<i8"), np.array([d or 0 for d in self.docs], "<i8"),
-            np.array([d is None for d in self.docs], "u1"), np.array([len(self.docs), self.ids, self.words, len(offsets), BLOCK], "<i8"),
-        ):
-            self.stream.write(x.tobytes())
-        self.stream.write(MAGIC)
-        self.stream.close()
-        self.fs.move(self.tmp, self.path)
-
-
-def read_file(uri: str) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """doc_ids, ids of each document (lengths) and all ids of a file."""
-    fs, path = pafs.FileSystem.from_uri(uri)
-    with fs.open_input_file(path) as f:
-        data = f.read()
-    if data[:8] != MAGIC or data[-8:] != MAGIC:
-        raise ValueError(f"{uri} is no file of this format, or not whole")
-    docs, n, words, blocks, block = np.frombuffer(data, "<i8", 5, len(data) - 48).tolist()
-    at = 8
-    coded = np.frombuffer(data, "<u8", words, at)
-    offsets = np.frombuffer(data, "<u8", blocks, at := at + 8 * words).astype(np.int64)
-    lengths = np.frombuffer(data, "<i8", docs, at := at + 8 * blocks)
-    ids = np.frombuffer(data, "<i8", docs, at := at + 8 * docs)
-    null = np.frombuffer(data, "u1", docs, at + 8 * docs)
-    return [None if z else int(i) for i, z in zip(ids, null)], lengths, decode_blocks(coded, offsets, n, block)
-
-
-def _write(tokenizer: str, target: str, end_id: int):
+def pack_section(docs: list[int | None], ids: list[np.ndarray]) -> bytes:
+    """A section of whole documents, up to (without) the number of ids before it."""
+    words, offsets = encode_blocks(np.concatenate([np.zeros(0, U64), *ids]).astype(U64))
+    lengths = np.array([len(x) for x in ids], "<i8")
+    parts = [
+        MAGIC, words.astype("<u8").tobytes(), offsets.astype("<u8").tobytes(), lengths.tobytes(), np.array([d or 0 for d in docs], "<i8").tobytes(),
+        np.array([d is None for d in docs], "u1").tobytes(),
+    ]
+    size = sum(map(len, parts)) + 7 * 8 + len(MAGIC)
+    return b"".join([*parts, np.array([len(docs), int(lengths.sum()), len(words), len(offsets), BLOCK, size], "<i8").tobytes()])
+
+
+def read_sections(data: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray, int]]:
+    """doc_ids, ids of each document (lengths), all ids, and ids before them, of every section of a file, last section first."""
+    end = len(data)
+    while end:
+        if data[end - 1 : end] != b"\n" or data[end - 9 : end - 1] != MAGIC:
+            raise ValueError("no file of this format, or not whole")
+        end -= 1
+        before = int.from_bytes(data[end - 16 : end - 8], "big")
+        docs, n, words, blocks, block, size = np.frombuffer(data, "<i8", 6, end - 64).tolist()
+        at = end - size
+        if at < 0 or data[at : at + 8] != MAGIC:
+            raise ValueError("no file of this format, or not whole")
+        end, at = at, at + 8
+        coded = np.frombuffer(data, "<u8", words, at)
+        offsets = np.frombuffer(data, "<u8", blocks, at := at + 8 * words).astype(np.int64)
+        lengths = np.frombuffer(data, "<i8", docs, at := at + 8 * blocks)
+        ids = np.frombuffer(data, "<i8", docs, at := at + 8 * docs)
+        null = np.frombuffer(data, "u1", docs, at + 8 * docs)
+        yield [None if z else int(i) for i, z in zip(ids, null)], lengths, decode_blocks(coded, offsets, n, block), before
+
+
+def _encode(tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        encode, tail, writer = _tokens.encoder(tokenizer).encode, np.array([end_id], "<u4"), None
+        part, seq = TaskContext.get().partitionId(), 0
+        encode, tail = _tokens.encoder(tokenizer).encode, np.array([end_id], "<u4")
+        docs: list[int | None] = []
+        ids: list[np.ndarray] = []
+        held = 0
+
+        def section() -> pa.RecordBatch:
+            columns = {"part": part, "seq": seq, "n_docs": len(docs), "n_ids": held}
+            return pa.RecordBatch.from_pydict({k: pa.array([v], pa.int64()) for k, v in columns.items()} | {"data": pa.array([pack_section(docs, ids)], pa.binary())})
+
         for batch, _, _ in _text.slices(batches):
-            writer = writer or Writer(f"{target}/part-{part:06d}.s8b")
-            texts = batch.column(1).fill_null("").to_pylist()
-            writer.add(batch.column(0).to_pylist(), [np.concatenate([np.frombuffer(x, "<u4"), tail]) for x in encode(texts)])
-        if writer:
-            writer.close()
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "n_docs": pa.array([len(writer.docs)], pa.int64()), "n_ids": pa.array([writer.ids], pa.int64())})
+            for doc, x in zip(batch.column(0).to_pylist(), encode(batch.column(1).fill_null("").to_pylist())):
+                docs.append(doc)
+                ids.append(np.concatenate([np.frombuffer(x, "<u4"), tail]))
+                held += len(ids[-1])
+                if held >= SECTION:
+                    yield section()
+                    seq += 1
+                    docs, ids, held = [], [], 0
+        if docs:
+            yield section()
 
     return run
 
 
-def write_ids(docs: DataFrame, target: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID) -> list[tuple[str, int]]:
-    """Encode whole texts and write their ids, each document closed by ``end_id``, in ascending doc_id order.
+def write_ids(docs: DataFrame, target: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID) -> str:
+    """Encode whole texts and write their ids, each document closed by ``end_id``, in ascending doc_id order. Returns ``target``, a new folder.
 
-    Documents are dealt to files by ranges of (doc_id, text hash), null doc_id first, so rows that repeat a doc_id may spread. Null texts count
-    as empty (the end id alone). Returns (file, ids before it) for every file; an empty table has none. Other columns are ignored.
-    The driver sees two numbers a file.
+    Documents are dealt to sections by ranges of (doc_id, text hash), null doc_id first, so rows that repeat a doc_id may spread. Null texts count
+    as empty (the end id alone). An empty table gives no sections. Other columns are ignored. A section holds about ``SECTION`` ids, a
+    file at most ``SECTIONS`` sections, so neither grows with the table (one document is never cut).
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     dealt = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-    pafs_dir, path = pafs.FileSystem.from_uri(target)
-    pafs_dir.create_dir(path, recursive=True)
-    written = dealt.mapInArrow(_write(tokenizer, target, end_id), "part bigint, n_docs bigint, n_ids bigint").collect()
-    files, before = [], 0
-    for r in sorted(written, key=lambda r: r["part"]):
-        files.append((f"{target}/part-{r['part']:06d}.s8b", before))
-        before += r["n_ids"]
-    return files
-
-
-def _read(files: list[tuple[str, int]]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in batch.column(0).to_pylist():
-                uri, before = files[i]
-                docs, lengths, ids = read_file(uri)
-                ids = ids.astype("<u4")
+    sections = materialise(dealt.mapInArrow(_encode(tokenizer, end_id), "part bigint, seq bigint, n_docs bigint, n_ids bigint, data binary"), "token-sections")
+    # one row a part, then one a section: what is before each
+    before = lambda *o: F.coalesce(F.sum("n_ids").over(Window.partitionBy(*o[:-1]).orderBy(o[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = sections.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", before("part").alias("part_start"))
+    starts = sections.select("part", "seq", before("part", "seq").alias("start"))
+    starts = materialise(starts.join(parts, "part").select("part", "seq", (F.col("part_start") + F.col("start")).alias("start")), "token-starts")
+    placed = sections.join(starts, ["part", "seq"])
+    whole = F.concat("data", F.unhex(F.lpad(F.hex("start"), 16, "0")), F.lit(bytearray(MAGIC)))
+    placed = placed.select("part", "seq", whole.cast("string").alias("value"))  # bytes as they are
+    files = placed.repartitionByRange(shuffle_partitions(spark), "part", "seq").sortWithinPartitions("part", "seq").select("value")
+    files.write.option("maxRecordsPerFile", SECTIONS).text(target)
+    discard(sections, starts)
+    return target
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            for docs, lengths, ids, before in read_sections(batch.column(0)[i].as_py()):
                 ends = np.cumsum(lengths)
-                view = memoryview(ids).cast("B")
+                view = memoryview(ids.astype("<u4")).cast("B")
                 crc = [zlib.crc32(view[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist())]
                 yield pa.RecordBatch.from_pydict(
                     {"doc_id": pa.array(docs, pa.int64()), "start": pa.array(before + ends - lengths), "n_tokens": pa.array(lengths.astype(np.int64)), "ids_crc32": pa.array(crc, pa.int64())}
                 )
 
-    return run
-
 
-def read_digest(spark: SparkSession, files: list[tuple[str, int]]) -> DataFrame:
+def read_digest(spark: SparkSession, target: str) -> DataFrame:
     """Read files back: doc_id, start, n_tokens and ids_crc32 (of ids as little-endian unsigned 32-bit) of every document."""
-    schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
-    if not files:
-        return spark.createDataFrame([], schema)
     ship(spark)
-    return spark.range(0, len(files), 1, len(files)).mapInArrow(_read(files), schema)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(target).select("content")
+    return files.mapInArrow(_read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
