@@ -71,13 +71,13 @@ def mix(
 
     Null text counts as empty (size 0, taken 0). Null source is a source of its own. Null or repeated doc_id
     rows are rows like others; rows that tie in key, doc_id and size are interchangeable. An empty table gives an empty table;
-    other columns are ignored. Reruns agree, because keys depend on doc_id and seed only.
+    other columns are ignored. Reruns agree, because keys depend on doc_id and seed only (without doc_id on the text).
     """
     spark = docs.sparkSession
     narrow = materialise(
         docs.select(
             F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"),
-            F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":" + seed)).cast("binary")).alias("key"),
+            F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":" + seed), F.when(F.col(doc_id).isNull(), F.concat(F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))).otherwise("")).cast("binary")).alias("key"),
             F.xxhash64(F.col(text)).alias("tie"),
         ),
         "mix-sizes",
@@ -113,7 +113,7 @@ def _first_words(text: Column, n: Column) -> Column:
 
 
 def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", n_chars: str | None = "n_chars", **parameters) -> DataFrame:
-    """The rows of the mix, with the columns of ``docs``: each document as often as its source's epochs take it.
+    """The rows of the mix, with the columns of ``docs`` (of any names): each document as often as its source's epochs take it.
 
     The document at the end of a budget comes once with its first words only, and ``n_chars`` (if there is such a column) is counted again there.
     Documents without words stay once. Of rows that agree in doc_id, source and text, each is taken on its own.
@@ -121,28 +121,30 @@ def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: s
     taken = mix(docs, text, doc_id, source, **parameters)
     # equal rows are taken alike but for the one at the budget's end: number them
     order = Window.partitionBy("doc_id", "source", "tie").orderBy("taken")
-    taken = materialise(taken.select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("tie").alias("_t"), F.col("size").alias("_size"), F.col("taken").alias("_taken"), F.row_number().over(order).alias("_n")), "mix-taken")
-    repeated = taken.where("_n > 1").limit(1).count() > 0
-    rows = docs.withColumn("_hash", F.xxhash64(F.col(text)))
-    same = (F.col("_hash") == F.col("_t")) & F.col(doc_id).eqNullSafe(F.col("_i")) & F.col(source).eqNullSafe(F.col("_s"))
+    taken = taken.select(F.col("doc_id").alias("its_id"), F.col("source").alias("its_source"), F.col("tie").alias("its_tie"), "size", "taken", F.row_number().over(order).alias("its_n"))
+    taken = materialise(taken, "mix-taken")
+    repeated = taken.where("its_n > 1").limit(1).count() > 0
+    rows = docs.select(F.struct(F.expr("*")).alias("row"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{source}`").alias("source"), F.xxhash64(F.col(f"`{text}`")).alias("tie"))
+    same = (F.col("tie") == F.col("its_tie")) & F.col("id").eqNullSafe(F.col("its_id")) & F.col("source").eqNullSafe(F.col("its_source"))
     if repeated:
-        number = F.row_number().over(Window.partitionBy(doc_id, source, "_hash").orderBy(F.lit(0)))
-        rows = rows.withColumn("_k", number)
-        same = same & (F.col("_k") == F.col("_n"))
-    joined = rows.join(taken.where("_taken > 0 OR _size = 0"), same)
-    whole = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size"))).otherwise(F.lit(1))
-    part = F.when(F.col("_size") > 0, F.col("_taken") % F.col("_size")).otherwise(F.lit(0))
-    copies = joined.withColumn("_words", F.explode(F.concat(F.array_repeat(F.lit(-1).cast("bigint"), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))))
-    cut = F.col("_words") >= 0
-    short = F.when(cut, _first_words(F.col(text), F.col("_words"))).otherwise(F.col(text))
+        rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("id", "source", "tie").orderBy(F.lit(0))))
+        same = same & (F.col("n") == F.col("its_n"))
+    joined = rows.join(taken.where("taken > 0 OR size = 0"), same)
+    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(1))
+    part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0))
+    pieces = F.concat(F.array_repeat(F.lit(-1).cast("bigint"), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
+    copies = joined.select("row", F.explode(pieces).alias("first"))
+    cut = F.col("first") >= 0
+    own = lambda c: F.col("row")[c]
+    short = F.when(cut, _first_words(own(text), F.col("first"))).otherwise(own(text))
     out = []
     for c in docs.columns:
+        value = own(c)
         if c == text:
-            out.append(short.alias(c))
+            value = short
         elif c == n_chars:
-            out.append(F.when(cut, F.char_length(short).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
-        else:
-            out.append(F.col(f"`{c}`"))
+            value = F.when(cut, F.char_length(short).cast(docs.schema[c].dataType)).otherwise(value)
+        out.append(value.alias(c))
     return copies.select(*out)
 
 
@@ -155,7 +157,7 @@ def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':mix')) AS k, text
+         md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':mix', CASE WHEN doc_id IS NULL THEN concat(':', md5(coalesce(text, ''))) ELSE '' END)) AS k, text
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (
