@@ -11,8 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from darkroom.llm import _text
 from darkroom.runtime import materialise, ship
@@ -129,30 +131,30 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
 
 
 def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """The rows of ``docs`` that pass base rules and host verdict, unchanged.
+    """The rows of ``docs`` that pass base rules and host verdict, unchanged, with all columns (of any names).
 
-    Verdicts depend on text and host only, so the base verdict is taken again while streaming over the texts
-    and only host verdicts are joined: no text is shuffled.
+    Verdicts depend on text and host only. One pass judges all texts and writes the rows that pass the base rules; the rows of hosts that
+    are then rejected are left out when these are read. No text is shuffled.
     """
-    ship(docs.sparkSession)
     spark = docs.sparkSession
-    names = docs.columns
-    texts = docs.select(F.col(host).cast("string").alias("host"), F.col(text).alias("text"))
-    judged = materialise(texts.mapInArrow(_stats, "host string, " + STATS).select("host", base_failed().alias("base_failed")).groupBy("host", "base_failed").agg(F.count(F.lit(1)).alias("n")), "quality-counts")
-    totals = judged.groupBy("host").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("base_failed"), F.col("n")).otherwise(0)).alias("failed"))
-    hosts = materialise(_shrunk(totals, limit).select(F.col("host").alias("_host"), "rejected"), "quality-hosts")
-    passing = docs.mapInArrow(_passing(text), docs.schema)
-    out = passing.join(hosts, F.col(host).cast("string").eqNullSafe(F.col("_host")), "left")
-    return out.where(~F.coalesce("rejected", F.lit(False))).select(*[F.col(f"`{n}`") for n in names])
-
-
-def _passing(text: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, buf, offsets in _text.slices(batches, text):
-            words, _, _, _, repeat = text_stats(buf, offsets)
-            yield batch.filter(pa.array(~((words < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * words))))
-
-    return run
+    ship(spark)
+    rows = docs.select(F.struct(F.expr("*")).alias("row"), F.col(f"`{host}`").cast("string").alias("host"), F.col(f"`{text}`").alias("text"))
+    schema = StructType([StructField("row", rows.schema["row"].dataType), rows.schema["host"], StructField("base_failed", BooleanType())])
+    judged = materialise(rows.mapInArrow(_passing, schema), "quality-rows")
+    totals = judged.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("bigint")).alias("failed"))
+    # rejected hosts; a table that Spark broadcasts while it is under its size limit
+    hosts = materialise(_shrunk(totals, limit).where("rejected").select(F.col("host").alias("bad_host")), "quality-hosts")
+    passing = judged.where("NOT base_failed")
+    return passing.join(hosts, F.col("host").eqNullSafe(F.col("bad_host")), "left_anti").select("row.*")
+
+
+def _passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, host, base_failed); rows that fail are null."""
+    for batch, buf, offsets in _text.slices(batches):
+        words, _, _, _, repeat = text_stats(buf, offsets)
+        failed = pa.array((words < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * words))
+        row = pc.if_else(failed, pa.scalar(None, batch.schema.field("row").type), batch.column(0))
+        yield pa.RecordBatch.from_arrays([row, batch.column(1), failed], ["row", "host", "base_failed"])
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
