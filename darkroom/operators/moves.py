@@ -5,10 +5,16 @@ from __future__ import annotations
 import os
 import shutil
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from darkroom.functions.paths import basename, parent, stem, suffix
+from darkroom.runtime import materialise
+
+
+def absolute(path: str) -> str:
+    """A local path as listings have it: absolute, with symbolic links followed; a path with a scheme stays as it is."""
+    return path.rstrip("/") if "://" in path else os.path.realpath(os.path.expanduser(path))
 
 
 def relative_targets(items: DataFrame, roots: list[str], dest: str) -> DataFrame:
@@ -19,32 +25,42 @@ def relative_targets(items: DataFrame, roots: list[str], dest: str) -> DataFrame
     return items.withColumn("target", F.concat(F.lit(dest.rstrip("/") + "/"), below))
 
 
-def resolve_collisions(plan: DataFrame, existing: DataFrame | None = None, order: str = "seq", max_rounds: int = 100) -> DataFrame:
+def _numbered(path: Column, n: Column) -> Column:
+    """A path with ``__n`` before its extension; 0 leaves it as it is."""
+    return F.when(n == 0, path).otherwise(F.concat(parent(path), F.lit("/"), stem(path), F.lit("__"), n.cast("string"), suffix(path)))
+
+
+def resolve_collisions(plan: DataFrame, existing: DataFrame | None = None, order: str = "seq", max_rounds: int = 40) -> DataFrame:
     """Targets made unique: the n-th of equal targets, or one that exists, gets ``__n`` before its extension.
 
-    Rounds number the clashing rows of each target behind all earlier attempts, until none clashes with another row or an existing name.
+    A window numbers the rows that want a name, from 0, and each takes the n-th numbered form of it. Only rows whose numbered form exists already, or is what
+    another row wants, need a further round, in which they are numbered on behind their name's last number; so rounds count chance clashes of
+    generated names, not copies of one name.
     """
-    from darkroom.runtime import materialise
-
     taken = existing.select(F.col("path").alias("target")).distinct() if existing is not None else None
-    wanted = plan.withColumn("_want", F.col("target")).withColumn("_n", F.lit(0))
+    want = "want_" + "_".join(plan.columns)
+    rows = plan.withColumn(want, F.col("target")).withColumn(want + "_from", F.lit(0).cast("bigint"))
     done = None
     for _ in range(max_rounds):
-        rank = F.row_number().over(Window.partitionBy("target").orderBy("_n", order))
-        wanted = wanted.withColumn("_free", rank == 1)
+        rank = F.row_number().over(Window.partitionBy(want).orderBy(order)) - 1
+        rows = rows.withColumn(want + "_n", F.col(want + "_from") + rank)
+        rows = rows.withColumn("target", _numbered(F.col(want), F.col(want + "_n")))
+        # of rows that meet at a name, the one that wants it as it is comes first
+        first = F.row_number().over(Window.partitionBy("target").orderBy(want + "_n", order)) == 1
+        rows = rows.withColumn(want + "_free", first)
         if taken is not None:
-            wanted = wanted.join(taken.withColumn("_taken", F.lit(True)), "target", "left").withColumn("_free", F.col("_free") & F.col("_taken").isNull()).drop("_taken")
-        wanted = materialise(wanted, "moves")
-        free, rest = wanted.where("_free").drop("_free"), wanted.where("NOT _free").drop("_free")
-        done = free if done is None else done.unionByName(free)
-        if not rest.limit(1).count():
-            return done.drop("_want", "_n")
-        now = free.select("target")
-        taken = now if taken is None else taken.unionAll(now).distinct()
-        rest = rest.withColumn("_n", F.col("_n") + 1)
-        name = F.concat(stem(F.col("_want")), F.lit("__"), F.col("_n").cast("string"), suffix(F.col("_want")))
-        wanted = rest.withColumn("target", F.concat(parent(F.col("_want")), F.lit("/"), name))
-    raise RuntimeError("names still clash")
+            rows = rows.join(taken.withColumn(want + "_taken", F.lit(True)), "target", "left")
+            rows = rows.withColumn(want + "_free", F.col(want + "_free") & F.col(want + "_taken").isNull()).drop(want + "_taken")
+        rows = materialise(rows, "moves")
+        free, rest = rows.where(want + "_free"), rows.where(f"NOT {want}_free")
+        now = free.select(*plan.columns)
+        done = now if done is None else done.unionByName(now)
+        if rest.isEmpty():
+            return done
+        taken = now.select("target") if taken is None else taken.unionAll(now.select("target"))
+        last = rows.groupBy(want).agg((F.max(want + "_n") + 1).alias(want + "_from"))
+        rows = rest.select(*plan.columns, want).join(last, want)
+    raise RuntimeError(f"generated names still clash after {max_rounds} rounds")
 
 
 def quarantine_plan(photos: DataFrame, tiers: tuple[str, ...], roots: list[str], dest: str, listing: DataFrame | None = None, existing: DataFrame | None = None) -> DataFrame:
@@ -63,8 +79,18 @@ def companions(items: DataFrame, files: DataFrame) -> DataFrame:
     return items.select("path").distinct().join(found, "path", "left").withColumn("companions", F.coalesce("companions", F.array().cast("array<string>")))
 
 
+def expected_companions(requested: DataFrame, with_companions: DataFrame, items: DataFrame) -> DataFrame:
+    """One row: how many files a request would move beside its own ones, each once, for a question before it is carried out."""
+    own = items.join(requested.select("seq").distinct(), "seq", "left_semi").select("path")
+    more = own.join(with_companions, "path").select(F.explode("companions").alias("path")).join(own, "path", "left_anti")
+    return more.agg(F.countDistinct("path").alias("n_companions"))
+
+
 def action_plan(requested: DataFrame, items: DataFrame, with_companions: DataFrame | None = None) -> DataFrame:
-    """Files that a request moves: (owner, path, is_companion), each path once, for its first owner; unknown items drop."""
+    """Files that a request moves: (owner, path, is_companion), each path once, for its first owner; unknown items drop.
+
+    A companion that is gone since it was listed drops if ``with_companions`` was made from a fresh listing (see ``existing_companions``).
+    """
     own = items.join(requested.select("seq").distinct(), "seq", "left_semi")
     rows = own.select(F.col("seq").alias("owner"), "path", F.lit(False).alias("is_companion"))
     if with_companions is not None:
@@ -75,8 +101,12 @@ def action_plan(requested: DataFrame, items: DataFrame, with_companions: DataFra
 
 
 def accounting(log: DataFrame, items: DataFrame) -> DataFrame:
-    """Per action: owners, files, bytes freed (restores count against) and whether every file of every owner moved."""
-    size = log.join(items.select("path", F.col("file_bytes").alias("report_bytes")), log["orig"] == items["path"], "left").drop("path")
+    """Per action: owners, files, bytes freed (restores count against) and whether every file of every owner moved.
+
+    Of items that repeat a path, the one with the largest size counts.
+    """
+    sizes = items.groupBy("path").agg(F.max("file_bytes").alias("report_bytes"))
+    size = log.join(sizes, log["orig"] == sizes["path"], "left").drop("path")
     freed = F.coalesce("report_bytes", "stat_bytes", F.lit(0)) * F.when(F.col("undone"), -1).otherwise(1)
     return size.groupBy("action_id").agg(
         F.countDistinct("owner").alias("owners"), F.count(F.lit(1)).alias("files"), F.sum(F.when(F.col("ok"), freed).otherwise(0)).alias("freed"), F.bool_and("ok").alias("all_ok")
@@ -89,12 +119,56 @@ def undo_plan(log: DataFrame) -> DataFrame:
     return log.where("ok").join(F.broadcast(last), "action_id").select("owner", F.col("dest").alias("path"), F.col("orig").alias("target"))
 
 
-def execute(plan: DataFrame, dry_run: bool = True) -> int:
-    """Carry out a plan on the files that the driver sees; returns the number of moves. A dry run moves nothing."""
-    moved = 0
-    for row in plan.toLocalIterator():
-        if not dry_run:
-            os.makedirs(os.path.dirname(row["target"]), exist_ok=True)
-            shutil.move(row["path"], row["target"])
-        moved += 1
-    return moved
+def existing_companions(found: DataFrame, listing: DataFrame) -> DataFrame:
+    """Companions that a fresh listing still has: path, companions."""
+    there = listing.select(F.col("path").alias("one")).distinct()
+    still = found.select("path", F.explode("companions").alias("one")).join(there, "one", "left_semi").groupBy("path").agg(F.array_sort(F.collect_set("one")).alias("companions"))
+    return found.select("path").join(still, "path", "left").withColumn("companions", F.coalesce("companions", F.array().cast("array<string>")))
+
+
+LOG = "action_id bigint, owner bigint, orig string, dest string, is_companion boolean, ok boolean, undone boolean, error string, stat_bytes bigint"
+
+
+def execute(plan: DataFrame, dry_run: bool = True, action_id: int = 0) -> DataFrame:
+    """Carry out a plan on the files that the driver sees, and return its log (``LOG``), one row a file of the plan.
+
+    ``plan`` has path and target, and may have owner (else seq) and is_companion. A move never replaces a file: if the target exists, or the source is
+    gone, the row's ``ok`` is false, ``error`` says why, and the rest goes on. A dry run moves nothing and logs what would be done. Files are moved one
+    after another by the driver, as they lie on its disk; rows are streamed and the log is written in slices.
+    """
+    spark = plan.sparkSession
+    owner = F.col("owner") if "owner" in plan.columns else F.col("seq") if "seq" in plan.columns else F.lit(None)
+    rows = plan.select(owner.cast("bigint").alias("owner"), "path", "target", (F.col("is_companion") if "is_companion" in plan.columns else F.lit(False)).alias("is_companion"))
+    log, done = spark.createDataFrame([], LOG), []
+    for row in rows.toLocalIterator():
+        error, size = "", None
+        try:
+            size = os.stat(row["path"]).st_size
+            if os.path.lexists(row["target"]):
+                raise FileExistsError(f"there is a file already: {row['target']}")
+            if not dry_run:
+                os.makedirs(os.path.dirname(row["target"]), exist_ok=True)
+                shutil.move(row["path"], row["target"])
+        except OSError as e:
+            error = str(e)
+        done.append((action_id, row["owner"], row["path"], row["target"], row["is_companion"], not error and not dry_run, False, error, size))
+        if len(done) == 10_000:
+            log, done = materialise(log.unionAll(spark.createDataFrame(done, LOG)), "move-log"), []
+    return log.unionAll(spark.createDataFrame(done, LOG)) if done else log
+
+
+def undo(log: DataFrame, dry_run: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Take the last action back: (log with the rows that went back marked as undone, log of the way back).
+
+    A file whose old place is taken meanwhile stays where it is.
+    """
+    back = materialise(execute(undo_plan(log), dry_run, -1), "undo-log")
+    returned = back.where("ok").select(F.col("dest").alias("orig"), F.col("orig").alias("dest"), F.lit(True).alias("back"))
+    marked = log.join(returned, ["orig", "dest"], "left").withColumn("undone", F.col("undone") | F.coalesce("back", F.lit(False)))
+    return marked.select(*log.columns), back
+
+
+def trash_plan(items: DataFrame, trash: str, existing: DataFrame | None = None) -> DataFrame:
+    """(owner, path, is_companion, target) of files that go to a trash folder by bare name, without replacing what is there."""
+    rows = items.withColumn("target", F.concat(F.lit(trash.rstrip("/") + "/"), basename(F.col("path"))))
+    return resolve_collisions(rows, existing, "path").select("owner", "path", "is_companion", "target")

@@ -22,18 +22,24 @@ def worst_first() -> list[Column]:
 
 
 def with_position(photos: DataFrame) -> DataFrame:
-    """Position in the report, from 0, without sorting everything in one task.
+    """Position in the report, from 0."""
+    return numbered_rows(photos, worst_first(), "pos")
+
+
+def numbered_rows(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``rows`` with their number in an order, from 0, without sorting everything in one task.
 
     Rows are range-partitioned and numbered in their partition; partitions start where the ones before them end.
     """
     from darkroom.runtime import materialise, shuffle_partitions
 
-    ranged = photos.repartitionByRange(shuffle_partitions(photos.sparkSession), *worst_first()).withColumn("_part", F.spark_partition_id())
-    ranged = materialise(ranged, "report-order")  # fixes which row lies in which partition
+    ranged = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *order).withColumn("_part", F.spark_partition_id())
+    ranged = materialise(ranged, "row-order")  # fixes which row lies in which partition
     starts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
     starts = starts.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*worst_first())) - 1
-    return ranged.withColumn("_inside", inside).join(F.broadcast(starts), "_part").withColumn("pos", F.col("_start") + F.col("_inside")).drop("_part", "_start", "_inside")
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    ranged = ranged.withColumn("_inside", inside).join(F.broadcast(starts), "_part")  # one row a partition
+    return ranged.withColumn(name, (F.col("_start") + F.col("_inside")).cast("bigint")).drop("_part", "_start", "_inside")
 
 
 def report_rows(photos: DataFrame) -> DataFrame:

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from darkroom.operators import cache as cache_ops
 from darkroom.operators import dedupe as dedupe_ops
-from darkroom.operators.moves import execute, quarantine_plan
-from darkroom.operators.report import albums_by_signal, albums_by_tier, delete_reasons, reclaimable, tier_summary
+from darkroom.operators.moves import absolute, execute, quarantine_plan
+from darkroom.operators.report import albums_by_signal, albums_by_tier, delete_reasons, numbered_rows, reclaimable, replace_albums, tier_summary
 from darkroom.params import RunOptions
 from darkroom.runtime import drop_path, materialise
-from darkroom.schema import CACHE, METRIC_NAMES, METRICS_VERSION
+from darkroom.schema import CACHE, METRIC_NAMES, METRICS, METRICS_VERSION
 from darkroom.signals import Thresholds, with_verdict
-from darkroom.sources import files
+from darkroom.sources import files, library
 from darkroom.sources.report import write_report
 
 
@@ -33,22 +33,52 @@ class FilesystemSource:
     """Image files under roots."""
 
     def __init__(self, roots: list[str], recursive: bool = False, skip: str | None = None, scorer=None):
-        self.roots, self.recursive, self.skip, self.scorer, self.missing = roots, recursive, skip, scorer, []
+        self.roots, self.recursive, self.scorer, self.missing = [absolute(r) for r in roots], recursive, scorer, []
+        self.skip = absolute(skip) if skip else None
 
     def collect(self, spark: SparkSession) -> DataFrame:
         """The listing in root and path order."""
         found, self.missing = files.scan(spark, self.roots, self.recursive, self.skip)
-        from pyspark.sql import Window
-
-        seq = F.row_number().over(Window.orderBy("root_ord", F.split("path", "/"))) - 1
-        return found.select(seq.cast("bigint").alias("seq"), F.col("path").alias("cache_id"), "path", F.lit("").alias("asset_id"), "size", "mtime")
+        numbered = numbered_rows(found, [F.col("root_ord"), F.split("path", "/")], "seq")
+        return numbered.select("seq", F.col("path").alias("cache_id"), "path", F.lit("").alias("asset_id"), "size", "mtime")
 
     def analyse(self, items: DataFrame, outputs: frozenset[str]) -> DataFrame:
         """Metrics of listed files, read by the executors."""
-        paths = [r["path"] for r in items.select("path").toLocalIterator()]  # Spark's readers take a list of paths
-        if not paths:
-            return items.sparkSession.createDataFrame([], f"cache_id string, {CACHE.split('computed_mask int, ')[1]}")
-        return files.analyse(items.sparkSession, paths, outputs, self.scorer).withColumnRenamed("path", "cache_id")
+        return files.analyse(items.select("path", "size"), outputs, self.scorer).withColumnRenamed("path", "cache_id")
+
+
+class LibrarySource:
+    """Images of a photo library's catalogue: tables of assets, albums and membership, and where the assets' pixels are.
+
+    ``fetch`` are the options of ``library.enumerate_assets``. An asset has ``location`` (a file) unless its pixels are in the cloud only; then it comes out
+    with an error, unless the network may be used and ``location`` is where they are downloaded to.
+    """
+
+    def __init__(self, assets: DataFrame, albums: DataFrame | None = None, membership: DataFrame | None = None, allow_network: bool = False, scorer=None, **fetch):
+        self.assets, self.albums, self.membership, self.allow_network, self.scorer, self.fetch = assets, albums, membership, allow_network, scorer, fetch
+        self.missing: list[str] = []
+
+    def collect(self, spark: SparkSession) -> DataFrame:
+        """The fetched assets, newest first, by asset_id; their mtime is the modification date, their size the pixels'."""
+        found = library.enumerate_assets(self.assets, self.albums, self.membership, **self.fetch)
+        when = F.unix_micros(F.coalesce("modification_date", "creation_date"))
+        area = F.col("pixel_width").cast("bigint") * F.col("pixel_height")
+        found = found.select(
+            "creation_date", F.col("asset_id").alias("cache_id"), library.display_name().alias("path"), "asset_id", F.coalesce(area, F.lit(0)).alias("size"), F.coalesce(when, F.lit(0)).alias("mtime"),
+            library.cloud_error(self.allow_network).alias("gate"), "location",
+        )
+        return numbered_rows(found, [F.desc("creation_date"), F.col("asset_id")], "seq").drop("creation_date")
+
+    def analyse(self, items: DataFrame, outputs: frozenset[str]) -> DataFrame:
+        """Metrics of fetched assets: those whose pixels are here are decoded, the others are errors."""
+        here = materialise(items.where("gate = '' AND location IS NOT NULL").select("cache_id", F.col("location").alias("path"), "size"), "assets-here")
+        names = [n for n in METRIC_NAMES]
+        done = here.select("cache_id", "path").join(files.analyse(here, outputs, self.scorer), "path").select("cache_id", *names)
+        gone = items.join(done.select("cache_id"), "cache_id", "left_anti")
+        why = F.when(F.col("gate") != "", F.col("gate")).otherwise("no pixels")
+        blank = {n: F.lit("") if k == "string" else F.lit(None).cast(k) if n in ("aesthetic", "is_utility", "face_quality", "fprint") else F.lit(0).cast(k) for n, k in (x.split() for x in METRICS.split(", "))}
+        failed = gone.select("cache_id", *[(why if n == "error" else blank[n]).alias(n) for n in names])
+        return done.unionByName(failed)
 
 
 def run(spark: SparkSession, source: Source, options: RunOptions = RunOptions(), thresholds: Thresholds = Thresholds(), cache_path: str | None = None) -> DataFrame:
@@ -69,7 +99,7 @@ def run(spark: SparkSession, source: Source, options: RunOptions = RunOptions(),
     if cache_path:
         new = materialise(cache_ops.upsert(old, fresh), "cache")
         swap(spark, new, cache_path)
-    rows = items.drop("size", "mtime").join(metrics.drop("size", "mtime", "ver", "computed_mask"), "cache_id").drop("cache_id")
+    rows = items.drop("size", "mtime", "gate", "location").join(metrics.drop("size", "mtime", "ver", "computed_mask"), "cache_id").drop("cache_id")
     judged = with_verdict(rows, options.enabled, thresholds)
     if options.dedupe:
         judged = materialise(judged, "judged")
@@ -78,11 +108,22 @@ def run(spark: SparkSession, source: Source, options: RunOptions = RunOptions(),
 
 
 def swap(spark: SparkSession, table: DataFrame, path: str) -> None:
-    """Replace a folder by a table: written beside it, then renamed, so a failed write leaves the old one."""
+    """Replace a folder by a table: written beside it, then both are renamed, so at any time the old or the new one is there in full.
+
+    If a run dies between the two renames, the old one is in ``path``.old; the next swap puts it back first.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    here, new, old = hadoop(path), hadoop(path + ".new"), hadoop(path + ".old")
+    fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(old) and not fs.exists(here):
+        fs.rename(old, here)
     table.write.mode("overwrite").parquet(path + ".new")
-    drop_path(spark, path)
-    old, new = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, path + ".new"))
-    old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(new, old)
+    drop_path(spark, path + ".old")
+    if fs.exists(here):
+        fs.rename(here, old)
+    if not fs.rename(new, here):
+        raise OSError(f"could not rename {path}.new to {path}")
+    drop_path(spark, path + ".old")
 
 
 class Sink(Protocol):
@@ -93,9 +134,9 @@ class Sink(Protocol):
 
 
 class CsvReportSink:
-    """The report as CSV."""
+    """The report as CSV, in order over its files; ``files`` = 1 asks for a single one, written by one task."""
 
-    def __init__(self, path: str, files: int | None = 1):
+    def __init__(self, path: str, files: int | None = None):
         self.path, self.files = path, files
 
     def emit(self, photos: DataFrame) -> str:
@@ -123,23 +164,34 @@ class QuarantineSink:
     """Moves of flagged photos."""
 
     def __init__(self, dest: str, tiers: tuple[str, ...], roots: list[str], dry_run: bool = True):
-        self.dest, self.tiers, self.roots, self.dry_run = dest, tiers, roots, dry_run
+        self.dest, self.tiers, self.roots, self.dry_run = absolute(dest), tiers, [absolute(r) for r in roots], dry_run
+        self.log: DataFrame | None = None
 
     def emit(self, photos: DataFrame) -> DataFrame:
-        """The plan, carried out unless this is a dry run."""
-        plan = materialise(quarantine_plan(photos, self.tiers, self.roots, self.dest), "plan")
-        execute(plan, self.dry_run)
+        """The plan, carried out unless this is a dry run; ``log`` says what became of each file.
+
+        Files that are gone since the scan drop, and names that the target folder has already are numbered past.
+        """
+        spark = photos.sparkSession
+        listing, _ = files.scan(spark, [r for r in self.roots if files.exists(spark, r)], True, None)
+        existing = files.scan_all(spark, self.dest) if files.exists(spark, self.dest) else None
+        plan = materialise(quarantine_plan(photos, self.tiers, self.roots, self.dest, listing, existing), "plan")
+        self.log = execute(plan, self.dry_run)
         return plan
 
 
 class AlbumsSink:
-    """Album memberships by tier or by signal, written as a table."""
+    """Album memberships by tier or by signal, added to a table; with ``replace``, our albums of earlier runs go first."""
 
-    def __init__(self, path: str, assets: DataFrame, template: str, prefix: str, session: str, by: str = "tier", enabled: frozenset[str] | None = None):
-        self.path, self.assets, self.naming, self.by, self.enabled = path, assets, (template, prefix, session), by, enabled
+    def __init__(self, path: str, assets: DataFrame, template: str, prefix: str, session: str, by: str = "tier", enabled: frozenset[str] | None = None, replace: bool = False):
+        self.path, self.assets, self.naming, self.by, self.enabled, self.replace = path, assets, (template, prefix, session), by, enabled, replace
 
     def emit(self, photos: DataFrame) -> str:
         """Write and return the path."""
         rows = albums_by_tier(photos, self.assets, *self.naming) if self.by == "tier" else albums_by_signal(photos, self.assets, *self.naming, self.enabled)
-        rows.write.mode("overwrite").partitionBy("album_key").parquet(self.path)
+        rows, spark = rows.withColumn("is_ours", F.lit(True)), photos.sparkSession
+        if files.exists(spark, self.path):
+            old = spark.read.schema(rows.schema).parquet(self.path)
+            rows = replace_albums(old, rows, self.naming[1]) if self.replace else old.unionByName(rows)
+        swap(spark, materialise(rows, "albums"), self.path)
         return self.path

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from darkroom.functions import pixels
-from darkroom.functions.paths import is_under, suffix
+from darkroom.functions.paths import is_under, parent, suffix
 from darkroom.runtime import ship
 from darkroom.schema import IMAGE_EXTENSIONS, METRICS
 
@@ -50,7 +48,7 @@ def scan(spark: SparkSession, roots: list[str], recursive: bool = False, skip: s
             continue
         folder = is_folder(spark, root)
         listed = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
-        listed = listed.select(F.lit(n).alias("root_ord"), F.regexp_replace("path", "^file:(//)?", "").alias("path"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime"))
+        listed = listed.select(F.lit(n).alias("root_ord"), _plain(F.col("path")).alias("path"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime"))
         if folder:
             listed = listed.where(has_image_extension(F.col("path")))
             if skip:
@@ -66,43 +64,60 @@ def in_order(listing: DataFrame) -> DataFrame:
     return listing.orderBy("root_ord", F.split("path", "/"))
 
 
-def analyse(spark: SparkSession, paths: list[str], outputs: frozenset[str] = frozenset(), scorer=None) -> DataFrame:
-    """Metrics of image files: path and the metric columns. An unreadable file gives a row with ``error``.
+def scan_all(spark: SparkSession, root: str) -> DataFrame:
+    """Paths of all files under a folder, whatever they are."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(_plain(F.col("path")).alias("path"))
 
-    ``scorer`` maps a gray image to a dict of model outputs; only those in ``outputs`` are kept. Without one, ``fprint`` is the stand-in embedding.
+
+#: Paths that the driver hands to Spark's reader at most; of more files, the folders are read.
+MOST_PATHS = 100_000
+
+
+def analyse(wanted: DataFrame, outputs: frozenset[str] = frozenset(), scorer=None) -> DataFrame:
+    """Metrics of listed image files (path, size): path and the metric columns. An unreadable file gives a row with ``error``.
+
+    Files are read and decoded once, by Spark's image reader. It takes paths: up to ``MOST_PATHS`` are named; of more, only their folders, whose other files are then
+    left out. ``scorer`` maps a gray image to a dict of model outputs; only those in ``outputs`` are kept. Without one, ``fprint`` is the stand-in embedding.
     """
+    spark = wanted.sparkSession
     ship(spark)
-    images = spark.read.format("image").option("dropInvalid", "false").load(paths).select("image.*")
-    size = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("origin"), F.col("length").alias("file_bytes"))
-    norm = lambda c: F.regexp_replace(c, "^file:(//)?", "")
-    rows = images.withColumn("origin", norm("origin")).join(size.withColumn("origin", norm("origin")), "origin", "left")
-    return rows.mapInPandas(_kernel(outputs, scorer), f"path string, {METRICS}")
+    wanted = wanted.select("path", F.col("size").alias("file_bytes")).dropDuplicates(["path"])
+    named = [r["path"] for r in wanted.select("path").limit(MOST_PATHS + 1).collect()]
+    if len(named) > MOST_PATHS:
+        named = [r["dir"] for r in wanted.select(parent(F.col("path")).alias("dir")).distinct().collect()]
+    if not named:
+        return spark.createDataFrame([], f"path string, {METRICS}")
+    images = spark.read.format("image").option("dropInvalid", "false").load(named).select("image.*").withColumn("path", _plain(F.col("origin")))
+    rows = images.join(wanted, "path").select("path", "height", "width", "nChannels", "data", "file_bytes")
+    return rows.mapInArrow(_kernel(frozenset(outputs), scorer), f"path string, {METRICS}")
+
+
+def _plain(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:(//)?", "")
 
 
 def _kernel(outputs: frozenset[str], scorer):
-    def one(row) -> dict:
-        out = {"path": row.origin, "width": 0, "height": 0, "megapixels": 0.0, "file_bytes": int(row.file_bytes or 0), "error": "", "sharpness": 0.0, "brightness": 0.0, "contrast": 0.0,
+    import pyarrow as pa
+
+    def one(path: str, height: int, width: int, channels: int, data: bytes, size: int) -> dict:
+        out = {"path": path, "width": 0, "height": 0, "megapixels": 0.0, "file_bytes": size or 0, "error": "", "sharpness": 0.0, "brightness": 0.0, "contrast": 0.0,
                "noise": 0.0, "black_frac": 0.0, "white_frac": 0.0, "aesthetic": None, "is_utility": None, "face_quality": None, "fprint": None}
         try:
-            if row.height <= 0:
+            if height <= 0:
                 raise ValueError("the image can't be decoded")
-            g = pixels.gray(row.data, row.height, row.width, row.nChannels)
-            out |= {"width": int(row.width), "height": int(row.height), "megapixels": round(row.width * row.height / 1e6, 2)} | pixels.classical(g)
+            g = pixels.gray(data, height, width, channels)
+            out |= {"width": width, "height": height, "megapixels": round(width * height / 1e6, 2)} | pixels.classical(g)
             scored = scorer(g) if scorer else ({"fprint": pixels.stand_in_embedding(g).tolist()} if "fprint" in outputs else {})
             out |= {k: v for k, v in scored.items() if k in outputs}
         except Exception as e:  # the row survives
-            out["error"] = str(e)
+            out["error"] = str(e) or type(e).__name__
         return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["path", *[x.split()[0] for x in METRICS.split(", ")]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "array<float>": pa.list_(pa.float32())}
+        fields = [("path", pa.string())] + [(x.split()[0], kinds[x.split()[1]]) for x in METRICS.split(", ")]
         for batch in batches:
-            frame = pd.DataFrame([one(r) for r in batch.itertuples()], columns=names, dtype=object)
-            for c in ("width", "height"):
-                frame[c] = frame[c].astype(np.int32)
-            for c in ("megapixels", "sharpness", "brightness", "contrast", "noise", "black_frac", "white_frac", "aesthetic", "face_quality"):
-                frame[c] = frame[c].astype(float)
-            frame["file_bytes"] = frame["file_bytes"].astype(np.int64)
-            yield frame
+            rows = [one(*(c[i].as_py() for c in batch.columns)) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in fields], [n for n, _ in fields])
 
     return run

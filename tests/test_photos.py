@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 import struct
 import zlib
@@ -18,6 +19,7 @@ from darkroom.operators.components import connected_components
 from darkroom.operators.similarity import similarity_pairs
 from darkroom.params import RunOptions, album_title, resolve_signals
 from darkroom.plans import catalogue
+from darkroom.runtime import materialise
 from darkroom.signals import SIGNALS, Thresholds, with_verdict
 
 SF = "/root/testdata/sf0.001"
@@ -170,6 +172,66 @@ def test_scan_end_to_end(spark, tmp_path):
     assert {r["target"] for r in plan.collect()} == {str(p) for p in (tmp_path / "q").rglob("*.*")}
 
 
+def test_many_equal_names(spark):
+    """One window numbers any number of copies; generated names that exist are numbered past."""
+    plan = spark.range(500).selectExpr("id AS seq", "'q/a.jpg' AS target").unionAll(spark.createDataFrame([(500, "q/a__3.jpg"), (501, "q/b.jpg")], "seq bigint, target string"))
+    existing = spark.createDataFrame([("q/b.jpg",), ("q/a__7.jpg",), ("q/b__1.jpg",)], "path string")
+    got = {r["seq"]: r["target"] for r in moves.resolve_collisions(plan, existing).collect()}
+    names = set(got.values())
+    assert len(got) == 502 == len(names) and not names & {"q/b.jpg", "q/a__7.jpg", "q/b__1.jpg"}
+    assert got[0] == "q/a.jpg" and got[1] == "q/a__1.jpg" and got[500] == "q/a__3.jpg" and got[501] == "q/b__2.jpg"
+    assert all(n.startswith("q/a") for s, n in got.items() if s < 500)
+
+
+def test_moves_never_replace(spark, tmp_path):
+    (tmp_path / "in/sub").mkdir(parents=True)
+    (tmp_path / "q").mkdir()
+    for name, data in (("in/a.jpg", b"new"), ("in/sub/b.jpg", b"b"), ("q/a.jpg", b"old"), ("in/c.jpg", b"c")):
+        (tmp_path / name).write_bytes(data)
+    at = lambda x: str(tmp_path / x)
+    photos = spark.createDataFrame(
+        [(0, at("in/a.jpg"), "delete"), (1, at("in/sub/b.jpg"), "delete"), (2, at("in/gone.jpg"), "delete"), (3, at("in/c.jpg"), "keep")], "seq bigint, path string, recommendation string"
+    )
+    here = os.getcwd()
+    os.chdir(tmp_path)
+    try:
+        sink = pipeline.QuarantineSink("q", ("delete",), ["in"], dry_run=False)
+    finally:
+        os.chdir(here)
+    plan = {r["seq"]: r["target"] for r in sink.emit(photos).collect()}
+    assert plan == {0: at("q/a__1.jpg"), 1: at("q/sub/b.jpg")}
+    assert (tmp_path / "q/a.jpg").read_bytes() == b"old" and (tmp_path / "q/a__1.jpg").read_bytes() == b"new" and (tmp_path / "in/c.jpg").exists()
+    # a plan that is out of date moves what it can and replaces nothing
+    stale = spark.createDataFrame([(0, at("in/c.jpg"), at("q/a.jpg")), (1, at("in/gone.jpg"), at("q/x.jpg"))], "seq bigint, path string, target string")
+    log = moves.execute(stale, False).collect()
+    assert not any(r["ok"] for r in log) and all(r["error"] for r in log) and (tmp_path / "q/a.jpg").read_bytes() == b"old"
+    log, back = moves.undo(materialise(sink.log, "log"), dry_run=False)
+    assert {r["undone"] for r in log.collect()} == {True} and (tmp_path / "in/a.jpg").read_bytes() == b"new" and back.where("ok").count() == 2
+
+
+def test_companions_of_a_request(spark):
+    items = spark.createDataFrame([(0, "d/a.jpg"), (1, "d/a.png"), (2, "d/b.jpg")], "seq bigint, path string")
+    listing = spark.createDataFrame([("d/a.jpg",), ("d/a.png",), ("d/A.xmp",), ("d/b.jpg",)], "path string")
+    found = moves.companions(items, listing.unionAll(spark.createDataFrame([("d/b.xmp",)], "path string")))
+    still = moves.existing_companions(found, listing)
+    assert {r["path"]: r["companions"] for r in still.collect()} == {"d/a.jpg": ["d/A.xmp", "d/a.png"], "d/a.png": ["d/A.xmp", "d/a.jpg"], "d/b.jpg": []}
+    requested = spark.createDataFrame([(0,), (1,)], "seq bigint")
+    assert moves.expected_companions(requested, still, items).first()[0] == 1
+    files = {(r["owner"], r["path"]) for r in moves.action_plan(requested, items, still).collect()}
+    assert files == {(0, "d/a.jpg"), (1, "d/a.png"), (0, "d/A.xmp")}
+
+
+def test_library_scan(spark, tmp_path):
+    noisy = np.random.default_rng(3).integers(0, 256, (80, 80))
+    _png(tmp_path / "a.png", noisy)
+    rows = [("x", "IMG.png", 80, 80, "image", False, "2024-05-02", str(tmp_path / "a.png"), False), ("y", None, 80, 80, "image", False, "2024-05-01", None, True), ("z", "v.mov", 1, 1, "video", False, "2024-05-01", None, False)]
+    assets = spark.createDataFrame(rows, "asset_id string, filename string, pixel_width int, pixel_height int, media_type string, favorite boolean, creation_date string, location string, in_cloud boolean")
+    assets = assets.withColumn("creation_date", F.to_timestamp("creation_date")).withColumn("modification_date", F.col("creation_date"))
+    got = {r["asset_id"]: r for r in pipeline.run(spark, pipeline.LibrarySource(assets), RunOptions(dedupe=False)).collect()}
+    assert set(got) == {"x", "y"} and got["x"]["seq"] == 0 and got["x"]["path"] == "IMG.png" and got["x"]["error"] == ""
+    assert got["y"]["recommendation"] == "error" and "cloud" in got["y"]["error"] and got["y"]["path"] == "y"
+
+
 def test_order_is_global(spark):
     df = spark.range(500).select(F.col("id").alias("seq"), (F.col("id") * 37 % 101).cast("double").alias("sharpness"), F.when(F.col("id") % 3 == 0, "keep").otherwise("delete").alias("recommendation"))
     rows = report.with_position(df).orderBy("pos").collect()
