@@ -2,8 +2,9 @@
 
 A suffix array of all positions of 100 TB is out of reach, so arrays are sparse: they hold suffixes at anchors only, chosen by content
 (the smallest k-mer hash of every window of ``w`` positions), so equal passages have equal anchors. Every string of ``length`` bytes holds the
-anchor of its first window and the ``length - w + 1`` bytes after it; an array is sorted by the fingerprint of those bytes (``f``),
-then by that of all bytes around the anchor that any such string can cover (``c``).
+anchor of its first window and the ``length - w + 1`` bytes after it; an array is in the order of the fingerprint of those bytes (``f``),
+then of that of all bytes around the anchor that any such string can cover (``c``). It is an order of fingerprints within the ranges that Spark deals them to, not
+the order of the bytes: equal passages lie together, similar ones don't. For exact matches of a fixed length nothing else is asked of the order.
 
 Documents come in batches. A batch gets its suffix array; the array is merge-scanned against every level of the family, which tells the
 passages that an earlier batch has; then it joins the family, and levels of equal rank merge, so a suffix is merged a logarithmic number of times.
@@ -22,10 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from darkroom.llm import _text
-from darkroom.runtime import drop_path, materialise, release, scratch_path, ship
+from darkroom.operators.skew import join_counted
+from darkroom.runtime import drop_path, materialise, scratch_path, ship
 
 LENGTH = 400
-BATCHES = 4
+#: Batches at least, and bytes of a batch's texts at about.
+BATCHES, BATCH_BYTES = 4, 256 << 30
+#: Strings whose anchors are looked for at once; a position in a piece takes 22 bits of the 64 that order anchors.
+PIECE = 1 << 21
 #: Strings compared in one task's group at about, and suffixes of one fingerprint that stay together at about.
 GROUP = 1 << 17
 TOGETHER = 256
@@ -45,6 +50,14 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple
     """
     k, w = _sizes(length)
     n = len(buf)
+    if n > PIECE + length:
+        # pieces overlap by a string's length, so each string is in one of them with all of its bytes; anchors depend on their windows only
+        found = []
+        for row, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+            for at in range(a, b, PIECE):
+                _, begin, strings, f, c = anchors(buf[at : min(b, at + PIECE + length - 1)], np.array([0, min(b, at + PIECE + length - 1) - at]), length)
+                found.append((np.full(len(begin), row), begin + at - a, strings, f, c))
+        return tuple(np.concatenate(x) for x in zip(*found))
     count = np.maximum(np.diff(offsets) - length + 1, 0)
     if not count.sum():
         empty = np.zeros(0, np.int64)
@@ -52,8 +65,8 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple
     rolling = _text.Rolling(buf)
     m = n - k + 1
     low = _text.mix((rolling.sums[k:] - rolling.sums[:m]) * rolling.down[:m])
-    bits = max(22, n.bit_length())
-    mask = U64((1 << bits) - 1)
+    # the hash's upper 42 bits decide, then the place: the same in every slice
+    mask = U64((1 << 22) - 1)
     key = (low & ~mask) | np.arange(m, dtype=U64)
     # sliding minimum, leftmost first, from running minima of blocks
     blocks = np.concatenate([key, np.full(-m % w, 2**64 - 1, U64)]).reshape(-1, w)
@@ -105,14 +118,15 @@ class SuffixFamily:
         return self.spark.read.schema("f bigint, c bigint, n bigint").parquet(path)
 
     def add(self, suffixes: DataFrame) -> DataFrame:
-        """Add a batch's suffixes (f, c). Returns the distinct f that now repeat because of this batch, within it or against a level."""
+        """Add a batch's suffixes (f, c). Returns f that now repeat because of this batch, within it or against a level, with numbers of suffixes."""
         path = self._write(suffixes.select("f", "c", F.lit(1).cast("bigint").alias("n")))
         array = self.read(path)
         own = array.groupBy("f").agg(F.sum("n").alias("n"))
-        hits = own.where("n > 1").select("f")
+        hits = own.where("n > 1")
         for _, level in self.levels:
-            hits = hits.unionAll(self.read(level).select("f").join(own.select("f"), "f", "left_semi"))
-        hits = materialise(hits.distinct(), "suffix-hits")
+            other = self.read(level).groupBy("f").agg(F.sum("n").alias("more"))
+            hits = hits.unionAll(other.join(own, "f").select("f", (F.col("n") + F.col("more")).alias("n")))
+        hits = materialise(hits.groupBy("f").agg(F.sum("n").alias("n")), "suffix-hits")
         rank = 0
         while self.levels and self.levels[-1][0] == rank:
             _, other = self.levels.pop()
@@ -121,7 +135,6 @@ class SuffixFamily:
             drop_path(self.spark, other)
             path, rank = merged, rank + 1
         self.levels.append((rank, path))
-        release(self.spark)
         return hits
 
 
@@ -207,12 +220,14 @@ def _cut(with_bytes: bool):
     return run
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES) -> DataFrame:
+def repeated_ranges(docs: DataFrame, length: int = LENGTH, batches: int | None = None) -> DataFrame:
     """Byte ranges covered by strings of ``length`` bytes that also start elsewhere: rid, start, end (they may overlap).
 
     ``docs`` has rid (a hash of a row's doc_id and text; equal for equal rows, which count as different places) and text.
     """
     spark = docs.sparkSession
+    if batches is None:
+        batches = max(BATCHES, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BATCH_BYTES))
     path = scratch_path(spark, "suffixes")
     suffixes = docs.mapInArrow(_suffixes(length), "rid bigint, begin bigint, strings int, f bigint, c bigint")
     suffixes.withColumn("batch", F.pmod("rid", F.lit(batches))).write.partitionBy("batch").parquet(path)
@@ -224,11 +239,11 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, batches: int = BATCHE
         hits = new if hits is None else hits.unionAll(new)
     for _, level in family.levels:
         drop_path(spark, level)
-    repeated = materialise(suffixes.drop("batch").join(hits.distinct(), "f", "left_semi"), "suffix-repeated")
+    hits = materialise(hits.groupBy("f").agg(F.sum("n").alias("n")), "suffix-hits")
+    repeated = materialise(join_counted(suffixes.drop("batch"), hits, ["f"]).drop("n"), "suffix-repeated")
     drop_path(spark, path)
-    release(spark)
     contexts = materialise(repeated.groupBy("f", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "begin", "strings")).alias("one")), "suffix-contexts")
-    whole = repeated.join(contexts.where("n > 1").select("f", "c"), ["f", "c"], "left_semi")
+    whole = join_counted(repeated, contexts.where("n > 1").select("f", "c", "n"), ["f", "c"])
     whole = whole.select("rid", F.col("begin").alias("start"), (F.col("begin") + F.col("strings") - 1 + length).alias("end"))
     # one suffix of each context stands for it where contexts differ
     per_f = contexts.groupBy("f").agg(F.count(F.lit(1)).alias("d"), F.sum("one.strings").alias("strings")).where("d > 1")
@@ -237,19 +252,17 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, batches: int = BATCHE
     groups = max(1, -(-total // GROUP))
     listed = contexts.join(per_f.select("f", "d"), "f").select(
         "one.rid",
-        F.struct("f", "one.begin", "one.strings", F.least(F.lit(128), F.ceil(F.col("d") / TOGETHER)).cast("bigint").alias("parts"), F.lit(groups).cast("bigint").alias("groups")).alias("x"),
+        F.struct("f", "one.begin", "one.strings", F.ceil(F.col("d") / TOGETHER).cast("bigint").alias("parts"), F.lit(groups).cast("bigint").alias("groups")).alias("x"),
     ).groupBy("rid").agg(F.collect_list("x").alias("list"))  # bounded by a text's length
     listed = materialise(listed, "suffix-listed")
     texts = docs.join(listed, "rid").select("rid", "text", "list")
     strings = materialise(texts.mapInArrow(_strings(length), "g bigint, rid bigint, f bigint, at array<bigint>, h array<bigint>"), "suffix-strings")
-    release(spark)
     single = strings.groupBy("g").applyInArrow(_repeats(length), "rid bigint, start bigint, end bigint")
     found = materialise(whole.unionAll(single), "suffix-ranges")
-    release(spark)
     return found
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, batches: int = BATCHES, with_bytes: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, batches: int | None = None, with_bytes: bool = False) -> DataFrame:
     """Every text without its repeated passages: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes that are left).
 
     A byte is removed if a string of ``length`` bytes that covers it also starts anywhere else, in any row; strings are judged on
