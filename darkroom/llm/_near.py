@@ -3,9 +3,13 @@
 Members of a bucket (classes that share a band key) are candidates of each other. Small buckets are paired
 directly, which makes at most a constant number of pairs per row. In a large bucket a few random members are
 centres: each is compared with every member, and verified links give components. Only candidates in different
-components can still matter, and of those at least one stands outside its bucket's largest component: such members are
-compared with the whole bucket, block by block, inside tasks that return a spanning forest of the links they find. So no
-candidate pair between different components is skipped, no pairs are emitted for a large bucket, and no task holds more than two blocks.
+components can still matter, and of those at least one stands outside its bucket's largest component: the signatures of such members are
+compared with the whole bucket's, block by block, inside tasks. Few candidates are listed and verified; where they are many, whole texts are compared inside
+tasks that return a spanning forest of the links they find. So no candidate pair between different components is skipped, no pairs beyond a
+constant number a member are emitted, and no task holds more than two blocks.
+
+Class numbers (cid) are 64-bit fingerprints. Two classes that share one by chance share buckets, but only one of them lends its text, and callers give links to
+the class with that text's second fingerprint only (``check``), so chance never links texts.
 """
 
 from __future__ import annotations
@@ -14,93 +18,208 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from darkroom.llm import _text
 from darkroom.operators.components import connected_components
-from darkroom.runtime import materialise, shuffle_partitions
+from darkroom.runtime import discard, materialise, shuffle_partitions
 
 SMALL = 12
 CENTRES = 4
-#: Members of a block, and shingles that are compared at once.
-BLOCK = 256
+#: Members of a block and its bytes of text at about, and shingles that are compared at once.
+BLOCK, BLOCK_BYTES = 256, 8 << 20
 COLUMNS = 8192
+#: Text whose pairs are verified at once.
+VERIFIED_BYTES = 1 << 18
+#: Members of a block whose signatures are compared, and candidates that are listed for each of them at most.
+SIGN_BLOCK, LISTED = 2048, 4
+#: Bands that 32 or more classes of every 64th have are hot; the hottest, at most so many, are handled by broadcast.
+SAMPLE, SAMPLED, HOT_BANDS = 64, 32, 4096
+#: Members of a large bucket that are compared with a centre in one task at about.
+STAR = 4096
 
 
 def shared_buckets(bands: DataFrame) -> DataFrame:
-    """(band, cid) rows of buckets with two or more different classes; columns that depend on cid stay.
+    """(band, cid, hot) rows of buckets with two or more different classes; columns that depend on cid stay.
 
-    One shuffle on the band serves both the count and the join; both stream, so a hot band takes no memory.
+    Hot bands are found in a sample of classes, which only decides how they are dealt: their rows stay where they are. For all
+    others, one shuffle on the band serves both the count and the join; both stream.
     """
-    dealt = bands.where("band IS NOT NULL AND cid IS NOT NULL").repartition(shuffle_partitions(bands.sparkSession), "band")
+    spark = bands.sparkSession
+    some = bands.where("band IS NOT NULL AND cid IS NOT NULL")
+    sample = some.where(F.pmod(F.xxhash64("cid"), F.lit(SAMPLE)) == 0).select("band", "cid").distinct()
+    hot = materialise(sample.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SAMPLED).orderBy(F.desc("n"), "band").limit(HOT_BANDS).select("band"), "near-hot")
+    if hot.isEmpty():
+        rest, apart = some, None
+    else:
+        rest = some.join(F.broadcast(hot), "band", "left_anti")  # at most HOT_BANDS rows
+        apart = some.join(F.broadcast(hot), "band", "left_semi").select(*bands.columns).distinct().withColumn("hot", F.lit(True))
+    dealt = rest.repartition(shuffle_partitions(spark), "band")
     ends = dealt.groupBy("band").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("band")
     # shared bands are the smaller side of every partition: hashing them spares sorting all rows
-    return dealt.join(ends.hint("shuffle_hash"), "band").select(*bands.columns).distinct()
+    found = dealt.join(ends.hint("shuffle_hash"), "band").select(*bands.columns).distinct().withColumn("hot", F.lit(False))
+    return found if apart is None else found.unionAll(apart)
+
+
+def _by_band(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Bucket rows joined with a table of a few rows a band; rows of hot bands stay where they are. Both have ``hot``."""
+    keys = ["band", "hot"]
+    few = F.broadcast(table.where("hot"))  # at most CENTRES * HOT_BANDS rows
+    return rows.where("NOT hot").join(table.where("NOT hot"), keys).unionByName(rows.where("hot").join(few, keys))
+
+
+def signature(words: int) -> list[str]:
+    """Names of the columns that hold a class's signature (``_text.nibbles``)."""
+    return [f"s{k}" for k in range(words)]
+
 
+def least_agreement(percent: int, size: int) -> int:
+    """Of ``size`` components, how many agree in four bits at least where sets are that similar: 3.7 standard deviations below what is expected."""
+    q = percent / 100 + (1 - percent / 100) / 16
+    return int(size * q - 3.7 * (size * q * (1 - q)) ** 0.5)
 
-def _ordered(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
+def _agreement(x: str, y: str, words: int, size: int) -> Column:
+    """Components in which the signatures of two aliased rows agree."""
+    apart = F.lit(0)
+    for s in signature(words):
+        d = F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        apart = apart + F.bit_count(d)
+    return F.lit(size) - apart
 
-def near_links(buckets: DataFrame, content: DataFrame, sets: Callable, percent: int) -> DataFrame:
+
+def near_links(buckets: DataFrame, fetch: Callable, sets: Callable, percent: int, size: int) -> tuple[DataFrame, DataFrame]:
     """Verified links that connect the same classes as all verified pairs of the buckets would.
 
-    ``buckets``: (band, cid), already written; with a column ``shingles``, the size of the class's set, pairs whose sizes rule a link out aren't
-    compared. ``content``: (cid, text), one row for every class in a bucket. ``sets``: from the bytes and offsets of
-    rows to their shingle sets (ascending hashes and a row pointer). Linked are classes with 100 * |intersection| >= percent * |union|.
-    Returns (a, b).
+    ``buckets``: (band, cid, hot, and the class's signature of ``size`` components), already written. ``fetch``: from a table of distinct cid to (cid, check, text),
+    one row each, the same whenever it is asked. ``sets``: from the bytes and offsets of rows to their shingle sets (ascending hashes and a row pointer). Linked
+    are classes with 100 * |intersection| >= percent * |union|. Candidates whose signatures agree in fewer components than ``least_agreement`` are as
+    good as never that similar, so their texts aren't fetched. Returns links (a, b), where a class may be linked with itself, and (cid, check) of compared classes.
     """
-    content = materialise(content.select("cid", "text"), "near-content")
-    sized = "shingles" in buckets.columns
-    member = F.struct("cid", "shingles") if sized else F.col("cid")
-
-    def may_link(x: str, y: str):
-        # the smaller set would have to be at least that share of the larger one
-        return F.least(x, y).cast("bigint") * 100 >= F.greatest(x, y).cast("bigint") * percent if sized else F.lit(True)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        left = content.select(F.col("cid").alias("a"), F.col("text").alias("text_a"))
-        right = content.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-        return materialise(both.mapInArrow(_verifier(sets, percent), "a bigint, b bigint"), "near-links")
-
-    sizes = buckets.groupBy("band").agg(
-        F.count(F.lit(1)).alias("n"), *[F.min_by(member, F.xxhash64("cid", F.lit(k))).alias(f"c{k}") for k in range(CENTRES)]
-    )
+    words = -(-size // 16)
+    signs, least = signature(words), least_agreement(percent, size)
+
+    sizes = buckets.groupBy("band", "hot").agg(F.count(F.lit(1)).alias("n"), *[F.min_by("cid", F.xxhash64("cid", F.lit(k))).alias(f"c{k}") for k in range(CENTRES)])
     sizes = materialise(sizes, "near-sizes")
-    small = buckets.join(sizes.where(f"n <= {SMALL}").select("band"), "band")
-    pairs = small.alias("p").join(small.alias("q"), (F.col("p.band") == F.col("q.band")) & (F.col("p.cid") < F.col("q.cid")) & may_link("p.shingles", "q.shingles")).select(
-        F.col("p.cid").alias("a"), F.col("q.cid").alias("b")
+    small = buckets.where("NOT hot").join(sizes.where(f"n <= {SMALL}").select("band"), "band")
+    pairs = small.alias("p").join(small.alias("q"), (F.col("p.band") == F.col("q.band")) & (F.col("p.cid") < F.col("q.cid")) & (_agreement("p", "q", words, size) >= least)).select(
+        F.col("p.cid").alias("a"), F.col("q.cid").alias("b"), F.lit(None).cast("bigint").alias("deal")
     )
-    large = sizes.where(f"n > {SMALL}").select("band", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(CENTRES)]))).alias("centre"))
-    if sized:
-        large = large.select("band", F.col("centre.shingles").alias("most"), F.col("centre.cid").alias("centre"))
-    stars = large.join(buckets, "band").where("centre <> cid").where(may_link("most", "shingles")).select(*_ordered("centre", "cid"))
-    links = verified(pairs.unionAll(stars).distinct())
-
-    if not sizes.where(f"n > {SMALL}").limit(1).count():
-        return links
+    centres = sizes.where(f"n > {SMALL}").select("band", "hot", "n", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(CENTRES)]))).alias("cid"))
+    centres = materialise(_by_band(buckets, centres.withColumnRenamed("cid", "centre")).where("cid = centre").select("band", "hot", "n", "centre", *signs), "near-centres")
+    # a centre's text is copied for every STAR members, whichever of its buckets they are in
+    wide = materialise(centres.groupBy("centre").agg(F.ceil(F.max("n") / STAR).cast("bigint").alias("copies")).where("copies > 1"), "near-wide")
+    stars = _by_band(buckets.select("band", "hot", "cid", F.struct(*signs).alias("q")), centres.select("band", "hot", "centre", F.struct(*signs).alias("p")))
+    stars = stars.where((F.col("centre") != F.col("cid")) & (_agreement("p", "q", words, size) >= least)).select("centre", "cid")
+    if wide.isEmpty():
+        stars = stars.select(F.least("centre", "cid").alias("a"), F.greatest("centre", "cid").alias("b"), F.lit(None).cast("bigint").alias("deal"))
+    else:
+        stars = stars.distinct().join(wide, "centre", "left").select(F.col("centre").alias("a"), F.col("cid").alias("b"), F.pmod(F.xxhash64("cid"), "copies").alias("deal"))
+    pairs = materialise(pairs.unionAll(stars).distinct(), "near-pairs")
+    content = materialise(fetch(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()), "near-content")
+    left = content.select("cid", F.lit(0).cast("bigint").alias("copy"), "text")
+    if not wide.isEmpty():
+        copies = content.join(wide.withColumnRenamed("centre", "cid"), "cid").select("cid", F.explode(F.expr("sequence(1L, copies - 1)")).alias("copy"), "text")
+        left = left.unionAll(copies)
+    links = _compare(pairs.withColumn("copy", F.coalesce("deal", F.lit(0).cast("bigint"))), left, content, sets, percent)
+    checks = content.select("cid", "check")
+    if centres.isEmpty():
+        discard(sizes, centres, wide, pairs)
+        return links, checks
+
     labels = connected_components(links)
-    big = buckets.join(sizes.where(f"n > {SMALL}").select("band", "n"), "band")
-    members = big.join(labels, big["cid"] == labels["node"], "left").select("band", "n", "cid", F.coalesce("root", "cid").alias("label"))
+    big = _by_band(buckets, sizes.where(f"n > {SMALL}").select("band", "hot"))
+    members = big.join(labels, big["cid"] == labels["node"], "left").select("band", "hot", "cid", F.coalesce("root", "cid").alias("label"), *signs)
     members = materialise(members, "near-members")
-    per_label = members.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k"))
-    per_band = per_label.groupBy("band").agg(F.max_by("label", F.struct("k", "label")).alias("top"), F.sum("k").alias("n"), F.max("k").alias("k"))
-    per_band = per_band.where("k < n").select("band", "top", F.ceil((F.col("n") - F.col("k")) / BLOCK).alias("lefts"), F.ceil(F.col("n") / BLOCK).alias("rights"))
-    open_rows = members.join(per_band, "band").join(content, "cid")
+    open_rows = materialise(_open_rows(members), "near-open")
+    dealt = open_rows.groupBy("band", "hot").agg(F.ceil(F.count_if("out") / SIGN_BLOCK).alias("lefts"), F.ceil(F.count(F.lit(1)) / SIGN_BLOCK).alias("rights"))
+    pairs2 = _in_blocks(open_rows, materialise(dealt, "near-blocks"), *signs).applyInArrow(_block_pairs(signs, size, least), "band bigint, a bigint, b bigint")
+    pairs2 = materialise(pairs2, "near-block-pairs")
+    # too many candidates to list: whole texts are compared inside tasks
+    dense = materialise(pairs2.where("a IS NULL").select("band").distinct(), "near-dense")
+    pairs2, any_dense = pairs2.where("a IS NOT NULL").select("a", "b").distinct(), not dense.isEmpty()
+    wanted = pairs2.select(F.explode(F.array("a", "b")).alias("cid"))
+    if any_dense:
+        rows = open_rows.drop(*signs).join(dense, "band", "left_semi")
+        wanted = wanted.unionAll(rows.select("cid"))
+    more = materialise(fetch(wanted.distinct()), "near-more")
+    found = _compare(pairs2, more, more, sets, percent)
+    if any_dense:
+        rows = rows.join(more, "cid").withColumn("bytes", F.octet_length("text").cast("bigint"))
+        blocks = lambda own: F.greatest(F.ceil(F.count_if(own) / BLOCK), F.ceil(F.sum(F.when(own, F.col("bytes"))) / BLOCK_BYTES))
+        dealt = rows.groupBy("band", "hot").agg(blocks(F.col("out")).alias("lefts"), blocks(F.lit(True)).alias("rights"))
+        inside = _in_blocks(rows, materialise(dealt, "near-dense-blocks"), "text").applyInArrow(_block_links(sets, percent), "a bigint, b bigint")
+        found = found.unionAll(materialise(inside, "near-block-links"))
+    checks = checks.unionAll(more.select("cid", "check"))
+    discard(sizes, centres, wide, pairs, members)
+    # stars say the same as the links behind them, and are settled already
+    return labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found), checks.distinct()
+
+
+def _compare(pairs: DataFrame, left: DataFrame, right: DataFrame, sets: Callable, percent: int) -> DataFrame:
+    """Verified pairs (a, b) of those listed; ``left`` and ``right`` have the texts of a and b, ``left`` by ``copy`` too if pairs have one."""
+    keys = ["a", "copy"] if "copy" in pairs.columns else ["a"]
+    left = left.select(F.col("cid").alias("a"), *keys[1:], F.col("text").alias("text_a"))
+    both = pairs.join(left, keys).join(right.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    return materialise(both.mapInArrow(_verifier(sets, percent), "a bigint, b bigint"), "near-links")
+
+
+def _open_rows(members: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components; ``out`` are those outside the bucket's largest one."""
+    per_label = members.groupBy("band", "hot", "label").agg(F.count(F.lit(1)).alias("k"))
+    per_band = per_label.groupBy("band", "hot").agg(F.max_by("label", F.struct("k", "label")).alias("top"), F.sum("k").alias("n"), F.max("k").alias("k"))
+    per_band = materialise(per_band.where("k < n").select("band", "hot", "top"), "near-tops")
+    return _by_band(members, per_band).withColumn("out", F.col("label") != F.col("top")).drop("top")
+
+
+def _in_blocks(rows: DataFrame, dealt: DataFrame, *columns: str):
+    """Every block of members outside their bucket's largest component, grouped with every block of the bucket."""
+    rows = _by_band(rows, dealt)
     own = lambda c: F.pmod(F.xxhash64("cid", "band"), F.col(c))
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
-    left = open_rows.where("label <> top").select("band", own("lefts").alias("i"), every("rights").alias("j"), F.lit(True).alias("is_left"), "cid", "label", "text")
-    right = open_rows.select("band", every("lefts").alias("i"), own("rights").alias("j"), F.lit(False).alias("is_left"), "cid", "label", "text")
-    found = left.unionAll(right).groupBy("band", "i", "j").applyInArrow(_block_links(sets, percent), "a bigint, b bigint")
-    return links.unionAll(materialise(found, "near-block-links"))
+    outside = rows.where("out").select("band", own("lefts").alias("i"), every("rights").alias("j"), F.lit(True).alias("is_left"), "cid", "label", *columns)
+    whole = rows.select("band", every("lefts").alias("i"), own("rights").alias("j"), F.lit(False).alias("is_left"), "cid", "label", *columns)
+    return outside.unionAll(whole).groupBy("band", "i", "j")
+
+
+def _block_pairs(signs: list[str], size: int, least: int):
+    """Pairs of a pair of blocks whose signatures agree enough and whose components differ; if they are more than ``LISTED`` a member, one row without a pair."""
+    low = np.uint64(0x1111111111111111)
+
+    def run(table: pa.Table) -> pa.Table:
+        left = table.column("is_left").to_numpy(zero_copy_only=False).astype(bool)
+        cid, label = table.column("cid").to_numpy(), table.column("label").to_numpy()
+        words = [table.column(s).to_numpy().view(np.uint64) for s in signs]
+        lefts, rights = np.flatnonzero(left), np.flatnonzero(~left)
+        found, count = [], 0
+        for at in range(0, len(lefts), 128):
+            own = lefts[at : at + 128]
+            apart = np.zeros((len(own), len(rights)), np.uint8)
+            for w in words:
+                d = w[own][:, None] ^ w[rights][None, :]
+                d |= d >> np.uint64(1)
+                d |= d >> np.uint64(2)
+                d &= low
+                apart += np.bitwise_count(d)
+            i, j = np.nonzero((size - apart.astype(np.int16) >= least) & (label[own][:, None] != label[rights][None, :]))
+            found.append((cid[own[i]], cid[rights[j]]))
+            count += len(i)
+            if count > LISTED * table.num_rows:
+                return pa.table({"band": pa.array([table.column("band")[0].as_py()], pa.int64()), "a": pa.array([None], pa.int64()), "b": pa.array([None], pa.int64())})
+        x, y = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        band = np.full(len(x), table.column("band")[0].as_py() if table.num_rows else 0, np.int64)
+        return pa.table({"band": band, "a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return run
 
 
 def _verifier(sets: Callable, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, buf, offsets in _text.slices([batch], "text_a"):
+            for part, buf, offsets in _text.slices([batch], "text_a", VERIFIED_BYTES):
                 a, pa_ = sets(buf, offsets)
                 b, pb = sets(*_text.text_buffers(_text.text_array(part.column(part.schema.get_field_index("text_b")))))
                 keep = np.zeros(part.num_rows, dtype=bool)

@@ -1,8 +1,8 @@
 """Fuzzy line deduplication by MinHash: of each group of similar lines, over all documents, one stays.
 
-1. Lines of whole texts are hashed; equal lines are one class at once (pre-aggregated in each slice of rows).
+1. Lines of whole texts are hashed twice with 64 bits (``cid``, ``check``); equal lines are one class at once (sketched once in each slice of rows).
 2. Distinct lines get MinHash signatures of their character shingles (the one-pass SuperMinHash variant, see ``_text``), cut into
-   many short bands: 10 bands of 3 make a pair at similarity 0.8 a candidate with probability 0.999.
+   many short bands: 12 bands of 5 make a pair at similarity 0.8 a candidate with probability 0.991, at 0.85 with 0.999.
 3. Candidates are verified by exact Jaccard similarity of their shingle sets, and components are found by distributed union-find
    (see ``_near``). The first line of a component, by doc_id and position, stays; the others are removed from their texts.
 """
@@ -17,23 +17,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from darkroom.llm import _near, _text
 from darkroom.operators.components import connected_components
-from darkroom.runtime import materialise, ship
+from darkroom.operators.skew import join_counted
+from darkroom.runtime import discard, materialise, ship
 
-WIDTH = 10
-#: Width in ``op4_line_dedup`` and the pipeline: one changed character leaves 80% from about 50 characters up; with 10 it takes about 100.
-LINE_WIDTH = 5
+#: One changed character leaves 80% of 5-character shingles from about 50 characters up.
+WIDTH = 5
 SIMILARITY_PERCENT = 80
-SIZE, ROWS = 30, 3
+SIZE, ROWS = 60, 5
+#: Text that is sketched at once: few enough for the shingles' arrays to stay in a processor's cache.
+SLICE_BYTES = 1 << 18
+SIGNS = _near.signature(-(-SIZE // 16))
+LINES = ", ".join(["doc_id bigint, tie bigint, position int, place decimal(38,0), cid bigint, check bigint, bands array<bigint>", *[f"{s} bigint" for s in SIGNS]])
 #: Lines with fewer characters are similar to equal lines only: where few characters differ, they mostly say something else.
 MIN_CHARS = 20
 
 
-def line_sets(buf: np.ndarray, start: np.ndarray, end: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+def line_sets(buf: np.ndarray, start: np.ndarray, end: np.ndarray, width: int = WIDTH, rolling: _text.Rolling | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the character shingles of byte ranges (not distinct), with a row pointer; a shorter range is one shingle."""
-    rolling = _text.Rolling(buf)
+    rolling = rolling or _text.Rolling(buf)
     n = len(buf)
     lead = np.flatnonzero((buf & 0xC0) != 0x80)
     first, last = np.searchsorted(lead, start), np.searchsorted(lead, end)
@@ -68,18 +73,8 @@ def whole_sets(buf: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tupl
     return _text.distinct_sorted(*line_sets(buf, offsets[:-1], offsets[1:], width))
 
 
-def set_sizes(values: np.ndarray, pointer: np.ndarray) -> np.ndarray:
-    """Distinct values of each row."""
-    rows = len(pointer) - 1
-    bits = np.uint64(64 - max(1, rows.bit_length()))
-    key = np.sort((_text.row_of(pointer).astype(np.uint64) << bits) | (values & ((np.uint64(1) << bits) - np.uint64(1))))
-    new = np.ones(len(key), dtype=bool)
-    new[1:] = key[1:] != key[:-1]
-    return np.bincount((key[new] >> bits).astype(np.int64), minlength=rows)
-
-
 def _candidate_lines(buf: np.ndarray, offsets: np.ndarray, min_chars: int) -> tuple[np.ndarray, ...]:
-    """Start, end, row, position and hash of lines with a word, and which have ``min_chars`` characters; white space around a line doesn't count."""
+    """Start, end, row, position and hash of lines with a word, which have ``min_chars`` characters, and the hashing; white space around a line doesn't count."""
     start, end, pointer = _text.line_spans(buf, offsets)
     row = _text.row_of(pointer)
     position = np.arange(len(start)) - pointer[row]
@@ -89,44 +84,61 @@ def _candidate_lines(buf: np.ndarray, offsets: np.ndarray, min_chars: int) -> tu
     start, end, row, position = solid[a[some]], solid[b[some] - 1] + 1, row[some], position[some]
     lead = np.zeros(len(buf) + 1, np.int64)
     np.cumsum((buf & 0xC0) != 0x80, out=lead[1:])
-    return start, end, row, position, _text.Rolling(buf).of(start, end).view(np.int64), lead[end] - lead[start] >= min_chars
+    rolling = _text.Rolling(buf)
+    return start, end, row, position, rolling.of(start, end).view(np.int64), lead[end] - lead[start] >= min_chars, rolling
+
+
+def _places(doc: pa.Array, tie: pa.Array, position: np.ndarray) -> pa.Array:
+    """Places of lines as numbers in the order of (doc_id, 31 bits of tie, position), null doc_id last; a place is doc_id * 2**62 and the rest."""
+    d = doc.fill_null(2**63 - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+    rest = ((tie.to_numpy(zero_copy_only=False).astype(np.int64) & (2**31 - 1)) << 31) | position
+    both = np.empty((len(d), 2), np.int64)
+    both[:, 0], both[:, 1] = (d << 62) | rest, d >> 2
+    return pa.Array.from_buffers(pa.decimal128(38, 0), len(d), [None, pa.py_buffer(both.tobytes())])
 
 
 def _sketch(min_chars: int, width: int, size: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, buf, offsets in _text.slices(batches):
-            start, end, row, position, cid, long = _candidate_lines(buf, offsets, min_chars)
+        for batch, buf, offsets in _text.slices(batches, most=SLICE_BYTES):
+            start, end, row, position, cid, long, rolling = _candidate_lines(buf, offsets, min_chars)
             doc = pa.array(row)
-            _, first = np.unique(cid, return_index=True)
-            keys = np.zeros((len(cid), 0), np.uint64)
+            keys, own = np.zeros((0, size // rows), np.uint64), np.zeros((len(cid), -(-size // 16)), np.int64)
+            sketched = np.zeros(len(cid), dtype=bool)
             per_row = np.zeros(len(cid) + 1, np.int64)
-            shingles = np.zeros(len(cid), np.int32)
+            check = np.zeros(len(cid), np.int64)
             if len(cid):
-                order = np.sort(first[long[first]])
-                values, pointer = line_sets(buf, start[order], end[order], width)
-                keys = _text.band_keys(_text.super_minhash(values, pointer, size), rows)
-                shingles[order] = set_sizes(values, pointer)
-                has = np.zeros(len(cid), np.int64)
-                has[order] = keys.shape[1]
-                np.cumsum(has, out=per_row[1:])
+                # each line once, in the order of the text
+                _, first, same = np.unique(cid, return_index=True, return_inverse=True)
+                order = np.argsort(first)
+                values, pointer = line_sets(buf, start[first[order]], end[first[order]], width, rolling)
+                sums = np.add.reduceat(values, pointer[:-1])
+                check[:] = _text.mix(sums + np.diff(pointer).astype(np.uint64))[np.argsort(order)][same].view(np.int64)
+                long = long[first[order]]
+                pieces = np.diff(pointer)
+                values, pointer = values[np.repeat(long, pieces)], np.concatenate([[0], np.cumsum(pieces[long])])
+                sig = _text.super_minhash(values, pointer, size)
+                keys = _text.band_keys(sig, rows)
+                sketched[first[order][long]] = True
+                own[sketched] = _text.nibbles(sig).view(np.int64)
+                np.cumsum(np.where(sketched, keys.shape[1], 0), out=per_row[1:])
+            ids, ties = batch.column(0).take(doc), batch.column(1).take(doc)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(doc), batch.column(1).take(doc), pa.array(position.astype(np.int32)), pa.array(cid), _text.list_array(keys.ravel(), per_row), pa.array(shingles)],
-                ["doc_id", "tie", "position", "cid", "bands", "shingles"],
+                [ids, ties, pa.array(position.astype(np.int32)), _places(ids, ties, position), pa.array(cid), pa.array(check), _text.list_array(keys.ravel(), per_row), *[pa.array(x, mask=~sketched) for x in own.T]],
+                ["doc_id", "tie", "position", "place", "cid", "check", "bands", *SIGNS],
             )
 
     return run
 
 
 def _listed_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cid, text) of listed lines, without white space around them."""
+    """(cid, check, text) of listed lines, without white space around them."""
     for batch in batches:
-        cids, texts = [], []
+        found = []
         for text, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             lines = text.split("\n")
-            for x in listed:
-                cids.append(x["cid"])
-                texts.append(lines[x["position"]].strip(" \t\n\r\v\f"))
-        yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(texts, pa.string())], ["cid", "text"])
+            found += [(x["cid"], x["check"], lines[x["position"]].strip(" \t\n\r\v\f")) for x in listed]
+        columns = list(zip(*found)) if found else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()))], ["cid", "check", "text"])
 
 
 def duplicate_lines(
@@ -141,67 +153,67 @@ def duplicate_lines(
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("tie"), F.col(text).alias("text"))
-    lines = materialise(
-        texts.mapInArrow(_sketch(min_chars, width, SIZE, ROWS), "doc_id bigint, tie bigint, position int, cid bigint, bands array<bigint>, shingles int"), "line-sketches"
-    )
-    buckets = materialise(_near.shared_buckets(lines.select(F.explode("bands").alias("band"), "cid", "shingles")), "line-shared")
-    # of a class, its first line stands for all
-    one = lines.join(buckets.select("cid").distinct(), "cid").groupBy("cid").agg(F.min(F.struct("tie", "doc_id", "position")).alias("one"))
-    listed = one.groupBy(F.col("one.tie").alias("_t"), F.col("one.doc_id").alias("_i")).agg(F.collect_list(F.struct("cid", "one.position")).alias("listed"))
-    here = texts.join(listed, (F.col("tie") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_i"))).select("text", "listed")
-    content = here.mapInArrow(_listed_lines, "cid bigint, text string").dropDuplicates(["cid"])
-    links = _near.near_links(buckets, content, partial(whole_sets, width=width), percent)
-    labels = connected_components(links)
-    place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tie", "position")
-    classes = lines.groupBy("cid").agg(F.min(place).alias("low"), F.max(place).alias("high"))
-    rooted = materialise(classes.join(labels, classes["cid"] == labels["node"], "left").select("cid", "low", "high", "root"), "line-classes")
-    first = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("low").alias("first"))
+    lines = materialise(texts.mapInArrow(_sketch(min_chars, width, SIZE, ROWS), LINES), "line-sketches")
+    key = ["cid", "check"]
+    classes = lines.groupBy(*key).agg(F.min("place").alias("low"), F.count(F.lit(1)).alias("n"), *[F.max(s).alias(s) for s in SIGNS])
+    classes = materialise(classes, "line-classes")
+    shared = _near.shared_buckets(lines.select(F.explode("bands").alias("band"), "cid")).join(classes.select("cid", *SIGNS), "cid")
+    buckets = materialise(shared, "line-shared")
+
+    def fetch(cids: DataFrame) -> DataFrame:
+        # of a class, its first line stands for all
+        wanted = classes.join(cids, "cid", "left_semi").select("cid", "check", F.col("low").alias("place"))
+        found = lines.select("cid", "place", "doc_id", "tie", "position").join(wanted, ["cid", "place"])
+        listed = found.groupBy(F.col("doc_id").alias("its_id"), F.col("tie").alias("its_tie")).agg(F.collect_set(F.struct("cid", "check", "position")).alias("listed"))  # bounded by a text's lines
+        here = texts.join(listed.hint("shuffle_hash"), (F.col("tie") == F.col("its_tie")) & F.col("doc_id").eqNullSafe(F.col("its_id"))).select("text", "listed")
+        return here.mapInArrow(_listed_lines, "cid bigint, check bigint, text string").groupBy("cid").agg(F.min("check").alias("check"), F.min_by("text", "check").alias("text"))
+
+    links, checks = _near.near_links(buckets, fetch, partial(whole_sets, width=width), percent, SIZE)
+    labels = connected_components(links).join(checks.withColumnRenamed("cid", "node"), "node").select(F.col("node").alias("cid"), "check", "root")
     # classes of one line and no link lose nothing
-    repeated = rooted.where("root IS NULL AND low <> high").select("cid", F.col("low").alias("first"))
-    linked = rooted.where("root IS NOT NULL").join(first, "root").select("cid", "first")
-    return lines.join(repeated.unionAll(linked), "cid").where(place != F.col("first")).select("doc_id", "tie", "position").distinct()
-
+    rooted = materialise(classes.drop(*SIGNS).join(labels, key, "left").where("root IS NOT NULL OR n > 1"), "line-linked")
+    first = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("low").alias("first"), F.count(F.lit(1)).alias("members"))
+    linked = join_counted(rooted.where("root IS NOT NULL"), first, ["root"], "members").select(*key, "n", "first")
+    repeated = rooted.where("root IS NULL").select(*key, "n", F.col("low").alias("first"))
+    listed = materialise(repeated.unionAll(linked), "line-repeated")
+    discard(buckets, classes, rooted)
+    out = join_counted(lines.select("doc_id", "tie", "position", "place", *key), listed, key).where(F.col("place") != F.col("first"))
+    return out.select("doc_id", "tie", "position").distinct()
 
-def _remove(names: list[str], text: str, n_chars: str | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gone = batch.column(batch.schema.get_field_index("_line_gone")).to_pylist()
-            old = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            new = []
-            for t, g in zip(old, gone):
-                if g and t is not None:
-                    drop = set(g)
-                    t = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop)
-                new.append(t)
-            arrays = []
-            for n in names:
-                c = batch.column(batch.schema.get_field_index(n))
-                if n == text:
-                    c = pa.array(new, pa.string())
-                elif n == n_chars:
-                    c = pa.array([x if not g or t is None else len(t) for x, g, t in zip(c.to_pylist(), gone, new)], c.type)
-                arrays.append(c)
-            extra = [pa.array([len(g or ()) for g in gone], pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays + extra, [*names, "_line_removed"])
 
-    return run
+def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        new, chars = [], []
+        for t, g in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            if g and t is not None:
+                drop = set(g)
+                t = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop)
+            new.append(t)
+            chars.append(None if t is None else len(t))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string()), pa.array(chars, pa.int64()), pa.array([len(g or ()) for g in batch.column(2).to_pylist()], pa.int64())], ["row", "text", "chars", "removed"])
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", removed: str | None = None, **parameters) -> DataFrame:
     """``docs`` with duplicate lines removed from their texts.
 
-    All rows and columns stay; the text loses removed lines with their line breaks, and ``n_chars`` (if there is such a column) is counted
+    All rows and columns (of any names) stay; the text loses removed lines with their line breaks, and ``n_chars`` (if there is such a column) is counted
     again where lines went. ``removed`` names a column for the number of lines removed. Null and empty texts are unchanged; an empty table gives an empty
     table; rows that repeat doc_id and text all keep the same lines.
     """
-    gone = duplicate_lines(docs, doc_id, text, **parameters).groupBy(F.col("doc_id").alias("_line_id"), F.col("tie").alias("_line_tie"))
-    gone = materialise(gone.agg(F.collect_list("position").alias("_line_gone")), "line-gone")  # bounded by a text's lines
-    rows = docs.withColumn("_line_hash", F.xxhash64(F.col(text)))
-    same = (F.col("_line_hash") == F.col("_line_tie")) & F.col(doc_id).cast("bigint").eqNullSafe(F.col("_line_id"))
-    rows = rows.join(gone, same, "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_line_gone")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _line_removed bigint"
-    out = rows.mapInArrow(_remove(docs.columns, text, n_chars if n_chars in docs.columns else None), schema)
-    return out.withColumnRenamed("_line_removed", removed) if removed else out.drop("_line_removed")
+    gone = duplicate_lines(docs, doc_id, text, **parameters).groupBy(F.col("doc_id").alias("gone_id"), F.col("tie").alias("gone_tie"))
+    gone = materialise(gone.agg(F.collect_list("position").alias("gone")), "line-gone")  # bounded by a text's lines
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
+    rows = docs.select(others.alias("row"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("tie"), F.col(f"`{doc_id}`").cast("bigint").alias("id"))
+    rows = rows.join(gone, (F.col("tie") == F.col("gone_tie")) & F.col("id").eqNullSafe(F.col("gone_id")), "left").select("row", "text", "gone")
+    schema = StructType([rows.schema["row"], StructField("text", StringType()), StructField("chars", LongType()), StructField("removed", LongType())])
+    out = rows.mapInArrow(_remove, schema)
+    columns = []
+    for c in docs.columns:
+        own = F.col(f"row.`{c}`") if c != text else F.col("text")
+        if c == n_chars and c != text:
+            own = F.when((F.col("removed") > 0) & F.col("chars").isNotNull(), F.col("chars").cast(docs.schema[c].dataType)).otherwise(own)
+        columns.append(own.alias(c))
+    return out.select(*columns, *([F.col("removed").alias(removed)] if removed else []))
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,5 +226,5 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` without duplicate lines: doc_id, n_lines_kept, n_removed, kept_sha256 (of the text that is left)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    left = dedup_lines(docs, removed="n_removed", width=LINE_WIDTH)
+    left = dedup_lines(docs, removed="n_removed")
     return left.mapInArrow(_digest, "doc_id bigint, n_lines_kept bigint, n_removed bigint, kept_sha256 string")

@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import json
 import random
 import re
 import time
@@ -73,7 +74,17 @@ def test_encoder_equals_library():
             assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
-def test_simple8b_round_trip(tmp_path):
+def test_encoder_of_unknown_form(tmp_path):
+    path = tmp_path / "t.json"
+    written = json.loads(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    written["normalizer"] = {"type": "Lowercase"}
+    written["pre_tokenizer"]["add_prefix_space"] = True
+    path.write_text(json.dumps(written), encoding="utf-8")
+    t, cases = Tokenizer.from_file(str(path)), ["Hello World", "", "É a\n  b", "x <|endoftext|>"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in _tokens.Encoder(str(path)).encode(cases)] == [t.encode(c, add_special_tokens=False).ids for c in cases]
+
+
+def test_simple8b_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 60, 1023, 1024, 1025, 5000):
         for most in (1, 2, 300, 49408, 2**40, 2**61, 2**64 - 1):
@@ -82,15 +93,18 @@ def test_simple8b_round_trip(tmp_path):
             assert (simple8b.decode_blocks(words, offsets, n) == v).all()
     v = np.where(rng.random(9000) < 0.02, 2**64 - 1, rng.integers(0, 2**14, 9000)).astype(np.uint64)
     assert (simple8b.decode_blocks(*simple8b.encode_blocks(v), len(v)) == v).all()
-    w = simple8b.Writer(f"file://{tmp_path}/x.s8b")
-    w.add([5, None], [v[:3000], v[3000:3000]])
-    w.add([7], [v[3000:]])
-    w.close()
-    ids, lengths, back = simple8b.read_file(f"file://{tmp_path}/x.s8b")
-    assert ids == [5, None, 7] and lengths.tolist() == [3000, 0, 6000] and (back == v).all()
-
-
-def test_token_ids(spark, docs, none, rows, tmp_path):
+    sections = [simple8b.pack_section([5, None], [v[:3000], v[3000:3000]]), simple8b.pack_section([7], [v[3000:]])]
+    data = b"".join(x + n.to_bytes(8, "big") + simple8b.MAGIC + b"\n" for x, n in zip(sections, (0, 3000)))
+    (ids2, lengths2, back2, before2), (ids, lengths, back, before) = simple8b.read_sections(data)
+    assert ids == [5, None] and lengths.tolist() == [3000, 0] and before == 0 and ids2 == [7] and before2 == 3000
+    assert (np.concatenate([back, back2]) == v).all()
+    with pytest.raises(ValueError):
+        list(simple8b.read_sections(data[:-5]))
+
+
+@pytest.mark.parametrize("section", [1 << 20, 500])
+def test_token_ids(spark, docs, none, rows, tmp_path, monkeypatch, section):
+    monkeypatch.setattr(simple8b, "SECTION", section)
     path = str(public_tokenizers.path("word_bpe_49k.json"))
     t = Tokenizer.from_file(path)
     got = simple8b.read_digest(spark, simple8b.write_ids(docs, f"file://{tmp_path}/ids", path)).collect()
@@ -162,6 +176,29 @@ def test_suffix_dedup(docs, none, rows, length):
     assert suffix_dedup.remove_repeats(none, length=length).count() == 0
 
 
+def test_suffix_dedup_at_full_length(spark, monkeypatch):
+    """400-byte strings: passages in many texts with many contexts, and texts of several slices and pieces."""
+    rnd = random.Random(11)
+    word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage, other = word(450), word(900)
+    rows = [(i, word(rnd.randint(0, 300)) + passage + word(rnd.randint(0, 300))) for i in range(300)]
+    rows += [(1000 + i, word(50) + other[rnd.randint(0, 400) :] + word(30)) for i in range(20)] + [(2000, word(3000) + other[100:700] + word(9000) + passage + "é" * 500)]
+    monkeypatch.setattr(suffix_dedup, "PIECE", 1 << 11)
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", 16)
+    monkeypatch.setattr(suffix_dedup, "GROUP", 1 << 12)
+    k, w = suffix_dedup._sizes(400)
+    text = rows[-1][1].encode()
+    buf, whole = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    cut = suffix_dedup.anchors(buf, whole)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 1 << 21)
+    full = suffix_dedup.anchors(buf, whole)
+    at = lambda x: {(b + i): f for b, n, f in zip(x[1].tolist(), x[2].tolist(), x[3].tolist()) for i in range(n)}
+    assert at(cut) == at(full) and len(at(full)) == len(text) - 399
+    monkeypatch.setattr(suffix_dedup, "PIECE", 1 << 11)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == _suffix_brute(rows, 400)
+
+
 def _components(sets, percent):
     parent = {k: k for k in sets}
 
@@ -544,6 +581,21 @@ def test_pipeline_stages(spark, docs, none, rows):
         assert stage(spark, empty, SF).count() == 0
 
 
+CLASHES = "rejected host row base_failed _hash _words _i _taken size taken id n tie its_id _near_hash _near_id kept_id _line_hash _line_gone _line_removed removed gone chars first _".split()
+
+
+def test_clashing_columns(spark, rows):
+    """All operators that return whole rows keep columns of any names."""
+    full = [(i, t, lang, s, len(t or ""), *[f"{c}{k}" for c in CLASHES]) for k, (i, t, lang, s) in enumerate(rows)]
+    clash = spark.createDataFrame(full, "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{c}` string" for c in CLASHES))
+    for operator in (quality.keep_good, line_dedup.dedup_lines, near_dedup.keep_one, mixing.mixed):
+        out = operator(clash)
+        assert out.columns == clash.columns
+        for r in out.collect():
+            number = {r[c][len(c) :] for c in CLASHES}
+            assert len(number) == 1 and rows[int(number.pop())][0] == r["doc_id"]
+
+
 def test_registry():
     names = registry.queries()
     assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)} | {"pipeline"}
