@@ -12,8 +12,8 @@ block may hold unused zeros.
 
 File. One section after another, each closed by a line feed. A section holds whole documents: ``MAGIC``; the words, little-endian; word offset of
 each block (unsigned 64-bit), ids of each document (signed 64-bit), doc_id of each document (signed 64-bit), one byte a document that is 1 if
-its doc_id is null; then six signed 64-bit integers (documents, ids, words, blocks, ids a block, bytes of the section), the number of ids in all
-sections before it (64-bit, big-endian) and ``MAGIC`` again. Sections and files, by their names, ascend by doc_id. Files are written
+its doc_id is null; then eight signed 64-bit integers (range of doc_id, section in the range, documents, ids, words, blocks, ids a block, bytes of the section)
+and ``MAGIC`` again. Sections and files, by their names, ascend by doc_id; ids are counted over sections by their ranges and numbers. Files are written
 and read by Spark, so they lie wherever its file systems reach, and tasks commit them whole or not at all.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from darkroom.llm import _text, _tokens
-from darkroom.runtime import discard, materialise, scratch_path, ship, shuffle_partitions
+from darkroom.runtime import materialise, scratch_path, ship, shuffle_partitions, shuffles_dropped
 
 MAGIC = b"S8BIDS01"
 BLOCK = 1024
@@ -141,37 +141,45 @@ def decode_blocks(words: np.ndarray, offsets: np.ndarray, n: int, block: int = B
     return out.reshape(blocks, width)[:, :block].ravel()[:n]
 
 
-def pack_section(docs: list[int | None], ids: list[np.ndarray]) -> bytes:
-    """A section of whole documents, up to (without) the number of ids before it."""
+TRAILER = 8 * 8 + len(MAGIC)
+
+
+def pack_section(part: int, seq: int, docs: list[int | None], ids: list[np.ndarray]) -> bytes:
+    """A section of whole documents."""
     words, offsets = encode_blocks(np.concatenate([np.zeros(0, U64), *ids]).astype(U64))
     lengths = np.array([len(x) for x in ids], "<i8")
     parts = [
         MAGIC, words.astype("<u8").tobytes(), offsets.astype("<u8").tobytes(), lengths.tobytes(), np.array([d or 0 for d in docs], "<i8").tobytes(),
         np.array([d is None for d in docs], "u1").tobytes(),
     ]
-    size = sum(map(len, parts)) + 7 * 8 + len(MAGIC)
-    return b"".join([*parts, np.array([len(docs), int(lengths.sum()), len(words), len(offsets), BLOCK, size], "<i8").tobytes()])
+    size = sum(map(len, parts)) + TRAILER
+    return b"".join([*parts, np.array([part, seq, len(docs), int(lengths.sum()), len(words), len(offsets), BLOCK, size], "<i8").tobytes(), MAGIC])
 
 
-def read_sections(data: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray, int]]:
-    """doc_ids, ids of each document (lengths), all ids, and ids before them, of every section of a file, last section first."""
+def trailers(data: bytes) -> Iterator[tuple[int, list[int]]]:
+    """Begin and trailer of every section of a file, last section first."""
     end = len(data)
     while end:
         if data[end - 1 : end] != b"\n" or data[end - 9 : end - 1] != MAGIC:
             raise ValueError("no file of this format, or not whole")
         end -= 1
-        before = int.from_bytes(data[end - 16 : end - 8], "big")
-        docs, n, words, blocks, block, size = np.frombuffer(data, "<i8", 6, end - 64).tolist()
-        at = end - size
-        if at < 0 or data[at : at + 8] != MAGIC:
+        numbers = np.frombuffer(data, "<i8", 8, end - TRAILER).tolist()
+        end -= numbers[-1]
+        if end < 0 or data[end : end + 8] != MAGIC:
             raise ValueError("no file of this format, or not whole")
-        end, at = at, at + 8
-        coded = np.frombuffer(data, "<u8", words, at)
-        offsets = np.frombuffer(data, "<u8", blocks, at := at + 8 * words).astype(np.int64)
-        lengths = np.frombuffer(data, "<i8", docs, at := at + 8 * blocks)
-        ids = np.frombuffer(data, "<i8", docs, at := at + 8 * docs)
-        null = np.frombuffer(data, "u1", docs, at + 8 * docs)
-        yield [None if z else int(i) for i, z in zip(ids, null)], lengths, decode_blocks(coded, offsets, n, block), before
+        yield end, numbers
+
+
+def read_section(data: bytes, at: int, numbers: list[int]) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """doc_ids, ids of each document (lengths) and all ids of a section."""
+    _, _, docs, n, words, blocks, block, _ = numbers
+    at += 8
+    coded = np.frombuffer(data, "<u8", words, at)
+    offsets = np.frombuffer(data, "<u8", blocks, at := at + 8 * words).astype(np.int64)
+    lengths = np.frombuffer(data, "<i8", docs, at := at + 8 * blocks)
+    ids = np.frombuffer(data, "<i8", docs, at := at + 8 * docs)
+    null = np.frombuffer(data, "u1", docs, at + 8 * docs)
+    return [None if z else int(i) for i, z in zip(ids, null)], lengths, decode_blocks(coded, offsets, n, block)
 
 
 def _encode(tokenizer: str, end_id: int):
@@ -183,8 +191,7 @@ def _encode(tokenizer: str, end_id: int):
         held = 0
 
         def section() -> pa.RecordBatch:
-            columns = {"part": part, "seq": seq, "n_docs": len(docs), "n_ids": held}
-            return pa.RecordBatch.from_pydict({k: pa.array([v], pa.int64()) for k, v in columns.items()} | {"data": pa.array([pack_section(docs, ids)], pa.binary())})
+            return pa.RecordBatch.from_pydict({"data": pa.array([pack_section(part, seq, docs, ids)], pa.binary())})
 
         for batch, _, _ in _text.slices(batches):
             for doc, x in zip(batch.column(0).to_pylist(), encode(batch.column(1).fill_null("").to_pylist())):
@@ -213,38 +220,43 @@ def write_ids(docs: DataFrame, target: str, tokenizer: str, doc_id: str = "doc_i
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     dealt = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-    sections = materialise(dealt.mapInArrow(_encode(tokenizer, end_id), "part bigint, seq bigint, n_docs bigint, n_ids bigint, data binary"), "token-sections")
-    # one row a part, then one a section: what is before each
-    before = lambda *o: F.coalesce(F.sum("n_ids").over(Window.partitionBy(*o[:-1]).orderBy(o[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = sections.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", before("part").alias("part_start"))
-    starts = sections.select("part", "seq", before("part", "seq").alias("start"))
-    starts = materialise(starts.join(parts, "part").select("part", "seq", (F.col("part_start") + F.col("start")).alias("start")), "token-starts")
-    placed = sections.join(starts, ["part", "seq"])
-    whole = F.concat("data", F.unhex(F.lpad(F.hex("start"), 16, "0")), F.lit(bytearray(MAGIC)))
-    placed = placed.select("part", "seq", whole.cast("string").alias("value"))  # bytes as they are
-    files = placed.repartitionByRange(shuffle_partitions(spark), "part", "seq").sortWithinPartitions("part", "seq").select("value")
-    files.write.option("maxRecordsPerFile", SECTIONS).text(target)
-    discard(sections, starts)
+    sections = dealt.mapInArrow(_encode(tokenizer, end_id), "data binary").select(F.col("data").cast("string").alias("value"))  # bytes as they are
+    with shuffles_dropped(spark):
+        sections.write.option("maxRecordsPerFile", SECTIONS).text(target)
     return target
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            found = [numbers for _, numbers in trailers(batch.column(0)[i].as_py())]
+            yield pa.RecordBatch.from_pydict({n: pa.array([x[k] for x in found], pa.int64()) for n, k in (("part", 0), ("seq", 1), ("n_ids", 3))})
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            for docs, lengths, ids, before in read_sections(batch.column(0)[i].as_py()):
+            data = batch.column(0)[i].as_py()
+            for at, numbers in trailers(data):
+                docs, lengths, ids = read_section(data, at, numbers)
                 ends = np.cumsum(lengths)
                 view = memoryview(ids.astype("<u4")).cast("B")
                 crc = [zlib.crc32(view[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist())]
-                yield pa.RecordBatch.from_pydict(
-                    {"doc_id": pa.array(docs, pa.int64()), "start": pa.array(before + ends - lengths), "n_tokens": pa.array(lengths.astype(np.int64)), "ids_crc32": pa.array(crc, pa.int64())}
-                )
+                columns = {"part": np.full(len(docs), numbers[0]), "seq": np.full(len(docs), numbers[1]), "inside": ends - lengths, "n_tokens": lengths.astype(np.int64)}
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs, pa.int64())} | {k: pa.array(v, pa.int64()) for k, v in columns.items()} | {"ids_crc32": pa.array(crc, pa.int64())})
 
 
 def read_digest(spark: SparkSession, target: str) -> DataFrame:
     """Read files back: doc_id, start, n_tokens and ids_crc32 (of ids as little-endian unsigned 32-bit) of every document."""
     ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(target).select("content")
-    return files.mapInArrow(_read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    counts = materialise(files.mapInArrow(_counts, "part bigint, seq bigint, n_ids bigint"), "token-counts")
+    # one row a range, then one a section: ids before it
+    before = lambda *o: F.coalesce(F.sum("n_ids").over(Window.partitionBy(*o[:-1]).orderBy(o[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = counts.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", before("part").alias("part_start"))
+    starts = counts.select("part", "seq", before("part", "seq").alias("start")).join(parts, "part").select("part", "seq", (F.col("part_start") + F.col("start")).alias("before"))
+    rows = files.mapInArrow(_read, "doc_id bigint, part bigint, seq bigint, inside bigint, n_tokens bigint, ids_crc32 bigint")
+    return rows.join(materialise(starts, "token-starts"), ["part", "seq"]).select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,13 +93,12 @@ def test_simple8b_round_trip():
             assert (simple8b.decode_blocks(words, offsets, n) == v).all()
     v = np.where(rng.random(9000) < 0.02, 2**64 - 1, rng.integers(0, 2**14, 9000)).astype(np.uint64)
     assert (simple8b.decode_blocks(*simple8b.encode_blocks(v), len(v)) == v).all()
-    sections = [simple8b.pack_section([5, None], [v[:3000], v[3000:3000]]), simple8b.pack_section([7], [v[3000:]])]
-    data = b"".join(x + n.to_bytes(8, "big") + simple8b.MAGIC + b"\n" for x, n in zip(sections, (0, 3000)))
-    (ids2, lengths2, back2, before2), (ids, lengths, back, before) = simple8b.read_sections(data)
-    assert ids == [5, None] and lengths.tolist() == [3000, 0] and before == 0 and ids2 == [7] and before2 == 3000
+    data = b"".join(x + b"\n" for x in (simple8b.pack_section(0, 0, [5, None], [v[:3000], v[3000:3000]]), simple8b.pack_section(0, 1, [7], [v[3000:]])))
+    (ids2, lengths2, back2), (ids, lengths, back) = (simple8b.read_section(data, at, numbers) for at, numbers in simple8b.trailers(data))
+    assert ids == [5, None] and lengths.tolist() == [3000, 0] and ids2 == [7]
     assert (np.concatenate([back, back2]) == v).all()
     with pytest.raises(ValueError):
-        list(simple8b.read_sections(data[:-5]))
+        list(simple8b.trailers(data[:-5]))
 
 
 @pytest.mark.parametrize("section", [1 << 20, 500])
