@@ -34,8 +34,8 @@ COLUMNS = 8192
 VERIFIED_BYTES = 1 << 18
 #: Members of a block whose signatures are compared, and candidates that are listed for each of them at most.
 SIGN_BLOCK, LISTED = 2048, 4
-#: Bands that 32 or more classes of every 64th have are hot; the hottest, at most so many, are handled by broadcast.
-SAMPLE, SAMPLED, HOT_BANDS = 64, 32, 4096
+#: Bands that 16 or more classes of every 32nd have are hot; the hottest, at most so many, are handled by broadcast.
+SAMPLE, SAMPLED, HOT_BANDS = 32, 16, 4096
 #: Members of a large bucket that are compared with a centre in one task at about.
 STAR = 4096
 
