@@ -131,3 +131,63 @@ def mark_totals(items: DataFrame, marks: DataFrame) -> DataFrame:
 def json_feed(items: DataFrame) -> DataFrame:
     """One JSON text an item."""
     return items.select("seq", F.to_json(F.struct(*[c for c in items.columns if c != "fprint"])).alias("json"))
+
+
+#: Fixed format: fields of an item in the gallery's feed, in order; companions come last.
+FEED_FIELDS = (
+    "id", "name", "recommendation", "reasons", "sharpness", "brightness", "contrast", "noise", "aesthetic", "is_utility", "face_quality", "cluster_id",
+    "cluster_size", "is_keeper", "megapixels", "file_bytes", "exists", "removed",
+)
+
+
+def item_feed(items: DataFrame, companions: DataFrame, listing: DataFrame | None = None) -> DataFrame:
+    """One row an item with the feed's fields and ``companions``, the base names of (path, companions); ``exists`` says whether a listing still has the file."""
+    rows = items.withColumnRenamed("seq", "id").withColumn("name", basename(F.col("path"))).join(companions.select("path", F.col("companions").alias("own")), "path", "left")
+    if listing is None:
+        rows = rows.withColumn("exists", F.lit(True))
+    else:
+        rows = rows.join(listing.select("path", F.lit(True).alias("there")).distinct(), "path", "left").withColumn("exists", F.coalesce("there", F.lit(False)))
+    names = F.coalesce(F.transform("own", lambda p: basename(p)), F.array().cast("array<string>"))
+    return rows.select(*FEED_FIELDS, names.alias("companions"))
+
+
+def view_counts(items: DataFrame, view: DataFrame) -> DataFrame:
+    """One row: items shown and items that could be shown."""
+    return view.agg(F.count(F.lit(1)).alias("shown")).join(F.broadcast(items.where("NOT removed").agg(F.count(F.lit(1)).alias("total"))))  # one row each
+
+
+def present_counts(items: DataFrame, listing: DataFrame) -> DataFrame:
+    """One row: items whose file a listing has, and those it lacks."""
+    there = items.join(listing.select("path", F.lit(True).alias("there")).distinct(), "path", "left")
+    return there.agg(F.count_if(F.col("there").isNotNull()).alias("present"), F.count_if(F.col("there").isNull()).alias("missing"))
+
+
+def clear_marks(marks: DataFrame) -> DataFrame:
+    """No marks."""
+    return marks.limit(0)
+
+
+def clear_cluster(items: DataFrame, marks: DataFrame, cluster: int) -> DataFrame:
+    """Marks without those of a cluster's members."""
+    return marks.join(items.where(F.col("cluster_id") == cluster).select("seq"), "seq", "left_anti")
+
+
+def clamped(value: Column, default: float, low: float, high: float) -> Column:
+    """A request's number within limits; what isn't a number is the default."""
+    return F.least(F.greatest(F.coalesce(value.try_cast("double"), F.lit(float(default))), F.lit(float(low))), F.lit(float(high)))
+
+
+def nearest_option(value: Column, options: list[float]) -> Column:
+    """The option next to a value, the first of equally near ones."""
+    return F.array_min(F.transform(F.array(*[F.struct(F.abs(value - F.lit(float(o))).alias("d"), F.lit(i).alias("i"), F.lit(float(o)).alias("o")) for i, o in enumerate(options)]), lambda x: x))["o"]
+
+
+def thumbnail_key(path: Column, pixels: Column, quality: Column) -> Column:
+    """Fixed format: the key of a cached thumbnail."""
+    return F.concat(path, F.lit("@"), pixels.cast("string"), F.lit("q"), quality.cast("string"))
+
+
+def evicted(accesses: DataFrame, capacity: int) -> DataFrame:
+    """Keys that a cache of the ``capacity`` last used ones has dropped, from (key, at). A cache is one session's, so one task orders its keys."""
+    last = accesses.groupBy("key").agg(F.max("at").alias("at"))
+    return last.withColumn("n", F.row_number().over(Window.orderBy(F.desc("at"), "key"))).where(F.col("n") > capacity).select("key")

@@ -1,8 +1,7 @@
 """Exact similarity self-join of vectors by blocks, with pruning by distance to a pivot."""
 
-from __future__ import annotations
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +17,15 @@ def dominant_length(vectors: DataFrame, vector: str = "fprint") -> int | None:
     return None if row is None else row["d"]
 
 
+def float_vectors(table: DataFrame, binary: str = "fprint") -> DataFrame:
+    """``table`` with fingerprints given as bytes read as little-endian 32-bit floats; bytes beyond a multiple of 4 don't count, null stays null."""
+    @F.pandas_udf("array<float>")
+    def read(column: pd.Series) -> pd.Series:
+        return column.map(lambda b: None if b is None else np.frombuffer(bytes(b)[: len(b) // 4 * 4], "<f4"))
+
+    return table.withColumn(binary, read(F.col(binary)))
+
+
 def _pairs(threshold: float):
     limit = threshold * threshold
 

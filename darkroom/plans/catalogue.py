@@ -507,9 +507,86 @@ def mark_totals(spark, d):
     return gallery.mark_totals(g, _old_marks(g))
 
 
-@query()
+@query(f"{_G} SELECT seq, regexp_extract(path, '[^/]*$') AS name, recommendation, {JOINED} AS reasons, cluster_id, is_keeper, file_bytes, removed FROM g")
 def json_feed(spark, d):
-    return gallery.json_feed(_gallery(spark, d))
+    """Items as JSON texts, read back."""
+    fields = "seq bigint, path string, recommendation string, reasons array<string>, cluster_id bigint, is_keeper boolean, file_bytes bigint, removed boolean"
+    j = gallery.json_feed(_gallery(spark, d)).select(F.from_json("json", fields).alias("j")).select("j.*")
+    return j.select("seq", paths.basename(F.col("path")).alias("name"), "recommendation", F.concat_ws(";", "reasons").alias("reasons"), "cluster_id", "is_keeper", "file_bytes", "removed")
+
+
+@query(
+    f"""{_G} SELECT seq AS id, regexp_extract(path, '[^/]*$') AS name, recommendation, {JOINED} AS reasons, {_d6('sharpness', 'brightness', 'contrast', 'noise')}, aesthetic, is_utility, face_quality,
+cluster_id, cluster_size, is_keeper, megapixels, file_bytes, seq % 5 <> 2 AS exists, removed, CASE WHEN seq % 6 = 0 THEN regexp_extract(path, '[^/]*$') || '.xmp' ELSE '' END AS companions FROM g"""
+)
+def item_feed(spark, d):
+    g = _gallery(spark, d)
+    side = g.where("seq % 6 = 0").select("path", F.array(F.concat("path", F.lit(".xmp"))).alias("companions"))
+    feed = gallery.item_feed(g, side, g.where("seq % 5 <> 2").select("path"))
+    text = {"reasons": F.concat_ws(";", "reasons"), "companions": F.concat_ws(";", "companions"), "cluster_id": F.col("cluster_id").cast("bigint"), "cluster_size": F.col("cluster_size").cast("bigint")}
+    return feed.withColumns(text | {c: F.round(c, 6) for c in ("sharpness", "brightness", "contrast", "noise")})
+
+
+@query(f"{_G} SELECT count(*) FILTER ({_VIS}) AS shown, count(*) FILTER (NOT removed) AS total FROM g")
+def gallery_view_counts(spark, d):
+    g = _gallery(spark, d)
+    return gallery.view_counts(g, gallery.visible(g))
+
+
+@query(f"{_G} SELECT count(*) FILTER (seq % 5 <> 2) AS present, count(*) FILTER (seq % 5 = 2) AS missing FROM g")
+def present_counts(spark, d):
+    g = _gallery(spark, d)
+    return gallery.present_counts(g, g.where("seq % 5 <> 2").select("path"))
+
+
+@query(f"{_G}, {_OLD} SELECT seq, mark FROM om WHERE seq NOT IN (SELECT seq FROM g WHERE cluster_id = 1)")
+def marks_after_clear_cluster(spark, d):
+    g = _gallery(spark, d)
+    return gallery.clear_cluster(g, _old_marks(g), 1)
+
+
+@query("SELECT event_id, least(greatest(coalesce(TRY_CAST(CASE WHEN event_id % 4 = 0 THEN 'x' ELSE CAST(value AS VARCHAR) END AS DOUBLE), 320), 160), 2000) AS size FROM events")
+def request_clamp(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    given = F.when(F.col("event_id") % 4 == 0, F.lit("x")).otherwise(F.col("value").cast("string"))
+    return e.select("event_id", gallery.clamped(given, 320, 160, 2000).alias("size"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 1000 <= 240 THEN 160 WHEN event_id % 1000 <= 480 THEN 320 ELSE 640 END::DOUBLE AS option FROM events")
+def thumbnail_option(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", gallery.nearest_option(F.col("event_id") % 1000, [160, 320, 640]).alias("option"))
+
+
+@query("WITH k AS (SELECT 'f' || CAST(event_id % 900 AS VARCHAR) || '@320q9' AS key, max(event_id) AS t FROM events GROUP BY 1) SELECT key FROM k QUALIFY row_number() OVER (ORDER BY t DESC, key) > 600")
+def thumbnails_evicted(spark, d):
+    i = F.col("event_id")
+    key = gallery.thumbnail_key(F.concat(F.lit("f"), (i % 900).cast("string")), F.lit(320), F.lit(9))
+    return gallery.evicted(spark.read.parquet(f"{d}/events.parquet").select(key.alias("key"), i.alias("at")), 600)
+
+
+@query(f"{_D} SELECT CAST(sum(CASE WHEN seq % 2 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS n_companions FROM dd WHERE seq % 7 = 3")
+def expected_companions(spark, d):
+    items = _deduped(spark, d).select("seq", "path")
+    names = F.when(F.col("seq") % 2 == 0, F.array(F.concat("path", F.lit(".xmp")), F.concat("path", F.lit(".aae")))).otherwise(F.array(F.concat("path", F.lit(".xmp"))))
+    return moves.expected_companions(items.where("seq % 7 = 3").select("seq"), items.select("path", names.alias("companions")), items)
+
+
+@query(f"{_D} SELECT seq, path, 'Q/' || regexp_extract(path, '[^/]*$') AS target FROM dd WHERE recommendation IN ('delete', 'duplicate')")
+def move_plan(spark, d):
+    return moves.quarantine_plan(_deduped(spark, d), ("delete", "duplicate"), [], "Q")
+
+
+@query("SELECT vec_id AS seq, len(embedding) AS n, CAST(embedding[1] AS FLOAT) AS first_value FROM embeddings")
+def fprint_bytes(spark, d):
+    """Fingerprints as bytes with a few bytes too many, read as floats."""
+    from darkroom.operators.similarity import float_vectors
+
+    @F.pandas_udf("binary")
+    def packed(column):
+        return column.map(lambda v: v.astype("<f4").tobytes() + b"ab")
+
+    b = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("seq"), packed("embedding").alias("fprint"))
+    return float_vectors(b).select("seq", F.size("fprint").cast("bigint").alias("n"), F.col("fprint")[0].alias("first_value"))
 
 
 @query(f"{_D} SELECT path, recommendation, {JOINED} AS reasons, {_d6('sharpness')}, width, file_bytes, is_keeper FROM dd")

@@ -66,7 +66,7 @@ _NOI = _duck_stencil("abs(px[p - 8] - 2 * px[p - 7] + px[p - 6] - 2 * px[p] + 4
 METRICS_SQL = f"""
 e AS (SELECT vec_id, vec_id AS seq, embedding AS fprint, {', '.join(f'{v} AS {k}' for k, v in _COLUMNS.items())} FROM embeddings),
 p AS (SELECT *, [CAST(least(greatest(floor(base + ramp * (k % 8 + k // 8 - 7) + amp * CAST(fprint[k + 1] AS DOUBLE)), 0), 255) AS DOUBLE) for k in range(64)] AS px FROM e),
-m AS (
+m AS MATERIALIZED (
   SELECT seq, fprint, path, asset_id, width, height, file_bytes, aesthetic, is_utility, face_quality,
          round(width * height / CAST(1000000 AS DOUBLE), 2) AS megapixels,
          list_aggregate({_LAP}, 'var_pop') AS sharpness, list_avg(px) AS brightness, list_aggregate(px, 'stddev_pop') AS contrast,
@@ -91,24 +91,24 @@ def verdict_sql(enabled=tuple(_SOFT)) -> str:
     strong = f"({'sharpness < 35' if 'blur' in enabled else 'false'}) OR ({'brightness < 25' if 'dark' in enabled else 'false'}) OR ({on('blur')} AND ({on('dark')} OR {on('exposure')} OR {on('contrast')})) OR {on('face')}"
     return f"""{METRICS_SQL},
 r AS (SELECT *, [x for x in [{reasons}] if x IS NOT NULL] AS reasons, {strong} AS strong FROM m),
-j AS (SELECT *, CASE WHEN strong THEN 'delete' WHEN len(reasons) > 0 THEN 'review' ELSE 'keep' END AS recommendation FROM r)"""
+j AS MATERIALIZED (SELECT *, CASE WHEN strong THEN 'delete' WHEN len(reasons) > 0 THEN 'review' ELSE 'keep' END AS recommendation FROM r)"""
 
 
 #: CTEs ``prs`` (linked pairs), ``lab`` (component labels), ``cl`` (clusters) and ``dd`` (photos after dedupe).
 PAIRS_SQL = f"""
-prs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
+prs AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
         WHERE list_sum([(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) ** 2 for z in list_zip(a.embedding, b.embedding)]) < {T} * {T})"""
 CLUSTER_SQL = f"""{PAIRS_SQL},
-sym AS (SELECT a, b FROM prs UNION SELECT b, a FROM prs),
+sym AS MATERIALIZED (SELECT a, b FROM prs UNION SELECT b, a FROM prs),
 reach AS (SELECT a AS seq, a AS r FROM sym UNION SELECT reach.seq, sym.b FROM reach JOIN sym ON reach.r = sym.a),
-lab AS (SELECT seq, min(r) AS component FROM reach GROUP BY seq),
+lab AS MATERIALIZED (SELECT seq, min(r) AS component FROM reach GROUP BY seq),
 siz AS (SELECT component, count(*) AS cluster_size, row_number() OVER (ORDER BY component) - 1 AS cluster_id FROM lab GROUP BY component),
-cl AS (SELECT seq, component, cluster_id, cluster_size FROM lab JOIN siz USING (component))"""
+cl AS MATERIALIZED (SELECT seq, component, cluster_id, cluster_size FROM lab JOIN siz USING (component))"""
 DEDUPE_SQL = f"""{CLUSTER_SQL},
-ko AS (SELECT j.seq, row_number() OVER (PARTITION BY cluster_id ORDER BY coalesce(face_quality, -1) DESC, sharpness DESC, coalesce(aesthetic, 0) DESC, megapixels DESC, file_bytes DESC, j.seq) AS rn,
+ko AS MATERIALIZED (SELECT j.seq, row_number() OVER (PARTITION BY cluster_id ORDER BY coalesce(face_quality, -1) DESC, sharpness DESC, coalesce(aesthetic, 0) DESC, megapixels DESC, file_bytes DESC, j.seq) AS rn,
               cluster_id, cluster_size FROM j JOIN cl ON cl.seq = j.seq),
 kn AS (SELECT ko.cluster_id, regexp_extract(path, '[^/]*$') AS keeper FROM ko JOIN j ON j.seq = ko.seq WHERE rn = 1),
-dd AS (
+dd AS MATERIALIZED (
   SELECT j.* EXCLUDE (recommendation, reasons), coalesce(ko.cluster_id, -1) AS cluster_id, coalesce(ko.cluster_size, 1) AS cluster_size, coalesce(rn, 1) = 1 AS is_keeper,
          CASE WHEN rn > 1 THEN 'duplicate' ELSE recommendation END AS recommendation, CASE WHEN rn > 1 THEN ['near_dup_of:' || keeper] ELSE reasons END AS reasons
   FROM j LEFT JOIN ko ON ko.seq = j.seq LEFT JOIN kn ON kn.cluster_id = ko.cluster_id)"""
