@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from darkroom.llm import ann, html_text, line_dedup, mixing, near_dedup, packing, quality, simple8b, suffix_dedup, toxicity
+from darkroom.llm import ann, decontam, html_text, line_dedup, mixing, near_dedup, packing, quality, simple8b, suffix_dedup, toxicity
 
 
 def queries() -> dict:
-    """All queries of the ten operators and the pipeline."""
+    """All queries of the operators and the pipeline."""
     return {
         "op1_token_ids": simple8b.op1_token_ids,
         "op2_mixing_sources": mixing.op2_mixing_sources,
@@ -19,10 +19,11 @@ def queries() -> dict:
         "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
         "op9_html_extraction": html_text.op9_html_extraction,
         "op10_packing": packing.op10_packing,
+        "op11_benchmark_decontamination": decontam.op11_benchmark_decontamination,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that SQL can express."""
-    return {"op2_mixing_sources": mixing.OP2_SQL, "op7_quality_rules": quality.OP7_SQL}
+    return {"op2_mixing_sources": mixing.OP2_SQL, "op7_quality_rules": quality.OP7_SQL, "op11_benchmark_decontamination": decontam.OP11_SQL}
