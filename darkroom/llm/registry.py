@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from darkroom.llm import ann, decontam, html_text, line_dedup, mixing, near_dedup, packing, quality, simple8b, suffix_dedup, toxicity
+from darkroom.llm import ann, collocations, conversations, decontam, html_text, line_dedup, mixing, near_dedup, packing, quality, simple8b, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -20,10 +20,15 @@ def queries() -> dict:
         "op9_html_extraction": html_text.op9_html_extraction,
         "op10_packing": packing.op10_packing,
         "op11_benchmark_decontamination": decontam.op11_benchmark_decontamination,
+        "op12_phrase_collocations": collocations.op12_phrase_collocations,
+        "op13_conversation_repair": conversations.op13_conversation_repair,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that SQL can express."""
-    return {"op2_mixing_sources": mixing.OP2_SQL, "op7_quality_rules": quality.OP7_SQL, "op11_benchmark_decontamination": decontam.OP11_SQL}
+    return {
+        "op2_mixing_sources": mixing.OP2_SQL, "op7_quality_rules": quality.OP7_SQL, "op11_benchmark_decontamination": decontam.OP11_SQL,
+        "op12_phrase_collocations": collocations.OP12_SQL, "op13_conversation_repair": conversations.OP13_SQL,
+    }

@@ -597,7 +597,7 @@ def test_clashing_columns(spark, rows):
 
 def test_registry():
     names = registry.queries()
-    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 14)} | {"pipeline"}
     assert set(registry.oracle_sql()) <= set(names)
 
 
