@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from darkroom.functions.paths import basename
 from darkroom.operators.components import connected_components
-from darkroom.operators.similarity import similarity_pairs
+from darkroom.operators.similarity import similarity_links
 
 
 def keeper_order() -> list[Column]:
@@ -23,7 +23,7 @@ def clusters(photos: DataFrame, threshold: float, vector: str = "fprint") -> Dat
 
     Photos are linked below ``threshold``; ids count from 0 in the order of first members.
     """
-    labels = connected_components(similarity_pairs(photos, threshold, "seq", vector)).select(F.col("node").alias("seq"), F.col("root").alias("component"))
+    labels = connected_components(similarity_links(photos, threshold, "seq", vector)).select(F.col("node").alias("seq"), F.col("root").alias("component"))
     sizes = labels.groupBy("component").agg(F.count(F.lit(1)).cast("int").alias("cluster_size"))
     # one row a cluster
     numbered = sizes.withColumn("cluster_id", (F.row_number().over(Window.orderBy("component")) - 1).cast("int"))

@@ -1,14 +1,34 @@
-"""Exact similarity self-join of vectors by blocks, with pruning by distance to a pivot."""
+"""Exact similarity self-join of vectors: copies as classes, cells around pivots, bounds before comparisons.
+
+1. Equal vectors are one class; only one vector of a class is compared.
+2. Each vector lies in the cell of its nearest pivot. Two vectors of different cells that are closer than t both lie within t of the plane between the two pivots,
+   and within t of the other cell's ball; a vector visits only the cells of smaller number for which both hold. Vectors closer to a pivot than t / 2 are
+   all closer than t to each other: where links are enough, such a core is one star and its members aren't compared with each other.
+3. Cells are cut into blocks of bounded size, and pairs of blocks are compared in tasks. A bound on the first coordinates along the main axes, and on the norm of the rest, decides
+   which pairs are compared in full.
+"""
+
+from __future__ import annotations
+
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.runtime import ship
+from darkroom.operators.skew import join_counted
+from darkroom.runtime import discard, materialise, ship
 
-BLOCK = 2048
+#: Rows of a block, and pivots (a sample by hash) at most.
+BLOCK, PIVOTS = 2048, 512
+#: Rows of a core at least; fewer are compared like others.
+CORE = 64
+#: Share of sampled pairs that may pass the bound on the first coordinates.
+PASSING = 0.05
+LINKS, PAIRS = "a bigint, b bigint", "a bigint, b bigint, distance2 double"
+COUNTS = "met bigint, compared bigint, linked bigint"
 
 
 def dominant_length(vectors: DataFrame, vector: str = "fprint") -> int | None:
@@ -26,55 +46,253 @@ def float_vectors(table: DataFrame, binary: str = "fprint") -> DataFrame:
     return table.withColumn(binary, read(F.col(binary)))
 
 
-def _pairs(threshold: float):
-    limit = threshold * threshold
+def _matrix(column) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T), 0)
+
+
+class _Axes:
+    """Main axes of a sample, and how many of them decide most pairs. Any orthogonal axes give right results."""
+
+    def __init__(self, sample: np.ndarray, limit: float):
+        self.middle = sample.mean(0)
+        _, _, axes = np.linalg.svd(sample - self.middle, full_matrices=True)
+        self.axes, self.first = axes.T, sample.shape[1]
+        if len(sample) < 8:
+            return
+        y = self.turned(sample[:256])
+        i, j = np.triu_indices(len(y), 1)
+        for share in (0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875):
+            self.first = max(1, int(share * sample.shape[1]))
+            short = self.shortened(y)
+            if (((short[i] - short[j]) ** 2).sum(1) < limit).mean() <= PASSING:
+                return
+        self.first = sample.shape[1]
+
+    def turned(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.middle) @ self.axes
+
+    def shortened(self, turned: np.ndarray) -> np.ndarray:
+        """First coordinates and the norm of the rest: distances don't grow."""
+        return np.column_stack([turned[:, : self.first], np.sqrt((turned[:, self.first :] ** 2).sum(1))])
+
+
+def _near(x: np.ndarray, y: np.ndarray, limit: float, axes: _Axes, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Pairs below the limit as (i, j, squared distance), and how many pairs were compared in full. With ``same``, pairs i < j of one block."""
+    a, b = axes.shortened(axes.turned(x)).astype(np.float32), axes.shortened(axes.turned(y)).astype(np.float32)
+    aa, bb = (a * a).sum(1), (b * b).sum(1)
+    bound = aa[:, None] + bb[None, :] - 2 * (a @ b.T)
+    # what 32-bit sums of so many products may be off by
+    slack = (a.shape[1] + 8) * 2.0**-22 * (aa.max(initial=0) + bb.max(initial=0)) + 1e-12
+    maybe = bound < limit + slack
+    if same:
+        maybe = np.triu(maybe, 1)
+    i, j = np.nonzero(maybe)
+    d = np.empty(len(i))
+    step = max(1, 4_000_000 // max(1, x.shape[1]))
+    for at in range(0, len(i), step):
+        d[at : at + step] = ((x[i[at : at + step]] - y[j[at : at + step]]) ** 2).sum(1)
+    good = d < limit
+    return i[good], j[good], d[good], len(i)
 
+
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the same nodes as links a, b: each node with the smallest of its component."""
+    nodes, both = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = both[: len(a)], both[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        for side in (u, v, label[u], label[v]):
+            np.minimum.at(new, side, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    other = label != np.arange(len(nodes))
+    return nodes[label[other]], nodes[other]
+
+
+def _compare(limit: float, axes: _Axes, result: str):
     def run(table: pa.Table) -> pa.Table:
         left = table.column("is_left").to_numpy(zero_copy_only=False).astype(bool)
-        ids, own = table.column("id").to_numpy(), table.column("own").to_numpy()
-        v = table.column("vector").combine_chunks()
-        v = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
-        a, b, x, y = ids[left], ids[~left], v[left], v[~left]
-        squares = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T)
-        # within rounding of the expansion, the difference itself decides
-        i, j = np.nonzero(squares < limit + 1e-6)
-        d = ((x[i] - y[j]) ** 2).sum(1)
-        # rows of one bucket meet once, in the order of their ids
-        once = (d < limit) & ((own[left][i] != own[~left][j]) | (a[i] < b[j]))
-        i, j, d = i[once], j[once], d[once]
-        return pa.table({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "distance2": d})
+        same = table.column("a")[0].as_py() == table.column("b")[0].as_py()
+        ids, nodes, v = table.column("id").to_numpy(), table.column("node").to_numpy(), _matrix(table.column("vector"))
+        right = left if same else ~left
+        i, j, d, compared = _near(v[left], v[right], limit, axes, same)
+        if result == COUNTS:
+            n = int(left.sum())
+            met = n * (n - 1) // 2 if same else n * int(right.sum())
+            return pa.table({"met": pa.array([met], pa.int64()), "compared": pa.array([compared], pa.int64()), "linked": pa.array([len(i)], pa.int64())})
+        if result == LINKS:
+            p, q = nodes[left][i], nodes[right][j]
+            a, b = _stars(p[p != q], q[p != q])
+            return pa.table({"a": a, "b": b})
+        p, q = ids[left][i], ids[right][j]
+        return pa.table({"a": np.minimum(p, q), "b": np.maximum(p, q), "distance2": d})
+
+    return run
+
+
+def _homes(pivots: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                d = _squares(_matrix(batch.column("vector")), pivots)
+                home = d.argmin(1)
+                own = [pa.array(home.astype(np.int32)), pa.array(np.sqrt(d[np.arange(len(d)), home]))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *own], [*batch.schema.names, "home", "away"])
+
+    return run
+
+
+def _visits(pivots: np.ndarray, radius: np.ndarray, threshold: float):
+    between = np.sqrt(_squares(pivots, pivots))
+    number = np.arange(len(pivots))
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            d = _squares(_matrix(batch.column("vector")), pivots)
+            home = batch.column("home").to_numpy()
+            slack = 1e-9 * (1 + d.max())
+            plane = d - d[np.arange(len(d)), home][:, None] <= 2 * threshold * between[home] + slack
+            goes = plane & (np.sqrt(d) <= radius + threshold + np.sqrt(slack)) & (number < home[:, None])
+            row, cell = np.nonzero(goes)
+            at = np.concatenate([[0], np.cumsum(goes.sum(1))]).astype(np.int32)
+            names = [n for n in batch.schema.names]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(at), pa.array(cell.astype(np.int32)))], [*names, "visits"])
 
     return run
 
 
+def _block(cell: Column, core: Column, part: Column) -> Column:
+    return F.shiftleft((cell * 2 + core.cast("int")).cast("bigint"), 32) + part
+
+
+def _classes(vectors: DataFrame, item: str, vector: str) -> tuple[DataFrame, DataFrame] | None:
+    """(classes with id, n, vector; copies as id, rep). A class's id is its smallest; copies are its other members."""
+    length = dominant_length(vectors, vector)
+    if length is None:
+        return None
+    odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = vectors.where((F.size(vector) == length) & ~odd).select(F.col(item).cast("bigint").alias("id"), F.col(vector).alias("vector")).where("id IS NOT NULL")
+    classes = materialise(rows.groupBy("vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "sim-classes")
+    copies = join_counted(rows, classes.where("n > 1").select("vector", "n", F.col("id").alias("rep")), ["vector"]).where("id <> rep").select("id", "rep").distinct()
+    return classes.select("id", "n", "vector"), materialise(copies, "sim-copies")
+
+
+def _joined(classes: DataFrame, threshold: float, result: str) -> DataFrame:
+    """Pairs, links (with those of cores) or counts of comparisons of distinct vectors."""
+    spark = classes.sparkSession
+    cores = result != PAIRS
+    n = classes.count()
+    if not n:
+        return spark.createDataFrame([], result)
+    sample = classes.orderBy(F.xxhash64("vector"), "id").limit(PIVOTS).select("vector").collect()  # at most PIVOTS rows
+    sample = np.array([r["vector"] for r in sample], np.float64)
+    limit, axes = threshold * threshold, _Axes(sample, threshold * threshold)
+    pivots = sample[: max(1, min(PIVOTS, n // (BLOCK // 2)))]
+    kind = classes.schema["vector"].dataType.simpleString()
+    homes = classes.select("id", "vector").mapInArrow(_homes(pivots), f"id bigint, vector {kind}, home int, away double")
+    homes = materialise(homes.withColumn("close", (F.col("away") < threshold / 2 * (1 - 1e-9)) if cores else F.lit(False)), "sim-homes")
+    found = homes.groupBy("home", "close").agg(F.count(F.lit(1)).alias("rows"), F.max("away").alias("radius"), F.min("id").alias("hub")).collect()  # at most two rows a pivot
+    crowded = {r["home"] for r in found if r["close"] and r["rows"] >= CORE}
+    radius, rows, hubs = np.full(len(pivots), -np.inf), Counter(), {}
+    for r in found:
+        radius[r["home"]] = max(radius[r["home"]], r["radius"])
+        rows[r["home"], r["close"] and r["home"] in crowded] += r["rows"]
+        if r["close"]:
+            hubs[r["home"]] = r["hub"]
+    cells = spark.createDataFrame([(c, core, -(-k // BLOCK), hubs.get(c) if core else None) for (c, core), k in sorted(rows.items())], "cell int, in_core boolean, parts bigint, hub bigint")
+    homes = homes.withColumn("core", F.col("close") & F.col("home").isin(crowded) if crowded else F.lit(False)).drop("close")
+    own = homes.mapInArrow(_visits(pivots, radius, threshold), f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in homes.schema)}, visits array<int>")
+    few = F.broadcast(cells)  # at most two rows a pivot
+    own = own.join(few, (F.col("home") == F.col("cell")) & (F.col("core") == F.col("in_core")))
+    placed = own.select(
+        "id", F.when(F.col("core"), F.col("hub")).otherwise(F.col("id")).alias("node"), "vector", "visits", _block(F.col("home"), F.col("core"), F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"),
+    )
+    placed = materialise(placed, "sim-placed")
+    every = lambda parts: F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))
+    # visitors meet all blocks of a cell
+    calls = placed.select("block", F.explode("visits").alias("cell")).distinct().join(few, "cell").select("block", "cell", "in_core", every(F.col("parts")).alias("part"))
+    calls = calls.select(_block(F.col("cell"), F.col("in_core"), F.col("part")).alias("a"), F.col("block").alias("b"))
+    outer = cells.where("NOT in_core").select("cell", "parts", every(F.col("parts")).alias("part"))
+    inner = cells.where("in_core").select(F.col("cell").alias("its_cell"), every(F.col("parts")).alias("its_part"))
+    at_home = outer.select("cell", "part", F.explode(F.sequence("part", F.col("parts") - 1)).alias("other"))
+    no, yes = F.lit(False), F.lit(True)
+    within = at_home.select(_block(F.col("cell"), no, F.col("part")).alias("a"), _block(F.col("cell"), no, F.col("other")).alias("b")).unionAll(
+        outer.join(inner, F.col("cell") == F.col("its_cell")).select(_block(F.col("cell"), no, F.col("part")).alias("a"), _block(F.col("cell"), yes, F.col("its_part")).alias("b"))
+    )
+    meetings = materialise(calls.unionAll(within), "sim-meetings")
+    columns = ["a", "b", "is_left", "id", "node", "vector"]
+    left = placed.join(meetings, F.col("block") == F.col("a")).withColumn("is_left", yes).select(columns)
+    guests = placed.withColumn("cell", F.explode("visits")).join(few, "cell").withColumn("part", every(F.col("parts")))
+    guests = guests.select(_block(F.col("cell"), F.col("in_core"), F.col("part")).alias("a"), F.col("block").alias("b"), no.alias("is_left"), "id", "node", "vector")
+    right = placed.join(within.where("a <> b"), F.col("block") == F.col("b")).withColumn("is_left", no).select(columns)
+    found = left.unionAll(guests).unionAll(right).groupBy("a", "b").applyInArrow(_compare(limit, axes, result), result)
+    if result != LINKS:
+        return found
+    found = materialise(found.unionAll(homes.where("core").join(few, (F.col("home") == F.col("cell")) & F.col("in_core")).where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))), "sim-links")
+    discard(placed, meetings)
+    return found
+
+
+def _checked(threshold: float) -> None:
+    if threshold < 0:
+        raise ValueError("a distance threshold can't be negative")
+
+
+def similarity_links(vectors: DataFrame, threshold: float, item: str = "id", vector: str = "fprint") -> DataFrame:
+    """Links a, b with the same connected components as all pairs with a distance below ``threshold``.
+
+    Copies and cores are stars and each pair of blocks gives a forest, so rows don't grow with the square of a group's size. Vectors that are null or empty, of a length other than
+    the dominant one, or with null or non-finite components take no part, nor do rows without an id. A negative threshold raises ValueError; none is below 0.
+    """
+    _checked(threshold)
+    spark = vectors.sparkSession
+    ship(spark)
+    found = _classes(vectors, item, vector) if threshold > 0 else None
+    if found is None:
+        return spark.createDataFrame([], LINKS)
+    classes, copies = found
+    return _joined(classes, threshold, LINKS).unionAll(copies.select(F.col("rep").alias("a"), F.col("id").alias("b")))
+
+
 def similarity_pairs(vectors: DataFrame, threshold: float, item: str = "id", vector: str = "fprint") -> DataFrame:
     """All pairs a < b with squared distance below threshold squared: a, b, distance2 (in double precision).
 
-    By the triangle inequality vectors closer than t differ by less than t in their distance to a pivot, so rows are bucketed by
-    that distance and only equal or adjacent buckets meet, block by block inside tasks. Vectors that are null, empty or of a
-    length other than the dominant one take no part. A negative threshold raises ValueError.
+    Who takes part is as in ``similarity_links``. All pairs of copies are among the rows; use the links where components are enough.
     """
-    if threshold < 0:
-        raise ValueError("a distance threshold can't be negative")
+    _checked(threshold)
     spark = vectors.sparkSession
     ship(spark)
-    length = dominant_length(vectors, vector)
-    if length is None or threshold == 0:
-        return spark.createDataFrame([], "a bigint, b bigint, distance2 double")
-    rows = vectors.where(F.size(vector) == length).select(F.col(item).cast("bigint").alias("id"), F.col(vector).alias("vector"))
-    pivot = rows.orderBy("id").limit(1).select("vector").first()[0]
-    to_pivot = F.sqrt(F.aggregate(F.zip_with("vector", F.lit([float(x) for x in pivot]), lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x))
-    rows = rows.withColumn("bucket", F.floor(to_pivot / F.lit(threshold * (1 + 1e-9))))
-    sizes = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    ahead = sizes.select((F.col("bucket") - 1).alias("bucket"), F.col("blocks").alias("next_blocks"))
-    behind = sizes.select((F.col("bucket") + 1).alias("bucket"), F.col("blocks").alias("last_blocks"))
-    placed = rows.join(sizes, "bucket").join(ahead, "bucket", "left").join(behind, "bucket", "left")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
-    own = F.col("bucket").alias("own")
-    left_same = placed.select("bucket", F.lit(0).alias("step"), F.col("block").alias("i"), up_to(F.col("blocks")).alias("j"), F.lit(True).alias("is_left"), "id", own, "vector")
-    right_same = placed.select("bucket", F.lit(0).alias("step"), up_to(F.col("blocks")).alias("i"), F.col("block").alias("j"), F.lit(False).alias("is_left"), "id", own, "vector")
-    left_next = placed.where("next_blocks IS NOT NULL").select("bucket", F.lit(1).alias("step"), F.col("block").alias("i"), up_to(F.col("next_blocks")).alias("j"), F.lit(True).alias("is_left"), "id", own, "vector")
-    right_next = placed.where("last_blocks IS NOT NULL").select((F.col("bucket") - 1).alias("bucket"), F.lit(1).alias("step"), up_to(F.col("last_blocks")).alias("i"), F.col("block").alias("j"), F.lit(False).alias("is_left"), "id", own, "vector")
-    parts = left_same.unionAll(right_same).unionAll(left_next).unionAll(right_next)
-    return parts.groupBy("bucket", "step", "i", "j").applyInArrow(_pairs(threshold), "a bigint, b bigint, distance2 double")
+    found = _classes(vectors, item, vector) if threshold > 0 else None
+    if found is None:
+        return spark.createDataFrame([], PAIRS)
+    classes, copies = found
+    pairs = _joined(classes, threshold, PAIRS)
+    if copies.isEmpty():
+        return pairs
+    reps = classes.where("n > 1").select("id", F.col("id").alias("rep"))
+    members = copies.unionByName(reps)
+    side = lambda name: members.select(F.col("rep").alias(name), F.col("id").alias(f"own_{name}"))
+    wide = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("own_a", "a").alias("p"), F.coalesce("own_b", "b").alias("q"), "distance2")
+    inside = side("a").join(side("a").withColumnRenamed("own_a", "other"), "a").where("own_a < other").select(F.col("own_a").alias("p"), F.col("other").alias("q"), F.lit(0.0).alias("distance2"))
+    return wide.unionAll(inside).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "distance2")
+
+
+def similarity_work(vectors: DataFrame, threshold: float, item: str = "id", vector: str = "fprint") -> DataFrame:
+    """One row: distinct vectors, and pairs of them that ``similarity_links`` brings together, compares in full and links."""
+    _checked(threshold)
+    ship(vectors.sparkSession)
+    found = _classes(vectors, item, vector)
+    classes = found[0] if found else vectors.sparkSession.createDataFrame([], "id bigint, n bigint, vector array<float>")
+    work = _joined(classes, threshold, COUNTS)
+    return work.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("met", "compared", "linked")]).withColumn("vectors", F.lit(classes.count()))
