@@ -104,8 +104,10 @@ class Words:
         near = np.zeros(len(start), dtype=bool)
         for side, inside, step in ((first - 1, first - 1 >= start, -1), (last, last < end, 1)):
             c = self.buf[np.clip(side, 0, n - 1)] if n else np.zeros(0, np.uint8)
-            beyond = self.buf[np.clip(side + step, 0, n - 1)] if n else c
-            near |= inside & LEET_BYTE[c] & (c != beyond) & ~((c == 33) | (c == 63)) if step == 1 else inside & LEET_BYTE[c] & (c != beyond)
+            beyond = side + step
+            # what stands beyond the word, or the text, is another character
+            alone = (beyond < start) | (beyond >= end) | (c != self.buf[np.clip(beyond, 0, n - 1)]) if n else np.zeros(0, bool)
+            near |= inside & LEET_BYTE[c] & alone & ~((c == 33) | (c == 63)) if step == 1 else inside & LEET_BYTE[c] & alone
         foreign, ascii_ = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
         np.cumsum(FOREIGN[self.buf], out=foreign[1:])
         np.cumsum(CLASS[self.buf] < 26, out=ascii_[1:])

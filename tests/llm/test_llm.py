@@ -403,6 +403,23 @@ def test_toxicity_windows():
         assert score(text) < toxicity.CUT, text
 
 
+def test_toxicity_depends_on_the_text_alone():
+    """The same score alone, in a slice, and in another order; also where stand-ins touch the ends of texts."""
+    scorer = _scorer(["idiot", "scum"])
+    texts = ["5cum there", "5cum there", "he is idio7", "7 days", "1diot x", "on page 1", "a", "5", "idiot5", "", "5cum", "x idio7", "s c u m", "u m", "s c", "days", "iii", "diot", "í", "idiot\u0301"]
+    rnd = random.Random(6)
+    alone = {}
+    for t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        alone[t] = scorer.score(data, np.array([0, len(data)]))[0]
+    assert all(alone[t] >= toxicity.CUT for t in ("5cum there", "he is idio7", "1diot x", "5cum"))
+    for _ in range(30):
+        some = [rnd.choice(texts) for _ in range(rnd.randint(1, 12))]
+        data = [t.encode() for t in some]
+        got = scorer.score(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+        assert list(got) == [alone[t] for t in some], some
+
+
 def test_lattice_against_all_readings():
     """Both searches against every path through the lattice."""
     decoder = _scorer(["stone", "light", "ston", "gar"]).decoder
