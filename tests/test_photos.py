@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from darkroom import pipeline
 from darkroom.functions import pixels
-from darkroom.operators import cache, moves, report
+from darkroom.operators import cache, moves, report, similarity
 from darkroom.operators.components import connected_components
 from darkroom.operators.similarity import similarity_pairs
 from darkroom.params import RunOptions, album_title, resolve_signals
@@ -256,3 +256,41 @@ def test_oracles(spark, name):
     a = sorted(tuple(str(fix(r[c])) for c in names) for r in df.collect())
     b = sorted(tuple(str(fix(r[own.columns.index(c)])) for c in names) for r in own.fetchall())
     assert a == b
+
+
+def _clustered(seed=3):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(12, 6)) * 2
+    x = np.concatenate([centres[rng.integers(0, 12, 160)] + rng.normal(size=(160, 6)) * 0.25, np.repeat(rng.normal(size=(3, 6)), 20, 0), centres[0] + rng.normal(size=(100, 6)) * 0.02])
+    return np.round(x, 3)
+
+
+@pytest.mark.parametrize("t", [0.05, 1.0])
+def test_similarity_of_cells_and_cores(spark, monkeypatch, t):
+    """Small blocks, many pivots, copies and crowded cores: pairs are all there, and links have the same components."""
+    for name, value in (("BLOCK", 32), ("PIVOTS", 9), ("CORE", 20)):
+        monkeypatch.setattr(similarity, name, value)
+    x = _clustered()
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(9000, None), (9001, [1.0]), (9002, [float("nan")] * 6), (9003, [float("inf")] * 6), (None, [0.0] * 6)]
+    df = spark.createDataFrame(rows, "id bigint, fprint array<double>")
+    near = ((x[:, None] - x[None]) ** 2).sum(2) < t * t
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(near, 1)))}
+    got = [(r["a"], r["b"]) for r in similarity_pairs(df, t).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    label = np.arange(len(x))
+    while True:
+        new = np.array([label[near[i]].min() for i in range(len(x))])
+        if (new == label).all():
+            break
+        label = new
+    links = similarity.similarity_links(df, t)
+    found = {r["node"]: r["root"] for r in connected_components(links).collect()}
+    assert found == {i: label[i] for i in {k for p in want for k in p}}
+    assert links.count() < 16 * len(x)
+
+
+def test_equal_vectors_cost_no_pairs(spark):
+    df = spark.range(3000).selectExpr("id", "array(1.0D, 2.0D) AS fprint").unionAll(spark.range(3000, 6000).selectExpr("id", "array(1.0D + (id % 97) / 1e4, 2.0D) AS fprint"))
+    assert similarity.similarity_links(df, 0.5).count() <= 6000
+    work = similarity.similarity_work(df, 0.5).first()
+    assert work["vectors"] == 97 and work["met"] <= 97 * 96 // 2
