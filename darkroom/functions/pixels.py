@@ -113,7 +113,7 @@ def classical(g: np.ndarray) -> dict[str, float]:
 def stand_in_embedding(g: np.ndarray, rows: int = 24, columns: int = 32) -> np.ndarray:
     """A deterministic 768-number fingerprint: mean-pooled luminance, unit length. Not comparable with any model's."""
     h, w = g.shape
-    y, x = np.linspace(0, h, rows + 1).astype(int), np.linspace(0, w, columns + 1).astype(int)
+    y, x = np.arange(rows + 1) * h // rows, np.arange(columns + 1) * w // columns
     cells = [g[y[i] : max(y[i + 1], y[i] + 1), x[j] : max(x[j + 1], x[j] + 1)].mean() for i in range(rows) for j in range(columns)]
     v = np.array(cells, dtype=np.float32)
     n = np.linalg.norm(v)

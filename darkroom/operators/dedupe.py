@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from darkroom.functions.paths import basename
 from darkroom.operators.components import connected_components
+from darkroom.operators.report import numbered_rows
 from darkroom.operators.similarity import similarity_links
 
 
@@ -25,8 +26,7 @@ def clusters(photos: DataFrame, threshold: float, vector: str = "fprint") -> Dat
     """
     labels = connected_components(similarity_links(photos, threshold, "seq", vector)).select(F.col("node").alias("seq"), F.col("root").alias("component"))
     sizes = labels.groupBy("component").agg(F.count(F.lit(1)).cast("int").alias("cluster_size"))
-    # one row a cluster
-    numbered = sizes.withColumn("cluster_id", (F.row_number().over(Window.orderBy("component")) - 1).cast("int"))
+    numbered = numbered_rows(sizes, [F.col("component")], "cluster_id").withColumn("cluster_id", F.col("cluster_id").cast("int"))
     return labels.join(numbered, "component").select("seq", "component", "cluster_id", "cluster_size")
 
 

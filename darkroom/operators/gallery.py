@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from darkroom.functions.paths import basename
-from darkroom.operators.report import tier_rank
+from darkroom.operators.report import numbered_rows, tier_rank
+from darkroom.operators.skew import join_counted
+from darkroom.runtime import shuffle_partitions
 from darkroom.signals import SIGNALS, reason_table
 
 PAGE = 120
+#: Items of a run: what one task orders, and one folder of a written view has.
+RUN = 1 << 16
 SHOWN_TIERS = ("delete", "duplicate", "review")
 
 
@@ -53,8 +57,8 @@ def sort_columns(key: str) -> list[Column]:
 
 
 def ranked(items: DataFrame, key: str) -> DataFrame:
-    """Items with ``pos`` from 0 in the order of ``key``. A gallery shows one view of one reviewer, so one task orders it."""
-    return items.withColumn("pos", F.row_number().over(Window.orderBy(*sort_columns(key))) - 1)
+    """Items with ``pos`` from 0 in the order of ``key``; the order is range-partitioned."""
+    return numbered_rows(items, sort_columns(key), "pos")
 
 
 def page(items: DataFrame, key: str, number: int, size: int = PAGE) -> DataFrame:
@@ -72,10 +76,15 @@ def range_ids(view: DataFrame, start: int, end: int) -> DataFrame:
     return both.select("seq")
 
 
-def neighbours(view: DataFrame) -> DataFrame:
-    """Previous and next item of each item of a ranked view."""
-    w = Window.orderBy("pos")
-    return view.select("seq", "pos", F.lag("seq").over(w).alias("prev_seq"), F.lead("seq").over(w).alias("next_seq"))
+def neighbours(view: DataFrame, rows: int = RUN) -> DataFrame:
+    """Previous and next item of each item of a ranked view. The order is cut into runs of ``rows`` items; the items beside a run take part in it as guests."""
+    run, at = F.floor(F.col("pos") / rows), F.col("pos") % rows
+    homes = F.array(F.struct(run.alias("run"), F.lit(False).alias("guest")))
+    before = F.when((at == 0) & (run > 0), F.array(F.struct((run - 1).alias("run"), F.lit(True).alias("guest")))).otherwise(F.array().cast("array<struct<run:bigint,guest:boolean>>"))
+    after = F.when(at == rows - 1, F.array(F.struct((run + 1).alias("run"), F.lit(True).alias("guest")))).otherwise(F.array().cast("array<struct<run:bigint,guest:boolean>>"))
+    one = view.select("seq", "pos", F.explode(F.concat(homes, before, after)).alias("home")).select("seq", "pos", "home.run", "home.guest")
+    w = Window.partitionBy("run").orderBy("pos")
+    return one.withColumns({"prev_seq": F.lag("seq").over(w), "next_seq": F.lead("seq").over(w)}).where("NOT guest").select("seq", "pos", "prev_seq", "next_seq")
 
 
 def headers(view: DataFrame, size: int = PAGE) -> DataFrame:
@@ -83,9 +92,42 @@ def headers(view: DataFrame, size: int = PAGE) -> DataFrame:
     w = Window.partitionBy("page").orderBy("pos")
     inside = (F.col("cluster_id") >= 0) & (F.col("cluster_size") > 1)
     paged = view.withColumn("page", F.floor(F.col("pos") / size))
-    change = inside & ~F.lag("cluster_id").over(w).eqNullSafe(F.col("cluster_id"))
-    members = F.when(inside, F.count(F.lit(1)).over(Window.partitionBy("cluster_id"))).otherwise(F.lit(0))
-    return paged.select("seq", "pos", "page", change.alias("has_header"), members.alias("members_in_view"))
+    paged = paged.withColumn("has_header", inside & ~F.lag("cluster_id").over(w).eqNullSafe(F.col("cluster_id")))
+    members = view.where(inside).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("members"))
+    counted = join_counted(paged.where(inside), members, ["cluster_id"], "members").unionByName(paged.where(~F.coalesce(inside, F.lit(False))).withColumn("members", F.lit(0).cast("bigint")))
+    return counted.select("seq", "pos", "page", "has_header", F.col("members").alias("members_in_view"))
+
+
+class View:
+    """A ranked view, written so that a page reads the files it lies in and no others.
+
+    Rows are numbered in the order of a key and written in runs, each a folder by its number; the folder's name tells which rows it has, so
+    other runs aren't even opened. Extra columns stay. An empty view has one empty page.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def write(self, items: DataFrame, key: str, rows: int = RUN) -> "View":
+        """Write the items in the order of ``key``, in runs of ``rows``."""
+        view = ranked(items, key).withColumn("run", F.floor(F.col("pos") / rows))
+        n = shuffle_partitions(self.spark)
+        view.repartitionByRange(n, "run").sortWithinPartitions("run", "pos").write.partitionBy("run").mode("overwrite").parquet(f"{self.path}/rows")
+        total = view.agg(F.coalesce(F.max("pos") + 1, F.lit(0)).alias("total"), F.lit(rows).alias("run_rows"))
+        total.write.mode("overwrite").parquet(f"{self.path}/total")
+        view.limit(0).drop("run").write.mode("overwrite").parquet(f"{self.path}/columns")
+        return self
+
+    def page(self, number: int, size: int = PAGE) -> DataFrame:
+        """One page, from 0, held at the last one, in order."""
+        total, rows = self.spark.read.parquet(f"{self.path}/total").first()
+        number = min(max(number, 0), max(0, -(-total // size) - 1))
+        first, last = number * size, min((number + 1) * size, total) - 1
+        schema = self.spark.read.parquet(f"{self.path}/columns").schema
+        if last < first:
+            return self.spark.createDataFrame([], schema)
+        runs = [f"{self.path}/rows/run={k}" for k in range(first // rows, last // rows + 1)]
+        return self.spark.read.schema(schema).parquet(*runs).where(F.col("pos").between(first, last)).orderBy("pos")
 
 
 def compare(items: DataFrame, cluster: int) -> DataFrame:

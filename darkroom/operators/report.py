@@ -35,8 +35,11 @@ def numbered_rows(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
 
     ranged = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *order).withColumn("_part", F.spark_partition_id())
     ranged = materialise(ranged, "row-order")  # fixes which row lies in which partition
-    starts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
-    starts = starts.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    found, at = [], 0
+    for r in sorted(ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r["_part"]):  # one row a partition
+        found.append((r["_part"], at))
+        at += r["n"]
+    starts = rows.sparkSession.createDataFrame(found, "_part int, _start bigint")
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
     ranged = ranged.withColumn("_inside", inside).join(F.broadcast(starts), "_part")  # one row a partition
     return ranged.withColumn(name, (F.col("_start") + F.col("_inside")).cast("bigint")).drop("_part", "_start", "_inside")

@@ -9,8 +9,9 @@ from darkroom.functions import paths
 from darkroom.operators import cache, dedupe, gallery, moves, report
 from darkroom.operators.similarity import dominant_length, similarity_pairs
 from darkroom.plans import photos as P
-from darkroom.runtime import materialise
+from darkroom.runtime import materialise, scratch_path
 from darkroom.signals import SIGNALS, Thresholds, flag
+from darkroom.sources import files
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -599,3 +600,45 @@ def csv_roundtrip(spark, d):
     write_report(_deduped(spark, d), path)
     r = read_report(spark, path)
     return r.select("path", "recommendation", F.concat_ws(";", "reasons").alias("reasons"), *_r6("sharpness"), "width", "file_bytes", "is_keeper")
+
+
+@query(f"{_G} SELECT seq, pos FROM (SELECT seq, row_number() OVER (ORDER BY {_SORTS['tier']}) - 1 AS pos FROM g WHERE {_VIS}) WHERE pos >= 120 AND pos < 240")
+def gallery_view_page(spark, d):
+    view = gallery.View(spark, scratch_path(spark, "view")).write(gallery.visible(_gallery(spark, d)), "tier", 50)
+    return view.page(1).select("seq", "pos")
+
+
+def _number(path):
+    return F.regexp_extract(path, r"(\d+)[.]png$", 1).cast("bigint")
+
+
+def _image_metrics(spark, d, outputs=frozenset()):
+    listing, _ = files.scan(spark, [P.image_files(spark, d)])
+    return files.analyse(listing, outputs).withColumn("seq", _number(F.col("path")))
+
+
+@query(
+    f"""WITH {P.METRICS_SQL}, q AS (SELECT m.seq, list_sum(px) / 64 AS b, m.black_frac, m.white_frac FROM m JOIN p ON p.seq = m.seq)
+SELECT seq, 8 AS width, 8 AS height, round_even(b, 1) AS brightness, round_even(black_frac, 3) AS black_frac, round_even(white_frac, 3) AS white_frac, '' AS error FROM q"""
+)
+def decode_real_images(spark, d):
+    return _image_metrics(spark, d).select("seq", "width", "height", "brightness", "black_frac", "white_frac", "error")
+
+
+@query(
+    f"""WITH {P.METRICS_SQL}, c AS (SELECT seq, [px[(k // 96) * 8 + (k % 32) // 4 + 1] for k in range(768)] AS cells FROM p)
+SELECT seq, CAST(len(cells) AS BIGINT) AS n_dims, CAST(len([x for x in cells if x > 0]) AS BIGINT) AS n_lit, CAST(CASE WHEN list_max(cells) > 0 THEN list_position(cells, list_max(cells)) ELSE 1 END AS BIGINT) AS brightest FROM c"""
+)
+def embed_standin(spark, d):
+    v = _image_metrics(spark, d, frozenset({"fprint"}))
+    return v.select("seq", F.size("fprint").cast("bigint").alias("n_dims"), F.size(F.filter("fprint", lambda x: x > 0)).cast("bigint").alias("n_lit"), F.array_position("fprint", F.array_max("fprint")).cast("bigint").alias("brightest"))
+
+
+@query(f"WITH {P.METRICS_SQL} SELECT seq, 4 AS width, 4 AS height, 4 AS read_width, 1 AS read_channels FROM m")
+def thumbnail_files(spark, d):
+    """Thumbnails of real images, written and decoded again by Spark's image reader."""
+    listing, _ = files.scan(spark, [P.image_files(spark, d)])
+    small = materialise(files.thumbnails(listing, 4).withColumn("seq", _number(F.col("path"))), "thumbnails")
+    folder = P.written_files(small.select(F.concat(F.col("seq").cast("string"), F.lit(".png")).alias("name"), F.col("png").alias("data")))
+    back = spark.read.format("image").load(folder).select(_number(F.col("image.origin")).alias("seq"), F.col("image.width").alias("read_width"), F.col("image.nChannels").alias("read_channels"))
+    return small.select("seq", "width", "height").join(back, "seq").select("seq", "width", "height", "read_width", "read_channels")

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from darkroom.functions import pixels
-from darkroom.runtime import materialise
+from darkroom.functions.png import png_bytes
+from darkroom.runtime import materialise, scratch_path, ship
 from darkroom.signals import with_verdict
 
 T = 1.10
@@ -44,6 +51,47 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels_table(spark, sf_dir).withColumns(own).drop("px")
 
 
+def written_files(rows: DataFrame) -> str:
+    """A new folder in the shared scratch folder with a file for each row (name, data), written by executors. The scratch folder must be a mounted one."""
+    spark = rows.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "files"))
+    folder = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if not folder.startswith("file:"):
+        raise ValueError("files are written to a mounted folder only; set spark.checkpoint.dir to a file: path")
+    ship(spark)
+    place = re.sub("^file:(//)?", "", folder)
+    os.makedirs(place, exist_ok=True)
+    rows.select("name", "data").mapInArrow(_file_writer(place), "n bigint").agg(F.sum("n")).collect()
+    return place
+
+
+def _file_writer(place: str):
+    def run(batches):
+        for batch in batches:
+            os.makedirs(place, exist_ok=True)
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = f"{place}/.{uuid.uuid4().hex}"  # a second attempt writes the same file again
+                with open(part, "wb") as f:
+                    f.write(data)
+                os.replace(part, f"{place}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return run
+
+
+def _as_png(batches):
+    for batch in batches:
+        images = [png_bytes(np.array(px, np.uint8).reshape(8, 8)) for px in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(images, pa.binary())], ["name", "data"])
+
+
+def image_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the derived images as PNG files, ``seq``.png."""
+    ship(spark)
+    px = pixels_table(spark, sf_dir).select(F.concat(F.col("seq").cast("string"), F.lit(".png")).alias("name"), F.transform("px", lambda x: x.cast("int")).alias("px"))
+    return written_files(px.mapInArrow(_as_png, "name string, data binary"))
+
+
 _written: dict = {}
 
 

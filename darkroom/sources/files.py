@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from darkroom.functions import pixels
-from darkroom.functions.paths import is_under, parent, suffix
-from darkroom.runtime import ship
+from darkroom.functions.paths import is_under, suffix
+from darkroom.runtime import materialise, scratch_path, shuffle_partitions, ship
 from darkroom.schema import IMAGE_EXTENSIONS, METRICS
 
 
@@ -69,27 +69,81 @@ def scan_all(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(_plain(F.col("path")).alias("path"))
 
 
-#: Paths that the driver hands to Spark's reader at most; of more files, the folders are read.
-MOST_PATHS = 100_000
+#: Paths that one job names to Spark's reader.
+SLICE_PATHS = 100_000
 
 
-def analyse(wanted: DataFrame, outputs: frozenset[str] = frozenset(), scorer=None) -> DataFrame:
-    """Metrics of listed image files (path, size): path and the metric columns. An unreadable file gives a row with ``error``.
+def _over_images(wanted: DataFrame, kernel, schema: str, slice_paths: int) -> DataFrame:
+    """Rows that a kernel makes of the decoded files (path, height, width, nChannels, data, file_bytes) of ``wanted`` (path, size).
 
-    Files are read and decoded once, by Spark's image reader. It takes paths: up to ``MOST_PATHS`` are named; of more, only their folders, whose other files are then
-    left out. ``scorer`` maps a gray image to a dict of model outputs; only those in ``outputs`` are kept. Without one, ``fprint`` is the stand-in embedding.
+    Spark's image reader takes paths. They are named slice by slice, each a job of many images, whose rows are added to a written table: only wanted files are
+    decoded, and the driver holds the paths of one slice.
     """
     spark = wanted.sparkSession
-    ship(spark)
-    wanted = wanted.select("path", F.col("size").alias("file_bytes")).dropDuplicates(["path"])
-    named = [r["path"] for r in wanted.select("path").limit(MOST_PATHS + 1).collect()]
-    if len(named) > MOST_PATHS:
-        named = [r["dir"] for r in wanted.select(parent(F.col("path")).alias("dir")).distinct().collect()]
-    if not named:
-        return spark.createDataFrame([], f"path string, {METRICS}")
-    images = spark.read.format("image").option("dropInvalid", "false").load(named).select("image.*").withColumn("path", _plain(F.col("origin")))
-    rows = images.join(wanted, "path").select("path", "height", "width", "nChannels", "data", "file_bytes")
-    return rows.mapInArrow(_kernel(frozenset(outputs), scorer), f"path string, {METRICS}")
+    rows = wanted.select("path", F.col("size").alias("file_bytes")).dropDuplicates(["path"])
+    listed = materialise(rows, "wanted")
+    slices = -(-listed.count() // slice_paths)
+    if slices > 1:
+        cut = F.pmod(F.xxhash64("path"), F.lit(slices)).cast("int")
+        parts = scratch_path(spark, "wanted-slices")
+        listed.withColumn("slice", cut).repartition(shuffle_partitions(spark), "slice").write.partitionBy("slice").parquet(parts)
+    out = scratch_path(spark, "images")
+    for k in range(slices):
+        here = listed
+        if slices > 1:
+            if not exists(spark, f"{parts}/slice={k}"):
+                continue
+            here = spark.read.schema(listed.schema).parquet(f"{parts}/slice={k}")
+        named = [r["path"] for r in here.select("path").collect()]  # one slice
+        images = spark.read.format("image").option("dropInvalid", "false").load(named).select("image.*").withColumn("path", _plain(F.col("origin")))
+        found = images.join(here, "path").select("path", "height", "width", "nChannels", "data", "file_bytes").mapInArrow(kernel, schema)
+        if slices == 1:
+            return found
+        found.write.mode("append").parquet(out)
+    return spark.read.schema(schema).parquet(out) if slices else spark.createDataFrame([], schema)
+
+
+def analyse(wanted: DataFrame, outputs: frozenset[str] = frozenset(), scorer=None, slice_paths: int = SLICE_PATHS) -> DataFrame:
+    """Metrics of listed image files (path, size): path and the metric columns. An unreadable file gives a row with ``error``.
+
+    Files are read and decoded once, by Spark's image reader, ``slice_paths`` a job. ``scorer`` maps a gray image to a dict of model outputs; only those in ``outputs`` are kept. Without one,
+    ``fprint`` is the stand-in embedding.
+    """
+    ship(wanted.sparkSession)
+    return _over_images(wanted, _kernel(frozenset(outputs), scorer), f"path string, {METRICS}", slice_paths)
+
+
+def thumbnails(wanted: DataFrame, longest: int = 512, slice_paths: int = SLICE_PATHS) -> DataFrame:
+    """Small copies of listed image files (path, size), as PNG: path, width, height, png (null if the file can't be decoded).
+
+    The longer edge is ``longest`` pixels at most; images aren't enlarged, colours stay, transparency goes.
+    """
+    ship(wanted.sparkSession)
+    return _over_images(wanted, _thumbnail_kernel(longest), "path string, width int, height int, png binary", slice_paths)
+
+
+def _thumbnail_kernel(longest: int):
+    import numpy as np
+    import pyarrow as pa
+
+    from darkroom.functions.png import png_bytes
+
+    def one(path: str, height: int, width: int, channels: int, data: bytes) -> tuple:
+        if height <= 0:
+            return path, None, None, None
+        a = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+        planes = [a[:, :, 0]] if channels == 1 else [a[:, :, 2], a[:, :, 1], a[:, :, 0]]
+        small = np.stack([np.rint(pixels.shrink(p.astype(np.float64), longest)) for p in planes], axis=-1).astype(np.uint8)
+        return path, small.shape[1], small.shape[0], png_bytes(small[:, :, 0] if channels == 1 else small)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.string(), pa.int32(), pa.int32(), pa.binary()
+        for batch in batches:
+            for i in range(batch.num_rows):  # an image a batch: decoded ones are large
+                made = one(*(c[i].as_py() for c in batch.columns[:5]))
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(made, kinds)], ["path", "width", "height", "png"])
+
+    return run
 
 
 def _plain(path: Column) -> Column:
