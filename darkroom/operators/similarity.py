@@ -15,9 +15,10 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from darkroom.operators.components import connected_components
 from darkroom.operators.skew import join_counted
 from darkroom.runtime import discard, materialise, ship
 
@@ -118,10 +119,11 @@ def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[label[other]], nodes[other]
 
 
-def _compare(limit: float, axes: _Axes, result: str):
+def _compare(limit: float, axes: _Axes, result: str, apart: bool = False):
+    """Compare a pair of blocks; with ``apart``, equal numbers aren't one block."""
     def run(table: pa.Table) -> pa.Table:
         left = table.column("is_left").to_numpy(zero_copy_only=False).astype(bool)
-        same = table.column("a")[0].as_py() == table.column("b")[0].as_py()
+        same = not apart and table.column("a")[0].as_py() == table.column("b")[0].as_py()
         ids, nodes, v = table.column("id").to_numpy(), table.column("node").to_numpy(), _matrix(table.column("vector"))
         right = left if same else ~left
         i, j, d, compared = _near(v[left], v[right], limit, axes, same)
@@ -151,7 +153,8 @@ def _homes(pivots: np.ndarray):
     return run
 
 
-def _visits(pivots: np.ndarray, radius: np.ndarray, threshold: float):
+def _visits(pivots: np.ndarray, radius: np.ndarray, threshold: float, every: bool = False):
+    """Cells of smaller number than its own that a vector visits; with ``every``, all cells with something near it."""
     between = np.sqrt(_squares(pivots, pivots))
     number = np.arange(len(pivots))
 
@@ -163,7 +166,9 @@ def _visits(pivots: np.ndarray, radius: np.ndarray, threshold: float):
             home = batch.column("home").to_numpy()
             slack = 1e-9 * (1 + d.max())
             plane = d - d[np.arange(len(d)), home][:, None] <= 2 * threshold * between[home] + slack
-            goes = plane & (np.sqrt(d) <= radius + threshold + np.sqrt(slack)) & (number < home[:, None])
+            goes = plane & (np.sqrt(d) <= radius + threshold + np.sqrt(slack))
+            if not every:
+                goes &= number < home[:, None]
             row, cell = np.nonzero(goes)
             at = np.concatenate([[0], np.cumsum(goes.sum(1))]).astype(np.int32)
             names = [n for n in batch.schema.names]
@@ -296,3 +301,89 @@ def similarity_work(vectors: DataFrame, threshold: float, item: str = "id", vect
     classes = found[0] if found else vectors.sparkSession.createDataFrame([], "id bigint, n bigint, vector array<float>")
     work = _joined(classes, threshold, COUNTS)
     return work.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("met", "compared", "linked")]).withColumn("vectors", F.lit(classes.count()))
+
+
+class Clusters:
+    """Near-duplicate clusters that grow batch by batch: a folder with pivots, vectors by cell, and labels.
+
+    A batch is compared with itself, and with the blocks of earlier vectors in the cells near each of its vectors; links then join labels. Every table of a batch is written
+    under its number, so a batch that is delivered again is the same batch. Pivots come from the first batch that has vectors; any pivots give right results. All vectors must
+    be of one length, that of the pivots; others take no part, nor do those with null or non-finite components.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, threshold: float):
+        _checked(threshold)
+        self.spark, self.path, self.threshold = spark, path.rstrip("/"), threshold
+        ship(spark)
+
+    def _numbers(self, name: str) -> list[int]:
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(folder):
+            return []
+        found = [s.getPath() for s in fs.listStatus(folder)]
+        return sorted(int(p.getName().split("=")[1]) for p in found if p.getName().startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    def _before(self, name: str, batch: int, schema: str) -> DataFrame:
+        earlier = [f"{self.path}/{name}/batch={b}" for b in self._numbers(name) if b < batch]
+        return self.spark.read.schema(schema).parquet(*earlier) if earlier else self.spark.createDataFrame([], schema)
+
+    def _write(self, table: DataFrame, name: str, batch: int) -> None:
+        table.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
+
+    def labels(self, batch: int | None = None) -> DataFrame:
+        """node, root (its cluster's smallest id) of all vectors in clusters, after a batch or after all."""
+        done = [b for b in self._numbers("labels") if batch is None or b <= batch]
+        return self.spark.read.schema("node bigint, root bigint").parquet(f"{self.path}/labels/batch={done[-1]}") if done else self.spark.createDataFrame([], "node bigint, root bigint")
+
+    def _pivots(self, batch: int, rows: DataFrame) -> np.ndarray:
+        kept = self._numbers("pivots")
+        if not kept:
+            n = rows.count()
+            some = rows.orderBy(F.xxhash64("vector"), "id").limit(max(1, min(PIVOTS, n // (BLOCK // 8))))
+            self._write(some.select("vector").distinct(), "pivots", batch)
+            kept = self._numbers("pivots")
+        found = self.spark.read.parquet(f"{self.path}/pivots/batch={kept[0]}").collect()  # at most PIVOTS rows
+        return np.array(sorted(list(r["vector"]) for r in found), np.float64)
+
+    def add(self, vectors: DataFrame, batch: int, item: str = "id", vector: str = "fprint") -> None:
+        """Take a batch in: ids that are new, and their vectors."""
+        odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+        rows = vectors.where((F.size(vector) > 0) & ~odd).select(F.col(item).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("vector")).where("id IS NOT NULL")
+        rows = materialise(rows, "batch")
+        if rows.isEmpty():
+            return
+        pivots = self._pivots(batch, rows)
+        rows = rows.where(F.size("vector") == pivots.shape[1])
+        placed = "id bigint, vector array<double>, home int, away double"
+        self._write(rows.mapInArrow(_homes(pivots), placed), "vectors", batch)
+        new = self.spark.read.schema(placed).parquet(f"{self.path}/vectors/batch={batch}")
+        old = self._before("vectors", batch, placed)
+        cells = old.groupBy("home").agg(F.count(F.lit(1)).alias("rows"), F.max("away").alias("radius")).collect()  # one row a pivot
+        links = similarity_links(new, self.threshold, "id", "vector") if self.threshold > 0 else self.spark.createDataFrame([], LINKS)
+        if cells and self.threshold > 0:
+            radius = np.full(len(pivots), -np.inf)
+            for r in cells:
+                radius[r["home"]] = r["radius"]
+            parts = F.broadcast(self.spark.createDataFrame([(r["home"], -(-r["rows"] // BLOCK)) for r in cells], "cell int, parts bigint"))  # one row a pivot
+            near = new.mapInArrow(_visits(pivots, radius, self.threshold, True), placed + ", visits array<int>").select("id", "vector", F.explode("visits").alias("cell")).join(parts, "cell")
+            groups = max(1, new.count() // BLOCK)
+            mine = F.pmod(F.xxhash64("id"), F.lit(groups)).alias("b")
+            right = near.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), "cell", mine, F.lit(False).alias("is_left"), "id", F.col("id").alias("node"), "vector")
+            right = right.withColumn("a", _block(F.col("cell"), F.lit(False), F.col("part"))).drop("part", "cell")
+            held = old.join(parts, F.col("home") == F.col("cell"))
+            held = held.select(_block(F.col("cell"), F.lit(False), F.pmod(F.xxhash64("id"), F.col("parts"))).alias("a"), F.lit(True).alias("is_left"), "id", F.col("id").alias("node"), "vector")
+            met = right.select("a", "b").distinct()
+            left = held.join(met, "a")
+            both = left.unionByName(right).groupBy("a", "b").applyInArrow(_compare(self.threshold * self.threshold, _Axes(pivots, self.threshold * self.threshold), LINKS, True), LINKS)
+            links = links.unionAll(both)
+        links = materialise(links, "batch-links")
+        before = self.labels(batch - 1)
+        # links between labels: an id outside all clusters is its own
+        root = lambda c: links.select(c).distinct().join(before, F.col(c) == F.col("node"), "left").select(F.col(c), F.coalesce("root", c).alias(f"root_{c}"))
+        between = materialise(links.join(root("a"), "a").join(root("b"), "b").select("root_a", "root_b"), "batch-roots")
+        merged = materialise(connected_components(between, "root_a", "root_b"), "batch-merged")
+        moved = before.join(merged.withColumnRenamed("node", "was").withColumnRenamed("root", "now"), F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root"))
+        fresh = merged.join(before.select("node"), "node", "left_anti").select("node", "root")
+        self._write(moved.unionByName(fresh), "labels", batch)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from darkroom.functions.paths import human_bytes
 from darkroom.operators import cache as cache_ops
 from darkroom.operators import dedupe as dedupe_ops
 from darkroom.operators.moves import absolute, execute, quarantine_plan
 from darkroom.operators.report import albums_by_signal, albums_by_tier, delete_reasons, numbered_rows, reclaimable, replace_albums, tier_summary
 from darkroom.params import RunOptions
+from darkroom.progress import Progress, followed
 from darkroom.runtime import drop_path, materialise
 from darkroom.schema import CACHE, METRIC_NAMES, METRICS, METRICS_VERSION
 from darkroom.signals import Thresholds, with_verdict
@@ -25,8 +28,8 @@ class Source(Protocol):
     def collect(self, spark: SparkSession) -> DataFrame:
         """Items to judge: seq, cache_id, path, asset_id, size, mtime."""
 
-    def analyse(self, items: DataFrame, outputs: frozenset[str]) -> DataFrame:
-        """Metrics of items: cache_id and the metric columns."""
+    def analyse(self, items: DataFrame, outputs: frozenset[str], counter=None) -> DataFrame:
+        """Metrics of items: cache_id and the metric columns. ``counter``, an accumulator, counts images."""
 
 
 class FilesystemSource:
@@ -42,9 +45,9 @@ class FilesystemSource:
         numbered = numbered_rows(found, [F.col("root_ord"), F.split("path", "/")], "seq")
         return numbered.select("seq", F.col("path").alias("cache_id"), "path", F.lit("").alias("asset_id"), "size", "mtime")
 
-    def analyse(self, items: DataFrame, outputs: frozenset[str]) -> DataFrame:
+    def analyse(self, items: DataFrame, outputs: frozenset[str], counter=None) -> DataFrame:
         """Metrics of listed files, read by the executors."""
-        return files.analyse(items.select("path", "size"), outputs, self.scorer).withColumnRenamed("path", "cache_id")
+        return files.analyse(items.select("path", "size"), outputs, self.scorer, counter=counter).withColumnRenamed("path", "cache_id")
 
 
 class LibrarySource:
@@ -69,11 +72,11 @@ class LibrarySource:
         )
         return numbered_rows(found, [F.desc("creation_date"), F.col("asset_id")], "seq").drop("creation_date")
 
-    def analyse(self, items: DataFrame, outputs: frozenset[str]) -> DataFrame:
+    def analyse(self, items: DataFrame, outputs: frozenset[str], counter=None) -> DataFrame:
         """Metrics of fetched assets: those whose pixels are here are decoded, the others are errors."""
         here = materialise(items.where("gate = '' AND location IS NOT NULL").select("cache_id", F.col("location").alias("path"), "size"), "assets-here")
         names = [n for n in METRIC_NAMES]
-        done = here.select("cache_id", "path").join(files.analyse(here, outputs, self.scorer), "path").select("cache_id", *names)
+        done = materialise(here.select("cache_id", "path").join(files.analyse(here, outputs, self.scorer, counter=counter), "path").select("cache_id", *names), "assets-metrics")
         gone = items.join(done.select("cache_id"), "cache_id", "left_anti")
         why = F.when(F.col("gate") != "", F.col("gate")).otherwise("no pixels")
         blank = {n: F.lit("") if k == "string" else F.lit(None).cast(k) if n in ("aesthetic", "is_utility", "face_quality", "fprint") else F.lit(0).cast(k) for n, k in (x.split() for x in METRICS.split(", "))}
@@ -81,24 +84,44 @@ class LibrarySource:
         return done.unionByName(failed)
 
 
-def run(spark: SparkSession, source: Source, options: RunOptions = RunOptions(), thresholds: Thresholds = Thresholds(), cache_path: str | None = None) -> DataFrame:
+class Counts:
+    """What a run came to: items, hits, misses, errors and bytes, all taken while it ran."""
+
+    def __init__(self):
+        self.split, self.fresh = Observation(), Observation()
+
+    def get(self) -> dict[str, int]:
+        """The counts, once the run is over."""
+        return {k: v or 0 for k, v in {**self.split.get, **self.fresh.get}.items()}
+
+
+def run(
+    spark: SparkSession, source: Source, options: RunOptions = RunOptions(), thresholds: Thresholds = Thresholds(), cache_path: str | None = None,
+    counts: Counts | None = None, progress: Callable[[int], Progress] | None = None,
+) -> DataFrame:
     """Judged photos: items with metrics, reasons, recommendation and cluster columns.
 
     Only items without a valid cache row are analysed; fresh rows are written to the cache before verdicts are taken, so that other thresholds never
-    cost another scan.
+    cost another scan. ``counts`` is filled in the same pass; ``progress`` makes a teller of progress for a number of items.
     """
     items = materialise(source.collect(spark), "items")
     outputs = options.wanted_outputs
-    old = spark.read.schema(CACHE).parquet(cache_path) if cache_path and files.exists(spark, cache_path) else spark.createDataFrame([], CACHE)
-    split = cache_ops.split(items, old, outputs)
-    fresh = source.analyse(split.where("NOT is_hit"), outputs).join(items.select("cache_id", "size", "mtime"), "cache_id")
-    fresh = fresh.select("cache_id", "size", "mtime", F.lit(METRICS_VERSION).alias("ver"), F.lit(cache_ops.output_mask(outputs)).alias("computed_mask"), *METRIC_NAMES)
-    fresh = materialise(fresh, "fresh")
+    cache = cache_ops.BucketedCache(spark, cache_path) if cache_path else None
+    old = cache.read(cache.touched(items)) if cache else spark.createDataFrame([], CACHE)
+    counts = counts or Counts()
+    found = cache_ops.split(items, old, outputs).observe(
+        counts.split, F.count(F.lit(1)).alias("items"), F.count_if("is_hit").alias("hits"), F.count_if(~F.col("is_hit")).alias("misses"), F.sum("size").alias("bytes")
+    )
+    split = materialise(found, "split")
+    misses = split.where("NOT is_hit")
+    with followed(spark.sparkContext, progress(counts.split.get["misses"]) if progress else None) as counter:
+        fresh = source.analyse(misses, outputs, counter).join(items.select("cache_id", "size", "mtime"), "cache_id")
+        fresh = fresh.select("cache_id", "size", "mtime", F.lit(METRICS_VERSION).alias("ver"), F.lit(cache_ops.output_mask(outputs)).alias("computed_mask"), *METRIC_NAMES)
+        fresh = materialise(fresh.observe(counts.fresh, F.count_if(F.coalesce("error", F.lit("")) != "").alias("errors")), "fresh")
     hits = old.join(split.where("is_hit").select("cache_id"), "cache_id", "left_semi")
     metrics = materialise(hits.unionByName(fresh), "metrics")
-    if cache_path:
-        new = materialise(cache_ops.upsert(old, fresh), "cache")
-        swap(spark, new, cache_path)
+    if cache:
+        cache.upsert(fresh)
     rows = items.drop("size", "mtime", "gate", "location").join(metrics.drop("size", "mtime", "ver", "computed_mask"), "cache_id").drop("cache_id")
     judged = with_verdict(rows, options.enabled, thresholds)
     if options.dedupe:
@@ -150,13 +173,14 @@ class SummarySink:
 
     def emit(self, photos: DataFrame) -> list[str]:
         """Lines of the summary; all tables behind it have a few rows."""
-        lines = [f"{r['recommendation']:<10} {r['photos']:>8} {r['bytes'] or 0:>14} bytes" for r in tier_summary(photos).collect()]
+        size = lambda name: human_bytes(F.coalesce(F.col(name), F.lit(0))).alias("size")
+        lines = [f"{r['recommendation']:<10} {r['photos']:>8} {r['size']:>10}" for r in tier_summary(photos).select("recommendation", "photos", size("bytes"), "ord").orderBy("ord").collect()]
         lines += [f"  {r['reason']:<18} {r['n']}" for r in delete_reasons(photos).collect()]
-        r = reclaimable(photos).first()
+        r = reclaimable(photos).select("delete_bytes", "with_duplicates_bytes", human_bytes(F.col("delete_bytes")).alias("frees"), human_bytes(F.col("with_duplicates_bytes")).alias("all")).first()
         if r["delete_bytes"]:
-            lines.append(f"deleting frees {r['delete_bytes']} bytes")
+            lines.append(f"deleting frees {r['frees']}")
         if r["with_duplicates_bytes"] > r["delete_bytes"]:
-            lines.append(f"with duplicates {r['with_duplicates_bytes']} bytes")
+            lines.append(f"with duplicates {r['all']}")
         return lines
 
 

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from darkroom.functions import paths
 from darkroom.operators import cache, dedupe, gallery, moves, report
-from darkroom.operators.similarity import dominant_length, similarity_pairs
+from darkroom.operators.similarity import Clusters, dominant_length, similarity_pairs
 from darkroom.plans import photos as P
-from darkroom.runtime import materialise, scratch_path
+from darkroom.runtime import materialise, scratch_path, shuffle_partitions
 from darkroom.signals import SIGNALS, Thresholds, flag
 from darkroom.sources import files
+from darkroom.streaming.ingest import each_batch
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -642,3 +643,14 @@ def thumbnail_files(spark, d):
     folder = P.written_files(small.select(F.concat(F.col("seq").cast("string"), F.lit(".png")).alias("name"), F.col("png").alias("data")))
     back = spark.read.format("image").load(folder).select(_number(F.col("image.origin")).alias("seq"), F.col("image.width").alias("read_width"), F.col("image.nChannels").alias("read_channels"))
     return small.select("seq", "width", "height").join(back, "seq").select("seq", "width", "height", "read_width", "read_channels")
+
+
+@query(f"WITH RECURSIVE {P.CLUSTER_SQL} SELECT seq, component FROM lab")
+def incremental_stream(spark, d):
+    """Clusters of vectors that come as a stream, in at least three micro-batches: those of one run over all."""
+    vectors, n = scratch_path(spark, "stream-vectors"), shuffle_partitions(spark)
+    P.pixels_table(spark, d).select("seq", "fprint").repartition(3 * n).write.parquet(vectors)
+    state = Clusters(spark, scratch_path(spark, "stream-clusters"), P.T)
+    stream = spark.readStream.schema("seq bigint, fprint array<float>").option("maxFilesPerTrigger", n).parquet(vectors)
+    each_batch(stream, lambda rows, batch: state.add(rows, batch, "seq"), scratch_path(spark, "stream-checkpoint"))
+    return state.labels().select(F.col("node").alias("seq"), F.col("root").alias("component"))

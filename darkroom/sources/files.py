@@ -48,7 +48,7 @@ def scan(spark: SparkSession, roots: list[str], recursive: bool = False, skip: s
             continue
         folder = is_folder(spark, root)
         listed = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
-        listed = listed.select(F.lit(n).alias("root_ord"), _plain(F.col("path")).alias("path"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime"))
+        listed = listed.select(F.lit(n).alias("root_ord"), plain(F.col("path")).alias("path"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime"))
         if folder:
             listed = listed.where(has_image_extension(F.col("path")))
             if skip:
@@ -66,7 +66,7 @@ def in_order(listing: DataFrame) -> DataFrame:
 
 def scan_all(spark: SparkSession, root: str) -> DataFrame:
     """Paths of all files under a folder, whatever they are."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(_plain(F.col("path")).alias("path"))
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(plain(F.col("path")).alias("path"))
 
 
 #: Paths that one job names to Spark's reader.
@@ -95,7 +95,7 @@ def _over_images(wanted: DataFrame, kernel, schema: str, slice_paths: int) -> Da
                 continue
             here = spark.read.schema(listed.schema).parquet(f"{parts}/slice={k}")
         named = [r["path"] for r in here.select("path").collect()]  # one slice
-        images = spark.read.format("image").option("dropInvalid", "false").load(named).select("image.*").withColumn("path", _plain(F.col("origin")))
+        images = spark.read.format("image").option("dropInvalid", "false").load(named).select("image.*").withColumn("path", plain(F.col("origin")))
         found = images.join(here, "path").select("path", "height", "width", "nChannels", "data", "file_bytes").mapInArrow(kernel, schema)
         if slices == 1:
             return found
@@ -103,14 +103,14 @@ def _over_images(wanted: DataFrame, kernel, schema: str, slice_paths: int) -> Da
     return spark.read.schema(schema).parquet(out) if slices else spark.createDataFrame([], schema)
 
 
-def analyse(wanted: DataFrame, outputs: frozenset[str] = frozenset(), scorer=None, slice_paths: int = SLICE_PATHS) -> DataFrame:
+def analyse(wanted: DataFrame, outputs: frozenset[str] = frozenset(), scorer=None, slice_paths: int = SLICE_PATHS, counter=None) -> DataFrame:
     """Metrics of listed image files (path, size): path and the metric columns. An unreadable file gives a row with ``error``.
 
     Files are read and decoded once, by Spark's image reader, ``slice_paths`` a job. ``scorer`` maps a gray image to a dict of model outputs; only those in ``outputs`` are kept. Without one,
-    ``fprint`` is the stand-in embedding.
+    ``fprint`` is the stand-in embedding. ``counter`` is an accumulator that counts images.
     """
     ship(wanted.sparkSession)
-    return _over_images(wanted, _kernel(frozenset(outputs), scorer), f"path string, {METRICS}", slice_paths)
+    return _over_images(wanted, _kernel(frozenset(outputs), scorer, counter), f"path string, {METRICS}", slice_paths)
 
 
 def thumbnails(wanted: DataFrame, longest: int = 512, slice_paths: int = SLICE_PATHS) -> DataFrame:
@@ -146,11 +146,12 @@ def _thumbnail_kernel(longest: int):
     return run
 
 
-def _plain(path: Column) -> Column:
+def plain(path: Column) -> Column:
+    """A local path without its scheme."""
     return F.regexp_replace(path, "^file:(//)?", "")
 
 
-def _kernel(outputs: frozenset[str], scorer):
+def _kernel(outputs: frozenset[str], scorer, counter=None):
     import pyarrow as pa
 
     def one(path: str, height: int, width: int, channels: int, data: bytes, size: int) -> dict:
@@ -172,6 +173,8 @@ def _kernel(outputs: frozenset[str], scorer):
         fields = [("path", pa.string())] + [(x.split()[0], kinds[x.split()[1]]) for x in METRICS.split(", ")]
         for batch in batches:
             rows = [one(*(c[i].as_py() for c in batch.columns)) for i in range(batch.num_rows)]
+            if counter is not None:
+                counter.add(len(rows))
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in fields], [n for n, _ in fields])
 
     return run
