@@ -1,14 +1,15 @@
 """Phrase collocation mining on vertical positional inverted lists.
 
-Texts are laid out as blocks of about two million words of one language. An inverted list holds the positions of a word, or phrase, in a block; the length of all its
+Texts are laid out as blocks of about a million words of one language. An inverted list holds the positions of a word, or phrase, in a block; the length of all its
 lists is its exact frequency.
 
 1. Words get their lists. A window over each word's lists (at most one a block, so no word has many) sums their lengths; lists of rare words go.
 2. Frequent phrases of k words are extended block by block: their occurrences are merge-joined, by position, with the occurrences that start one word later. Both
-   parts of a longer frequent phrase are frequent, so this finds every one of them with its positions. Lists are summed and rare ones go as before.
+   parts of a longer frequent phrase are frequent, so this finds every one of them with its positions. Before lists are moved, blocks count their pairs by 32-bit hashes; only pairs whose
+   hash is frequent over all blocks are listed. Lists are summed exactly and rare ones go as before.
 3. Phrases know the frequency of all their first and last parts, so cuts are scored without counting again.
 
-Words are told apart by their characters, phrases by the ids of their two parts. An id is the first list (block and number in it) of a word or phrase.
+Words are told apart by their characters, phrases by the ids of their two parts. An id is the least tag (block and first position) of a word's or phrase's lists.
 """
 
 from __future__ import annotations
@@ -27,9 +28,13 @@ MIN_COUNT = 100
 LONGEST = 5
 TOP = 2000
 #: Words of a block; it ends at the next end of a piece.
-BLOCK_WORDS = 1 << 21
-#: Bits of a list's number in its block, and of a block's number in its task.
-NO_BITS, BLOCK_BITS = 24, 16
+BLOCK_WORDS = 1 << 20
+#: Bits of a position in its block, of a block's number in its task, and of a task's number.
+PLACE_BITS, BLOCK_BITS, PART_BITS = 29, 14, 20
+#: No position, which stands for a whole block.
+END = (1 << PLACE_BITS) - 1
+#: Words for each range of hashes of pairs.
+RANGE_WORDS = 1 << 21
 ROWS = 1 << 15
 
 _KIND = np.zeros(256, np.uint8)
@@ -62,17 +67,45 @@ def _words(buf: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     return words, new
 
 
-def _tag(block: int, n: int) -> np.ndarray:
-    if n >= 1 << NO_BITS:
-        raise ValueError(f"{n} lists in one block")
-    return (np.int64(block) << NO_BITS) + np.arange(n, dtype=np.int64)
-
-
-def _lists(positions: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """Binary lists of 32-bit positions that lie one after another."""
-    at = np.zeros(len(counts) + 1, np.int64)
-    np.cumsum(counts * 4, out=at[1:])
-    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(positions, np.int32))]).cast(pa.binary())
+def _tags(block: int, first: np.ndarray) -> np.ndarray:
+    """Tags of lists: their block and their first position, at which nothing of the same length but this phrase begins."""
+    if len(first) and first.max() >= END:
+        raise ValueError("a piece of a text has too many words for one block")
+    return (np.int64(block) << PLACE_BITS) + first
+
+
+def _coded(positions: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Lists of ascending positions that lie one after another, without their first ones: differences, seven bits a byte."""
+    begin = np.ones(len(positions), bool)
+    begin[1:] = False
+    begin[(np.cumsum(counts) - counts)] = True
+    value = np.diff(positions.astype(np.int32), prepend=np.int32(0))[~begin]
+    size = np.ones(len(value), np.int8)
+    for k in range(1, 5):
+        size += value >= 1 << 7 * k
+    end = np.cumsum(size, dtype=np.int64)
+    data = np.zeros(int(end[-1]) if len(end) else 0, np.uint8)
+    for k in range(5):
+        some = size > k
+        data[(end - size)[some] + k] = (value[some] >> 7 * k & 127) | np.where(size[some] > k + 1, 128, 0)
+    at = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(counts - 1)])]
+    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def _decoded(tags: np.ndarray, counts: np.ndarray, rest: list[bytes]) -> np.ndarray:
+    """Positions of lists, one list after another."""
+    data = np.frombuffer(b"".join(rest), np.uint8)
+    step = np.zeros(int(counts.sum()), np.int64)
+    begin = np.cumsum(counts) - counts
+    later = np.ones(len(step), bool)
+    later[begin] = False
+    if len(data):
+        start = np.flatnonzero(np.concatenate([[True], data[:-1] < 128]))
+        shift = 7 * (np.arange(len(data)) - np.repeat(start, np.diff(np.append(start, len(data)))))
+        step[later] = np.add.reduceat((data & 127).astype(np.int64) << shift, start)
+    total = np.cumsum(step)
+    first = tags & END
+    return total + np.repeat(first - total[begin], counts)
 
 
 def _batches(columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
@@ -91,17 +124,19 @@ class _Block:
         self.n += len(new)
 
     def lists(self, lang: str, block: int) -> Iterator[pa.RecordBatch]:
-        """(lang, word, block, tag, n, positions): the lists of a block, and a row without a word that counts them all."""
+        """(lang, word, tag, n, rest): the lists of a block, and a row without a word that counts them all."""
         words = pa.concat_arrays(self.words).dictionary_encode()
         own, new = words.indices.to_numpy(zero_copy_only=False), np.concatenate(self.new)
-        place = np.arange(len(own)) + np.cumsum(new)  # a free place before every piece
+        self.words, self.new = [], []
+        place = np.arange(len(own), dtype=np.int32) + np.cumsum(new, dtype=np.int32)  # a free place before every piece
         order = np.argsort(own, kind="stable")
         counts = np.bincount(own, minlength=len(words.dictionary))
+        place = place[order]
         known = words.dictionary.cast(pa.string())
-        n = len(counts) + 1
+        tags = np.append(_tags(block, place[np.cumsum(counts) - counts]), (np.int64(block) << PLACE_BITS) + END)
         yield from _batches({
-            "lang": pa.array([lang] * n, pa.string()), "word": pa.concat_arrays([known, pa.nulls(1, pa.string())]), "block": pa.array(np.full(n, block, np.int64)), "tag": pa.array(_tag(block, n)),
-            "n": pa.array(np.append(counts, len(own)).astype(np.int64)), "positions": pa.concat_arrays([_lists(place[order], counts), pa.array([b""], pa.binary())]),
+            "lang": pa.array([lang] * len(tags), pa.string()), "word": pa.concat_arrays([known, pa.nulls(1, pa.string())]), "tag": pa.array(tags),
+            "n": pa.array(np.append(counts, len(own)).astype(np.int64)), "rest": pa.concat_arrays([_coded(place, counts), pa.array([b""], pa.binary())]),
         })
 
 
@@ -116,6 +151,8 @@ def _word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total -= block.n
         if made >= 1 << BLOCK_BITS:
             raise ValueError(f"{made} blocks in one task")
+        if part >= 1 << PART_BITS:
+            raise ValueError(f"{part} tasks")
         made += 1
         yield from block.lists(lang, (part << BLOCK_BITS) + made - 1)
 
@@ -145,26 +182,79 @@ def _word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from close(lang)
 
 
-def _extended(table: pa.Table) -> pa.Table:
-    """(block, tag, prefix, suffix, n, positions): the lists of phrases one word longer in a block."""
-    lists = table.column("positions").combine_chunks()
-    ids = table.column("id").to_numpy()
-    block = table.column("block")[0].as_py()
-    positions = np.concatenate([np.frombuffer(b, np.int32) for b in lists.to_pylist()]) if len(lists) else np.zeros(0, np.int32)
-    own = np.repeat(np.arange(len(ids)), table.column("n").to_numpy())
-    order = np.argsort(positions, kind="stable")
-    positions, own = positions[order], own[order]
-    met = np.flatnonzero(positions[1:] == positions[:-1] + 1)
-    pair = own[met].astype(np.int64) * len(ids) + own[met + 1]
-    order = np.argsort(pair, kind="stable")
-    pair, places = pair[order], positions[met[order]]
-    first = np.flatnonzero(np.diff(pair, prepend=-1))
-    counts = np.diff(np.append(first, len(pair)))
-    n = len(first)
-    return pa.table({
-        "block": pa.array(np.full(n, block, np.int64)), "tag": pa.array(_tag(block, n)), "prefix": pa.array(ids[pair[first] // len(ids)]), "suffix": pa.array(ids[pair[first] % len(ids)]),
-        "n": pa.array(counts.astype(np.int64)), "positions": _lists(places, counts),
-    })
+class _Pairs:
+    """Pairs of occurrences of which one starts a word after the other, in a block: the phrases one word longer, with their positions."""
+
+    def __init__(self, table: pa.Table, ranges: int):
+        ids, tags, counts = (table.column(c).to_numpy() for c in ("id", "tag", "n"))
+        self.block = int(tags[0] >> PLACE_BITS)
+        positions = _decoded(tags, counts, table.column("rest").to_pylist())
+        own = np.repeat(np.arange(len(ids)), counts)
+        order = np.argsort(positions, kind="stable")
+        positions, own = positions[order], own[order]
+        met = np.flatnonzero(positions[1:] == positions[:-1] + 1)
+        pair = own[met].astype(np.int64) * len(ids) + own[met + 1]
+        order = np.argsort(pair, kind="stable")
+        pair, self.places = pair[order], positions[met[order]]
+        self.first = np.flatnonzero(np.diff(pair, prepend=-1))
+        self.counts = np.diff(np.append(self.first, len(pair)))
+        self.prefix, self.suffix = ids[pair[self.first] // len(ids)], ids[pair[self.first] % len(ids)]
+        h = _text.mix(self.prefix.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + _text.mix(self.suffix.astype(np.uint64)))
+        #: a range of hashes, and 32 bits in it
+        self.key = (h >> np.uint64(32)) % np.uint64(ranges) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
+
+
+def _sketched(ranges: int):
+    def run(table: pa.Table) -> pa.Table:
+        """(range, block, hashes, counts): how often each pair occurs in a block, by 32-bit hashes."""
+        pairs = _Pairs(table, ranges)
+        keys, at = np.unique(pairs.key, return_inverse=True)
+        counts = np.bincount(at, pairs.counts, len(keys)).astype(np.uint32)
+        part = (keys >> np.uint64(32)).astype(np.int32)
+        cut = np.flatnonzero(np.diff(part, prepend=-1))
+        ends = np.append(cut[1:], len(keys))
+        low = keys.astype(np.uint32)
+        return pa.table({
+            "range": pa.array(part[cut]), "block": pa.array(np.full(len(cut), pairs.block, np.int64)),
+            "hashes": pa.array([low[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()), "counts": pa.array([counts[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()),
+        })
+
+    return run
+
+
+def _popular(min_count: int):
+    def run(table: pa.Table) -> pa.Table:
+        """(range, block, hashes): of each block, the hashes that are frequent over all blocks."""
+        own = [np.frombuffer(x, np.uint32) for x in table.column("hashes").to_pylist()]
+        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()])
+        known, at = np.unique(np.concatenate(own), return_inverse=True)
+        good = (np.bincount(at, counts, len(known)) >= min_count)[at]
+        ends = np.cumsum([len(x) for x in own])
+        left = [x[good[e - len(x) : e]] for x, e in zip(own, ends)]
+        return pa.table({"range": table.column("range"), "block": table.column("block"), "hashes": pa.array([x.tobytes() for x in left], pa.binary())})
+
+    return run
+
+
+LISTS = "tag bigint, prefix bigint, suffix bigint, n bigint, rest binary"
+
+
+def _extended(ranges: int):
+    def run(lists: pa.Table, popular: pa.Table) -> pa.Table:
+        """(tag, prefix, suffix, n, rest): the lists, in a block, of phrases one word longer whose hashes are frequent."""
+        if not len(lists) or not len(popular):
+            kinds = pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()
+            return pa.table({c.split()[0]: pa.array([], k) for c, k in zip(LISTS.split(", "), kinds)})
+        pairs = _Pairs(lists, ranges)
+        rows = zip(popular.column("range").to_pylist(), popular.column("hashes").to_pylist())
+        good = np.isin(pairs.key, np.concatenate([np.frombuffer(x, np.uint32).astype(np.uint64) | np.uint64(r << 32) for r, x in rows]))
+        places, counts = pairs.places[np.repeat(good, pairs.counts)], pairs.counts[good]
+        return pa.table({
+            "tag": pa.array(_tags(pairs.block, places[np.cumsum(counts) - counts])), "prefix": pa.array(pairs.prefix[good]), "suffix": pa.array(pairs.suffix[good]),
+            "n": pa.array(counts.astype(np.int64)), "rest": _coded(places, counts),
+        })
+
+    return run
 
 
 def _frequent(lists: DataFrame, key: list[str], min_count: int, label: str) -> DataFrame:
@@ -196,18 +286,23 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", min_co
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.coalesce(F.col(f"`{lang}`"), F.lit("und")).alias("lang"), F.col(f"`{text}`").alias("text"), F.spark_partition_id().alias("part"))
-    lists = _frequent(texts.mapInArrow(_word_lists, "lang string, word string, block bigint, tag bigint, n bigint, positions binary"), ["lang", "word"], min_count, "phrase-words")
+    lists = _frequent(texts.mapInArrow(_word_lists, "lang string, word string, tag bigint, n bigint, rest binary"), ["lang", "word"], min_count, "phrase-words")
     own = lists.where("tag = id")
     totals = materialise(own.where("word IS NULL").select("lang", F.col("a").alias("n")), "phrase-totals")  # one row a language
+    ranges = max(1, -(-(totals.agg(F.sum("n")).first()[0] or 0) // RANGE_WORDS))
     none = F.array().cast("array<bigint>")
     known = materialise(own.where("word IS NOT NULL").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", none.alias("heads"), none.alias("tails")), "phrases")
     lists_now, levels = lists.where("word IS NOT NULL"), []
     for k in range(2, longest + 1):
-        longer = lists_now.select("block", "id", "n", "positions").groupBy("block").applyInArrow(_extended, "block bigint, tag bigint, prefix bigint, suffix bigint, n bigint, positions binary")
+        blocks = lists_now.select("id", "tag", "n", "rest").groupBy(F.shiftright("tag", PLACE_BITS).alias("block"))
+        sketch = blocks.applyInArrow(_sketched(ranges), "range int, block bigint, hashes binary, counts binary")
+        popular = sketch.groupBy("range").applyInArrow(_popular(min_count), "range int, block bigint, hashes binary")
+        popular = materialise(popular.where(F.octet_length("hashes") > 0), "phrase-popular")
+        longer = blocks.cogroup(popular.groupBy("block")).applyInArrow(_extended(ranges), LISTS)
         if k == longest:
-            longer = longer.drop("positions")
+            longer = longer.drop("rest")
         found = _frequent(longer, ["prefix", "suffix"], min_count, "phrase-lists")
-        discard(lists)
+        discard(lists, popular)
         lists = lists_now = found
         begin = known.select(F.col("id").alias("prefix"), "lang", "phrase", F.col("heads").alias("before"), F.col("a").alias("first"))
         end = known.select(F.col("id").alias("suffix"), F.col("last"), F.col("tails").alias("after"), F.col("a").alias("second"))

@@ -141,14 +141,23 @@ def test_blocks_lose_no_phrase(monkeypatch):
         for b in collocations._word_lists(iter([batch])):
             for r in b.to_pylist():
                 if r["word"] is not None:
-                    blocks[r["lang"], r["block"]].append(r)
+                    blocks[r["lang"], r["tag"] >> collocations.PLACE_BITS].append(r)
         for (lang, _), own in blocks.items():
-            places = {int(p): r["word"] for r in own for p in np.frombuffer(r["positions"], np.int32)}
+            places = {int(p): r["word"] for r in own for p in collocations._decoded(np.array([r["tag"]]), np.array([r["n"]]), [r["rest"]])}
             pairs.update((lang, places[p], places[p + 1]) for p in places if p + 1 in places)
         counts.append((pairs, len(blocks)))
     assert counts[0][0] == counts[1][0] == counts[2][0] and counts[0][1] == 2 < counts[1][1] < counts[2][1]
 
 
+def test_lists_round_trip():
+    rng = np.random.default_rng(1)
+    lists = [np.unique(rng.integers(0, high, n)) for n, high in [(1, 5), (300, 400), (40, 1 << 28), (1, 1), (7, 1 << 14), (2, 200)]] + [np.array([0, (1 << 28) + 5])]
+    counts = np.array([len(x) for x in lists])
+    coded = collocations._coded(np.concatenate(lists), counts).to_pylist()
+    tags = collocations._tags(9, np.array([x[0] for x in lists]))
+    assert (collocations._decoded(tags, counts, coded) == np.concatenate(lists)).all()
+
+
 def test_exact_scores(spark):
     """Products beyond 64 bits are exact."""
     row = [(3_000_000_007, 9_000_000_000_037, [4_000_000_009], [5_000_000_021])]
