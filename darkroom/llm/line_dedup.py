@@ -31,7 +31,9 @@ SIZE, ROWS = 60, 5
 #: Text that is sketched at once: few enough for the shingles' arrays to stay in a processor's cache.
 SLICE_BYTES = 1 << 18
 SIGNS = _near.signature(-(-SIZE // 16))
-LINES = ", ".join(["doc_id bigint, tie bigint, position int, place decimal(38,0), cid bigint, check bigint, bands array<bigint>", *[f"{s} bigint" for s in SIGNS]])
+#: Columns of a line's band keys; null where it isn't sketched.
+BANDS = [f"g{k}" for k in range(SIZE // ROWS)]
+LINES = ", ".join(["doc_id bigint, tie bigint, position int, place decimal(38,0), cid bigint, check bigint", *[f"{s} bigint" for s in (*BANDS, *SIGNS)]])
 #: Lines with fewer characters are similar to equal lines only: where few characters differ, they mostly say something else.
 MIN_CHARS = 20
 
@@ -102,9 +104,8 @@ def _sketch(min_chars: int, width: int, size: int, rows: int):
         for batch, buf, offsets in _text.slices(batches, most=SLICE_BYTES):
             start, end, row, position, cid, long, rolling = _candidate_lines(buf, offsets, min_chars)
             doc = pa.array(row)
-            keys, own = np.zeros((0, size // rows), np.uint64), np.zeros((len(cid), -(-size // 16)), np.int64)
+            keys, own = np.zeros((len(cid), size // rows), np.int64), np.zeros((len(cid), -(-size // 16)), np.int64)
             sketched = np.zeros(len(cid), dtype=bool)
-            per_row = np.zeros(len(cid) + 1, np.int64)
             check = np.zeros(len(cid), np.int64)
             if len(cid):
                 # each line once, in the order of the text
@@ -117,14 +118,13 @@ def _sketch(min_chars: int, width: int, size: int, rows: int):
                 pieces = np.diff(pointer)
                 values, pointer = values[np.repeat(long, pieces)], np.concatenate([[0], np.cumsum(pieces[long])])
                 sig = _text.super_minhash(values, pointer, size)
-                keys = _text.band_keys(sig, rows)
                 sketched[first[order][long]] = True
+                keys[sketched] = _text.band_keys(sig, rows).view(np.int64)
                 own[sketched] = _text.nibbles(sig).view(np.int64)
-                np.cumsum(np.where(sketched, keys.shape[1], 0), out=per_row[1:])
             ids, ties = batch.column(0).take(doc), batch.column(1).take(doc)
             yield pa.RecordBatch.from_arrays(
-                [ids, ties, pa.array(position.astype(np.int32)), _places(ids, ties, position), pa.array(cid), pa.array(check), _text.list_array(keys.ravel(), per_row), *[pa.array(x, mask=~sketched) for x in own.T]],
-                ["doc_id", "tie", "position", "place", "cid", "check", "bands", *SIGNS],
+                [ids, ties, pa.array(position.astype(np.int32)), _places(ids, ties, position), pa.array(cid), pa.array(check), *[pa.array(x, mask=~sketched) for x in (*keys.T, *own.T)]],
+                ["doc_id", "tie", "position", "place", "cid", "check", *BANDS, *SIGNS],
             )
 
     return run
@@ -155,9 +155,10 @@ def duplicate_lines(
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("tie"), F.col(text).alias("text"))
     lines = materialise(texts.mapInArrow(_sketch(min_chars, width, SIZE, ROWS), LINES), "line-sketches")
     key = ["cid", "check"]
-    classes = lines.groupBy(*key).agg(F.min("place").alias("low"), F.count(F.lit(1)).alias("n"), *[F.max(s).alias(s) for s in SIGNS])
+    classes = lines.groupBy(*key).agg(F.min("place").alias("low"), F.count(F.lit(1)).alias("n"), *[F.max(s).alias(s) for s in (*BANDS, *SIGNS)])
     classes = materialise(classes, "line-classes")
-    shared = _near.shared_buckets(lines.select(F.explode("bands").alias("band"), "cid")).join(classes.select("cid", *SIGNS), "cid")
+    # a line that stands in many texts is one class, and one row of each of its bands
+    shared = _near.shared_buckets(classes.select(F.explode(F.array(*BANDS)).alias("band"), "cid")).join(classes.select("cid", *SIGNS), "cid")
     buckets = materialise(shared, "line-shared")
 
     def fetch(cids: DataFrame) -> DataFrame:
@@ -171,7 +172,7 @@ def duplicate_lines(
     links, checks = _near.near_links(buckets, fetch, partial(whole_sets, width=width), percent, SIZE)
     labels = connected_components(links).join(checks.withColumnRenamed("cid", "node"), "node").select(F.col("node").alias("cid"), "check", "root")
     # classes of one line and no link lose nothing
-    rooted = materialise(classes.drop(*SIGNS).join(labels, key, "left").where("root IS NOT NULL OR n > 1"), "line-linked")
+    rooted = materialise(classes.drop(*BANDS, *SIGNS).join(labels, key, "left").where("root IS NOT NULL OR n > 1"), "line-linked")
     first = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("low").alias("first"), F.count(F.lit(1)).alias("members"))
     linked = join_counted(rooted.where("root IS NOT NULL"), first, ["root"], "members").select(*key, "n", "first")
     repeated = rooted.where("root IS NULL").select(*key, "n", F.col("low").alias("first"))
