@@ -305,7 +305,7 @@ class MoveLog:
         return action
 
 
-def execute(plan: DataFrame, dry_run: bool = True, action_id: int = 0, log_path: str | None = None) -> DataFrame:
+def execute(plan: DataFrame, dry_run: bool = True, action_id: int | None = None, log_path: str | None = None) -> DataFrame:
     """Carry out a plan on executors, and return its log (``LOG``), one row a file of the plan.
 
     ``plan`` has path and target, and may have owner (else seq) and is_companion. A move never replaces a file: if the target exists, or the source is
@@ -316,15 +316,16 @@ def execute(plan: DataFrame, dry_run: bool = True, action_id: int = 0, log_path:
     ship(spark)
     if not dry_run:
         log = MoveLog(spark, log_path or scratch_path(spark, "move-log"))
-        log.carry_out(log.begin(plan, action_id))
-        return log.log().where(F.col("action_id") == action_id)
+        action = log.begin(plan, action_id)
+        log.carry_out(action)
+        return log.log().where(F.col("action_id") == action)
     owner = F.col("owner") if "owner" in plan.columns else F.col("seq") if "seq" in plan.columns else F.lit(None)
     companion = F.col("is_companion") if "is_companion" in plan.columns else F.lit(False)
     rows = plan.select(owner.cast("bigint").alias("owner"), F.col("path").alias("orig"), F.col("target").alias("dest"), companion.alias("is_companion"))
     kinds = "owner bigint, orig string, dest string, is_companion boolean, size bigint, stamp bigint"
     tried = rows.mapInArrow(_noted, kinds).mapInArrow(_tried, kinds + ", error string")
     no = F.lit(False)
-    return tried.select(F.lit(action_id).cast("bigint").alias("action_id"), "owner", "orig", "dest", "is_companion", no.alias("ok"), no.alias("undone"), "error", F.col("size").alias("stat_bytes"))
+    return tried.select(F.lit(action_id or 0).cast("bigint").alias("action_id"), "owner", "orig", "dest", "is_companion", no.alias("ok"), no.alias("undone"), "error", F.col("size").alias("stat_bytes"))
 
 
 def undo(log: DataFrame, dry_run: bool = True) -> tuple[DataFrame, DataFrame]:

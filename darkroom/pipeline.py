@@ -187,8 +187,8 @@ class SummarySink:
 class QuarantineSink:
     """Moves of flagged photos."""
 
-    def __init__(self, dest: str, tiers: tuple[str, ...], roots: list[str], dry_run: bool = True):
-        self.dest, self.tiers, self.roots, self.dry_run = absolute(dest), tiers, [absolute(r) for r in roots], dry_run
+    def __init__(self, dest: str, tiers: tuple[str, ...], roots: list[str], dry_run: bool = True, log_path: str | None = None):
+        self.dest, self.tiers, self.roots, self.dry_run, self.log_path = absolute(dest), tiers, [absolute(r) for r in roots], dry_run, log_path
         self.log: DataFrame | None = None
 
     def emit(self, photos: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ class QuarantineSink:
         listing, _ = files.scan(spark, [r for r in self.roots if files.exists(spark, r)], True, None)
         existing = files.scan_all(spark, self.dest) if files.exists(spark, self.dest) else None
         plan = materialise(quarantine_plan(photos, self.tiers, self.roots, self.dest, listing, existing), "plan")
-        self.log = execute(plan, self.dry_run)
+        self.log = execute(plan, self.dry_run, log_path=self.log_path)
         return plan
 
 

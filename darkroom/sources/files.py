@@ -64,9 +64,9 @@ def in_order(listing: DataFrame) -> DataFrame:
     return listing.orderBy("root_ord", F.split("path", "/"))
 
 
-def scan_all(spark: SparkSession, root: str) -> DataFrame:
+def scan_all(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """Paths of all files under a folder, whatever they are."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(plain(F.col("path")).alias("path"))
+    return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root).select(plain(F.col("path")).alias("path"))
 
 
 #: Paths that one job names to Spark's reader.

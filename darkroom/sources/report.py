@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import shlex
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,9 +45,6 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*[x.alias(c) for c, x in out.items()])
 
 
-def read_options(path: str) -> list[str]:
-    """Arguments of an options file: one shell-like line after another, without comment lines."""
-    import shlex
-
-    with open(path) as f:
-        return [x for line in f if line.strip() and not line.lstrip().startswith("#") for x in shlex.split(line)]
+def options_of_line(line: str) -> list[str]:
+    """Arguments of a line of an options file, as a shell reads them; none in an empty line or a comment."""
+    return [] if line.lstrip().startswith("#") else shlex.split(line)
