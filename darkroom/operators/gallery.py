@@ -46,13 +46,15 @@ def visible(items: DataFrame, tiers=SHOWN_TIERS, signals=(), name: str = "") ->
 
 
 def sort_columns(key: str) -> list[Column]:
-    """Sort columns by key: tier, cluster, name, or any numeric column with blanks as 0."""
+    """Sort columns by key: tier, cluster, name, ``name:`` and a collation (names in the order of a language, such as ``name:de`` or ``name:UNICODE``), or any numeric column with blanks as 0."""
     if key == "tier":
         return [tier_rank().asc(), F.coalesce("sharpness", F.lit(0.0)).asc(), F.asc("seq")]
     if key == "cluster":
         return [F.asc("cluster_id"), F.desc("is_keeper"), F.coalesce("sharpness", F.lit(0.0)).asc(), F.asc("seq")]
     if key == "name":
         return [F.lower(basename(F.col("path"))).asc(), F.asc("seq")]
+    if key.startswith("name:"):
+        return [F.collate(basename(F.col("path")), key.removeprefix("name:")).asc(), F.asc("seq")]
     return [F.coalesce(F.col(key).try_cast("double"), F.lit(0.0)).asc(), F.asc("seq")]
 
 

@@ -654,3 +654,13 @@ def incremental_stream(spark, d):
     stream = spark.readStream.schema("seq bigint, fprint array<float>").option("maxFilesPerTrigger", n).parquet(vectors)
     each_batch(stream, lambda rows, batch: state.add(rows, batch, "seq"), scratch_path(spark, "stream-checkpoint"))
     return state.labels().select(F.col("node").alias("seq"), F.col("root").alias("component"))
+
+
+_TITLES = "SELECT doc_id AS seq, 'n/' || replace(left(text, 24), '/', ' ') AS path FROM documents WHERE text IS NOT NULL"
+
+
+@query(f"SELECT seq, row_number() OVER (ORDER BY substr(path, 3) COLLATE de, seq) - 1 AS pos FROM ({_TITLES})")
+def gallery_sort_name_language(spark, d):
+    """Beginnings of texts in four languages as names, in the order of a language."""
+    titles = spark.read.parquet(f"{d}/documents.parquet").where("text IS NOT NULL").select(F.col("doc_id").alias("seq"), F.concat(F.lit("n/"), F.translate(F.left("text", F.lit(24)), "/", " ")).alias("path"))
+    return gallery.ranked(titles, "name:de").select("seq", "pos")
