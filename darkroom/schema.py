@@ -9,7 +9,7 @@ REPORT_FIELDS = (
     "path", "recommendation", "reasons", "sharpness", "brightness", "contrast", "noise", "black_frac", "white_frac", "aesthetic", "is_utility",
     "face_quality", "cluster_id", "cluster_size", "is_keeper", "width", "height", "megapixels", "file_bytes", "asset_id", "error",
 )
-#: Worst first.
+#: Tiers, worst first.
 TIER_ORDER = {"delete": 0, "duplicate": 1, "review": 2, "keep": 3, "error": 4}
 METRICS = (
     "width int, height int, megapixels double, file_bytes bigint, sharpness double, brightness double, contrast double, noise double, "

@@ -58,6 +58,7 @@ def register_signal(signal: Signal) -> None:
     SIGNALS[signal.key] = signal
 
 
+# Keys, labels and reasons of the detections, in order.
 for _s in (
     Signal("blur", "Blurry", ("blurry", "very_blurry"), False, lambda t: _below("sharpness", t.blur), lambda t: _below("sharpness", t.blur_hard)),
     Signal("dark", "Too dark", ("dark", "very_dark"), False, lambda t: _below("brightness", t.dark), lambda t: _below("brightness", t.dark_hard)),
@@ -70,6 +71,7 @@ for _s in (
 ):
     register_signal(_s)
 
+# Labels of tiers.
 TIER_LABELS = {"delete": "Delete candidates", "duplicate": "Duplicates", "review": "Review"}
 
 
