@@ -35,7 +35,7 @@ def _brute(plan, existing):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_names_equal_brute_force(spark, seed):
     rnd = random.Random(seed)
     name = lambda: rnd.choice(["q/", "q/r/", ""]) + rnd.choice(["a", "b", "a__1", "a__2", "a__1__1", ".b", "c.d", "__1", "a__01", "a__0"]) + rnd.choice([".jpg", "", ".x"])
