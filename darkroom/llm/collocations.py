@@ -5,11 +5,11 @@ lists is its exact frequency.
 
 1. Words get their lists. A window over each word's lists (at most one a block, so no word has many) sums their lengths; lists of rare words go.
 2. Frequent phrases of k words are extended block by block: their occurrences are merge-joined, by position, with the occurrences that start one word later. Both
-   parts of a longer frequent phrase are frequent, so this finds every one of them with its positions. Before lists are moved, blocks count their pairs by 32-bit hashes; only pairs whose
-   hash is frequent over all blocks are listed. Lists are summed exactly and rare ones go as before.
+   parts of a longer frequent phrase are frequent, so this finds every one of them with its positions. The lengths of a block's lists are summed with those of other blocks by ranges of hashes;
+   only frequent phrases keep their lists, and those stay with their block.
 3. Phrases know the frequency of all their first and last parts, so cuts are scored without counting again.
 
-Words are told apart by their characters, phrases by the ids of their two parts. An id is the least tag (block and first position) of a word's or phrase's lists.
+Words are told apart by their characters, phrases by the ids of their two parts. A word's id is the least tag (block and first position) of its lists, a phrase's its range and number in it.
 """
 
 from __future__ import annotations
@@ -92,9 +92,9 @@ def _coded(positions: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
 
 
-def _decoded(tags: np.ndarray, counts: np.ndarray, rest: list[bytes]) -> np.ndarray:
-    """Positions of lists, one list after another."""
-    data = np.frombuffer(b"".join(rest), np.uint8)
+def _decoded(first: np.ndarray, counts: np.ndarray, rest: bytes) -> np.ndarray:
+    """Positions of lists, one list after another, from their first ones and the coded rest of them all."""
+    data = np.frombuffer(rest, np.uint8)
     step = np.zeros(int(counts.sum()), np.int64)
     begin = np.cumsum(counts) - counts
     later = np.ones(len(step), bool)
@@ -104,7 +104,6 @@ def _decoded(tags: np.ndarray, counts: np.ndarray, rest: list[bytes]) -> np.ndar
         shift = 7 * (np.arange(len(data)) - np.repeat(start, np.diff(np.append(start, len(data)))))
         step[later] = np.add.reduceat((data & 127).astype(np.int64) << shift, start)
     total = np.cumsum(step)
-    first = tags & END
     return total + np.repeat(first - total[begin], counts)
 
 
@@ -182,13 +181,30 @@ def _word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from close(lang)
 
 
+PACKED = "block bigint, ids binary, counts binary, first binary, rest binary"
+SKETCH = "range int, block bigint, prefix binary, suffix binary, n binary"
+VERDICT = "range int, block bigint, prefix binary, suffix binary, ids binary, n binary"
+
+
+def _joined(table: pa.Table, column: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
+
+
+def _bytes(arrays) -> pa.Array:
+    return pa.array([np.ascontiguousarray(x).tobytes() for x in arrays], pa.binary())
+
+
 class _Pairs:
     """Pairs of occurrences of which one starts a word after the other, in a block: the phrases one word longer, with their positions."""
 
-    def __init__(self, table: pa.Table, ranges: int):
-        ids, tags, counts = (table.column(c).to_numpy() for c in ("id", "tag", "n"))
-        self.block = int(tags[0] >> PLACE_BITS)
-        positions = _decoded(tags, counts, table.column("rest").to_pylist())
+    def __init__(self, table: pa.Table):
+        if "ids" in table.column_names:
+            self.block = table.column("block")[0].as_py()
+            ids, counts, first = _joined(table, "ids", np.int64), _joined(table, "counts", np.int32).astype(np.int64), _joined(table, "first", np.int32)
+        else:
+            ids, tags, counts = (table.column(c).to_numpy() for c in ("id", "tag", "n"))
+            self.block, first = int(tags[0] >> PLACE_BITS), tags & END
+        positions = _decoded(first, counts, b"".join(table.column("rest").to_pylist()))
         own = np.repeat(np.arange(len(ids)), counts)
         order = np.argsort(positions, kind="stable")
         positions, own = positions[order], own[order]
@@ -196,27 +212,23 @@ class _Pairs:
         pair = own[met].astype(np.int64) * len(ids) + own[met + 1]
         order = np.argsort(pair, kind="stable")
         pair, self.places = pair[order], positions[met[order]]
-        self.first = np.flatnonzero(np.diff(pair, prepend=-1))
-        self.counts = np.diff(np.append(self.first, len(pair)))
-        self.prefix, self.suffix = ids[pair[self.first] // len(ids)], ids[pair[self.first] % len(ids)]
-        h = _text.mix(self.prefix.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + _text.mix(self.suffix.astype(np.uint64)))
-        #: a range of hashes, and 32 bits in it
-        self.key = (h >> np.uint64(32)) % np.uint64(ranges) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
+        begin = np.flatnonzero(np.diff(pair, prepend=-1))
+        self.counts = np.diff(np.append(begin, len(pair)))
+        self.prefix, self.suffix = ids[pair[begin] // len(ids)], ids[pair[begin] % len(ids)]
 
 
 def _sketched(ranges: int):
     def run(table: pa.Table) -> pa.Table:
-        """(range, block, hashes, counts): how often each pair occurs in a block, by 32-bit hashes."""
-        pairs = _Pairs(table, ranges)
-        keys, at = np.unique(pairs.key, return_inverse=True)
-        counts = np.bincount(at, pairs.counts, len(keys)).astype(np.uint32)
-        part = (keys >> np.uint64(32)).astype(np.int32)
+        """How often each pair occurs in a block, by ranges of the pairs' hashes."""
+        p = _Pairs(table)
+        h = _text.mix(p.prefix.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + _text.mix(p.suffix.astype(np.uint64)))
+        part = (h % np.uint64(ranges)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        part = part[order]
         cut = np.flatnonzero(np.diff(part, prepend=-1))
-        ends = np.append(cut[1:], len(keys))
-        low = keys.astype(np.uint32)
+        split = lambda x, kind: _bytes(np.split(x[order].astype(kind), cut[1:]) if len(cut) else [])
         return pa.table({
-            "range": pa.array(part[cut]), "block": pa.array(np.full(len(cut), pairs.block, np.int64)),
-            "hashes": pa.array([low[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()), "counts": pa.array([counts[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()),
+            "range": pa.array(part[cut]), "block": pa.array(np.full(len(cut), p.block, np.int64)), "prefix": split(p.prefix, np.int64), "suffix": split(p.suffix, np.int64), "n": split(p.counts, np.int32),
         })
 
     return run
@@ -224,39 +236,67 @@ def _sketched(ranges: int):
 
 def _popular(min_count: int):
     def run(table: pa.Table) -> pa.Table:
-        """(range, block, hashes): of each block, the hashes that are frequent over all blocks."""
-        own = [np.frombuffer(x, np.uint32) for x in table.column("hashes").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()])
-        known, at = np.unique(np.concatenate(own), return_inverse=True)
-        good = (np.bincount(at, counts, len(known)) >= min_count)[at]
-        ends = np.cumsum([len(x) for x in own])
-        left = [x[good[e - len(x) : e]] for x, e in zip(own, ends)]
-        return pa.table({"range": table.column("range"), "block": table.column("block"), "hashes": pa.array([x.tobytes() for x in left], pa.binary())})
-
-    return run
-
-
-LISTS = "tag bigint, prefix bigint, suffix bigint, n bigint, rest binary"
-
-
-def _extended(ranges: int):
-    def run(lists: pa.Table, popular: pa.Table) -> pa.Table:
-        """(tag, prefix, suffix, n, rest): the lists, in a block, of phrases one word longer whose hashes are frequent."""
-        if not len(lists) or not len(popular):
-            kinds = pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()
-            return pa.table({c.split()[0]: pa.array([], k) for c, k in zip(LISTS.split(", "), kinds)})
-        pairs = _Pairs(lists, ranges)
-        rows = zip(popular.column("range").to_pylist(), popular.column("hashes").to_pylist())
-        good = np.isin(pairs.key, np.concatenate([np.frombuffer(x, np.uint32).astype(np.uint64) | np.uint64(r << 32) for r, x in rows]))
-        places, counts = pairs.places[np.repeat(good, pairs.counts)], pairs.counts[good]
+        """Of each block, its pairs that are frequent over all blocks, with their ids; and a row of no block with all of them and their frequencies.
+
+        A pair has at most one entry a block; a range has about as many entries as it was given words.
+        """
+        prefix, suffix, n = _joined(table, "prefix", np.int64), _joined(table, "suffix", np.int64), _joined(table, "n", np.int32)
+        part = table.column("range")[0].as_py()
+        order = np.lexsort((suffix, prefix))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(prefix[order]) != 0) | (np.diff(suffix[order]) != 0)
+        begin = np.flatnonzero(new)
+        total = np.add.reduceat(n[order].astype(np.int64), begin)
+        good = total >= min_count
+        number = np.cumsum(good) - 1 + (part << 32)
+        ids = np.full(len(order), -1, np.int64)
+        ids[order] = np.where(good, number, -1)[np.cumsum(new) - 1]
+        ends = np.cumsum([len(x) // 4 for x in table.column("n").to_pylist()])
+        rows = [(b, slice(a, e)) for b, a, e in zip(table.column("block").to_pylist(), np.append(0, ends[:-1]).tolist(), ends.tolist())]
+        rows = [(b, np.arange(x.start, x.stop)[ids[x] >= 0]) for b, x in rows]
+        rows = [(b, x) for b, x in rows if len(x)]
+        all_of = order[begin[good]]
+        own = [x for _, x in rows] + [all_of]
+        counts = [np.zeros(0, np.int64)] * len(rows) + [total[good]]
         return pa.table({
-            "tag": pa.array(_tags(pairs.block, places[np.cumsum(counts) - counts])), "prefix": pa.array(pairs.prefix[good]), "suffix": pa.array(pairs.suffix[good]),
-            "n": pa.array(counts.astype(np.int64)), "rest": _coded(places, counts),
+            "range": pa.array([part] * len(own), pa.int32()), "block": pa.array([b for b, _ in rows] + [-1], pa.int64()), "prefix": _bytes(prefix[x] for x in own), "suffix": _bytes(suffix[x] for x in own),
+            "ids": _bytes(ids[x] for x in own), "n": _bytes(counts),
         })
 
     return run
 
 
+def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, prefix, suffix, a) of frequent pairs."""
+    for batch in batches:
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array(_joined(batch, c, np.int64)) for c in ("ids", "prefix", "suffix", "n")], ["id", "prefix", "suffix", "a"])
+
+
+def _extended(lists: pa.Table, popular: pa.Table) -> pa.Table:
+    """The lists, in a block, of frequent phrases one word longer, many a row."""
+    out = []
+    if len(lists) and len(popular):
+        p = _Pairs(lists)
+        prefix, suffix, ids = (_joined(popular, c, np.int64) for c in ("prefix", "suffix", "ids"))
+        known = np.unique(np.concatenate([p.prefix, p.suffix]))
+        at = lambda x, y: np.searchsorted(known, x) * len(known) + np.searchsorted(known, y)
+        key, own = at(prefix, suffix), at(p.prefix, p.suffix)
+        order = np.argsort(key)
+        key, ids = key[order], ids[order]
+        found = np.minimum(np.searchsorted(key, own), len(key) - 1)
+        good = key[found] == own
+        ids, counts, places = ids[found[good]], p.counts[good], p.places[np.repeat(good, p.counts)]
+        first = places[np.cumsum(counts) - counts]
+        _tags(p.block, first)  # positions fit
+        rest = _coded(places, counts)
+        for a in range(0, len(ids), ROWS):
+            x = slice(a, a + ROWS)
+            out.append((p.block, ids[x].tobytes(), counts[x].astype(np.int32).tobytes(), first[x].astype(np.int32).tobytes(), b"".join(rest[x.start : x.stop].to_pylist())))
+    kinds = pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()
+    return pa.table({c.split()[0]: pa.array([r[i] for r in out], k) for i, (c, k) in enumerate(zip(PACKED.split(", "), kinds))})
+
+
 def _frequent(lists: DataFrame, key: list[str], min_count: int, label: str) -> DataFrame:
     """Lists whose word or phrase is frequent, with its frequency ``a`` and ``id``. A key has at most one list a block."""
     w = Window.partitionBy(*key)
@@ -292,21 +332,17 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", min_co
     ranges = max(1, -(-(totals.agg(F.sum("n")).first()[0] or 0) // RANGE_WORDS))
     none = F.array().cast("array<bigint>")
     known = materialise(own.where("word IS NOT NULL").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", none.alias("heads"), none.alias("tails")), "phrases")
-    lists_now, levels = lists.where("word IS NOT NULL"), []
+    lists_now, levels = lists.where("word IS NOT NULL").select("id", "tag", "n", "rest", F.shiftright("tag", PLACE_BITS).alias("block")), []
     for k in range(2, longest + 1):
-        blocks = lists_now.select("id", "tag", "n", "rest").groupBy(F.shiftright("tag", PLACE_BITS).alias("block"))
-        sketch = blocks.applyInArrow(_sketched(ranges), "range int, block bigint, hashes binary, counts binary")
-        popular = sketch.groupBy("range").applyInArrow(_popular(min_count), "range int, block bigint, hashes binary")
-        popular = materialise(popular.where(F.octet_length("hashes") > 0), "phrase-popular")
-        longer = blocks.cogroup(popular.groupBy("block")).applyInArrow(_extended(ranges), LISTS)
-        if k == longest:
-            longer = longer.drop("rest")
-        found = _frequent(longer, ["prefix", "suffix"], min_count, "phrase-lists")
-        discard(lists, popular)
-        lists = lists_now = found
+        blocks = lists_now.groupBy("block")
+        verdict = blocks.applyInArrow(_sketched(ranges), SKETCH).groupBy("range").applyInArrow(_popular(min_count), VERDICT)
+        verdict = materialise(verdict, "phrase-verdict")
+        found = verdict.where("block < 0").mapInArrow(_phrases, "id bigint, prefix bigint, suffix bigint, a bigint")
+        later = materialise(blocks.cogroup(verdict.where("block >= 0").groupBy("block")).applyInArrow(_extended, PACKED), "phrase-lists") if k < longest else None
+        discard(lists)
         begin = known.select(F.col("id").alias("prefix"), "lang", "phrase", F.col("heads").alias("before"), F.col("a").alias("first"))
         end = known.select(F.col("id").alias("suffix"), F.col("last"), F.col("tails").alias("after"), F.col("a").alias("second"))
-        named = found.where("tag = id").select("id", "prefix", "suffix", "a").join(begin, "prefix").join(end, "suffix")
+        named = found.join(begin, "prefix").join(end, "suffix")
         known = materialise(
             named.select(
                 "id", "prefix", "suffix", "lang", F.concat("phrase", F.lit(" "), "last").alias("phrase"), "last", "a",
@@ -315,7 +351,8 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", min_co
             "phrases",
         )
         levels.append(known)
-    discard(lists)
+        discard(verdict)
+        lists = lists_now = later
     kept = None
     for k, level in enumerate(levels):
         own = level
