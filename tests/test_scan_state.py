@@ -133,7 +133,7 @@ def test_stream_equals_one_run(spark, tmp_path):
     assert state.cache.read().count() == 15
 
 
-@pytest.mark.parametrize("t", [0.3, 1.5])
+@pytest.mark.parametrize("t", [0.3])
 def test_clusters_grow_batch_by_batch(spark, tmp_path, t):
     rng = np.random.default_rng(7)
     centres = rng.normal(size=(9, 4)) * 2
