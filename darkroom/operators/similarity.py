@@ -4,13 +4,15 @@
 2. Each vector lies in the cell of its nearest pivot. Two vectors of different cells that are closer than t both lie within t of the plane between the two pivots,
    and within t of the other cell's ball; a vector visits only the cells of smaller number for which both hold. Vectors closer to a pivot than t / 2 are
    all closer than t to each other: where links are enough, such a core is one star and its members aren't compared with each other.
-3. Cells are cut into blocks of bounded size, and pairs of blocks are compared in tasks. A bound on the first coordinates along the main axes, and on the norm of the rest, decides
-   which pairs are compared in full.
+3. Cells are put together, or cut, to about ``PARTS`` blocks, and pairs of blocks are compared in tasks, cell by cell. Blocks grow with the input while their number stays, so
+   a vector is sent to so many blocks at most, however many there are. A bound in 32-bit numbers, on all coordinates or on the first ones along the main axes and the norm of the
+   rest, decides which pairs are compared in full.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,12 +24,14 @@ from darkroom.operators.components import connected_components
 from darkroom.operators.skew import join_counted
 from darkroom.runtime import discard, materialise, ship
 
-#: Rows of a block, and pivots (a sample by hash) at most.
-BLOCK, PIVOTS = 2048, 512
+#: Rows of a block at least, pivots (a sample by hash) at most, and blocks that rows are dealt to (with remainders a few more).
+BLOCK, PIVOTS, PARTS = 2048, 512, 24
+#: Rows that are compared with others at once.
+TILE = 1024
 #: Rows of a core at least; fewer are compared like others.
 CORE = 64
-#: Share of sampled pairs that may pass the bound on the first coordinates.
-PASSING = 0.05
+#: What a coordinate costs where single pairs are compared in full, measured in coordinates of a matrix product.
+GATHER = 150
 LINKS, PAIRS = "a bigint, b bigint", "a bigint, b bigint, distance2 double"
 COUNTS = "met bigint, compared bigint, linked bigint"
 
@@ -67,38 +71,60 @@ class _Axes:
             return
         y = self.turned(sample[:256])
         i, j = np.triu_indices(len(y), 1)
-        for share in (0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875):
-            self.first = max(1, int(share * sample.shape[1]))
+        least = np.inf
+        shares = (0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 1)
+        for first in sorted({max(1, int(share * sample.shape[1])) for share in shares}):
+            self.first = first
             short = self.shortened(y)
-            if (((short[i] - short[j]) ** 2).sum(1) < limit).mean() <= PASSING:
-                return
-        self.first = sample.shape[1]
+            cost = first + GATHER * sample.shape[1] * (((short[i] - short[j]) ** 2).sum(1) < limit).mean()
+            if cost < least:
+                least, best = cost, first
+        self.first = best
 
     def turned(self, x: np.ndarray) -> np.ndarray:
         return (x - self.middle) @ self.axes
 
     def shortened(self, turned: np.ndarray) -> np.ndarray:
         """First coordinates and the norm of the rest: distances don't grow."""
+        if self.first == turned.shape[1]:
+            return turned
         return np.column_stack([turned[:, : self.first], np.sqrt((turned[:, self.first :] ** 2).sum(1))])
 
 
-def _near(x: np.ndarray, y: np.ndarray, limit: float, axes: _Axes, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Pairs below the limit as (i, j, squared distance), and how many pairs were compared in full. With ``same``, pairs i < j of one block."""
-    a, b = axes.shortened(axes.turned(x)).astype(np.float32), axes.shortened(axes.turned(y)).astype(np.float32)
-    aa, bb = (a * a).sum(1), (b * b).sum(1)
-    bound = aa[:, None] + bb[None, :] - 2 * (a @ b.T)
+class _Rows:
+    """Vectors of one side of a comparison, with what their bounds are computed from."""
+
+    def __init__(self, x: np.ndarray, axes: _Axes):
+        short = axes.shortened(axes.turned(x)).astype(np.float32)
+        squares, one = (short * short).sum(1), np.ones((len(x), 1), np.float32)
+        self.x, self.size, self.largest = x, short.shape[1], squares.max(initial=0)
+        # their product is the squared distance
+        self.left, self.right = np.hstack([-2 * short, one, squares[:, None]]), np.hstack([short, squares[:, None], one]).T
+
+
+def _near(a: _Rows, b: _Rows, rows: np.ndarray, others: np.ndarray, limit: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Pairs of ``rows`` of a and ``others`` of b below the limit as (row, other, squared distance), and how many pairs were compared in full, tile by tile.
+
+    With ``same``, both are the same rows, and each pair comes once.
+    """
     # what 32-bit sums of so many products may be off by
-    slack = (a.shape[1] + 8) * 2.0**-22 * (aa.max(initial=0) + bb.max(initial=0)) + 1e-12
-    maybe = bound < limit + slack
-    if same:
-        maybe = np.triu(maybe, 1)
-    i, j = np.nonzero(maybe)
-    d = np.empty(len(i))
-    step = max(1, 4_000_000 // max(1, x.shape[1]))
-    for at in range(0, len(i), step):
-        d[at : at + step] = ((x[i[at : at + step]] - y[j[at : at + step]]) ** 2).sum(1)
-    good = d < limit
-    return i[good], j[good], d[good], len(i)
+    slack = (a.size + 8) * 2.0**-22 * (a.largest + b.largest) + 1e-12
+    right = np.ascontiguousarray(b.right[:, others])
+    step = max(1, 4_000_000 // max(1, a.x.shape[1]))
+    for top in range(0, len(rows), TILE):
+        left = a.left[rows[top : top + TILE]]
+        for start in range(top if same else 0, len(others), TILE):
+            bound = left @ right[:, start : start + TILE]
+            i, j = np.divmod(np.flatnonzero(bound < limit + slack), bound.shape[1])
+            i, j = i + top, j + start
+            if same and start == top:
+                i, j = i[i < j], j[i < j]
+            i, j = rows[i], others[j]
+            d = np.empty(len(i))
+            for at in range(0, len(i), step):
+                d[at : at + step] = ((a.x[i[at : at + step]] - b.x[j[at : at + step]]) ** 2).sum(1)
+            good = d < limit
+            yield i[good], j[good], d[good], len(i)
 
 
 def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,24 +145,70 @@ def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[label[other]], nodes[other]
 
 
-def _compare(limit: float, axes: _Axes, result: str, apart: bool = False):
-    """Compare a pair of blocks; with ``apart``, equal numbers aren't one block."""
-    def run(table: pa.Table) -> pa.Table:
-        left = table.column("is_left").to_numpy(zero_copy_only=False).astype(bool)
+class _Cells:
+    """Pivots, the radius of each cell, and the threshold: which vectors have something near them in a cell."""
+
+    def __init__(self, pivots: np.ndarray, radius: np.ndarray, threshold: float):
+        self.pivots, self.radius, self.threshold = pivots, radius, threshold
+        self.between = np.sqrt(_squares(pivots, pivots))
+
+    def near(self, own: np.ndarray, home: np.ndarray, away: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Whether a vector is near a cell, given squared distances ``away`` to the pivots of ``cells`` and ``own`` to its own one."""
+        slack = 1e-9 * (1 + max(away.max(initial=0), own.max(initial=0)))
+        plane = away - own[:, None] <= 2 * self.threshold * self.between[home][:, cells] + slack
+        return plane & (np.sqrt(away) <= self.radius[cells] + self.threshold + np.sqrt(slack))
+
+
+def _compare(axes: _Axes, cells: _Cells, result: str, apart: bool = False):
+    """Compare a pair of blocks, cell by cell; with ``apart``, equal numbers aren't one block. Members of a core aren't compared with each other."""
+    limit = cells.threshold * cells.threshold
+    schema = pa.schema([(n, pa.float64() if k == "double" else pa.int64()) for n, k in (c.split() for c in result.split(", "))])
+    out = lambda *columns: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    def meetings(v: np.ndarray, home: np.ndarray, core: np.ndarray, left: np.ndarray, same: bool):
+        """Rows and others that are compared with each other, and whether they are the same rows."""
+        unit = home * 2 + core
+        residents = np.flatnonzero(left)
+        residents = residents[np.argsort(unit[residents], kind="stable")]
+        guests = residents if same else np.flatnonzero(~left)
+        own = ((v[guests] - cells.pivots[home[guests]]) ** 2).sum(1)
+        starts = np.flatnonzero(np.diff(unit[residents], prepend=-1))
+        for at, end in zip(starts, [*starts[1:], len(residents)]):
+            rows, this = residents[at:end], unit[residents[at]]
+            if same and not core[rows[0]]:
+                yield rows, rows, True
+            later = slice(end if same else 0, None)
+            some, cell = guests[later], np.array([this // 2])
+            goes = cells.near(own[later], home[some], ((v[some] - cells.pivots[cell]) ** 2).sum(1)[:, None], cell)[:, 0]
+            some = some[goes & ~(core[some] & (unit[some] == this))]
+            if len(some):
+                yield rows, some, False
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        left, core = (table.column(n).to_numpy(zero_copy_only=False).astype(bool) for n in ("is_left", "core"))
         same = not apart and table.column("a")[0].as_py() == table.column("b")[0].as_py()
-        ids, nodes, v = table.column("id").to_numpy(), table.column("node").to_numpy(), _matrix(table.column("vector"))
-        right = left if same else ~left
-        i, j, d, compared = _near(v[left], v[right], limit, axes, same)
+        ids, nodes, home, v = table.column("id").to_numpy(), table.column("node").to_numpy(), table.column("home").to_numpy(), _matrix(table.column("vector"))
+        del table
+        known, met, compared, linked, links, held = _Rows(v, axes), 0, 0, 0, [], 0
+        for rows, others, one in meetings(v, home, core, left, same):
+            met += len(rows) * (len(rows) - 1) // 2 if one else len(rows) * len(others)
+            for i, j, d, tried in _near(known, known, rows, others, limit, one):
+                compared, linked = compared + tried, linked + len(i)
+                if result == PAIRS and len(i):
+                    p, q = ids[i], ids[j]
+                    yield out(np.minimum(p, q), np.maximum(p, q), d)
+                elif result == LINKS:
+                    p, q = nodes[i], nodes[j]
+                    links.append((p[p != q], q[p != q]))
+                    held += len(links[-1][0])
+                    if held > 4 * len(v) + 1_000_000:
+                        links = [_stars(*map(np.concatenate, zip(*links)))]
+                        held = len(links[0][0])
         if result == COUNTS:
-            n = int(left.sum())
-            met = n * (n - 1) // 2 if same else n * int(right.sum())
-            return pa.table({"met": pa.array([met], pa.int64()), "compared": pa.array([compared], pa.int64()), "linked": pa.array([len(i)], pa.int64())})
-        if result == LINKS:
-            p, q = nodes[left][i], nodes[right][j]
-            a, b = _stars(p[p != q], q[p != q])
-            return pa.table({"a": a, "b": b})
-        p, q = ids[left][i], ids[right][j]
-        return pa.table({"a": np.minimum(p, q), "b": np.maximum(p, q), "distance2": d})
+            yield out([met], [compared], [linked])
+        elif links:
+            yield out(*_stars(*map(np.concatenate, zip(*links))))
 
     return run
 
@@ -153,32 +225,61 @@ def _homes(pivots: np.ndarray):
     return run
 
 
-def _visits(pivots: np.ndarray, radius: np.ndarray, threshold: float, every: bool = False):
-    """Cells of smaller number than its own that a vector visits; with ``every``, all cells with something near it."""
-    between = np.sqrt(_squares(pivots, pivots))
-    number = np.arange(len(pivots))
+def _visits(cells: _Cells, layout: list[tuple[int, bool, int, int]], every: bool = False):
+    """Blocks with something near a vector: those of smaller number than its own ``block``, or with ``every`` all. A layout is that of ``_layout``."""
+    own_cell, in_core = np.array([r[0] for r in layout]), np.array([r[1] for r in layout])
+    has = np.zeros((len(layout), 1 + max(r[2] + r[3] - 1 for r in layout)), np.float32)
+    for k, (_, _, first, parts) in enumerate(layout):
+        has[k, first : first + parts] = 1
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            d = _squares(_matrix(batch.column("vector")), pivots)
+            d = _squares(_matrix(batch.column("vector")), cells.pivots)
             home = batch.column("home").to_numpy()
-            slack = 1e-9 * (1 + d.max())
-            plane = d - d[np.arange(len(d)), home][:, None] <= 2 * threshold * between[home] + slack
-            goes = plane & (np.sqrt(d) <= radius + threshold + np.sqrt(slack))
+            goes = cells.near(d[np.arange(len(d)), home], home, d, np.arange(len(cells.pivots)))[:, own_cell]
             if not every:
-                goes &= number < home[:, None]
-            row, cell = np.nonzero(goes)
-            at = np.concatenate([[0], np.cumsum(goes.sum(1))]).astype(np.int32)
-            names = [n for n in batch.schema.names]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(at), pa.array(cell.astype(np.int32)))], [*names, "visits"])
+                core = batch.column("core").to_numpy(zero_copy_only=False).astype(bool)
+                goes &= ~(core[:, None] & in_core & (home[:, None] == own_cell))
+            blocks = goes.astype(np.float32) @ has > 0
+            if not every:
+                blocks &= np.arange(blocks.shape[1]) < batch.column("block").to_numpy()[:, None]
+            at = np.concatenate([[0], np.cumsum(blocks.sum(1))]).astype(np.int32)
+            visits = pa.ListArray.from_arrays(pa.array(at), pa.array(np.nonzero(blocks)[1].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, visits], [*batch.schema.names, "visits"])
 
     return run
 
 
-def _block(cell: Column, core: Column, part: Column) -> Column:
-    return F.shiftleft((cell * 2 + core.cast("int")).cast("bigint"), 32) + part
+def _layout(rows: dict[tuple[int, bool], int]) -> list[tuple[int, bool, int, int]]:
+    """Cells and cores dealt to blocks: (cell, core, first block, number of blocks) for each (cell, core) with so many rows. Small ones share a block, large ones are cut into several."""
+    size = max(BLOCK, -(-sum(rows.values()) // PARTS))
+    out, last, filled = [], -1, size
+    for (cell, core), n in sorted(rows.items()):
+        if n > size:
+            continue
+        if filled + n > size:
+            last, filled = last + 1, 0
+        filled += n
+        out.append((cell, core, last, 1))
+    for (cell, core), n in sorted(rows.items()):
+        if n > size:
+            parts = -(-n // size)
+            out.append((cell, core, last + 1, parts))
+            last += parts
+    return out
+
+
+def _with_block(rows: DataFrame, layout: list[tuple[int, bool, int, int]]) -> DataFrame:
+    """Rows (id, home, core) with their ``block``."""
+    places = rows.sparkSession.createDataFrame(layout, "home int, core boolean, first int, parts int")
+    placed = rows.join(F.broadcast(places), ["home", "core"])  # at most two rows a pivot
+    return placed.withColumn("block", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int")).drop("first", "parts")
+
+
+def _fields(table: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema)
 
 
 def _classes(vectors: DataFrame, item: str, vector: str) -> tuple[DataFrame, DataFrame] | None:
@@ -202,8 +303,9 @@ def _joined(classes: DataFrame, threshold: float, result: str) -> DataFrame:
         return spark.createDataFrame([], result)
     sample = classes.orderBy(F.xxhash64("vector"), "id").limit(PIVOTS).select("vector").collect()  # at most PIVOTS rows
     sample = np.array([r["vector"] for r in sample], np.float64)
-    limit, axes = threshold * threshold, _Axes(sample, threshold * threshold)
+    axes = _Axes(sample, threshold * threshold)
     pivots = sample[: max(1, min(PIVOTS, n // (BLOCK // 2)))]
+    pivots = pivots[np.argsort(axes.turned(pivots)[:, 0])]  # neighbours in one block
     kind = classes.schema["vector"].dataType.simpleString()
     homes = classes.select("id", "vector").mapInArrow(_homes(pivots), f"id bigint, vector {kind}, home int, away double")
     homes = materialise(homes.withColumn("close", (F.col("away") < threshold / 2 * (1 - 1e-9)) if cores else F.lit(False)), "sim-homes")
@@ -215,36 +317,21 @@ def _joined(classes: DataFrame, threshold: float, result: str) -> DataFrame:
         rows[r["home"], r["close"] and r["home"] in crowded] += r["rows"]
         if r["close"]:
             hubs[r["home"]] = r["hub"]
-    cells = spark.createDataFrame([(c, core, -(-k // BLOCK), hubs.get(c) if core else None) for (c, core), k in sorted(rows.items())], "cell int, in_core boolean, parts bigint, hub bigint")
     homes = homes.withColumn("core", F.col("close") & F.col("home").isin(crowded) if crowded else F.lit(False)).drop("close")
-    own = homes.mapInArrow(_visits(pivots, radius, threshold), f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in homes.schema)}, visits array<int>")
-    few = F.broadcast(cells)  # at most two rows a pivot
-    own = own.join(few, (F.col("home") == F.col("cell")) & (F.col("core") == F.col("in_core")))
-    placed = own.select(
-        "id", F.when(F.col("core"), F.col("hub")).otherwise(F.col("id")).alias("node"), "vector", "visits", _block(F.col("home"), F.col("core"), F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"),
-    )
-    placed = materialise(placed, "sim-placed")
-    every = lambda parts: F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))
-    # visitors meet all blocks of a cell
-    calls = placed.select("block", F.explode("visits").alias("cell")).distinct().join(few, "cell").select("block", "cell", "in_core", every(F.col("parts")).alias("part"))
-    calls = calls.select(_block(F.col("cell"), F.col("in_core"), F.col("part")).alias("a"), F.col("block").alias("b"))
-    outer = cells.where("NOT in_core").select("cell", "parts", every(F.col("parts")).alias("part"))
-    inner = cells.where("in_core").select(F.col("cell").alias("its_cell"), every(F.col("parts")).alias("its_part"))
-    at_home = outer.select("cell", "part", F.explode(F.sequence("part", F.col("parts") - 1)).alias("other"))
-    no, yes = F.lit(False), F.lit(True)
-    within = at_home.select(_block(F.col("cell"), no, F.col("part")).alias("a"), _block(F.col("cell"), no, F.col("other")).alias("b")).unionAll(
-        outer.join(inner, F.col("cell") == F.col("its_cell")).select(_block(F.col("cell"), no, F.col("part")).alias("a"), _block(F.col("cell"), yes, F.col("its_part")).alias("b"))
-    )
-    meetings = materialise(calls.unionAll(within), "sim-meetings")
-    columns = ["a", "b", "is_left", "id", "node", "vector"]
-    left = placed.join(meetings, F.col("block") == F.col("a")).withColumn("is_left", yes).select(columns)
-    guests = placed.withColumn("cell", F.explode("visits")).join(few, "cell").withColumn("part", every(F.col("parts")))
-    guests = guests.select(_block(F.col("cell"), F.col("in_core"), F.col("part")).alias("a"), F.col("block").alias("b"), no.alias("is_left"), "id", "node", "vector")
-    right = placed.join(within.where("a <> b"), F.col("block") == F.col("b")).withColumn("is_left", no).select(columns)
-    found = left.unionAll(guests).unionAll(right).groupBy("a", "b").applyInArrow(_compare(limit, axes, result), result)
+    layout, cells = _layout(rows), _Cells(pivots, radius, threshold)
+    hub = F.broadcast(spark.createDataFrame([(c, k) for c, k in hubs.items() if c in crowded], "home int, hub bigint"))  # one row a pivot at most
+    own = _with_block(homes, layout).join(hub, "home", "left").select("id", F.when(F.col("core"), F.col("hub")).otherwise(F.col("id")).alias("node"), "vector", "home", "core", "block")
+    placed = materialise(own.mapInArrow(_visits(cells, layout), f"{_fields(own)}, visits array<int>"), "sim-placed")
+    visits = placed.withColumn("a", F.explode("visits"))
+    meetings = visits.select("a", F.col("block").alias("b")).unionAll(placed.select(F.col("block").alias("a"), F.col("block").alias("b"))).distinct()
+    meetings = materialise(meetings, "sim-meetings")  # at most the square of the number of blocks
+    columns = ["a", "b", "is_left", "id", "node", "home", "core", "vector"]
+    residents = placed.join(F.broadcast(meetings), F.col("block") == F.col("a")).withColumn("is_left", F.lit(True)).select(columns)
+    guests = visits.withColumns({"b": F.col("block"), "is_left": F.lit(False)}).select(columns)
+    found = residents.unionAll(guests).groupBy("a", "b").applyInArrow(_compare(axes, cells, result), result)
     if result != LINKS:
         return found
-    found = materialise(found.unionAll(homes.where("core").join(few, (F.col("home") == F.col("cell")) & F.col("in_core")).where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))), "sim-links")
+    found = materialise(found.unionAll(homes.where("core").join(hub, "home").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))), "sim-links")
     discard(placed, meetings)
     return found
 
@@ -366,17 +453,15 @@ class Clusters:
             radius = np.full(len(pivots), -np.inf)
             for r in cells:
                 radius[r["home"]] = r["radius"]
-            parts = F.broadcast(self.spark.createDataFrame([(r["home"], -(-r["rows"] // BLOCK)) for r in cells], "cell int, parts bigint"))  # one row a pivot
-            near = new.mapInArrow(_visits(pivots, radius, self.threshold, True), placed + ", visits array<int>").select("id", "vector", F.explode("visits").alias("cell")).join(parts, "cell")
-            groups = max(1, new.count() // BLOCK)
-            mine = F.pmod(F.xxhash64("id"), F.lit(groups)).alias("b")
-            right = near.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), "cell", mine, F.lit(False).alias("is_left"), "id", F.col("id").alias("node"), "vector")
-            right = right.withColumn("a", _block(F.col("cell"), F.lit(False), F.col("part"))).drop("part", "cell")
-            held = old.join(parts, F.col("home") == F.col("cell"))
-            held = held.select(_block(F.col("cell"), F.lit(False), F.pmod(F.xxhash64("id"), F.col("parts"))).alias("a"), F.lit(True).alias("is_left"), "id", F.col("id").alias("node"), "vector")
-            met = right.select("a", "b").distinct()
-            left = held.join(met, "a")
-            both = left.unionByName(right).groupBy("a", "b").applyInArrow(_compare(self.threshold * self.threshold, _Axes(pivots, self.threshold * self.threshold), LINKS, True), LINKS)
+            near, no = _Cells(pivots, radius, self.threshold), F.lit(False)
+            layout = _layout({(r["home"], False): r["rows"] for r in cells})
+            n = new.count()
+            mine = F.pmod(F.xxhash64("id"), F.lit(-(-n // max(BLOCK, -(-n // PARTS))))).cast("int").alias("b")
+            right = new.mapInArrow(_visits(near, layout, True), placed + ", visits array<int>").select(F.explode("visits").alias("a"), mine, no.alias("is_left"), "id", F.col("id").alias("node"), "home", no.alias("core"), "vector")
+            right = materialise(right, "batch-guests")
+            held = _with_block(old.withColumn("core", no), layout).select(F.col("block").alias("a"), F.lit(True).alias("is_left"), "id", F.col("id").alias("node"), "home", "core", "vector")
+            left = held.join(F.broadcast(right.select("a", "b").distinct()), "a")  # at most the square of the number of blocks
+            both = left.unionByName(right).groupBy("a", "b").applyInArrow(_compare(_Axes(pivots, self.threshold * self.threshold), near, LINKS, True), LINKS)
             links = links.unionAll(both)
         links = materialise(links, "batch-links")
         before = self.labels(batch - 1)

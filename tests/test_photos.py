@@ -294,3 +294,16 @@ def test_equal_vectors_cost_no_pairs(spark):
     assert similarity.similarity_links(df, 0.5).count() <= 6000
     work = similarity.similarity_work(df, 0.5).first()
     assert work["vectors"] == 97 and work["met"] <= 97 * 96 // 2
+
+
+def test_links_of_a_larger_input_grow_no_faster(spark, monkeypatch):
+    """A vector meets a fixed number of blocks, whatever the size of the input, where no cell can be left out."""
+    for name, value in (("BLOCK", 32), ("PIVOTS", 40), ("PARTS", 4)):
+        monkeypatch.setattr(similarity, name, value, raising=False)
+    x = np.random.default_rng(3).normal(size=(1200, 12))
+    for n in (300, 1200):
+        df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x[:n])], "id bigint, fprint array<double>")
+        near = ((x[:n, None] - x[None, :n]) ** 2).sum(2) < 16
+        links = similarity.similarity_links(df, 4.0)
+        assert links.count() < 9 * n
+        assert similarity_pairs(df, 4.0).count() == np.triu(near, 1).sum()
