@@ -12,6 +12,7 @@ from darkroom import pipeline
 from darkroom.functions.png import png_bytes
 from darkroom.operators import cache, gallery
 from darkroom.operators.components import connected_components
+from darkroom.operators import similarity
 from darkroom.operators.similarity import Clusters, similarity_links
 from darkroom.params import RunOptions
 from darkroom.progress import Progress
@@ -150,6 +151,22 @@ def test_clusters_grow_batch_by_batch(spark, tmp_path, t):
     assert {r["node"]: r["root"] for r in state.labels().collect()} == want
 
 
+def test_batches_of_a_larger_input_link_no_more(spark, tmp_path, monkeypatch):
+    """A vector of a batch meets a fixed number of blocks of earlier ones, so links (each pair of blocks gives some) grow with the input."""
+    for name, value in (("BLOCK", 32), ("PIVOTS", 20), ("PARTS", 4)):
+        monkeypatch.setattr(similarity, name, value, raising=False)
+    written, keep = [], similarity.materialise
+    monkeypatch.setattr(similarity, "materialise", lambda df, label: written.append((label, keep(df, label))) or written[-1][1])
+    x = np.random.default_rng(3).normal(size=(1200, 12))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, fprint array<double>")
+    state = Clusters(spark, str(tmp_path / "state"), 4.0)
+    for k in range(2):
+        state.add(df.where(F.col("id") % 2 == k), k)
+    assert sum(t.count() for label, t in written if label == "batch-links") < 12 * len(x)
+    near = ((x[:, None] - x[None]) ** 2).sum(2) < 16
+    assert state.labels().count() == (near.sum(1) > 1).sum()
+
+
 def test_neighbours_over_runs(spark):
     seqs = list(range(100, 161))
     random.Random(1).shuffle(seqs)
