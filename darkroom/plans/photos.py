@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from darkroom.functions import pixels
 from darkroom.functions.png import png_bytes
-from darkroom.runtime import materialise, scratch_path, ship
+from darkroom.runtime import materialise, scratch_path, ship, shuffle_partitions
 from darkroom.signals import with_verdict
 
 T = 1.10
@@ -88,7 +88,8 @@ def _as_png(batches):
 def image_files(spark: SparkSession, sf_dir: str) -> str:
     """A folder with the derived images as PNG files, ``seq``.png."""
     ship(spark)
-    px = pixels_table(spark, sf_dir).select(F.concat(F.col("seq").cast("string"), F.lit(".png")).alias("name"), F.transform("px", lambda x: x.cast("int")).alias("px"))
+    rows = pixels_table(spark, sf_dir).repartition(shuffle_partitions(spark), "seq")  # a table of few files is a few tasks, and a row becomes a file
+    px = rows.select(F.concat(F.col("seq").cast("string"), F.lit(".png")).alias("name"), F.transform("px", lambda x: x.cast("int")).alias("px"))
     return written_files(px.mapInArrow(_as_png, "name string, data binary"))
 
 

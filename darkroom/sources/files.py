@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from darkroom.functions import pixels
 from darkroom.functions.paths import is_under, suffix
-from darkroom.runtime import materialise, scratch_path, shuffle_partitions, ship
+from darkroom.runtime import many_files, materialise, scratch_path, shuffle_partitions, ship
 from darkroom.schema import IMAGE_EXTENSIONS, METRICS
 
 
@@ -71,6 +71,8 @@ def scan_all(spark: SparkSession, root: str, recursive: bool = True) -> DataFram
 
 #: Paths that one job names to Spark's reader.
 SLICE_PATHS = 100_000
+#: Bytes of thumbnails that go out at once.
+OUT_BYTES = 4 << 20
 
 
 def _over_images(wanted: DataFrame, kernel, schema: str, slice_paths: int) -> DataFrame:
@@ -82,7 +84,8 @@ def _over_images(wanted: DataFrame, kernel, schema: str, slice_paths: int) -> Da
     spark = wanted.sparkSession
     rows = wanted.select("path", F.col("size").alias("file_bytes")).dropDuplicates(["path"])
     listed = materialise(rows, "wanted")
-    slices = -(-listed.count() // slice_paths)
+    total = listed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("file_bytes"), F.lit(0)).alias("mean")).first()
+    slices = -(-total["n"] // slice_paths)
     if slices > 1:
         cut = F.pmod(F.xxhash64("path"), F.lit(slices)).cast("int")
         parts = scratch_path(spark, "wanted-slices")
@@ -95,11 +98,10 @@ def _over_images(wanted: DataFrame, kernel, schema: str, slice_paths: int) -> Da
                 continue
             here = spark.read.schema(listed.schema).parquet(f"{parts}/slice={k}")
         named = [r["path"] for r in here.select("path").collect()]  # one slice
-        images = spark.read.format("image").option("dropInvalid", "false").load(named).select("image.*").withColumn("path", plain(F.col("origin")))
-        found = images.join(here, "path").select("path", "height", "width", "nChannels", "data", "file_bytes").mapInArrow(kernel, schema)
-        if slices == 1:
-            return found
-        found.write.mode("append").parquet(out)
+        with many_files(spark, total["mean"]):
+            images = spark.read.format("image").option("dropInvalid", "false").load(named).select("image.*").withColumn("path", plain(F.col("origin")))
+            found = images.join(here, "path").select("path", "height", "width", "nChannels", "data", "file_bytes").mapInArrow(kernel, schema)
+            found.write.mode("append").parquet(out)
     return spark.read.schema(schema).parquet(out) if slices else spark.createDataFrame([], schema)
 
 
@@ -138,10 +140,17 @@ def _thumbnail_kernel(longest: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.string(), pa.int32(), pa.int32(), pa.binary()
+        batched = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["path", "width", "height", "png"])
         for batch in batches:
-            for i in range(batch.num_rows):  # an image a batch: decoded ones are large
-                made = one(*(c[i].as_py() for c in batch.columns[:5]))
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(made, kinds)], ["path", "width", "height", "png"])
+            made, held = [], 0
+            for i in range(batch.num_rows):
+                made.append(one(*(c[i].as_py() for c in batch.columns[:5])))
+                held += len(made[-1][3] or b"")
+                if held >= OUT_BYTES:
+                    yield batched(made)
+                    made, held = [], 0
+            if made:
+                yield batched(made)
 
     return run
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from darkroom import pipeline
+from darkroom.functions import pixels
 from darkroom.functions.png import png_bytes
 from darkroom.operators import cache, gallery
 from darkroom.operators.components import connected_components
@@ -184,3 +185,28 @@ def test_written_view_reads_few_files(spark, tmp_path):
         assert [r["pos"] for r in page.collect()] == list(range(*want)) and len(page.inputFiles()) <= 2
         assert [r["sharpness"] for r in page.collect()] == [float(i) for i in range(*want)]
     assert gallery.View(spark, str(tmp_path / "none")).write(items.drop("run").limit(0), "sharpness").page(4).count() == 0
+
+
+def test_many_small_images_take_few_tasks(spark, tmp_path):
+    """Paths are listed in as many tasks as a shuffle has, not in one each; settings are as they were afterwards."""
+    for k in range(60):
+        (tmp_path / f"{k}.png").write_bytes(png_bytes(np.full((8, 8), k, np.uint8)))
+    listing, _ = files.scan(spark, [str(tmp_path)])
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    sc = spark.sparkContext
+    sc.setJobGroup("small-images", "")
+    rows = files.thumbnails(listing, 4).collect()
+    sc.setJobGroup("others", "")
+    tracker = sc.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("small-images") for s in tracker.getJobInfo(j).stageIds]
+    assert len(rows) == 60 and max(s.numTasks for s in stages if s) < 40
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+
+
+@pytest.mark.parametrize("shape", [(8, 8), (1, 1), (25, 31), (60, 100)])
+def test_stand_in_embedding_equals_means_of_cells(shape):
+    g = np.rint(np.random.default_rng(5).uniform(0, 255, shape))
+    h, w = shape
+    cells = [g[i * h // 24 : max((i + 1) * h // 24, i * h // 24 + 1), j * w // 32 : max((j + 1) * w // 32, j * w // 32 + 1)].mean() for i in range(24) for j in range(32)]
+    v = np.array(cells, np.float32)
+    assert np.allclose(pixels.stand_in_embedding(g), v / np.linalg.norm(v), rtol=1e-6, atol=0)
