@@ -40,9 +40,13 @@ COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0], dtype=
 BITS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0], dtype=np.int64)
 END_ID = 1
 U64 = np.uint64
+#: Bits of values under 2**16; ids of most tokenizers are.
+SHORT_LENGTHS = np.array([v.bit_length() for v in range(1 << 16)], dtype=np.uint8)
 
 
 def _bit_lengths(values: np.ndarray) -> np.ndarray:
+    if values.max(initial=0) < len(SHORT_LENGTHS):
+        return SHORT_LENGTHS[values]
     out = np.zeros(values.shape, dtype=np.uint8)
     left = values.copy()
     for step in (32, 16, 8, 4, 2, 1):
@@ -71,31 +75,29 @@ def encode_blocks(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, n
     widest = {1: need}
     for n, (a, b) in {2: (1, 1), 3: (2, 1), 4: (2, 2), 5: (4, 1), 6: (3, 3), 7: (4, 3), 8: (4, 4), 10: (5, 5), 12: (6, 6), 15: (10, 5), 20: (10, 10), 30: (15, 15), 60: (30, 30)}.items():
         x = np.full_like(need, 255)
-        x[:, : width - a] = np.maximum(widest[a][:, : width - a], np.concatenate([widest[b][:, a:]], axis=1))
+        np.maximum(widest[a][:, : width - a], widest[b][:, a:], out=x[:, : width - a])
         widest[n] = x
     select = np.zeros(need.shape, dtype=np.uint8)
     for s in range(14, 0, -1):
-        select[widest[int(COUNTS[s])] <= BITS[s]] = s
+        np.copyto(select, np.uint8(s), where=widest[int(COUNTS[s])] <= np.uint8(BITS[s]))
     # walk all blocks in step; one step is one coded group
     lengths = np.full(blocks, block)
     lengths[-1] = len(values) - (blocks - 1) * block
-    at, live = np.zeros(blocks, np.int64), np.arange(blocks)
-    taken: list[tuple[np.ndarray, np.ndarray]] = []
-    while len(live):
-        s = select[live, at[live]]
-        taken.append((live, at[live].copy()))
-        at[live] += COUNTS[s]
-        live = live[at[live] < lengths[live]]
-    row = np.concatenate([x for x, _ in taken])
-    col = np.concatenate([x for _, x in taken])
-    order = np.argsort(row * width + col)
-    row, col = row[order], col[order]
-    s = select[row, col].astype(np.int64)
+    flat_select, base = select.ravel(), np.arange(blocks) * width
+    at, ends = base.copy(), base + lengths
+    taken = []
+    while len(at):
+        taken.append(at)
+        at = at + COUNTS[flat_select[at]]
+        if (done := at >= ends).any():
+            at, ends = at[~done], ends[~done]
+    start = np.sort(np.concatenate(taken))
+    row = start // width
+    s = flat_select[start].astype(np.int64)
     place = np.cumsum(1 + (s == 0)) - 1 - (s == 0)
     words = np.zeros(len(s) + int((s == 0).sum()), dtype=U64)
     words[place] = s.astype(U64) << U64(60)
     flat = grid.ravel()
-    start = row * width + col
     for k in np.unique(s):
         here = np.flatnonzero(s == k)
         if k == 0:

@@ -74,6 +74,23 @@ def test_encoder_equals_library():
             assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("most, values", [(1 << 20, 1 << 64), (300, 1 << 64), (20, 1 << 64), (1 << 20, 7)])
+def test_encoder_in_chunks(monkeypatch, most, values):
+    # cuts between chunks, a cache that is emptied, more pre-tokens than it holds, and hashes that many pre-tokens share
+    monkeypatch.setattr(_tokens, "CHUNK", 24)
+    monkeypatch.setattr(_tokens, "CACHE", most)
+    of = _text.Rolling.of
+    monkeypatch.setattr(_text.Rolling, "of", lambda self, a, b: of(self, a, b) % np.uint64(values) if values < 1 << 64 else of(self, a, b))
+    rnd = random.Random(4)
+    alphabet = ["a", "Bé", "ß", "'s", "'ll", "don't", "'", " '", "''", ".", "!!", "12", "7", " ", "  ", "\n", " \t", "\xa0", "\x00", "re"]
+    cases = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60))) for _ in range(600)] + ["", " ", "x,y." * 50, "w" * 3000, "日本 a"]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = str(public_tokenizers.path(name))
+        t, e = Tokenizer.from_file(path), _tokens.Encoder(path)
+        got = [x for at in range(0, len(cases), 50) for x in e.encode(cases[at : at + 50])]
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [t.encode(c, add_special_tokens=False).ids for c in cases]
+
+
 def test_encoder_of_unknown_form(tmp_path):
     path = tmp_path / "t.json"
     written = json.loads(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
