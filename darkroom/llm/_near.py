@@ -40,15 +40,22 @@ SAMPLE, SAMPLED, HOT_BANDS = 32, 16, 4096
 STAR = 4096
 
 
-def shared_buckets(bands: DataFrame) -> DataFrame:
+def in_sample() -> Column:
+    """Whether a class is in the sample in which hot bands are looked for."""
+    return F.pmod(F.xxhash64("cid"), F.lit(SAMPLE)) == 0
+
+
+def shared_buckets(bands: DataFrame, sample: DataFrame | None = None) -> DataFrame:
     """(band, cid, hot) rows of buckets with two or more different classes; columns that depend on cid stay.
 
+    ``sample``: the rows of classes that are ``in_sample``, where a caller has them at less cost than all rows.
+
     Hot bands are found in a sample of classes, which only decides how they are dealt: their rows stay where they are. For all
     others, one shuffle on the band serves both the count and the join; both stream.
     """
     spark = bands.sparkSession
     some = bands.where("band IS NOT NULL AND cid IS NOT NULL")
-    sample = some.where(F.pmod(F.xxhash64("cid"), F.lit(SAMPLE)) == 0).select("band", "cid").distinct()
+    sample = (some if sample is None else sample.where("band IS NOT NULL AND cid IS NOT NULL")).where(in_sample()).select("band", "cid").distinct()
     hot = materialise(sample.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SAMPLED).orderBy(F.desc("n"), "band").limit(HOT_BANDS).select("band"), "near-hot")
     if hot.isEmpty():
         rest, apart = some, None

@@ -9,12 +9,12 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -31,9 +31,9 @@ SIZE, ROWS = 60, 5
 #: Text that is sketched at once: few enough for the shingles' arrays to stay in a processor's cache.
 SLICE_BYTES = 1 << 18
 SIGNS = _near.signature(-(-SIZE // 16))
-#: Columns of a line's band keys; null where it isn't sketched.
-BANDS = [f"g{k}" for k in range(SIZE // ROWS)]
-LINES = ", ".join(["doc_id bigint, tie bigint, position int, place decimal(38,0), cid bigint, check bigint", *[f"{s} bigint" for s in (*BANDS, *SIGNS)]])
+#: A line's band keys and its signature, each in one column of 64-bit words; null where it isn't sketched.
+WORDS = ["bands", "signs"]
+LINES = "doc_id bigint, tie bigint, position int, place binary, cid bigint, check bigint, bands binary, signs binary"
 #: Lines with fewer characters are similar to equal lines only: where few characters differ, they mostly say something else.
 MIN_CHARS = 20
 
@@ -91,12 +91,37 @@ def _candidate_lines(buf: np.ndarray, offsets: np.ndarray, min_chars: int) -> tu
 
 
 def _places(doc: pa.Array, tie: pa.Array, position: np.ndarray) -> pa.Array:
-    """Places of lines as numbers in the order of (doc_id, 31 bits of tie, position), null doc_id last; a place is doc_id * 2**62 and the rest."""
+    """Places of lines as 16 bytes in the order of (doc_id, 31 bits of tie, position), null doc_id last: big-endian doc_id with its sign turned, then the rest."""
     d = doc.fill_null(2**63 - 1).to_numpy(zero_copy_only=False).astype(np.int64)
-    rest = ((tie.to_numpy(zero_copy_only=False).astype(np.int64) & (2**31 - 1)) << 31) | position
-    both = np.empty((len(d), 2), np.int64)
-    both[:, 0], both[:, 1] = (d << 62) | rest, d >> 2
-    return pa.Array.from_buffers(pa.decimal128(38, 0), len(d), [None, pa.py_buffer(both.tobytes())])
+    both = np.empty((len(d), 2), ">u8")
+    both[:, 0] = d.view(np.uint64) ^ np.uint64(1 << 63)
+    both[:, 1] = ((tie.to_numpy(zero_copy_only=False).astype(np.int64) & (2**31 - 1)) << 31) | position
+    return _packed(both, np.ones(len(d), dtype=bool))
+
+
+def _packed(words: np.ndarray, some: np.ndarray) -> pa.Array:
+    """Rows of 64-bit words as bytes; null where ``some`` is false."""
+    ends = np.zeros(len(some) + 1, np.int32)
+    np.cumsum(some * (8 * words.shape[1]), out=ends[1:])
+    return pa.Array.from_buffers(pa.binary(), len(some), [pa.py_buffer(np.packbits(some, bitorder="little").tobytes()), pa.py_buffer(ends.tobytes()), pa.py_buffer(words[some].tobytes())])
+
+
+def _unpacked(column: pa.Array, words: int) -> np.ndarray:
+    """Rows of 64-bit words, from bytes without nulls."""
+    if not len(column):
+        return np.zeros((0, words), np.int64)
+    return np.frombuffer(column.buffers()[2], np.int64, len(column) * words, 8 * words * column.offset).reshape(-1, words)
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = _unpacked(batch.column(1), SIZE // ROWS)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), SIZE // ROWS))], ["band", "cid"])
+
+
+def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(x) for x in _unpacked(batch.column(3), len(SIGNS)).T]], ["band", "cid", "hot", *SIGNS])
 
 
 def _sketch(min_chars: int, width: int, size: int, rows: int):
@@ -123,22 +148,25 @@ def _sketch(min_chars: int, width: int, size: int, rows: int):
                 own[sketched] = _text.nibbles(sig).view(np.int64)
             ids, ties = batch.column(0).take(doc), batch.column(1).take(doc)
             yield pa.RecordBatch.from_arrays(
-                [ids, ties, pa.array(position.astype(np.int32)), _places(ids, ties, position), pa.array(cid), pa.array(check), *[pa.array(x, mask=~sketched) for x in (*keys.T, *own.T)]],
-                ["doc_id", "tie", "position", "place", "cid", "check", *BANDS, *SIGNS],
+                [ids, ties, pa.array(position.astype(np.int32)), _places(ids, ties, position), pa.array(cid), pa.array(check), _packed(keys, sketched), _packed(own, sketched)],
+                ["doc_id", "tie", "position", "place", "cid", "check", *WORDS],
             )
 
     return run
 
 
 def _listed_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cid, check, text) of listed lines, without white space around them."""
+    """(cid, check, text) of listed lines, without white space around them. A list may be another text's, as a place tells texts by 31 bits: lines of another hash are left out."""
     for batch in batches:
         found = []
         for text, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             lines = text.split("\n")
-            found += [(x["cid"], x["check"], lines[x["position"]].strip(" \t\n\r\v\f")) for x in listed]
+            found += [(x["cid"], x["check"], lines[x["position"]].strip(" \t\n\r\v\f")) for x in listed if x["position"] < len(lines)]
         columns = list(zip(*found)) if found else [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()))], ["cid", "check", "text"])
+        cid, check, text = (pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string())))
+        buf, offsets = _text.text_buffers(_text.text_array(text))
+        same = _text.Rolling(buf).of(offsets[:-1], offsets[1:]).view(np.int64) == cid.to_numpy()
+        yield pa.RecordBatch.from_arrays([cid, check, text], ["cid", "check", "text"]).filter(pa.array(same))
 
 
 def duplicate_lines(
@@ -155,24 +183,30 @@ def duplicate_lines(
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("tie"), F.col(text).alias("text"))
     lines = materialise(texts.mapInArrow(_sketch(min_chars, width, SIZE, ROWS), LINES), "line-sketches")
     key = ["cid", "check"]
-    classes = lines.groupBy(*key).agg(F.min("place").alias("low"), F.count(F.lit(1)).alias("n"), *[F.max(s).alias(s) for s in (*BANDS, *SIGNS)])
-    classes = materialise(classes, "line-classes")
+    classes = lines.groupBy(*key).agg(F.min("place").alias("low"), F.count(F.lit(1)).alias("n"), *[F.max(w).alias(w) for w in WORDS])
+    sketched = materialise(classes, "line-classes")
     # a line that stands in many texts is one class, and one row of each of its bands
-    shared = _near.shared_buckets(classes.select(F.explode(F.array(*BANDS)).alias("band"), "cid")).join(classes.select("cid", *SIGNS), "cid")
-    buckets = materialise(shared, "line-shared")
+    bands = lambda c: c.where("bands IS NOT NULL").select("cid", "bands").mapInArrow(_bands, "band bigint, cid bigint")
+    shared = _near.shared_buckets(bands(sketched), bands(sketched.where(_near.in_sample()))).join(sketched.where("signs IS NOT NULL").select("cid", "signs"), "cid").select("band", "cid", "hot", "signs")
+    buckets = materialise(shared.mapInArrow(_signs, f"band bigint, cid bigint, hot boolean, {', '.join(f'{s} bigint' for s in SIGNS)}"), "line-shared")
+    # sketches aren't kept beside what is read from here on
+    classes = materialise(sketched.drop(*WORDS), "line-lows")
+    discard(sketched)
 
     def fetch(cids: DataFrame) -> DataFrame:
-        # of a class, its first line stands for all
-        wanted = classes.join(cids, "cid", "left_semi").select("cid", "check", F.col("low").alias("place"))
-        found = lines.select("cid", "place", "doc_id", "tie", "position").join(wanted, ["cid", "place"])
-        listed = found.groupBy(F.col("doc_id").alias("its_id"), F.col("tie").alias("its_tie")).agg(F.collect_set(F.struct("cid", "check", "position")).alias("listed"))  # bounded by a text's lines
-        here = texts.join(listed.hint("shuffle_hash"), (F.col("tie") == F.col("its_tie")) & F.col("doc_id").eqNullSafe(F.col("its_id"))).select("text", "listed")
+        # of a class, its first line stands for all; its place says where it is
+        number = lambda at: F.expr(f"CAST(conv(hex(substring(low, {at}, 8)), 16, -10) AS bigint)")
+        wanted = classes.join(cids, "cid", "left_semi").select("cid", "check", number(1).bitwiseXOR(F.lit(-(1 << 63))).alias("its_id"), number(9).alias("rest"))
+        wanted = wanted.select("cid", "check", "its_id", F.shiftright("rest", 31).alias("its_tie"), F.col("rest").bitwiseAND(F.lit((1 << 31) - 1)).alias("position"))
+        listed = wanted.groupBy("its_id", "its_tie").agg(F.collect_list(F.struct("cid", "check", "position")).alias("listed"))  # bounded by a text's lines
+        keyed = texts.select("text", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("its_id"), F.col("tie").bitwiseAND(F.lit((1 << 31) - 1)).alias("its_tie"))
+        here = keyed.join(listed.hint("shuffle_hash"), ["its_id", "its_tie"]).select("text", "listed")
         return here.mapInArrow(_listed_lines, "cid bigint, check bigint, text string").groupBy("cid").agg(F.min("check").alias("check"), F.min_by("text", "check").alias("text"))
 
     links, checks = _near.near_links(buckets, fetch, partial(whole_sets, width=width), percent, SIZE)
     labels = connected_components(links).join(checks.withColumnRenamed("cid", "node"), "node").select(F.col("node").alias("cid"), "check", "root")
     # classes of one line and no link lose nothing
-    rooted = materialise(classes.drop(*BANDS, *SIGNS).join(labels, key, "left").where("root IS NOT NULL OR n > 1"), "line-linked")
+    rooted = materialise(classes.join(labels, key, "left").where("root IS NOT NULL OR n > 1"), "line-linked")
     first = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("low").alias("first"), F.count(F.lit(1)).alias("members"))
     linked = join_counted(rooted.where("root IS NOT NULL"), first, ["root"], "members").select(*key, "n", "first")
     repeated = rooted.where("root IS NULL").select(*key, "n", F.col("low").alias("first"))
@@ -184,14 +218,15 @@ def duplicate_lines(
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        new, chars = [], []
-        for t, g in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if g and t is not None:
-                drop = set(g)
-                t = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop)
-            new.append(t)
-            chars.append(None if t is None else len(t))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string()), pa.array(chars, pa.int64()), pa.array([len(g or ()) for g in batch.column(2).to_pylist()], pa.int64())], ["row", "text", "chars", "removed"])
+        text, gone = batch.column(1), batch.column(2)
+        losing = pc.and_(text.is_valid(), gone.is_valid())
+        new = []
+        for t, g in zip(text.filter(losing).to_pylist(), gone.filter(losing).to_pylist()):
+            drop = set(g)
+            new.append("\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop))
+        text = pc.replace_with_mask(text, losing, pa.array(new, text.type))
+        chars, removed = pc.utf8_length(text).cast(pa.int64()), pc.list_value_length(gone).fill_null(0).cast(pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), text, chars, removed], ["row", "text", "chars", "removed"])
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", removed: str | None = None, **parameters) -> DataFrame:
@@ -217,15 +252,11 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_c
     return out.select(*columns, *([F.col("removed").alias(removed)] if removed else []))
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(1).fill_null("").to_pylist()
-        lines = [pa.array([t.count("\n") + 1 if t else 0 for t in texts], pa.int64()), batch.column(2), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *lines], ["doc_id", "n_lines_kept", "n_removed", "kept_sha256"])
-
-
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` without duplicate lines: doc_id, n_lines_kept, n_removed, kept_sha256 (of the text that is left)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     left = dedup_lines(docs, removed="n_removed")
-    return left.mapInArrow(_digest, "doc_id bigint, n_lines_kept bigint, n_removed bigint, kept_sha256 string")
+    text = F.coalesce("text", F.lit(""))
+    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    lines = F.when(text == "", 0).otherwise(breaks + 1).cast("bigint")
+    return left.select("doc_id", lines.alias("n_lines_kept"), "n_removed", F.sha2(text, 256).alias("kept_sha256"))

@@ -3,6 +3,7 @@
 import hashlib
 import html
 import json
+import os
 import random
 import re
 import time
@@ -252,6 +253,33 @@ def test_line_dedup(docs, none, rows):
     assert out.count() == len(rows) and line_dedup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_keeps_no_sketches(docs, monkeypatch):
+    # classes' sketches go before texts are shuffled
+    written, before, links = {}, line_dedup.materialise, line_dedup._near.near_links
+
+    def write(df, label):
+        written[label] = before(df, label)
+        return written[label]
+
+    def linked(*args):
+        assert not os.path.exists(written["line-classes"].scratch.removeprefix("file://"))
+        assert os.path.exists(written["line-shared"].scratch.removeprefix("file://"))
+        return links(*args)
+
+    monkeypatch.setattr(line_dedup, "materialise", write)
+    monkeypatch.setattr(line_dedup._near, "near_links", linked)
+    assert line_dedup.duplicate_lines(docs).count() > 0
+
+
+def test_listed_lines_of_another_text():
+    # a place tells texts by 31 bits, so a list may come with another text's lines
+    cid = int(line_dedup._candidate_lines(np.frombuffer(b"a line", np.uint8), np.array([0, 6]), 0)[4][0])
+    listed = [[{"cid": cid, "check": 1, "position": 1}, {"cid": cid, "check": 1, "position": 0}, {"cid": cid, "check": 1, "position": 9}], []]
+    kind = pa.list_(pa.struct([("cid", pa.int64()), ("check", pa.int64()), ("position", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(["other\n a line \nlast", ""]), pa.array(listed, kind)], ["text", "listed"])
+    assert [x for out in line_dedup._listed_lines(iter([batch])) for x in out.to_pylist()] == [{"cid": cid, "check": 1, "text": "a line"}]
+
+
 def test_line_dedup_one_edit(spark, tmp_path):
     rnd = random.Random(7)
     pairs = []
