@@ -36,6 +36,8 @@ VERIFIED_BYTES = 1 << 18
 SIGN_BLOCK, LISTED = 2048, 4
 #: Bands that 16 or more classes of every 32nd have are hot; the hottest, at most so many, are handled by broadcast.
 SAMPLE, SAMPLED, HOT_BANDS = 32, 16, 4096
+#: Band keys that a task cuts by ranges at once.
+DEALT = 1 << 20
 #: Members of a large bucket that are compared with a centre in one task at about.
 STAR = 4096
 
@@ -45,6 +47,13 @@ def in_sample() -> Column:
     return F.pmod(F.xxhash64("cid"), F.lit(SAMPLE)) == 0
 
 
+def _hot_bands(rows: DataFrame) -> DataFrame:
+    """The hottest bands by the rows (band, cid) of classes that are ``in_sample``; at most ``HOT_BANDS``."""
+    sample = rows.where(in_sample()).select("band", "cid").distinct()
+    counted = sample.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SAMPLED)
+    return materialise(counted.orderBy(F.desc("n"), "band").limit(HOT_BANDS).select("band"), "near-hot")
+
+
 def shared_buckets(bands: DataFrame, sample: DataFrame | None = None) -> DataFrame:
     """(band, cid, hot) rows of buckets with two or more different classes; columns that depend on cid stay.
 
@@ -55,8 +64,8 @@ def shared_buckets(bands: DataFrame, sample: DataFrame | None = None) -> DataFra
     """
     spark = bands.sparkSession
     some = bands.where("band IS NOT NULL AND cid IS NOT NULL")
-    sample = (some if sample is None else sample.where("band IS NOT NULL AND cid IS NOT NULL")).where(in_sample()).select("band", "cid").distinct()
-    hot = materialise(sample.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SAMPLED).orderBy(F.desc("n"), "band").limit(HOT_BANDS).select("band"), "near-hot")
+    sample = some if sample is None else sample.where("band IS NOT NULL AND cid IS NOT NULL")
+    hot = _hot_bands(sample)
     if hot.isEmpty():
         rest, apart = some, None
     else:
@@ -69,6 +78,100 @@ def shared_buckets(bands: DataFrame, sample: DataFrame | None = None) -> DataFra
     return found if apart is None else found.unionAll(apart)
 
 
+def _deal(bands: int, parts: int, hot: np.ndarray):
+    """Band keys and their classes, cut by ranges of keys; those of hot bands, which aren't paired, are dealt by class."""
+
+    def cut(keys: list, cids: list) -> pa.RecordBatch:
+        key, cid = np.concatenate(keys), np.concatenate(cids)
+        by = key.view(np.uint64)
+        if len(hot):
+            by = np.where(_among(hot, key), _text.mix(cid.view(np.uint64)), by)
+        part = ((by >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint16 if parts <= 1 << 16 else np.int32)
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        ends = pa.py_buffer((8 * np.append(first, len(part))).astype(np.int32))
+        packed = [pa.Array.from_buffers(pa.binary(), len(first), [None, ends, pa.py_buffer(x[order])]) for x in (key, cid)]
+        return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), *packed], ["part", "keys", "cids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, cids, n = [], [], 0
+        for batch in batches:
+            if batch.num_rows:
+                keys.append(_text.unpacked(batch.column(1), bands).ravel())
+                cids.append(np.repeat(batch.column(0).to_numpy(), bands))
+                n += len(keys[-1])
+            if n >= DEALT:
+                yield cut(keys, cids)
+                keys, cids, n = [], [], 0
+        if n:
+            yield cut(keys, cids)
+
+    return run
+
+
+def _among(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values are in an ascending array that isn't empty."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _pair_up(hot: np.ndarray, small: int = SMALL):
+    """Of a range of keys: pairs (a, b) of buckets of up to ``small`` classes, and rows (band, a) of larger and of hot ones."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, cid = (np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x.as_buffer(), np.int64) for x in table.column(c)]]) for c in ("keys", "cids"))
+        order = np.argsort(key)
+        ahead = np.diff(key[order]) == 0
+        shared = order[np.concatenate([ahead, [False]]) | np.concatenate([[False], ahead])] if len(key) else order
+        if len(hot):
+            shared = np.union1d(shared, np.flatnonzero(_among(hot, key)))
+        key, cid = key[shared], cid[shared]
+        order = np.lexsort((cid, key))
+        key, cid = key[order], cid[order]
+        new = np.concatenate([[True], (np.diff(key) != 0) | (np.diff(cid) != 0)])[: len(key)]  # other tasks' rows of a class
+        key, cid = key[new], cid[new]
+        first = np.flatnonzero(np.concatenate([[True], np.diff(key) != 0])[: len(key)])
+        size = np.diff(np.append(first, len(key)))
+        n, is_hot = np.repeat(size, size), _among(hot, key) if len(hot) else np.zeros(len(key), bool)
+        large, few = is_hot | (n > small), ~is_hot & (n <= small)
+        last = np.repeat(first + size, size)
+        at = np.arange(len(key))
+        a, b = [cid[large]], []
+        for d in range(1, small):
+            i = np.flatnonzero(few & (at + d < last))
+            a.append(cid[i])
+            b.append(cid[i + d])
+        pairs = sum(len(x) for x in b)
+        alone = np.arange(len(a[0]) + pairs) < len(a[0])
+        fill = np.zeros(pairs, np.int64)
+        return pa.table({
+            "band": pa.array(np.concatenate([key[large], fill]), mask=~alone), "hot": pa.array(np.concatenate([is_hot[large], fill > 0])),
+            "a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate([np.zeros(len(a[0]), np.int64), *b]), mask=alone),
+        })
+
+    return run
+
+
+def dealt_buckets(rows: DataFrame, sample: DataFrame, bands: int) -> DataFrame:
+    """Pairs and large buckets of (cid, keys), where keys are ``bands`` 64-bit band keys as bytes: (band, hot, a, b).
+
+    Pairs of different classes of buckets of up to ``SMALL`` have no band and may come again; rows of larger and of hot buckets have no ``b``. ``sample`` has the rows
+    (band, cid) of classes that are ``in_sample``. Keys are shuffled by ranges, many a row; a range holds about half of what a shuffle's task does. A hot
+    band's rows are dealt over all ranges.
+    """
+    hot = np.sort(np.array([r["band"] for r in _hot_bands(sample).collect()], np.int64))  # at most HOT_BANDS
+    dealt = rows.mapInArrow(_deal(bands, 2 * shuffle_partitions(rows.sparkSession), hot), "part int, keys binary, cids binary")
+    return dealt.groupBy("part").applyInArrow(_pair_up(hot), "band bigint, hot boolean, a bigint, b bigint")
+
+
+def agreeing(pairs: DataFrame, signs: DataFrame, percent: int, size: int) -> DataFrame:
+    """Pairs (a, b, signature of a) whose signatures agree in ``least_agreement`` components or more; ``signs`` has one row a cid."""
+    words = -(-size // 16)
+    names = signature(words)
+    both = pairs.select("a", "b", F.struct(*names).alias("p")).join(signs.select(F.col("cid").alias("b"), F.struct(*names).alias("q")), "b")
+    return both.where(_agreement("p", "q", words, size) >= least_agreement(percent, size)).select("a", "b")
+
+
 def _by_band(rows: DataFrame, table: DataFrame) -> DataFrame:
     """Bucket rows joined with a table of a few rows a band; rows of hot bands stay where they are. Both have ``hot``."""
     keys = ["band", "hot"]
@@ -98,23 +201,32 @@ def _agreement(x: str, y: str, words: int, size: int) -> Column:
     return F.lit(size) - apart
 
 
-def near_links(buckets: DataFrame, fetch: Callable, sets: Callable, percent: int, size: int) -> tuple[DataFrame, DataFrame]:
+def _small_pairs(buckets: DataFrame, sizes: DataFrame, words: int, size: int, least: int) -> DataFrame:
+    """All pairs of small buckets whose signatures agree."""
+    small = buckets.where("NOT hot").join(sizes.where(f"n <= {SMALL}").select("band"), "band")
+    return small.alias("p").join(small.alias("q"), (F.col("p.band") == F.col("q.band")) & (F.col("p.cid") < F.col("q.cid")) & (_agreement("p", "q", words, size) >= least)).select(
+        F.col("p.cid").alias("a"), F.col("q.cid").alias("b"), F.lit(None).cast("bigint").alias("deal")
+    )
+
+
+def near_links(buckets: DataFrame, fetch: Callable, sets: Callable, percent: int, size: int, given: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Verified links that connect the same classes as all verified pairs of the buckets would.
 
     ``buckets``: (band, cid, hot, and the class's signature of ``size`` components), already written. ``fetch``: from a table of distinct cid to (cid, check, text),
     one row each, the same whenever it is asked. ``sets``: from the bytes and offsets of rows to their shingle sets (ascending hashes and a row pointer). Linked
     are classes with 100 * |intersection| >= percent * |union|. Candidates whose signatures agree in fewer components than ``least_agreement`` are as
-    good as never that similar, so their texts aren't fetched. Returns links (a, b), where a class may be linked with itself, and (cid, check) of compared classes.
+    good as never that similar, so their texts aren't fetched. ``given``: agreeing pairs (a, b) of small buckets, already written, where ``buckets`` holds large ones only; texts
+    of all members are then fetched at once. Returns links (a, b), where a class may be linked with itself, and (cid, check) of compared classes.
     """
     words = -(-size // 16)
     signs, least = signature(words), least_agreement(percent, size)
 
     sizes = buckets.groupBy("band", "hot").agg(F.count(F.lit(1)).alias("n"), *[F.min_by("cid", F.xxhash64("cid", F.lit(k))).alias(f"c{k}") for k in range(CENTRES)])
     sizes = materialise(sizes, "near-sizes")
-    small = buckets.where("NOT hot").join(sizes.where(f"n <= {SMALL}").select("band"), "band")
-    pairs = small.alias("p").join(small.alias("q"), (F.col("p.band") == F.col("q.band")) & (F.col("p.cid") < F.col("q.cid")) & (_agreement("p", "q", words, size) >= least)).select(
-        F.col("p.cid").alias("a"), F.col("q.cid").alias("b"), F.lit(None).cast("bigint").alias("deal")
-    )
+    if given is not None:
+        pairs = given.withColumn("deal", F.lit(None).cast("bigint"))
+    else:
+        pairs = _small_pairs(buckets, sizes, words, size, least)
     centres = sizes.where(f"n > {SMALL}").select("band", "hot", "n", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(CENTRES)]))).alias("cid"))
     centres = materialise(_by_band(buckets, centres.withColumnRenamed("cid", "centre")).where("cid = centre").select("band", "hot", "n", "centre", *signs), "near-centres")
     # a centre's text is copied for every STAR members, whichever of its buckets they are in
@@ -126,7 +238,10 @@ def near_links(buckets: DataFrame, fetch: Callable, sets: Callable, percent: int
     else:
         stars = stars.distinct().join(wide, "centre", "left").select(F.col("centre").alias("a"), F.col("cid").alias("b"), F.pmod(F.xxhash64("cid"), "copies").alias("deal"))
     pairs = materialise(pairs.unionAll(stars).distinct(), "near-pairs")
-    content = materialise(fetch(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()), "near-content")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
+    if given is not None:
+        wanted = wanted.unionAll(buckets.select("cid"))
+    content = materialise(fetch(wanted.distinct()), "near-content")
     left = content.select("cid", F.lit(0).cast("bigint").alias("copy"), "text")
     if not wide.isEmpty():
         copies = content.join(wide.withColumnRenamed("centre", "cid"), "cid").select("cid", F.explode(F.expr("sequence(1L, copies - 1)")).alias("copy"), "text")
@@ -152,7 +267,7 @@ def near_links(buckets: DataFrame, fetch: Callable, sets: Callable, percent: int
     if any_dense:
         rows = open_rows.drop(*signs).join(dense, "band", "left_semi")
         wanted = wanted.unionAll(rows.select("cid"))
-    more = materialise(fetch(wanted.distinct()), "near-more")
+    more = content if given is not None else materialise(fetch(wanted.distinct()), "near-more")
     found = _compare(pairs2, more, more, sets, percent)
     if any_dense:
         rows = rows.join(more, "cid").withColumn("bytes", F.octet_length("text").cast("bigint"))
@@ -226,12 +341,13 @@ def _block_pairs(signs: list[str], size: int, least: int):
 def _verifier(sets: Callable, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, buf, offsets in _text.slices([batch], "text_a", VERIFIED_BYTES):
-                a, pa_ = sets(buf, offsets)
-                b, pb = sets(*_text.text_buffers(_text.text_array(part.column(part.schema.get_field_index("text_b")))))
+            for part, _, _ in _text.slices([batch], "text_a", VERIFIED_BYTES):
+                # each text's set once
+                texts = [_text.text_array(part.column(part.schema.get_field_index(c))).dictionary_encode() for c in ("text_a", "text_b")]
+                (a, pa_), (b, pb) = (sets(*_text.text_buffers(t.dictionary)) for t in texts)
                 keep = np.zeros(part.num_rows, dtype=bool)
-                for i in range(part.num_rows):
-                    x, y = a[pa_[i] : pa_[i + 1]], b[pb[i] : pb[i + 1]]
+                for i, (ia, ib) in enumerate(zip(*(t.indices.to_pylist() for t in texts))):
+                    x, y = a[pa_[ia] : pa_[ia + 1]], b[pb[ib] : pb[ib + 1]]
                     if len(x) and len(y):
                         both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                         keep[i] = 100 * both >= percent * (len(x) + len(y) - both)

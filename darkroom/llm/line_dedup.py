@@ -1,6 +1,6 @@
 """Fuzzy line deduplication by MinHash: of each group of similar lines, over all documents, one stays.
 
-1. Lines of whole texts are hashed twice with 64 bits (``cid``, ``check``); equal lines are one class at once (sketched once in each slice of rows).
+1. Lines of whole texts are hashed twice with 64 bits (``cid``, ``check``); equal lines are one class at once (sketched once in each task).
 2. Distinct lines get MinHash signatures of their character shingles (the one-pass SuperMinHash variant, see ``_text``), cut into
    many short bands: 12 bands of 5 make a pair at similarity 0.8 a candidate with probability 0.991, at 0.85 with 0.999.
 3. Candidates are verified by exact Jaccard similarity of their shingle sets, and components are found by distributed union-find
@@ -17,7 +17,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from darkroom.llm import _near, _text
 from darkroom.operators.components import connected_components
@@ -31,9 +30,10 @@ SIZE, ROWS = 60, 5
 #: Text that is sketched at once: few enough for the shingles' arrays to stay in a processor's cache.
 SLICE_BYTES = 1 << 18
 SIGNS = _near.signature(-(-SIZE // 16))
-#: A line's band keys and its signature, each in one column of 64-bit words; null where it isn't sketched.
-WORDS = ["bands", "signs"]
-LINES = "doc_id bigint, tie bigint, position int, place binary, cid bigint, check bigint, bands binary, signs binary"
+#: ``bands`` are a line's band keys, as bytes; they and its signature are null where it isn't sketched.
+LINES = ", ".join(["doc_id bigint, tie bigint, position int, place binary, cid bigint, check bigint, bands binary", *[f"{s} bigint" for s in SIGNS]])
+#: Lines that a task knows as sketched already.
+KNOWN = 1 << 18
 #: Lines with fewer characters are similar to equal lines only: where few characters differ, they mostly say something else.
 MIN_CHARS = 20
 
@@ -106,26 +106,15 @@ def _packed(words: np.ndarray, some: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(some), [pa.py_buffer(np.packbits(some, bitorder="little").tobytes()), pa.py_buffer(ends.tobytes()), pa.py_buffer(words[some].tobytes())])
 
 
-def _unpacked(column: pa.Array, words: int) -> np.ndarray:
-    """Rows of 64-bit words, from bytes without nulls."""
-    if not len(column):
-        return np.zeros((0, words), np.int64)
-    return np.frombuffer(column.buffers()[2], np.int64, len(column) * words, 8 * words * column.offset).reshape(-1, words)
-
-
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = _unpacked(batch.column(1), SIZE // ROWS)
+        keys = _text.unpacked(batch.column(1), SIZE // ROWS)
         yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), SIZE // ROWS))], ["band", "cid"])
 
 
-def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(x) for x in _unpacked(batch.column(3), len(SIGNS)).T]], ["band", "cid", "hot", *SIGNS])
-
-
 def _sketch(min_chars: int, width: int, size: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set = set()
         for batch, buf, offsets in _text.slices(batches, most=SLICE_BYTES):
             start, end, row, position, cid, long, rolling = _candidate_lines(buf, offsets, min_chars)
             doc = pa.array(row)
@@ -138,9 +127,17 @@ def _sketch(min_chars: int, width: int, size: int, rows: int):
                 order = np.argsort(first)
                 values, pointer = line_sets(buf, start[first[order]], end[first[order]], width, rolling)
                 sums = np.add.reduceat(values, pointer[:-1])
-                check[:] = _text.mix(sums + np.diff(pointer).astype(np.uint64))[np.argsort(order)][same].view(np.int64)
-                long = long[first[order]]
                 pieces = np.diff(pointer)
+                its_check = _text.mix(sums + pieces.astype(np.uint64)).view(np.int64)
+                check[:] = its_check[np.argsort(order)][same]
+                long = long[first[order]]
+                if len(known) > KNOWN:
+                    known.clear()
+                # of a task's equal lines, the first is sketched
+                at = np.flatnonzero(long)
+                names = list(zip(cid[first[order][at]].tolist(), its_check[at].tolist()))
+                long[at] = [x not in known for x in names]
+                known.update(names)
                 values, pointer = values[np.repeat(long, pieces)], np.concatenate([[0], np.cumsum(pieces[long])])
                 sig = _text.super_minhash(values, pointer, size)
                 sketched[first[order][long]] = True
@@ -148,8 +145,8 @@ def _sketch(min_chars: int, width: int, size: int, rows: int):
                 own[sketched] = _text.nibbles(sig).view(np.int64)
             ids, ties = batch.column(0).take(doc), batch.column(1).take(doc)
             yield pa.RecordBatch.from_arrays(
-                [ids, ties, pa.array(position.astype(np.int32)), _places(ids, ties, position), pa.array(cid), pa.array(check), _packed(keys, sketched), _packed(own, sketched)],
-                ["doc_id", "tie", "position", "place", "cid", "check", *WORDS],
+                [ids, ties, pa.array(position.astype(np.int32)), _places(ids, ties, position), pa.array(cid), pa.array(check), _packed(keys, sketched), *[pa.array(x, mask=~sketched) for x in own.T]],
+                ["doc_id", "tie", "position", "place", "cid", "check", "bands", *SIGNS],
             )
 
     return run
@@ -169,41 +166,46 @@ def _listed_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([cid, check, text], ["cid", "check", "text"]).filter(pa.array(same))
 
 
-def duplicate_lines(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = SIMILARITY_PERCENT, width: int = WIDTH, min_chars: int = MIN_CHARS
-) -> DataFrame:
+def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
     """Lines to remove: doc_id, tie (xxhash64 of the text), position (from 0).
 
     Compared are \\n-split lines without white space around them; blank lines stay. Equal lines are linked at any length. Lines of at least
     ``min_chars`` characters are also linked if 100 * |intersection| >= ``percent`` * |union| of their sets of ``width``-character shingles. Of a component, the line with
     the smallest (doc_id, tie, position) stays, null doc_id last. Rows that repeat doc_id and text count once.
     """
+    return _duplicates(docs, doc_id, text, **parameters).distinct()
+
+
+def _duplicates(docs: DataFrame, doc_id: str, text: str, percent: int = SIMILARITY_PERCENT, width: int = WIDTH, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``duplicate_lines``, where rows that repeat doc_id and text give their lines again."""
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("tie"), F.col(text).alias("text"))
     lines = materialise(texts.mapInArrow(_sketch(min_chars, width, SIZE, ROWS), LINES), "line-sketches")
     key = ["cid", "check"]
-    classes = lines.groupBy(*key).agg(F.min("place").alias("low"), F.count(F.lit(1)).alias("n"), *[F.max(w).alias(w) for w in WORDS])
-    sketched = materialise(classes, "line-classes")
-    # a line that stands in many texts is one class, and one row of each of its bands
-    bands = lambda c: c.where("bands IS NOT NULL").select("cid", "bands").mapInArrow(_bands, "band bigint, cid bigint")
-    shared = _near.shared_buckets(bands(sketched), bands(sketched.where(_near.in_sample()))).join(sketched.where("signs IS NOT NULL").select("cid", "signs"), "cid").select("band", "cid", "hot", "signs")
-    buckets = materialise(shared.mapInArrow(_signs, f"band bigint, cid bigint, hot boolean, {', '.join(f'{s} bigint' for s in SIGNS)}"), "line-shared")
-    # sketches aren't kept beside what is read from here on
-    classes = materialise(sketched.drop(*WORDS), "line-lows")
-    discard(sketched)
+    classes = materialise(lines.groupBy(*key).agg(F.min("place").alias("low"), F.count(F.lit(1)).alias("n")), "line-lows")
+    sketched = lines.where("bands IS NOT NULL")
+    sample = sketched.where(_near.in_sample()).select("cid", "bands").mapInArrow(_bands, "band bigint, cid bigint")
+    signs = sketched.select("cid", *SIGNS).dropDuplicates(["cid"])
+    found = materialise(_near.dealt_buckets(sketched.select("cid", "bands"), sample, SIZE // ROWS), "line-classes")
+    marked = materialise(found.distinct().join(signs.withColumnRenamed("cid", "a"), "a"), "line-marked")
+    discard(found)
+    pairs = materialise(_near.agreeing(marked.where("b IS NOT NULL"), signs, percent, SIZE), "line-pairs")
+    buckets = materialise(marked.where("b IS NULL").select("band", F.col("a").alias("cid"), "hot", *SIGNS), "line-shared")
+    discard(marked)
 
     def fetch(cids: DataFrame) -> DataFrame:
         # of a class, its first line stands for all; its place says where it is
-        number = lambda at: F.expr(f"CAST(conv(hex(substring(low, {at}, 8)), 16, -10) AS bigint)")
-        wanted = classes.join(cids, "cid", "left_semi").select("cid", "check", number(1).bitwiseXOR(F.lit(-(1 << 63))).alias("its_id"), number(9).alias("rest"))
+        # never null, or a filter on it would be computed for all classes
+        number = lambda at: F.expr(f"coalesce(CAST(conv(hex(substring(low, {at}, 8)), 16, -10) AS bigint), 0L)")
+        wanted = classes.join(cids.hint("shuffle_hash"), "cid", "left_semi").select("cid", "check", number(1).bitwiseXOR(F.lit(-(1 << 63))).alias("its_id"), number(9).alias("rest"))
         wanted = wanted.select("cid", "check", "its_id", F.shiftright("rest", 31).alias("its_tie"), F.col("rest").bitwiseAND(F.lit((1 << 31) - 1)).alias("position"))
         listed = wanted.groupBy("its_id", "its_tie").agg(F.collect_list(F.struct("cid", "check", "position")).alias("listed"))  # bounded by a text's lines
         keyed = texts.select("text", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("its_id"), F.col("tie").bitwiseAND(F.lit((1 << 31) - 1)).alias("its_tie"))
         here = keyed.join(listed.hint("shuffle_hash"), ["its_id", "its_tie"]).select("text", "listed")
         return here.mapInArrow(_listed_lines, "cid bigint, check bigint, text string").groupBy("cid").agg(F.min("check").alias("check"), F.min_by("text", "check").alias("text"))
 
-    links, checks = _near.near_links(buckets, fetch, partial(whole_sets, width=width), percent, SIZE)
+    links, checks = _near.near_links(buckets, fetch, partial(whole_sets, width=width), percent, SIZE, pairs)
     labels = connected_components(links).join(checks.withColumnRenamed("cid", "node"), "node").select(F.col("node").alias("cid"), "check", "root")
     # classes of one line and no link lose nothing
     rooted = materialise(classes.join(labels, key, "left").where("root IS NOT NULL OR n > 1"), "line-linked")
@@ -211,22 +213,22 @@ def duplicate_lines(
     linked = join_counted(rooted.where("root IS NOT NULL"), first, ["root"], "members").select(*key, "n", "first")
     repeated = rooted.where("root IS NULL").select(*key, "n", F.col("low").alias("first"))
     listed = materialise(repeated.unionAll(linked), "line-repeated")
-    discard(buckets, classes, rooted)
-    out = join_counted(lines.select("doc_id", "tie", "position", "place", *key), listed, key).where(F.col("place") != F.col("first"))
-    return out.select("doc_id", "tie", "position").distinct()
+    discard(buckets, pairs, classes, rooted)
+    out = join_counted(lines.select("doc_id", "tie", "position", "place", *key), listed.hint("shuffle_hash"), key).where(F.col("place") != F.col("first"))
+    return out.select("doc_id", "tie", "position")
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of positions as a byte a line, 1 where it is listed, and their lengths."""
     for batch in batches:
-        text, gone = batch.column(1), batch.column(2)
-        losing = pc.and_(text.is_valid(), gone.is_valid())
-        new = []
-        for t, g in zip(text.filter(losing).to_pylist(), gone.filter(losing).to_pylist()):
-            drop = set(g)
-            new.append("\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop))
-        text = pc.replace_with_mask(text, losing, pa.array(new, text.type))
-        chars, removed = pc.utf8_length(text).cast(pa.int64()), pc.list_value_length(gone).fill_null(0).cast(pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), text, chars, removed], ["row", "text", "chars", "removed"])
+        flags = []
+        for positions in batch.column(2):
+            at = positions.values.to_numpy()
+            own = np.zeros(at.max() + 1, np.uint8)
+            own[at] = 1
+            flags.append(own.tobytes())
+        n = pc.list_value_length(batch.column(2)).cast(pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(flags, pa.binary()), n], ["gone_id", "gone_tie", "gone", "removed"])
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", removed: str | None = None, **parameters) -> DataFrame:
@@ -236,18 +238,22 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_c
     again where lines went. ``removed`` names a column for the number of lines removed. Null and empty texts are unchanged; an empty table gives an empty
     table; rows that repeat doc_id and text all keep the same lines.
     """
-    gone = duplicate_lines(docs, doc_id, text, **parameters).groupBy(F.col("doc_id").alias("gone_id"), F.col("tie").alias("gone_tie"))
-    gone = materialise(gone.agg(F.collect_list("position").alias("gone")), "line-gone")  # bounded by a text's lines
+    gone = _duplicates(docs, doc_id, text, **parameters).groupBy(F.col("doc_id").alias("gone_id"), F.col("tie").alias("gone_tie"))
+    gone = gone.agg(F.collect_set("position").alias("gone"))  # bounded by a text's lines
+    gone = materialise(gone.mapInArrow(_flags, "gone_id bigint, gone_tie bigint, gone binary, removed bigint"), "line-gone")
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
     rows = docs.select(others.alias("row"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("tie"), F.col(f"`{doc_id}`").cast("bigint").alias("id"))
-    rows = rows.join(gone, (F.col("tie") == F.col("gone_tie")) & F.col("id").eqNullSafe(F.col("gone_id")), "left").select("row", "text", "gone")
-    schema = StructType([rows.schema["row"], StructField("text", StringType()), StructField("chars", LongType()), StructField("removed", LongType())])
-    out = rows.mapInArrow(_remove, schema)
+    # hashing what goes spares sorting the texts
+    rows = rows.join(gone.hint("shuffle_hash"), (F.col("tie") == F.col("gone_tie")) & F.col("id").eqNullSafe(F.col("gone_id")), "left")
+    stays = lambda x, i: F.substring(F.col("gone"), i + 1, F.lit(1)) != F.lit(b"\x01")
+    left = F.array_join(F.filter(F.split("text", "\n", -1), stays), "\n")
+    new = F.when(F.col("gone").isNotNull(), left).otherwise(F.col("text"))
+    out = rows.select("row", new.alias("text"), F.coalesce("removed", F.lit(0).cast("bigint")).alias("removed"))
     columns = []
     for c in docs.columns:
         own = F.col(f"row.`{c}`") if c != text else F.col("text")
         if c == n_chars and c != text:
-            own = F.when((F.col("removed") > 0) & F.col("chars").isNotNull(), F.col("chars").cast(docs.schema[c].dataType)).otherwise(own)
+            own = F.when((F.col("removed") > 0) & F.col("text").isNotNull(), F.char_length("text").cast(docs.schema[c].dataType)).otherwise(own)
         columns.append(own.alias(c))
     return out.select(*columns, *([F.col("removed").alias(removed)] if removed else []))
 

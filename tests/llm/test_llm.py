@@ -14,12 +14,13 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from darkroom.llm import _text, _tokens, ann, html_text, line_dedup, mixing, near_dedup, packing, quality, registry, simple8b, suffix_dedup, toxicity
+from darkroom.llm import _near, _text, _tokens, ann, html_text, line_dedup, mixing, near_dedup, packing, quality, registry, simple8b, suffix_dedup, toxicity
 from darkroom.runtime import materialise
 
 SF = "/root/testdata/sf0.001"
@@ -271,6 +272,43 @@ def test_line_dedup_keeps_no_sketches(docs, monkeypatch):
     assert line_dedup.duplicate_lines(docs).count() > 0
 
 
+def test_lines_are_sketched_once_a_task():
+    line, other = "a line that stands in many texts", "another line, in one text only"
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([i]), pa.array([t])], ["doc_id", "tie", "text"]) for i, t in enumerate([line, f"{line}\n{other}", line])]
+    out = [x for b in line_dedup._sketch(20, 5, 60, 5)(iter(batches)) for x in b.to_pylist()]
+    assert [x["bands"] is not None for x in out] == [x["s0"] is not None for x in out] == [True, False, True, False]
+    assert len({(x["cid"], x["check"]) for x in out}) == 2
+
+
+def test_dealt_buckets():
+    # keys that are dealt in many a row give the pairs of small buckets, and the rows of large and hot ones
+    rnd = np.random.default_rng(5)
+    keys = rnd.choice(rnd.integers(-(2**63), 2**63, 60), (400, 3), p=np.arange(1, 61) / 1830)
+    hot = np.sort(keys[:3, 0])
+    hot = hot[np.concatenate([[True], np.diff(hot) != 0])]
+    cids = rnd.integers(-(2**63), 2**63, 400)
+    cids[300:350], keys[300:350] = cids[:50], keys[:50]  # classes of several tasks
+    rows = [pa.RecordBatch.from_arrays([pa.array(cids[i : i + 50]), pa.array([k.tobytes() for k in keys[i : i + 50]], pa.binary())], ["cid", "keys"]) for i in range(0, 400, 50)]
+    dealt = [pa.Table.from_batches(list(_near._deal(3, 4, hot)(iter(x)))) for x in (rows[:4], rows[4:])]
+    dealt = pa.concat_tables(dealt)
+    pairs, large = set(), set()
+    for part in sorted(set(dealt["part"].to_pylist())):
+        found = _near._pair_up(hot)(dealt.filter(pc.equal(dealt["part"], part))).to_pylist()
+        pairs |= {(x["a"], x["b"]) for x in found if x["b"] is not None}
+        here = [(x["band"], x["a"], x["hot"]) for x in found if x["b"] is None]
+        assert len(here) == len(set(here)) and not large & set(here)
+        large |= set(here)
+    members = {}
+    for c, own in zip(cids.tolist(), keys.tolist()):
+        for k in own:
+            members.setdefault(k, set()).add(c)
+    small = {k: m for k, m in members.items() if k not in hot and len(m) <= _near.SMALL}
+    assert small and pairs == {(a, b) for m in small.values() for a in m for b in m if a < b}
+    assert len(large) and large == {(k, c, k in hot) for k, m in members.items() if k not in small for c in m}
+    empty = _near._pair_up(hot)(dealt.slice(0, 0))
+    assert empty.num_rows == 0
+
+
 def test_listed_lines_of_another_text():
     # a place tells texts by 31 bits, so a list may come with another text's lines
     cid = int(line_dedup._candidate_lines(np.frombuffer(b"a line", np.uint8), np.array([0, 6]), 0)[4][0])
