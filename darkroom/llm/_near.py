@@ -47,9 +47,14 @@ def in_sample() -> Column:
     return F.pmod(F.xxhash64("cid"), F.lit(SAMPLE)) == 0
 
 
+def sampled(cid: np.ndarray) -> np.ndarray:
+    """Another such sample, for callers that deal with classes in tasks."""
+    return _text.mix(cid.view(np.uint64)) % np.uint64(SAMPLE) == 0
+
+
 def _hot_bands(rows: DataFrame) -> DataFrame:
-    """The hottest bands by the rows (band, cid) of classes that are ``in_sample``; at most ``HOT_BANDS``."""
-    sample = rows.where(in_sample()).select("band", "cid").distinct()
+    """The hottest bands by the rows (band, cid) of classes in a sample; at most ``HOT_BANDS``."""
+    sample = rows.select("band", "cid").distinct()
     counted = sample.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SAMPLED)
     return materialise(counted.orderBy(F.desc("n"), "band").limit(HOT_BANDS).select("band"), "near-hot")
 
@@ -64,7 +69,7 @@ def shared_buckets(bands: DataFrame, sample: DataFrame | None = None) -> DataFra
     """
     spark = bands.sparkSession
     some = bands.where("band IS NOT NULL AND cid IS NOT NULL")
-    sample = some if sample is None else sample.where("band IS NOT NULL AND cid IS NOT NULL")
+    sample = (some if sample is None else sample.where("band IS NOT NULL AND cid IS NOT NULL")).where(in_sample())
     hot = _hot_bands(sample)
     if hot.isEmpty():
         rest, apart = some, None
@@ -156,19 +161,24 @@ def dealt_buckets(rows: DataFrame, sample: DataFrame, bands: int) -> DataFrame:
     """Pairs and large buckets of (cid, keys), where keys are ``bands`` 64-bit band keys as bytes: (band, hot, a, b).
 
     Pairs of different classes of buckets of up to ``SMALL`` have no band and may come again; rows of larger and of hot buckets have no ``b``. ``sample`` has the rows
-    (band, cid) of classes that are ``in_sample``. Keys are shuffled by ranges, many a row; a range holds about half of what a shuffle's task does. A hot
+    (band, cid) of classes that are ``sampled``. Keys are shuffled by ranges, many a row; a range holds about half of what a shuffle's task does. A hot
     band's rows are dealt over all ranges.
     """
-    hot = np.sort(np.array([r["band"] for r in _hot_bands(sample).collect()], np.int64))  # at most HOT_BANDS
+    # a band with few rows has few classes: different ones are counted for the others only
+    often = materialise(sample.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SAMPLED).select("band"), "near-often")
+    hot = _hot_bands(sample.join(often.hint("shuffle_hash"), "band", "left_semi"))
+    hot = np.sort(np.array([r["band"] for r in hot.collect()], np.int64))  # at most HOT_BANDS
+    discard(often)
     dealt = rows.mapInArrow(_deal(bands, 2 * shuffle_partitions(rows.sparkSession), hot), "part int, keys binary, cids binary")
     return dealt.groupBy("part").applyInArrow(_pair_up(hot), "band bigint, hot boolean, a bigint, b bigint")
 
 
 def agreeing(pairs: DataFrame, signs: DataFrame, percent: int, size: int) -> DataFrame:
-    """Pairs (a, b, signature of a) whose signatures agree in ``least_agreement`` components or more; ``signs`` has one row a cid."""
+    """Pairs (a, b, signature of a) whose signatures agree in ``least_agreement`` components or more; ``signs`` has a row a class."""
     words = -(-size // 16)
     names = signature(words)
-    both = pairs.select("a", "b", F.struct(*names).alias("p")).join(signs.select(F.col("cid").alias("b"), F.struct(*names).alias("q")), "b")
+    # hashing the pairs spares sorting the signatures
+    both = signs.select(F.col("cid").alias("b"), F.struct(*names).alias("q")).join(pairs.select("a", "b", F.struct(*names).alias("p")).hint("shuffle_hash"), "b")
     return both.where(_agreement("p", "q", words, size) >= least_agreement(percent, size)).select("a", "b")
 
 

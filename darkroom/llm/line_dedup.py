@@ -15,7 +15,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from darkroom.llm import _near, _text
@@ -30,8 +30,8 @@ SIZE, ROWS = 60, 5
 #: Text that is sketched at once: few enough for the shingles' arrays to stay in a processor's cache.
 SLICE_BYTES = 1 << 18
 SIGNS = _near.signature(-(-SIZE // 16))
-#: ``bands`` are a line's band keys, as bytes; they and its signature are null where it isn't sketched.
-LINES = ", ".join(["doc_id bigint, tie bigint, position int, place binary, cid bigint, check bigint, bands binary", *[f"{s} bigint" for s in SIGNS]])
+#: ``bands`` are a line's band keys, as bytes; they and its signature are null where it isn't sketched. ``sampled`` are those of a sample of classes again, so that it is read alone.
+LINES = ", ".join(["doc_id bigint, tie bigint, position int, place binary, cid bigint, check bigint, bands binary, sampled binary", *[f"{s} bigint" for s in SIGNS]])
 #: Lines that a task knows as sketched already.
 KNOWN = 1 << 18
 #: Lines with fewer characters are similar to equal lines only: where few characters differ, they mostly say something else.
@@ -99,6 +99,19 @@ def _places(doc: pa.Array, tie: pa.Array, position: np.ndarray) -> pa.Array:
     return _packed(both, np.ones(len(d), dtype=bool))
 
 
+def _placed() -> tuple[Column, Column]:
+    """What ``_places`` has of doc_id and tie."""
+    return F.coalesce("doc_id", F.lit((1 << 63) - 1)), F.col("tie").bitwiseAND(F.lit((1 << 31) - 1))
+
+
+def _read_places(rows: DataFrame, place: str, *keep: str) -> DataFrame:
+    """Columns ``keep``, and its_id, its_tie and its_position of a place."""
+    # never null, or a filter on it would be computed for all rows
+    number = lambda at: F.expr(f"coalesce(CAST(conv(hex(substring({place}, {at}, 8)), 16, -10) AS bigint), 0L)")
+    rows = rows.select(*keep, number(1).bitwiseXOR(F.lit(-(1 << 63))).alias("its_id"), number(9).alias("rest"))
+    return rows.select(*keep, "its_id", F.shiftright("rest", 31).alias("its_tie"), F.col("rest").bitwiseAND(F.lit((1 << 31) - 1)).alias("its_position"))
+
+
 def _packed(words: np.ndarray, some: np.ndarray) -> pa.Array:
     """Rows of 64-bit words as bytes; null where ``some`` is false."""
     ends = np.zeros(len(some) + 1, np.int32)
@@ -145,8 +158,8 @@ def _sketch(min_chars: int, width: int, size: int, rows: int):
                 own[sketched] = _text.nibbles(sig).view(np.int64)
             ids, ties = batch.column(0).take(doc), batch.column(1).take(doc)
             yield pa.RecordBatch.from_arrays(
-                [ids, ties, pa.array(position.astype(np.int32)), _places(ids, ties, position), pa.array(cid), pa.array(check), _packed(keys, sketched), *[pa.array(x, mask=~sketched) for x in own.T]],
-                ["doc_id", "tie", "position", "place", "cid", "check", "bands", *SIGNS],
+                [ids, ties, pa.array(position.astype(np.int32)), _places(ids, ties, position), pa.array(cid), pa.array(check), _packed(keys, sketched), _packed(keys, sketched & _near.sampled(cid)), *[pa.array(x, mask=~sketched) for x in own.T]],
+                ["doc_id", "tie", "position", "place", "cid", "check", "bands", "sampled", *SIGNS],
             )
 
     return run
@@ -182,13 +195,15 @@ def _duplicates(docs: DataFrame, doc_id: str, text: str, percent: int = SIMILARI
     ship(spark)
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("tie"), F.col(text).alias("text"))
     lines = materialise(texts.mapInArrow(_sketch(min_chars, width, SIZE, ROWS), LINES), "line-sketches")
-    key = ["cid", "check"]
-    classes = materialise(lines.groupBy(*key).agg(F.min("place").alias("low"), F.count(F.lit(1)).alias("n")), "line-lows")
+    key, placed = ["cid", "check"], _placed()
+    # a class's signature is the same wherever it was made
+    classes = materialise(lines.groupBy(*key).agg(F.min("place").alias("low"), F.count(F.lit(1)).alias("n"), *[F.max(s).alias(s) for s in SIGNS]), "line-lows")
     sketched = lines.where("bands IS NOT NULL")
-    sample = sketched.where(_near.in_sample()).select("cid", "bands").mapInArrow(_bands, "band bigint, cid bigint")
-    signs = sketched.select("cid", *SIGNS).dropDuplicates(["cid"])
+    sample = lines.where("sampled IS NOT NULL").select("cid", "sampled").mapInArrow(_bands, "band bigint, cid bigint")
+    signs = classes.where(f"{SIGNS[0]} IS NOT NULL").select("cid", *SIGNS)
     found = materialise(_near.dealt_buckets(sketched.select("cid", "bands"), sample, SIZE // ROWS), "line-classes")
-    marked = materialise(found.distinct().join(signs.withColumnRenamed("cid", "a"), "a"), "line-marked")
+    # one shuffle by ``a`` serves both; hashing what was found spares sorting the signatures
+    marked = materialise(signs.withColumnRenamed("cid", "a").join(found.repartition("a").distinct().hint("shuffle_hash"), "a"), "line-marked")
     discard(found)
     pairs = materialise(_near.agreeing(marked.where("b IS NOT NULL"), signs, percent, SIZE), "line-pairs")
     buckets = materialise(marked.where("b IS NULL").select("band", F.col("a").alias("cid"), "hot", *SIGNS), "line-shared")
@@ -196,25 +211,23 @@ def _duplicates(docs: DataFrame, doc_id: str, text: str, percent: int = SIMILARI
 
     def fetch(cids: DataFrame) -> DataFrame:
         # of a class, its first line stands for all; its place says where it is
-        # never null, or a filter on it would be computed for all classes
-        number = lambda at: F.expr(f"coalesce(CAST(conv(hex(substring(low, {at}, 8)), 16, -10) AS bigint), 0L)")
-        wanted = classes.join(cids.hint("shuffle_hash"), "cid", "left_semi").select("cid", "check", number(1).bitwiseXOR(F.lit(-(1 << 63))).alias("its_id"), number(9).alias("rest"))
-        wanted = wanted.select("cid", "check", "its_id", F.shiftright("rest", 31).alias("its_tie"), F.col("rest").bitwiseAND(F.lit((1 << 31) - 1)).alias("position"))
+        wanted = _read_places(classes.join(cids.hint("shuffle_hash"), "cid", "left_semi"), "low", *key).withColumnRenamed("its_position", "position")
         listed = wanted.groupBy("its_id", "its_tie").agg(F.collect_list(F.struct("cid", "check", "position")).alias("listed"))  # bounded by a text's lines
-        keyed = texts.select("text", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("its_id"), F.col("tie").bitwiseAND(F.lit((1 << 31) - 1)).alias("its_tie"))
+        keyed = texts.select("text", placed[0].alias("its_id"), placed[1].alias("its_tie"))
         here = keyed.join(listed.hint("shuffle_hash"), ["its_id", "its_tie"]).select("text", "listed")
         return here.mapInArrow(_listed_lines, "cid bigint, check bigint, text string").groupBy("cid").agg(F.min("check").alias("check"), F.min_by("text", "check").alias("text"))
 
     links, checks = _near.near_links(buckets, fetch, partial(whole_sets, width=width), percent, SIZE, pairs)
     labels = connected_components(links).join(checks.withColumnRenamed("cid", "node"), "node").select(F.col("node").alias("cid"), "check", "root")
     # classes of one line and no link lose nothing
-    rooted = materialise(classes.join(labels, key, "left").where("root IS NOT NULL OR n > 1"), "line-linked")
+    rooted = materialise(classes.drop(*SIGNS).join(labels, key, "left").where("root IS NOT NULL OR n > 1"), "line-linked")
     first = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("low").alias("first"), F.count(F.lit(1)).alias("members"))
     linked = join_counted(rooted.where("root IS NOT NULL"), first, ["root"], "members").select(*key, "n", "first")
     repeated = rooted.where("root IS NULL").select(*key, "n", F.col("low").alias("first"))
-    listed = materialise(repeated.unionAll(linked), "line-repeated")
+    listed = materialise(_read_places(repeated.unionAll(linked), "first", *key, "n"), "line-repeated")
     discard(buckets, pairs, classes, rooted)
-    out = join_counted(lines.select("doc_id", "tie", "position", "place", *key), listed.hint("shuffle_hash"), key).where(F.col("place") != F.col("first"))
+    out = join_counted(lines.select("doc_id", "tie", "position", *key), listed.hint("shuffle_hash"), key)
+    out = out.where((F.col("position") != F.col("its_position")) | (placed[1] != F.col("its_tie")) | (placed[0] != F.col("its_id")))
     return out.select("doc_id", "tie", "position")
 
 

@@ -280,6 +280,16 @@ def test_lines_are_sketched_once_a_task():
     assert len({(x["cid"], x["check"]) for x in out}) == 2
 
 
+def test_sampled_lines_have_a_column():
+    # the sample for hot bands is read without the other lines' bands
+    text = "\n".join(f"line number {i} of quite some" for i in range(400))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([text])], ["doc_id", "tie", "text"])
+    out = [x for b in line_dedup._sketch(20, 5, 60, 5)(iter([batch])) for x in b.to_pylist()]
+    some = [x for x in out if x["sampled"] is not None]
+    assert 0 < len(some) < 40 and all(x["sampled"] == x["bands"] for x in some)
+    assert {x["cid"] for x in some} == {x["cid"] for x in out if _near.sampled(np.array([x["cid"]]))[0]}
+
+
 def test_dealt_buckets():
     # keys that are dealt in many a row give the pairs of small buckets, and the rows of large and hot ones
     rnd = np.random.default_rng(5)

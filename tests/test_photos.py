@@ -9,12 +9,13 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from darkroom import pipeline
 from darkroom.functions import pixels
-from darkroom.operators import cache, moves, report, similarity
+from darkroom.operators import cache, components, moves, report, similarity
 from darkroom.operators.components import connected_components
 from darkroom.operators.similarity import similarity_pairs
 from darkroom.params import RunOptions, album_title, resolve_signals
@@ -111,6 +112,24 @@ def test_components_match_union_find(spark):
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_tasks_contract_links(spark, monkeypatch):
+    # a chain takes no rounds where a task has all of it, and few where tasks contract a few links at once
+    written, before = [], components.materialise
+    monkeypatch.setattr(components, "materialise", lambda df, label: written.append(label) or before(df, label))
+    chain = list(range(2000))
+    random.Random(3).shuffle(chain)
+    links = spark.createDataFrame(list(itertools.pairwise(chain)), "a bigint, b bigint").coalesce(1)
+    got = {r["node"]: r["root"] for r in connected_components(links).collect()}
+    assert got == dict.fromkeys(chain, 0) and written.count("cc-round") <= 3
+    rows = [pa.RecordBatch.from_pylist([{"u": max(x), "v": min(x)} for x in itertools.pairwise(chain[at : at + 51])]) for at in range(0, 2000, 50)]
+    monkeypatch.setattr(components, "CONTRACTED", 100)
+    stars = list(components._contract(iter(rows)))
+    assert len(stars) == 20
+    for k, found in enumerate(stars):
+        own = chain[100 * k : 100 * k + 101]
+        assert {(x["u"], x["v"]) for x in found.to_pylist()} == {(x, min(own)) for x in own if x != min(own)}
+
+
 def test_similarity_is_exact(spark):
     v = np.random.default_rng(1).normal(size=(80, 5))
     rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(900, None), (901, [1.0])]
