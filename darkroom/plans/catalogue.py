@@ -9,7 +9,7 @@ from darkroom.functions import paths
 from darkroom.operators import cache, dedupe, gallery, moves, report
 from darkroom.operators.similarity import Clusters, dominant_length, similarity_pairs
 from darkroom.plans import photos as P
-from darkroom.runtime import materialise, scratch_path, shuffle_partitions
+from darkroom.runtime import many_files, materialise, scratch_path, shuffle_partitions
 from darkroom.signals import SIGNALS, Thresholds, flag
 from darkroom.sources import files
 from darkroom.streaming.ingest import each_batch
@@ -641,7 +641,9 @@ def thumbnail_files(spark, d):
     listing, _ = files.scan(spark, [P.image_files(spark, d)])
     small = materialise(files.thumbnails(listing, 4).withColumn("seq", _number(F.col("path"))), "thumbnails")
     folder = P.written_files(small.select(F.concat(F.col("seq").cast("string"), F.lit(".png")).alias("name"), F.col("png").alias("data")))
-    back = spark.read.format("image").load(folder).select(_number(F.col("image.origin")).alias("seq"), F.col("image.width").alias("read_width"), F.col("image.nChannels").alias("read_channels"))
+    with many_files(spark, 0):  # thumbnails of 4 pixels are small
+        back = spark.read.format("image").load(folder).select(_number(F.col("image.origin")).alias("seq"), F.col("image.width").alias("read_width"), F.col("image.nChannels").alias("read_channels"))
+        back = materialise(back, "thumbnails-read")
     return small.select("seq", "width", "height").join(back, "seq").select("seq", "width", "height", "read_width", "read_channels")
 
 

@@ -75,6 +75,13 @@ SLICE_PATHS = 100_000
 OUT_BYTES = 4 << 20
 
 
+def _images(paths: DataFrame) -> DataFrame:
+    """Spark's image rows of named files (path). Names go from the query to the reader inside the JVM; from a Python list each would be a call."""
+    spark = paths.sparkSession
+    names = getattr(paths.select("path")._jdf, "as")(spark.sparkContext._jvm.org.apache.spark.sql.Encoders.STRING()).collect()
+    return DataFrame(spark._jsparkSession.read().format("image").option("dropInvalid", "false").load(names), spark)
+
+
 def _over_images(wanted: DataFrame, kernel, schema: str, slice_paths: int) -> DataFrame:
     """Rows that a kernel makes of the decoded files (path, height, width, nChannels, data, file_bytes) of ``wanted`` (path, size).
 
@@ -83,7 +90,8 @@ def _over_images(wanted: DataFrame, kernel, schema: str, slice_paths: int) -> Da
     """
     spark = wanted.sparkSession
     rows = wanted.select("path", F.col("size").alias("file_bytes")).dropDuplicates(["path"])
-    listed = materialise(rows, "wanted")
+    with many_files(spark, 0):  # a listing reads no contents
+        listed = materialise(rows, "wanted")
     total = listed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("file_bytes"), F.lit(0)).alias("mean")).first()
     slices = -(-total["n"] // slice_paths)
     if slices > 1:
@@ -97,9 +105,8 @@ def _over_images(wanted: DataFrame, kernel, schema: str, slice_paths: int) -> Da
             if not exists(spark, f"{parts}/slice={k}"):
                 continue
             here = spark.read.schema(listed.schema).parquet(f"{parts}/slice={k}")
-        named = [r["path"] for r in here.select("path").collect()]  # one slice
         with many_files(spark, total["mean"]):
-            images = spark.read.format("image").option("dropInvalid", "false").load(named).select("image.*").withColumn("path", plain(F.col("origin")))
+            images = _images(here).select("image.*").withColumn("path", plain(F.col("origin")))  # one slice
             found = images.join(here, "path").select("path", "height", "width", "nChannels", "data", "file_bytes").mapInArrow(kernel, schema)
             found.write.mode("append").parquet(out)
     return spark.read.schema(schema).parquet(out) if slices else spark.createDataFrame([], schema)

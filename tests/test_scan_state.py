@@ -16,6 +16,7 @@ from darkroom.operators.components import connected_components
 from darkroom.operators import similarity
 from darkroom.operators.similarity import Clusters, similarity_links
 from darkroom.params import RunOptions
+from darkroom.plans import catalogue
 from darkroom.progress import Progress
 from darkroom.sources import files
 from darkroom.streaming.ingest import Ingest, each_batch, listen
@@ -210,3 +211,15 @@ def test_stand_in_embedding_equals_means_of_cells(shape):
     cells = [g[i * h // 24 : max((i + 1) * h // 24, i * h // 24 + 1), j * w // 32 : max((j + 1) * w // 32, j * w // 32 + 1)].mean() for i in range(24) for j in range(32)]
     v = np.array(cells, np.float32)
     assert np.allclose(pixels.stand_in_embedding(g), v / np.linalg.norm(v), rtol=1e-6, atol=0)
+
+
+def test_images_are_read_without_code_for_every_file(spark, monkeypatch):
+    """Listings and image reads run without generated code, which Spark's image reader makes anew for each file; settings are as they were afterwards."""
+    mode, seen, read = "spark.sql.codegen.factoryMode", {}, files._images
+    before = spark.conf.get(mode)
+    for module in (files, catalogue):
+        monkeypatch.setattr(module, "materialise", lambda df, label, keep=module.materialise: seen.update({label: spark.conf.get(mode)}) or keep(df, label))
+    monkeypatch.setattr(files, "_images", lambda paths: seen.update(images=spark.conf.get(mode)) or read(paths))
+    rows = catalogue.QUERIES["thumbnail_files"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 500 and all(r["read_width"] == 4 and r["read_channels"] == 1 for r in rows)
+    assert {k for k, v in seen.items() if v == "NO_CODEGEN"} == {"wanted", "images", "thumbnails-read"} and spark.conf.get(mode) == before
