@@ -34,8 +34,8 @@ SIGNS = _near.signature(-(-SIZE // 16))
 LINES = ", ".join(["doc_id bigint, tie bigint, position int, place binary, cid bigint, check bigint, bands binary, sampled binary", *[f"{s} bigint" for s in SIGNS]])
 #: Lines that a task knows as sketched already.
 KNOWN = 1 << 18
-#: Lines with fewer characters are similar to equal lines only: where few characters differ, they mostly say something else.
-MIN_CHARS = 20
+#: Lines with fewer characters are one shingle of their own, so only equal lines are similar, and those are one class without a signature.
+MIN_CHARS = WIDTH
 
 
 def line_sets(buf: np.ndarray, start: np.ndarray, end: np.ndarray, width: int = WIDTH, rolling: _text.Rolling | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -350,6 +350,15 @@ def test_line_dedup_short(spark):
     assert out == {1: rows[0][1], 2: "\nRead mole", 3: "}"}
 
 
+def test_line_dedup_short_similar(spark, tmp_path):
+    # short lines are compared as long ones are: 5 of 6 shingles in common, one shingle only, 14 of 15; 4 of 6, 1 of 3 and single ones stay
+    rows = [(1, "Read more\n------\nAll rights reserved\nPage 17\nabc\nContact"), (2, "Read more!\n------------\nAll rights reserve\nPage 18\nabd\nContacts us")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.line_dedup_stage(spark, df, str(tmp_path)).collect()}
+    left = "Page 18\nabd\nContacts us"
+    assert got == {1: (rows[0][1], len(rows[0][1])), 2: (left, len(left))}
+
+
 def _near_brute(rows, width, percent):
     sets = {}
     for k, (_, t, *_) in enumerate(rows):
